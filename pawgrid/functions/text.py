@@ -13,7 +13,7 @@ from pawgrid import constants as K
 
 # Unicode whitespace as Python's str.isspace() sees it (Java and RE2 syntax alike).
 WS_CLASS = (
-    r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 HASHTAG_PATTERN = "#([가-힣a-zA-Z0-9]+)"

@@ -120,7 +120,7 @@ def eligible_counts(queries: DataFrame, listings: DataFrame, qid: str = "qid",
     per_mask = base.groupBy(slot_mask().alias("m")).agg(F.count(F.lit(1)).alias("n"))
     per_group = (per_mask
                  .withColumn("slot_group", F.explode(F.sequence(F.lit(0), F.lit(35))))
-                 .where(F.shiftright("m", F.col("slot_group")).bitwiseAND(F.lit(1)) == 1)
+                 .where(F.expr("shiftright(m, slot_group) & 1") == 1)
                  .groupBy("slot_group").agg(F.sum("n").alias("eligible")))
     q = queries.withColumn("slot_group", slot_group())
     return (q.join(F.broadcast(per_group), "slot_group", "left")

@@ -41,8 +41,10 @@ def personality_score(traits: list, tags: str = "hashtags") -> Column:
     no_tags = t.isNull() | (F.size(t) == 0)
     if not traits:
         return F.lit(0.5)
-    hits = [F.when(F.exists(t, lambda h, w=w: two_way_contains(F.lit(w), h)), F.lit(1)).otherwise(F.lit(0))
-            for w in traits]
+    def hit(word: str) -> Column:
+        return F.when(F.exists(t, lambda h: two_way_contains(F.lit(word), h)), F.lit(1)).otherwise(F.lit(0))
+
+    hits = [hit(w) for w in traits]
     matched = hits[0]
     for h in hits[1:]:
         matched = matched + h
