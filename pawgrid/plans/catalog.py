@@ -283,9 +283,17 @@ def q_recommend_zero_vector(spark: SparkSession, d: str) -> DataFrame:
     return V.top_k_similar(queries, items, 10).withColumn("similarity", F.round("similarity", 6))
 
 
+PREPARED_CTE = (
+    "prepared AS (SELECT uid, " + ", ".join(
+        f"coalesce({c}, {X.q(v)}) AS {c}" for c, v in K.RAW_DEFAULTS.items())
+    + f", CASE WHEN sd > 0 THEN sd END AS addinfo07, addinfo19 FROM (SELECT *, {X.strict_double('addinfo07')} AS sd "
+    "FROM raw))")
+
+
 def _cand_desc_sql(alias: str = "r") -> str:
     r = alias
-    return ("concat_ws(' | ', '성별: ' || coalesce({r}.addinfo03, 'nan') || ', 몸무게: ' || coalesce({r}.addinfo07, 'nan') "
+    return ("concat_ws(' | ', '성별: ' || coalesce({r}.addinfo03, 'nan') || ', 몸무게: ' "
+            "|| coalesce(CAST({r}.addinfo07 AS VARCHAR), 'nan') "
             "|| 'kg', CASE WHEN coalesce({r}.addinfo08, '') <> '' THEN '성격: ' || {r}.addinfo08 END, "
             "CASE WHEN coalesce({r}.addinfo10, '') <> '' THEN '상세설명: ' || ({t10}) END, "
             "CASE WHEN coalesce({r}.addinfo16, '') <> '' THEN '특별요구: ' || {r}.addinfo16 END, "
@@ -296,21 +304,27 @@ def _cand_desc_sql(alias: str = "r") -> str:
 _CANDS_SQL = (
     f"top AS (SELECT qid, rank, uid, sim FROM (SELECT q.qid, i.uid, {_COS} AS sim, row_number() OVER "
     f"(PARTITION BY q.qid ORDER BY {_COS} DESC, i.uid) AS rank FROM qs q JOIN items i ON true) t WHERE rank <= 10), "
-    "cands AS (SELECT t.qid, t.rank, t.uid, t.sim, r.addinfo01 AS name, r.addinfo03 AS gender, r.addinfo07 AS weight, "
+    "cands AS (SELECT t.qid, t.rank, t.uid, t.sim, r.addinfo01 AS name, r.addinfo03 AS gender, "
+    "CAST(r.addinfo07 AS VARCHAR) AS weight, "
     "coalesce(r.addinfo05, '나이미정') AS age, coalesce(r.addinfo04, '중성화미정') AS neuter, "
     "coalesce(r.kind, '임보종류미정') AS kind, r.state, "
     f"'{K.LINK_PREFIX}' || CAST(t.uid AS VARCHAR) AS link, {_cand_desc_sql('r')} AS description "
-    "FROM top t LEFT JOIN raw r ON r.uid = t.uid)")
+    "FROM top t LEFT JOIN prepared r ON r.uid = t.uid)")
+
+
+def prepared(spark: SparkSession, d: str) -> DataFrame:
+    """PIPE1 prefix: weight cleaned (PRJ5), null defaults filled (PRJ4)."""
+    return SH.fill_defaults(SH.clean_weight(A.raw_listings(spark, d)))
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     top = recommend(spark, d)
-    return R.with_candidate_text(R.candidate_rows(top, A.raw_listings(spark, d)))
+    return R.with_candidate_text(R.candidate_rows(top, prepared(spark, d)))
 
 
 @register("recommend_candidates", with_raw(
     "SELECT qid, rank, uid, round(sim, 6) AS similarity, name, gender, weight, age, neuter, kind, state, link, "
-    "description FROM cands", _ITEMS_SQL + ", " + _CANDS_SQL))
+    "description FROM cands", _ITEMS_SQL + ", " + PREPARED_CTE + ", " + _CANDS_SQL))
 def q_recommend_candidates(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d)
     return c.select("qid", "rank", "uid", F.round("similarity", 6).alias("similarity"), "name", "gender", "weight",
@@ -352,3 +366,233 @@ def q_eligible_counts(spark: SparkSession, d: str) -> DataFrame:
           + f", text AS personality_query FROM ({A.USER_QUERIES_SQL})")
 def q_extract_slots(spark: SparkSession, d: str) -> DataFrame:
     return PR.extract_slots(A.user_queries(spark, d), "text", rules=A.TEXT_SLOT_RULES).drop("text")
+
+
+# ================================================================================================
+# Text (SC1–SC16, PRJ4–PRJ6, PRJ12, AGG7, PIPE1)
+# ================================================================================================
+@register("clean_text", "SELECT doc_id, " + X.clean_text(
+    "'#' || lang || '#' || source || ' &apos;' || text") + " AS cleaned FROM documents")
+def q_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    """SC1 + SC2 over every whole document (tags and an entity injected in front)."""
+    docs = A.table(spark, d, "documents")
+    src = F.concat(F.lit("#"), F.col("lang"), F.lit("#"), F.col("source"), F.lit(" &apos;"), F.col("text"))
+    return docs.select("doc_id", T.clean_text(src).alias("cleaned"))
+
+
+@register("clean_query", f"SELECT qid, {X.clean_query('text')} AS cleaned FROM ({A.USER_QUERIES_SQL})")
+def q_clean_query(spark: SparkSession, d: str) -> DataFrame:
+    """SC4 over every user turn."""
+    return A.user_queries(spark, d).select("qid", T.clean_query("text").alias("cleaned"))
+
+
+@register("tag_text", with_raw(f"SELECT uid, {X.tag_text('addinfo08')} AS tag_text FROM raw"))
+def q_tag_text(spark: SparkSession, d: str) -> DataFrame:
+    """SC3 (reference mode: '#a#b' -> 'ab')."""
+    return A.raw_listings(spark, d).select("uid", T.tag_text("addinfo08").alias("tag_text"))
+
+
+_W = X.strict_double("addinfo07")
+
+
+@register("size_classes", with_raw(
+    f"SELECT uid, CASE WHEN w IS NULL THEN '몸무게 정보 없음' WHEN w < 7 THEN '소형 (7kg 미만)' "
+    "WHEN w < 20 THEN '중형 (7-20kg)' ELSE '대형 (20kg 이상)' END AS size_a, "
+    "CASE WHEN w IS NULL OR w = 0 THEN '크기미정' WHEN w < 10 THEN '소형' WHEN w < 25 THEN '중형' ELSE '대형' END AS size_b, "
+    "CASE WHEN w IS NULL THEN '몸무게 불명' WHEN w < 5 THEN '소형견' WHEN w <= 15 THEN '중형견' ELSE '대형견' END AS size_c "
+    f"FROM (SELECT uid, {_W} AS w FROM raw)"))
+def q_size_classes(spark: SparkSession, d: str) -> DataFrame:
+    """SC6, SC7, SC8 (three cut sets) over the parsed weight."""
+    w = C.strict_double("addinfo07")
+    return A.raw_listings(spark, d).select("uid", C.size_class_a(w).alias("size_a"), C.size_class_b(w).alias("size_b"),
+                                           C.size_class_c(w).alias("size_c"))
+
+
+def _age_phrase_sql(x: str) -> str:
+    rules = " ".join(f"WHEN {X.contains_any(f'lower({x})', ys)} THEN {X.q(lbl)}" for ys, lbl in K.AGE_PHRASE_RULES)
+    return (f"CASE WHEN {x} IS NULL OR {x} = '{K.AGE_UNKNOWN_TEXT}' THEN '{K.AGE_PHRASE_NULL}' {rules} "
+            f"ELSE '{K.AGE_PHRASE_OTHER_PREFIX}' || {x} END")
+
+
+@register("age_phrase", with_raw(f"SELECT uid, {_age_phrase_sql('addinfo05')} AS age_phrase FROM raw"))
+def q_age_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """SC9."""
+    return A.raw_listings(spark, d).select("uid", C.age_phrase("addinfo05").alias("age_phrase"))
+
+
+@register("age_months", with_raw(
+    f"SELECT uid, addinfo05 AS birth, {X.age_months_text('addinfo05', AS_OF)} AS age_months FROM raw"))
+def q_age_months(spark: SparkSession, d: str) -> DataFrame:
+    """SC10 with a fixed reference date."""
+    return A.raw_listings(spark, d).select("uid", F.col("addinfo05").alias("birth"),
+                                           C.age_months_text("addinfo05", AS_OF).alias("age_months"))
+
+
+@register("prepared_listings", with_raw(
+    "SELECT uid, state, kind, addinfo01, addinfo02, addinfo03, addinfo04, addinfo05, addinfo07, addinfo08, addinfo09, "
+    "addinfo10, addinfo11, addinfo16, addinfo19, addinfo20 FROM prepared", ", " + PREPARED_CTE.replace(
+        "addinfo19 FROM", "addinfo19 FROM")))
+def q_prepared_listings(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ5 + PRJ4 (+ PRJ6): the cleaned, default-filled listing table."""
+    return prepared(spark, d).select("uid", "state", "kind", "addinfo01", "addinfo02", "addinfo03", "addinfo04",
+                                     "addinfo05", "addinfo07", "addinfo08", "addinfo09", "addinfo10", "addinfo11",
+                                     "addinfo16", "addinfo19", "addinfo20")
+
+
+def _describe_sql() -> str:
+    dft = K.RAW_DEFAULTS
+    size = ("CASE WHEN addinfo07 IS NULL THEN '몸무게 정보 없음' WHEN addinfo07 < 7 THEN '소형 (7kg 미만)' "
+            "WHEN addinfo07 < 20 THEN '중형 (7-20kg)' ELSE '대형 (20kg 이상)' END")
+    age = _age_phrase_sql("addinfo05")
+    intro = (f"addinfo01 || '는 ' || addinfo03 || '이며, ' || ({size}) || '에 해당합니다.' || "
+             f"(CASE WHEN ({age}) <> '{K.AGE_PHRASE_NULL}' THEN ' ' || ({age}) || '이고' ELSE '' END) || "
+             f"(CASE WHEN addinfo04 IS NOT NULL AND addinfo04 <> '' AND addinfo04 <> '{dft['addinfo04']}' "
+             "THEN ' ' || addinfo04 || ' 상태입니다.' ELSE '입니다.' END)")
+    status = (f"CASE WHEN state <> '{dft['state']}' OR kind <> '{dft['kind']}' THEN "
+              "'현재 ' || state || ' 상태이며 ' || kind || '로 분류됩니다.' END")
+    parts = [intro, status, f"CASE WHEN {X.clean_text('addinfo08')} <> '' THEN {X.clean_text('addinfo08')} END"]
+    for col, label in [("addinfo10", "성격 상세: "), ("addinfo09", "구조 배경: "), ("addinfo19", "건강 상태: "),
+                       ("addinfo16", "특별 요구사항: "), ("addinfo20", "일상 관리: "), ("addinfo11", "추가 정보: ")]:
+        c = X.clean_text(col)
+        parts.append(f"CASE WHEN {c} <> '' THEN '{label}' || {c} END")
+    return "concat_ws(' ', " + ", ".join(parts) + ")"
+
+
+@register("describe_listing", with_raw(f"SELECT uid, {_describe_sql()} AS description FROM prepared",
+                                       ", " + PREPARED_CTE))
+def q_describe_listing(spark: SparkSession, d: str) -> DataFrame:
+    """PIPE1: clean weight -> fill defaults -> SC11 description for every listing (whole texts)."""
+    p = prepared(spark, d)
+    return p.select("uid", D.describe_listing(p).alias("description"))
+
+
+@register("text_length_stats", with_raw(
+    "SELECT round(avg(length(description)), 6) AS avg_chars, CAST(max(length(description)) AS BIGINT) AS max_chars, "
+    "CAST(min(length(description)) AS BIGINT) AS min_chars, count(*) AS n_rows FROM "
+    f"(SELECT {_describe_sql()} AS description FROM prepared)", ", " + PREPARED_CTE))
+def q_text_length_stats(spark: SparkSession, d: str) -> DataFrame:
+    """AGG7 over the SC11 descriptions."""
+    p = prepared(spark, d)
+    return ST.length_stats(p.select(D.describe_listing(p).alias("description")), "description")
+
+
+@register("preview", with_raw(
+    "SELECT addinfo01 AS name, substr(description, 1, 300) AS head, CAST(length(description) AS BIGINT) AS n_chars "
+    f"FROM (SELECT uid, addinfo01, {_describe_sql()} AS description FROM prepared) ORDER BY uid LIMIT 3",
+    ", " + PREPARED_CTE))
+def q_preview(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ12: first 3 listings (by uid): name, first 300 characters, length."""
+    p = prepared(spark, d)
+    return SH.preview(p.select("uid", "addinfo01", D.describe_listing(p).alias("description")).orderBy("uid"),
+                      "description")
+
+
+def _embedding_text_sql() -> str:
+    dft = K.EMBED_DEFAULTS
+    wn = X.strict_double("addinfo07")
+    size = f"CASE WHEN ({wn}) IS NULL OR ({wn}) = 0 THEN '크기미정' WHEN ({wn}) < 10 THEN '소형' WHEN ({wn}) < 25 THEN '중형' ELSE '대형' END"
+    basic = (f"coalesce(addinfo01, '{dft['addinfo01']}') || '는 ' || coalesce(addinfo03, '{dft['addinfo03']}') || "
+             f"'이고 몸무게 ' || coalesce(addinfo07, '{dft['addinfo07']}') || 'kg인 ' || ({size}) || ' 동물입니다.'")
+    status = ("CASE WHEN coalesce(state, '') <> '' AND coalesce(kind, '') <> '' THEN "
+              "'현재 ' || state || ' 상태이며 ' || kind || '로 분류됩니다.' END")
+    tt = X.tag_text("addinfo08")
+    tags = f"CASE WHEN ({tt}) <> '' THEN '성격 특징은 ' || ({tt}) || ' 입니다.' END"
+    parts = [basic, status, tags]
+    for col, label in [("addinfo10", "성격 설명: "), ("addinfo09", "구조 배경: "), ("addinfo16", "특별 요구사항: "),
+                       ("addinfo20", "일상 관리: ")]:
+        parts.append(f"CASE WHEN NOT {X.is_blank(col)} THEN '{label}' || {X.strip(col)} END")
+    arr = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+    return (f"(SELECT CASE WHEN length(array_to_string(a, ' ')) > 30000 THEN "
+            f"(CASE WHEN length(array_to_string(a[1:4], ' ')) <= 30000 THEN array_to_string(a[1:4], ' ') "
+            f"ELSE left(array_to_string(a[1:4], ' '), 30000) || '...' END) ELSE array_to_string(a, ' ') END "
+            f"FROM (SELECT {arr} AS a))")
+
+
+@register("embedding_text", with_raw(f"SELECT uid, {_embedding_text_sql()} AS embedding_text FROM raw"))
+def q_embedding_text(spark: SparkSession, d: str) -> DataFrame:
+    """SC12 over every listing, including the 30,000-character cut on long texts."""
+    raw = A.raw_listings(spark, d)
+    return raw.select("uid", D.embedding_text(raw).alias("embedding_text"))
+
+
+# ================================================================================================
+# Statistics (AGG1–AGG10, FLT20–FLT21, PIPE8)
+# ================================================================================================
+@register("state_share", with_raw(
+    "SELECT state AS key, count(*) AS n, round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 6) AS pct "
+    "FROM raw GROUP BY state"))
+def q_state_share(spark: SparkSession, d: str) -> DataFrame:
+    """AGG1 + AGG2: per state count and share."""
+    return ST.state_share(A.raw_listings(spark, d))
+
+
+_AGE_BUCKET_SQL = ("CASE WHEN age IS NULL THEN '나이 불명' WHEN age <= 1 THEN '1세 이하' WHEN age <= 3 THEN '1-3세' "
+                   "WHEN age <= 7 THEN '4-7세' ELSE '8세 이상' END")
+_W_BUCKET_SQL = ("CASE WHEN weight IS NULL THEN '몸무게 불명' WHEN weight < 5 THEN '소형견' WHEN weight <= 15 THEN '중형견' "
+                 "ELSE '대형견' END")
+
+
+@register("result_facets", with_listings(
+    ", r AS (SELECT * FROM listings WHERE status = '임보가능' AND age BETWEEN 0 AND 10) "
+    "SELECT 'total' AS facet, 'all' AS key, count(*) AS n FROM r "
+    "UNION ALL SELECT 'gender', gender, count(*) FROM r WHERE gender IS NOT NULL GROUP BY gender "
+    f"UNION ALL SELECT 'age', {_AGE_BUCKET_SQL}, count(*) FROM r GROUP BY 2 "
+    f"UNION ALL SELECT 'weight', {_W_BUCKET_SQL}, count(*) FROM r GROUP BY 2 "
+    "UNION ALL SELECT 'care_type', care_type, count(*) FROM r GROUP BY care_type "
+    "UNION ALL SELECT 'region', key, n FROM (SELECT rescue_location AS key, count(*) AS n, row_number() OVER "
+    "(ORDER BY count(*) DESC, rescue_location) AS rn FROM r GROUP BY rescue_location) WHERE rn <= 10"))
+def q_result_facets(spark: SparkSession, d: str) -> DataFrame:
+    """AGG3–AGG6 over a filter result (open, age 0..10)."""
+    res = P.apply_filters(A.structured_listings(spark, d), {"age_range": {"min": 0, "max": 10}})
+    return ST.result_facets(res)
+
+
+@register("top_regions", with_listings(
+    "SELECT rescue_location AS key, count(*) AS n FROM listings WHERE status = '임보가능' "
+    "GROUP BY rescue_location ORDER BY n DESC, key LIMIT 10"))
+def q_top_regions(spark: SparkSession, d: str) -> DataFrame:
+    """AGG6: the 10 most frequent regions among open listings."""
+    return ST.top_values(A.structured_listings(spark, d).where(P.open_state()), "rescue_location", 10)
+
+
+@register("summary", with_listings(
+    "SELECT count(*) AS total, count_if(status = '임보가능') AS available, round(avg(age), 6) AS average_age, "
+    "round(avg(weight), 6) AS average_weight FROM listings"))
+def q_summary(spark: SparkSession, d: str) -> DataFrame:
+    """AGG9."""
+    return ST.summary(A.structured_listings(spark, d))
+
+
+@register("distinct_tags", with_listings(
+    "SELECT tag, count(*) AS n FROM (SELECT unnest(hashtags) AS tag FROM listings) WHERE tag IS NOT NULL GROUP BY tag"))
+def q_distinct_tags(spark: SparkSession, d: str) -> DataFrame:
+    """AGG10: flattened distinct tags with counts."""
+    return ST.distinct_tags(A.structured_listings(spark, d))
+
+
+@register("distinct_regions", with_listings("SELECT DISTINCT rescue_location AS value FROM listings "
+                                            "WHERE rescue_location IS NOT NULL"))
+def q_distinct_regions(spark: SparkSession, d: str) -> DataFrame:
+    """AGG10: distinct regions."""
+    return ST.distinct_values(A.structured_listings(spark, d), "rescue_location")
+
+
+_RAW_COLS = ["uid", "state", "kind", "addinfo01", "addinfo02", "addinfo03", "addinfo04", "addinfo05", "addinfo07",
+             "addinfo08", "addinfo09", "addinfo10", "addinfo11", "addinfo16", "addinfo19", "addinfo20"]
+
+
+@register("null_profile", with_raw(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS nulls FROM raw" for c in _RAW_COLS)))
+def q_null_profile(spark: SparkSession, d: str) -> DataFrame:
+    """AGG8: nulls per column, one scan."""
+    return ST.null_profile(A.raw_listings(spark, d), _RAW_COLS)
+
+
+@register("weight_scans",
+          "SELECT count_if(w > 100) AS over_limit, count_if(contains(t, '-')) AS with_dash, count(*) AS n_rows FROM "
+          f"(SELECT t, CASE WHEN sd > 0 THEN sd END AS w FROM (SELECT t, {X.strict_double('t')} AS sd FROM "
+          "(SELECT CAST(value * 10 - 100 AS VARCHAR) AS t FROM events)))")
+def q_weight_scans(spark: SparkSession, d: str) -> DataFrame:
+    """FLT20 + FLT21 over a weight-like text derived from every event value."""
+    ev = A.table(spark, d, "events").select((F.col("value") * 10 - 100).cast("string").alias("addinfo07"))
+    return ST.weight_scans(ev)
