@@ -596,3 +596,230 @@ def q_weight_scans(spark: SparkSession, d: str) -> DataFrame:
     """FLT20 + FLT21 over a weight-like text derived from every event value."""
     ev = A.table(spark, d, "events").select((F.col("value") * 10 - 100).cast("string").alias("addinfo07"))
     return ST.weight_scans(ev)
+
+
+# ================================================================================================
+# Enrichment: 3-way left join with suffixes, drop/rename, period merge, age months (PIPE2)
+# ================================================================================================
+def enrich_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base = orders (open = status 'O'), sub01 = every line item, sub04 = per-order line summary."""
+    o = A.table(spark, d, "orders")
+    base = o.select(
+        F.col("o_orderkey").alias("uid"),
+        F.when(F.col("o_orderstatus") == "O", F.lit(K.OPEN_STATE)).otherwise(F.lit("임보완료")).alias("state"),
+        F.col("o_orderpriority").alias("kind"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("addinfo01"),
+        F.col("o_orderpriority").alias("addinfo03"),
+        F.concat(F.date_format("o_orderdate", "yyyyMM"),
+                 F.when(F.pmod("o_custkey", F.lit(3)) == 0, F.lit("추정")).otherwise(F.lit(""))).alias("addinfo05"),
+        F.col("o_totalprice").alias("addinfo07"),
+        F.col("o_orderstatus").alias("addinfo13"),
+        F.col("o_orderdate").alias("d_regis"),
+        F.col("o_custkey").alias("puid"),
+    )
+    li = A.table(spark, d, "lineitem")
+    sub01 = li.select(
+        F.col("l_orderkey").alias("uid"), F.col("l_returnflag").alias("addinfo01"),
+        F.col("l_linestatus").alias("addinfo03"),
+        F.when(F.pmod("l_linenumber", F.lit(2)) == 1, F.col("l_linenumber").cast("string")).alias("addinfo13sub01"),
+        F.col("l_partkey").alias("puid"),
+        F.concat(F.lit("#"), F.col("l_returnflag"), F.lit("#"), F.col("l_linestatus")).alias("addinfo08"),
+    )
+    sub04 = li.groupBy(F.col("l_orderkey").alias("uid")).agg(
+        F.count(F.lit(1)).cast("string").alias("addinfo02"),
+        F.when(F.max("l_linenumber") > 3, F.lit("long")).alias("addinfo13sub02"),
+        F.sum("l_quantity").cast("bigint").cast("string").alias("addinfo17"),
+    )
+    return base, sub01, sub04
+
+
+def enrich_full(spark: SparkSession, d: str, as_of: str | None = AS_OF) -> DataFrame:
+    base, sub01, sub04 = enrich_inputs(spark, d)
+    merged = J.enrich(RD.open_listings(base), [sub01, sub04], key="uid")
+    out = SH.drop_if_present(merged, K.ENRICH_DROP)
+    out = SH.rename_if_present(out, K.ENRICH_RENAME)
+    out = SH.merge_text_columns(out, K.PERIOD_PARTS, K.PERIOD_MERGED)
+    out = SH.with_age_months(out, K.BIRTH_COL, K.AGE_MONTHS_COL, as_of)
+    return SH.key_first(out, K.KEY_COL)
+
+
+_ENRICH_SQL = (
+    "WITH base AS (SELECT o_orderkey AS uid, CASE WHEN o_orderstatus = 'O' THEN '임보가능' ELSE '임보완료' END AS state, "
+    "o_orderpriority AS addinfo03_x, 'c' || CAST(o_custkey AS VARCHAR) AS addinfo01_x, "
+    "strftime(o_orderdate, '%Y%m') || CASE WHEN o_custkey % 3 = 0 THEN '추정' ELSE '' END AS addinfo05, "
+    "o_totalprice AS addinfo07, o_orderstatus AS addinfo13 FROM orders), "
+    "sub01 AS (SELECT l_orderkey AS uid, l_linestatus AS addinfo03_y, "
+    "CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_linenumber AS VARCHAR) END AS addinfo13sub01, "
+    "'#' || l_returnflag || '#' || l_linestatus AS addinfo08 FROM lineitem), "
+    "sub04 AS (SELECT l_orderkey AS uid, CASE WHEN max(l_linenumber) > 3 THEN 'long' END AS addinfo13sub02, "
+    "CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS addinfo17 FROM lineitem GROUP BY l_orderkey), "
+    "j AS (SELECT b.*, s1.addinfo03_y, s1.addinfo13sub01, s1.addinfo08, s4.addinfo13sub02, s4.addinfo17 "
+    "FROM base b LEFT JOIN sub01 s1 ON s1.uid = b.uid LEFT JOIN sub04 s4 ON s4.uid = b.uid WHERE b.state = '임보가능'), "
+    "m AS (SELECT *, " + X.strip("concat_ws(' ', coalesce(addinfo13, ''), coalesce(addinfo13sub01, ''), "
+                                  "coalesce(addinfo13sub02, ''))") + " AS merged FROM j) "
+    "SELECT uid AS \"Pk\", state AS \"상태\", addinfo01_x AS \"이름\", addinfo07 AS \"몸무게\", addinfo03_x AS \"성별\", "
+    "addinfo05 AS \"출생\", addinfo08 AS \"해시태그\", addinfo17 AS \"접종현황\", addinfo03_y AS \"유의사항\", "
+    "CASE WHEN merged <> '' THEN merged END AS \"임보가능_기간_통합\", "
+    + X.age_months_text("addinfo05", AS_OF) + " AS \"나이_개월수\" FROM m")
+
+
+@register("enrich_three_way", _ENRICH_SQL)
+def q_enrich_three_way(spark: SparkSession, d: str) -> DataFrame:
+    """JN1–JN2, PRJ1–PRJ3, PRJ7, SC10, SRC3: the whole enrichment plan (1:N fan-out kept)."""
+    return enrich_full(spark, d)
+
+
+# ================================================================================================
+# Re-rank flow (RR1–RR5, SRT4, SNK5, WIN2, WIN4, FLT22, PIPE4)
+# ================================================================================================
+def _prompt_item_sql() -> str:
+    return ("chr(10) || CAST(rank AS VARCHAR) || '. 이름: ' || name || chr(10) || '   설명: ' || description || chr(10) "
+            "|| '   유사도 점수: ' || printf('%.3f', sim) || chr(10)")
+
+
+_PROMPT_HEAD_SQL = "'사용자 쿼리:' || chr(10) || '\"' || text || '\"' || chr(10) || chr(10) || '아래는 추천 후보 동물 리스트입니다:'"
+_PROMPT_TAIL_SQL = " || ".join("chr(10)" if part == "\n" else X.q(part)
+                               for part in K.PROMPT_TAIL.replace("\n", "\x00\n\x00").split("\x00") if part != "")
+
+
+@register("rerank_prompts", with_raw(
+    "SELECT c.qid, " + _PROMPT_HEAD_SQL + " || string_agg(" + _prompt_item_sql() + ", '' ORDER BY c.rank) || "
+    + _PROMPT_TAIL_SQL + " AS prompt FROM cands c JOIN (" + A.VQUERIES_SQL + ") qt ON qt.qid = c.qid "
+    "GROUP BY c.qid, qt.text", _ITEMS_SQL + ", " + PREPARED_CTE + ", " + _CANDS_SQL))
+def q_rerank_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """RR1 + RR2 for every query in one job (shuffle only to group each query's k candidates)."""
+    return R.prompts(candidates(spark, d), A.vector_queries(spark, d))
+
+
+def composed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Reply texts composed from every part row, covering every parsing rule."""
+    p = A.table(spark, d, "part")
+    k = "p_partkey"
+    lines = [
+        F.lit("추천 리스트:"),
+        F.concat(F.lit("1. 이름: "), F.col("p_name")),
+        F.concat(F.lit("   이유: "), F.col("p_type")),
+        F.when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit("2. "), F.col("p_brand")))
+        .otherwise(F.concat(F.lit("2. 이름: "), F.col("p_brand"))),
+        F.lit("   이유: brand reason"),
+        F.when(F.pmod(k, F.lit(2)) == 0, F.concat(F.lit("3. 이름:"), F.col("p_name"))).otherwise(F.lit("3. 이름: a 이름: b")),
+        F.when(F.pmod(k, F.lit(5)) == 0, F.lit("6. 이름: six")),
+        F.concat(F.lit("   이유: size "), F.col("p_size").cast("string")),
+        F.lit("10. 이름: ten"),
+        F.lit("이유: 이유: double "),
+    ]
+    return p.select(F.col(k).alias("qid"), F.concat_ws("\n", *lines).alias("reply"), F.col("p_name").alias("text"))
+
+
+_REPLIES_SQL = (
+    "replies AS (SELECT p_partkey AS qid, p_name AS text, concat_ws(chr(10), '추천 리스트:', '1. 이름: ' || p_name, "
+    "'   이유: ' || p_type, CASE WHEN p_partkey % 3 = 0 THEN '2. ' || p_brand ELSE '2. 이름: ' || p_brand END, "
+    "'   이유: brand reason', CASE WHEN p_partkey % 2 = 0 THEN '3. 이름:' || p_name ELSE '3. 이름: a 이름: b' END, "
+    "CASE WHEN p_partkey % 5 = 0 THEN '6. 이름: six' END, '   이유: size ' || CAST(p_size AS VARCHAR), "
+    "'10. 이름: ten', '이유: 이유: double ') AS reply FROM part)")
+
+
+def _parse_sql(replies: str = "replies") -> str:
+    starts = " OR ".join(f"starts_with(line, '{p}')" for p in K.REPLY_ITEM_PREFIXES)
+    return (
+        f"lines AS (SELECT qid, unnest(string_split(reply, chr(10))) AS raw, "
+        f"unnest(range(len(string_split(reply, chr(10))))) AS pos FROM {replies}), "
+        f"l2 AS (SELECT qid, pos, {X.strip('raw')} AS line FROM lines), "
+        f"l3 AS (SELECT *, ({starts}) AS is_start, starts_with(line, '이유:') AS is_reason FROM l2), "
+        "l4 AS (SELECT *, sum(CASE WHEN is_start THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY pos "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seq FROM l3), "
+        "its AS (SELECT qid, seq, max(CASE WHEN is_start AND contains(line, '이름:') THEN 1 END) AS named, "
+        f"max(CASE WHEN is_start AND contains(line, '이름:') THEN {X.strip(chr(40) + 'string_split(line, ' + chr(39) + '이름:' + chr(39) + ')[-1]' + chr(41))} END) AS name, "
+        f"arg_max(CASE WHEN NOT is_start AND is_reason THEN {X.strip('replace(line, ' + chr(39) + '이유:' + chr(39) + ', ' + chr(39) + chr(39) + ')')} END, "
+        "CASE WHEN NOT is_start AND is_reason THEN pos END) AS reason FROM l4 WHERE seq > 0 GROUP BY qid, seq), "
+        "picks AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY seq) AS item, name, reason "
+        "FROM its WHERE named = 1)")
+
+
+@register("parse_replies", f"WITH {_REPLIES_SQL}, {_parse_sql()} SELECT qid, item, name, reason FROM picks")
+def q_parse_replies(spark: SparkSession, d: str) -> DataFrame:
+    """RR3 + WIN2 + WIN4 over one composed reply per part row."""
+    return R.parse_replies(composed_replies(spark, d))
+
+
+@register("shown_picks", f"WITH {_REPLIES_SQL}, {_parse_sql()} SELECT qid, item, name, reason FROM picks "
+          "WHERE name IS NOT NULL AND reason IS NOT NULL")
+def q_shown_picks(spark: SparkSession, d: str) -> DataFrame:
+    """RR4: picks with both a name and a reason."""
+    return R.shown_picks(R.parse_replies(composed_replies(spark, d)))
+
+
+def _sat_text(c_user: str = "user_id", c_type: str = "event_type"):
+    return (F.when(F.col(c_type) == "view", F.pmod(c_user, F.lit(9)).cast("string"))
+            .when(F.col(c_type) == "click", F.concat(F.lit(" "), F.pmod(c_user, F.lit(7)).cast("string"), F.lit(" ")))
+            .when(F.col(c_type) == "error", F.concat(F.lit("x"), F.pmod(c_user, F.lit(5)).cast("string")))
+            .when(F.col(c_type) == "purchase", F.concat(F.lit("0"), F.pmod(c_user, F.lit(6)).cast("string")))
+            .otherwise(F.lit("")))
+
+
+_SAT_TEXT_SQL = ("CASE event_type WHEN 'view' THEN CAST(user_id % 9 AS VARCHAR) WHEN 'click' THEN ' ' || "
+                 "CAST(user_id % 7 AS VARCHAR) || ' ' WHEN 'error' THEN 'x' || CAST(user_id % 5 AS VARCHAR) "
+                 "WHEN 'purchase' THEN '0' || CAST(user_id % 6 AS VARCHAR) ELSE '' END")
+
+
+def _sat_valid_sql(t: str) -> str:
+    s = X.strip(t)
+    return (f"CASE WHEN regexp_full_match({s}, '[0-9]+') AND TRY_CAST({s} AS BIGINT) BETWEEN 1 AND 5 "
+            f"THEN CAST({s} AS INTEGER) END")
+
+
+@register("satisfaction_valid", f"SELECT event_id, t AS text, {_sat_valid_sql('t')} AS satisfaction FROM "
+          f"(SELECT event_id, {_SAT_TEXT_SQL} AS t FROM events)")
+def q_satisfaction_valid(spark: SparkSession, d: str) -> DataFrame:
+    """FLT22 over a rating text derived from every event."""
+    ev = A.table(spark, d, "events").select("event_id", _sat_text().alias("text"))
+    return ev.select("event_id", "text", P.satisfaction_valid("text").alias("satisfaction"))
+
+
+@register("recommendation_log",
+          f"WITH {_REPLIES_SQL}, {_parse_sql()} SELECT '2026-12-01 00:00:00' AS timestamp, r.text AS user_query, "
+          "p.item AS rank, coalesce(p.name, '이름없음') AS animal_name, coalesce(p.reason, '이유없음') AS reason, "
+          + _sat_valid_sql("CAST(r.qid % 7 AS VARCHAR)") + " AS satisfaction FROM picks p JOIN replies r ON r.qid = p.qid")
+def q_recommendation_log(spark: SparkSession, d: str) -> DataFrame:
+    """SNK5 rows (RR5 defaults, WIN2 ranks) with a fixed timestamp."""
+    rep = composed_replies(spark, d)
+    picks = R.parse_replies(rep)
+    sat = P.satisfaction_valid(F.pmod("qid", F.lit(7)).cast("string"))
+    return R.recommendation_log(picks, rep.select("qid", "text"), satisfaction=sat,
+                                ts=F.lit("2026-12-01 00:00:00"))
+
+
+def rerank_replies(spark: SparkSession, d: str, cands: DataFrame) -> DataFrame:
+    """Replies that pick candidates 3, 1, 5 (in that order); label-0 queries get an empty reply."""
+    order = F.when(F.col("rank") == 3, 1).when(F.col("rank") == 1, 2).when(F.col("rank") == 5, 3)
+    lines = (cands.where(order.isNotNull())
+             .select("qid", order.alias("o"),
+                     F.concat(order.cast("string"), F.lit(". 이름: "), F.col("name"), F.lit("\n   이유: rank "),
+                              F.col("rank").cast("string")).alias("line")))
+    body = lines.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))),
+                                                             lambda x: x["line"]), "\n").alias("body"))
+    q = A.vector_queries(spark, d).select("qid", "label")
+    return (q.join(body, "qid", "left")
+            .select("qid", F.when(F.col("label") == 0, F.lit("추천 리스트:"))
+                    .otherwise(F.concat(F.lit("추천 리스트:\n"), F.col("body"))).alias("reply")))
+
+
+@register("rerank_final", with_raw(
+    "SELECT qid, pick_rank, name, uid, sim_rank, source FROM ("
+    "SELECT p.qid, p.item AS pick_rank, p.name, c.uid, c.sim_rank, 'rerank' AS source FROM picks p LEFT JOIN "
+    "(SELECT qid, name, arg_min(uid, rank) AS uid, min(rank) AS sim_rank FROM cands GROUP BY qid, name) c "
+    "ON c.qid = p.qid AND c.name = p.name "
+    "UNION ALL SELECT c.qid, c.rank, c.name, c.uid, c.rank, 'similarity' FROM cands c "
+    "WHERE c.rank <= 5 AND c.qid NOT IN (SELECT DISTINCT qid FROM picks))",
+    _ITEMS_SQL + ", " + PREPARED_CTE + ", " + _CANDS_SQL + ", "
+    "body AS (SELECT qid, string_agg(CAST(o AS VARCHAR) || '. 이름: ' || name || chr(10) || '   이유: rank ' "
+    "|| CAST(rank AS VARCHAR), chr(10) ORDER BY o) AS body FROM (SELECT *, CASE rank WHEN 3 THEN 1 WHEN 1 THEN 2 "
+    "WHEN 5 THEN 3 END AS o FROM cands) WHERE o IS NOT NULL GROUP BY qid), "
+    f"replies AS (SELECT q.qid, CASE WHEN q.label = 0 THEN '추천 리스트:' ELSE '추천 리스트:' || chr(10) || b.body END "
+    f"AS reply FROM ({A.VQUERIES_SQL}) q LEFT JOIN body b ON b.qid = q.qid), " + _parse_sql()))
+def q_rerank_final(spark: SparkSession, d: str) -> DataFrame:
+    """PIPE4: candidates -> replies -> parsed picks -> picks joined back to candidates, with the
+    similarity fallback (top 5) for queries whose reply names nothing (SRT4)."""
+    cands = candidates(spark, d)
+    picks = R.parse_replies(rerank_replies(spark, d, cands))
+    return R.final_picks(picks, cands)
