@@ -194,23 +194,22 @@ def list_items(pages: DataFrame, base: str | Column, container: str = '<div clas
     Link = base + href; name = first word of the anchor's ``.top`` text (null without it);
     number = text after '공고번호' in the ``.bottom`` block (null without it)."""
     seg = _first(F.col(html), "(?s)" + container + r"[^>]*>(.*?)</ul>")
-    items = pages.select(key, F.posexplode(F.coalesce(_all(seg, r"(?s)<li[^>]*>(.*?)</li>"), F.array()))
-                         .alias("pos", "li"))
+    base_c = F.lit(base) if isinstance(base, str) else base
+    items = pages.select(key, base_c.alias("__base"),
+                         F.posexplode(F.coalesce(_all(seg, r"(?s)<li[^>]*>(.*?)</li>"), F.array())).alias("pos", "li"))
     li = F.col("li")
     href = _first(li, r'(?s)<a\s[^>]*?href="([^"]*)"')
     top = _first(li, r'(?s)class="top"[^>]*>(.*?)</(?:p|div|span|strong)>')
     top_text = node_text(top)
-    name = F.when(top.isNotNull(), F.nullif(F.regexp_extract(top_text, f"^{WS_CLASS}*([^\\s\\x{{A0}}\\x{{3000}}]+)", 1),
-                                            F.lit("")))
+    name = F.nullif(F.element_at(F.split(top_text, WS_CLASS + "+"), 1), F.lit(""))
     bottom = _first(li, r'(?s)class="bottom"[^>]*>(.*?)</(?:p|div)>')
     parts = F.transform(F.split(bottom, r"<[^>]*>"), lambda s: pystrip(_decode(s)))
     numbers = F.filter(parts, lambda s: s.contains(K.PAGE_LIST_NOTICE_LABEL))
     number = F.try_element_at(F.transform(numbers, lambda s: pystrip(F.replace(s, F.lit(K.PAGE_LIST_NOTICE_LABEL),
                                                                                F.lit("")))), F.lit(-1))
-    base_c = F.lit(base) if isinstance(base, str) else base
     return (items.where(href.isNotNull())
             .select(key, F.col("pos").cast("long").alias("pos"),
-                    F.concat(base_c, href).alias(K.PAGE_ITEM_LINK),
+                    F.concat(F.col("__base"), href).alias(K.PAGE_ITEM_LINK),
                     name.alias(K.PAGE_ITEM_NAME), number.alias(K.PAGE_KEY_NOTICE)))
 
 
@@ -225,7 +224,7 @@ def page_texts(pages: DataFrame, container_tag: str = "article", key: str = "pag
     wrap = _first(F.col(html), f"(?s)<{container_tag}[^>]*>(.*?)</{container_tag}>")
     ps = F.transform(_all(wrap, r"(?s)<p[^>]*>(.*?)</p>"), node_text)
     return pages.select(key, F.when(wrap.isNotNull(), F.array_join(ps, ", ")).alias("texts"),
-                        F.size(ps).cast("long").alias("n_paragraphs"))
+                        F.when(wrap.isNotNull(), F.size(ps)).cast("long").alias("n_paragraphs"))
 
 
 def merge_list_detail(items: DataFrame, details_long: DataFrame, link_col: str = K.PAGE_ITEM_LINK,

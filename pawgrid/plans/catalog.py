@@ -823,3 +823,146 @@ def q_rerank_final(spark: SparkSession, d: str) -> DataFrame:
     cands = candidates(spark, d)
     picks = R.parse_replies(rerank_replies(spark, d, cands))
     return R.final_picks(picks, cands)
+
+
+# ================================================================================================
+# Pages (PG1–PG12, JN6–JN7, WIN3, SET1, SRC7–SRC8, AGG11, SNK2)
+# ================================================================================================
+def _li_sql(container: str = "<nav") -> str:
+    top = X.first("li", r'(?s)class="top"[^>]*>(.*?)</(?:p|div|span|strong)>')
+    bottom = X.first("li", r'(?s)class="bottom"[^>]*>(.*?)</(?:p|div)>')
+    parts = f"list_transform(regexp_split_to_array({bottom}, '<[^>]*>'), lambda s: {X.strip(X.decode('s'))})"
+    nums = (f"list_transform(list_filter({parts}, lambda s: contains(s, '{K.PAGE_LIST_NOTICE_LABEL}')), "
+            f"lambda s: {X.strip(chr(40) + 'replace(s, ' + X.q(K.PAGE_LIST_NOTICE_LABEL) + ', ' + chr(39) * 2 + ')' + chr(41))})")
+    from pawgrid.functions.text import WS_CLASS
+    name = f"nullif(string_split_regex({X.node_text(top)}, {X.q(WS_CLASS + '+')})[1], '')"
+    return (
+        f"pg AS (SELECT page_id, url, {X.first('html', '(?s)' + container + r'[^>]*>(.*?)</ul>')} AS seg FROM pages), "
+        "lis AS (SELECT page_id, url, regexp_extract_all(seg, '(?s)<li[^>]*>(.*?)</li>', 1) AS arr FROM pg "
+        "WHERE seg IS NOT NULL), "
+        "li AS (SELECT page_id, url, unnest(arr) AS li, unnest(range(len(arr))) AS pos FROM lis), "
+        f"items AS (SELECT page_id, pos, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || "
+        f"{X.first('li', r'(?s)<a\s[^>]*?href=\"([^\"]*)\"')} AS \"{K.PAGE_ITEM_LINK}\", {name} AS \"{K.PAGE_ITEM_NAME}\", "
+        f"{nums}[-1] AS \"{K.PAGE_KEY_NOTICE}\", {X.first('li', r'(?s)<a\s[^>]*?href=\"([^\"]*)\"')} AS href FROM li)")
+
+
+def page_items(spark: SparkSession, d: str) -> DataFrame:
+    pages = A.table(spark, d, "pages")
+    return PG.list_items(pages, PG.site_root(F.col("url")), container="<nav")
+
+
+@register("page_list_items", "WITH " + _li_sql() + f" SELECT page_id, pos, \"{K.PAGE_ITEM_LINK}\", "
+          f"\"{K.PAGE_ITEM_NAME}\", \"{K.PAGE_KEY_NOTICE}\" FROM items WHERE href IS NOT NULL")
+def q_page_list_items(spark: SparkSession, d: str) -> DataFrame:
+    """PG1 over every stored page (navigation list as the item container)."""
+    return page_items(spark, d)
+
+
+@register("crawl_summary", "WITH " + _li_sql() + " SELECT page_id, count(*) AS collected_count, "
+          f"string_agg(coalesce(nullif(\"{K.PAGE_ITEM_NAME}\", ''), '{K.CRAWL_NO_NAMES}'), ', ' ORDER BY pos) "
+          "AS animal_names FROM items WHERE href IS NOT NULL GROUP BY page_id")
+def q_crawl_summary(spark: SparkSession, d: str) -> DataFrame:
+    """AGG11 / SNK2 rows: per page the item count and the joined names ('N/A' when missing)."""
+    return ST.crawl_summary(page_items(spark, d), "page_id", order_col="pos")
+
+
+@register("page_texts",
+          "SELECT page_id, CASE WHEN wrap IS NOT NULL THEN array_to_string(ps, ', ') END AS texts, "
+          "CAST(len(ps) AS BIGINT) AS n_paragraphs FROM (SELECT page_id, wrap, list_transform(regexp_extract_all(wrap, "
+          f"'(?s)<p[^>]*>(.*?)</p>', 1), lambda x: {X.node_text('x')}) AS ps FROM (SELECT page_id, "
+          f"{X.first('html', '(?s)<article[^>]*>(.*?)</article>')} AS wrap FROM pages))")
+def q_page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """PG4 generalised: paragraph texts of each page's article, whole pages."""
+    return PG.page_texts(A.table(spark, d, "pages"))
+
+
+@register("page_detail_records")
+def q_page_detail_records(spark: SparkSession, d: str) -> DataFrame:
+    """PG2–PG11 + SRC8: label/value records of one composed detail page per part row."""
+    return PG.detail_records(A.detail_pages(spark, d))
+
+
+# ================================================================================================
+# Incremental read, streaming twin, stage materialisation (SRC2, STR1, SNK7, SRC5)
+# ================================================================================================
+MARK = "2024-01-15 00:00:00"
+_INCR_SQL = f"SELECT event_id, user_id, event_type, value FROM events WHERE ts > TIMESTAMP '{MARK}'"
+
+
+@register("incremental_read", _INCR_SQL)
+def q_incremental_read(spark: SparkSession, d: str) -> DataFrame:
+    """SRC2: rows strictly after the high-water mark (pushed into the parquet scan)."""
+    ev = A.table(spark, d, "events")
+    return RD.read_incremental(ev, "ts", MARK).select("event_id", "user_id", "event_type", "value")
+
+
+@register("incremental_mark", f"SELECT epoch_us(max(ts)) AS mark_us, count(*) AS n_new FROM events "
+          f"WHERE ts > TIMESTAMP '{MARK}'")
+def q_incremental_mark(spark: SparkSession, d: str) -> DataFrame:
+    """SRC2: the next mark (max timestamp of the increment, as epoch microseconds) and its size."""
+    inc = RD.read_incremental(A.table(spark, d, "events"), "ts", MARK)
+    return inc.agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("mark_us"), F.count(F.lit(1)).alias("n_new"))
+
+
+def _run_id(d: str) -> str:
+    import hashlib
+    import uuid
+    return hashlib.sha1(d.encode()).hexdigest()[:10] + "-" + uuid.uuid4().hex[:8]
+
+
+@register("incremental_stream", _INCR_SQL)
+def q_incremental_stream(spark: SparkSession, d: str) -> DataFrame:
+    """STR1: the same increment through Structured Streaming (file source, availableNow trigger,
+    checkpointed foreachBatch into a table under the shared checkpoint folder)."""
+    from pawgrid.session import shared_path
+    from pawgrid.streaming.incremental import drain_to_table, stream_files
+    src = f"{d}/events.parquet"
+    schema = spark.read.parquet(src).schema
+    src = src[:-1] + "[t]"  # a file source watches a folder or a glob; the glob names exactly this file
+    run = _run_id(d)
+    out = shared_path(spark, f"tables/incremental-{run}")
+    stream = stream_files(spark, src, schema)
+    drain_to_table(stream, out, f"incremental-{run}",
+                   transform=lambda b, _e: RD.read_incremental(b, "ts", MARK)
+                   .select("event_id", "user_id", "event_type", "value"))
+    return spark.read.parquet(out)
+
+
+@register("materialised_prepared", with_raw(
+    "SELECT uid, state, kind, addinfo01, addinfo03, addinfo05, addinfo07 FROM prepared", ", " + PREPARED_CTE))
+def q_materialised_prepared(spark: SparkSession, d: str) -> DataFrame:
+    """SNK7 + SRC5: the prepared stage written once under the shared checkpoint folder and read
+    back (the write also cuts lineage for later stages)."""
+    from pawgrid.session import shared_path
+    from pawgrid.sources.sinks import materialise
+    path = shared_path(spark, f"stages/prepared-{_run_id(d)}")
+    t = materialise(spark, path, lambda: prepared(spark, d))
+    return t.select("uid", "state", "kind", "addinfo01", "addinfo03", "addinfo05", "addinfo07")
+
+
+# ================================================================================================
+# Embedding job and the text-to-listing recommendation (EMB1–EMB3, EMB5, WIN5, AGG13, PIPE4/5)
+# ================================================================================================
+@register("embed_batch")
+def q_embed_batch(spark: SparkSession, d: str) -> DataFrame:
+    """EMB1 over every whole document: batched, per-text fallback, zero vector + flag on failure."""
+    docs = A.table(spark, d, "documents")
+    emb = V.embed(docs, "text", V.hashing_embedder(64), 64, key="doc_id")
+    return emb.select("doc_id", "failed", F.size("embedding").cast("long").alias("dim"),
+                      F.round(V.norm("embedding"), 6).alias("norm"))
+
+
+@register("recommend_text")
+def q_recommend_text(spark: SparkSession, d: str) -> DataFrame:
+    """EMB5 end to end for every user turn: slots from the text (hard filter), cleaned text
+    embedded (EMB3), listings embedded from their SC12 text (EMB2), exact cosine top-10."""
+    embedder = V.hashing_embedder(64)
+    p = prepared(spark, d)
+    listings = RD.open_listings(p).select("uid", D.embedding_text(p).alias("etext"), PR.slot_mask().alias("slot_mask"))
+    vecs = V.embed(listings, "etext", embedder, 64, key="uid")
+    items = listings.select("uid", "slot_mask").join(vecs.where(~F.col("failed")), "uid")
+    q = PR.extract_slots(A.user_queries(spark, d), "text", rules=A.TEXT_SLOT_RULES)
+    q = q.select("qid", PR.slot_group().alias("slot_group"), T.clean_query("text").alias("clean"))
+    qv = V.embed(q, "clean", embedder, 64, key="qid").join(q.select("qid", "slot_group"), "qid")
+    top = V.top_k_similar(qv, items, 10, q_group="slot_group", i_mask="slot_mask")
+    return top.withColumn("similarity", F.round("similarity", 6))
