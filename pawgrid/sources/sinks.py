@@ -16,14 +16,15 @@ from pawgrid.operators.shaping import flat_export_columns
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK1: header CSV, UTF-8 (no BOM)."""
-    df.write.mode(mode).option("header", "true").option("encoding", "UTF-8").csv(path)
+    (df.write.mode(mode).option("header", "true").option("encoding", "UTF-8")
+     .option("quote", '"').option("escape", '"').csv(path))
 
 
 def append_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """SNK2 / SNK5 / SET2: append rows to a log table (created on first write)."""
     w = df.write.mode("append").format(fmt)
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.option("header", "true").option("escape", '"')
     w.save(path)
 
 
