@@ -25,11 +25,31 @@ def _part(cond: Column, text: Column) -> Column:
     return F.when(cond, text)
 
 
-def describe_listing(df: DataFrame) -> Column:
+DESCRIBE_TEXT_COLS = ["addinfo08", "addinfo10", "addinfo09", "addinfo19", "addinfo16", "addinfo20", "addinfo11"]
+EMBED_TEXT_COLS = ["addinfo10", "addinfo09", "addinfo16", "addinfo20"]
+
+
+def with_description(df: DataFrame, out: str = "description") -> DataFrame:
+    """SC11 as a frame step: the cleaned free-text fields are projected once, then the
+    description is built from them (each long text is scanned by the regexes once)."""
+    staged = df.withColumns({f"__clean_{c}": clean_text(get_or(df, c, "")) for c in DESCRIBE_TEXT_COLS})
+    return staged.withColumn(out, describe_listing(staged, _staged=True)).drop(
+        *[f"__clean_{c}" for c in DESCRIBE_TEXT_COLS])
+
+
+def with_embedding_text(df: DataFrame, out: str = "embedding_text", max_length: int = 30000,
+                        tag_mode: str = "reference") -> DataFrame:
+    """SC12 as a frame step: stripped free-text fields projected once."""
+    staged = df.withColumns({f"__strip_{c}": pystrip(get_or(df, c, "").cast("string")) for c in EMBED_TEXT_COLS})
+    return staged.withColumn(out, embedding_text(staged, max_length, tag_mode, _staged=True)).drop(
+        *[f"__strip_{c}" for c in EMBED_TEXT_COLS])
+
+
+def describe_listing(df: DataFrame, _staged: bool = False) -> Column:
     """SC11: intro sentence + up to 8 optional parts, joined by a space.
 
     Expects the frame after ``fill_defaults`` (nulls already replaced); remaining nulls are
-    treated as the defaults.
+    treated as the defaults.  Prefer ``with_description`` on long texts.
     """
     d = K.RAW_DEFAULTS
     name = F.coalesce(get_or(df, "addinfo01", d["addinfo01"]), F.lit(d["addinfo01"]))
@@ -53,7 +73,7 @@ def describe_listing(df: DataFrame) -> Column:
                    F.concat(F.lit("현재 "), state, F.lit(" 상태이며 "), kind, F.lit("로 분류됩니다.")))
 
     def cleaned(col_name: str) -> Column:
-        return clean_text(get_or(df, col_name, ""))
+        return F.col(f"__clean_{col_name}") if _staged else clean_text(get_or(df, col_name, ""))
 
     labelled = [
         ("addinfo10", "성격 상세: "),
@@ -71,7 +91,8 @@ def describe_listing(df: DataFrame) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), " ")
 
 
-def embedding_text(df: DataFrame, max_length: int = 30000, tag_mode: str = "reference") -> Column:
+def embedding_text(df: DataFrame, max_length: int = 30000, tag_mode: str = "reference",
+                   _staged: bool = False) -> Column:
     """SC12: basic sentence + status + tags + 4 labelled free-text parts, joined by a space.
 
     Longer than ``max_length`` -> only the first 4 parts, cut with ``...`` if still too long.
@@ -95,6 +116,9 @@ def embedding_text(df: DataFrame, max_length: int = 30000, tag_mode: str = "refe
     tags = _part(ptext != "", F.concat(F.lit("성격 특징은 "), ptext, F.lit(" 입니다.")))
 
     def labelled(col_name: str, label: str) -> Column:
+        if _staged:
+            v = F.col(f"__strip_{col_name}")
+            return _part(v.isNotNull() & (v != ""), F.concat(F.lit(label), v))
         v = get_or(df, col_name, "").cast("string")
         return _part(~is_blank(v), F.concat(F.lit(label), pystrip(v)))
 

@@ -16,6 +16,9 @@ WS_CLASS = (
     r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+# the same set as plain characters, for btrim (no regex)
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 HASHTAG_PATTERN = "#([가-힣a-zA-Z0-9]+)"
 # characters kept by the query cleaner: Unicode letters/digits, '_', whitespace, . , ! ?
 QUERY_DROP_PATTERN = r"[^\p{L}\p{N}_" + WS_CLASS[1:-1] + r".,!?]"
@@ -26,8 +29,8 @@ def col_(c: Column | str) -> Column:
 
 
 def pystrip(c: Column | str) -> Column:
-    """``str.strip()`` with Python's whitespace set."""
-    return F.regexp_replace(col_(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """``str.strip()`` with Python's whitespace set (a character-set trim, no regex)."""
+    return F.btrim(col_(c), F.lit(WS_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -46,10 +49,10 @@ def clean_text(c: Column | str) -> Column:
     x = F.coalesce(col_(c).cast("string"), F.lit(""))
     x = strip_hashtags(x)
     x = F.replace(x, F.lit("&apos;"), F.lit("'"))
-    x = F.replace(x, F.lit("\r\n"), F.lit(" "))
-    x = F.replace(x, F.lit("\n"), F.lit(" "))
+    # line breaks are whitespace: the run collapse turns CRLF / LF into one space as well, and
+    # after it the only whitespace left is single spaces, so a plain space trim is a full strip
     x = F.regexp_replace(x, f"{WS_CLASS}+", " ")
-    return pystrip(x)
+    return F.trim(x)
 
 
 def tag_text(c: Column | str, mode: str = "reference") -> Column:

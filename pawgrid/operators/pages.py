@@ -92,24 +92,18 @@ def _sections(html: Column) -> Column:
     return F.split(main, r'<div class="line"')
 
 
-def _section(html: Column, title: str) -> Column:
-    """WIN3: the first section whose ``p.tit`` text contains ``title``; null if none."""
-    chunks = F.slice(F.coalesce(_sections(html), F.array()), 2, 100000)
-    hits = F.filter(chunks, lambda c: F.coalesce(
-        node_text(F.regexp_extract(c, r'(?s)<p class="tit"[^>]*>(.*?)</p>', 1)).contains(title), F.lit(False)))
-    return F.try_element_at(hits, F.lit(1))
+TITLE_PATTERN = r'(?s)<p class="tit"[^>]*>(.*?)</p>'
+TB_PATTERN = r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>'
 
 
-def notice_entries(html: Column) -> Column:
+def notice_entries(frag: Column) -> Column:
     """PG2: ``p.num`` text without its label, or null (the key is always set)."""
-    frag = _first(html, r'(?s)<p class="num"[^>]*>(.*?)</p>')
     val = pystrip(F.replace(node_text(frag), F.lit(K.PAGE_NOTICE_LABEL), F.lit("")))
     return _one(K.PAGE_KEY_NOTICE, val, 1)
 
 
-def info_entries(html: Column) -> Column:
+def info_entries(box: Column) -> Column:
     """PG3 + JN7: ``.info_box`` dt/dd pairs when the counts agree, else ``k:v`` text lines."""
-    box = _first(html, r'(?s)class="info_box"[^>]*>(.*?)</div>')
     dts = _all(box, r"(?s)<dt[^>]*>(.*?)</dt>")
     dds = _all(box, r"(?s)<dd[^>]*>(.*?)</dd>")
     paired = (F.size(dts) > 0) & (F.size(dts) == F.size(dds))
@@ -121,34 +115,24 @@ def info_entries(html: Column) -> Column:
     return F.when(box.isNull(), F.array()).when(paired, _entries(pk, pv, 2)).otherwise(_entries(lk, lv, 2))
 
 
-def tag_entries(html: Column) -> Column:
+def tag_entries(wrap: Column) -> Column:
     """PG4: ``.tag_wrap p`` texts ', '-joined (empties kept), or null without the block."""
-    wrap = _first(html, r'(?s)class="tag_wrap"[^>]*>(.*?)</div>')
     ps = F.transform(_all(wrap, r"(?s)<p[^>]*>(.*?)</p>"), node_text)
     return _one(K.PAGE_KEY_TAGS, F.when(wrap.isNotNull(), F.array_join(ps, ", ")), 3)
 
 
-def main_table_entries(html: Column) -> Column:
-    """PG5: rows of the first ``div.tb_wrap`` table."""
-    frag = _first(html, r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>')
-    return F.coalesce(_table_rows(frag, "", 4), F.array())
+def table_entries(frag: Column, prefix: str, stage: int) -> Column:
+    """PG5 / PG6 / PG8: the rows of a ``div.tb_wrap`` table fragment, keys prefixed."""
+    return F.coalesce(_table_rows(frag, prefix, stage), F.array())
 
 
-def homes_entries(html: Column) -> Column:
+def homes_entries(box: Column) -> Column:
     """PG7: checked items of the first ``div.box.pt40`` (key always set)."""
-    return _one(K.PAGE_KEY_HOMES, _checked(_box_pt40(html)), 6)
-
-
-def section_table_entries(html: Column, title: str, prefix: str, stage: int) -> Column:
-    """PG6 / PG8: the table of a titled section, keys prefixed."""
-    sec = _section(html, title)
-    frag = _first(sec, r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>')
-    return F.coalesce(_table_rows(frag, prefix, stage), F.array())
+    return _one(K.PAGE_KEY_HOMES, _checked(box), 6)
 
 
-def section_list_entries(html: Column, title: str, prefix: str, stage: int) -> Column:
-    """PG9: ``ul li`` items (``p.t_bef`` label, ``p.a`` value) of a titled section's box."""
-    sec = _section(html, title)
+def list_entries(sec: Column, prefix: str, stage: int) -> Column:
+    """PG9: ``ul li`` items (``p.t_bef`` label, ``p.a`` value) of a section's box."""
     box = _first(sec, r'(?s)<div class="box[^"]*"[^>]*>(.*)$')
     lis = F.filter(_all(box, r"(?s)<li[^>]*>(.*?)</li>"),
                    lambda li: li.rlike(r'<p class="t_bef"') & li.rlike(r'<p class="a"'))
@@ -158,30 +142,55 @@ def section_list_entries(html: Column, title: str, prefix: str, stage: int) -> C
     return F.coalesce(_entries(keys, vals, stage), F.array())
 
 
-def terms_entries(html: Column, title: str = K.PAGE_SECTION_TERMS) -> Column:
-    """PG10: checked items of the titled section's ``div.box.pt40`` (key set only when it exists)."""
-    box = _box_pt40(_section(html, title))
+def terms_entries(box: Column) -> Column:
+    """PG10: checked items of the section's ``div.box.pt40`` (key set only when it exists)."""
     return F.when(box.isNotNull(), _one(K.PAGE_KEY_TERMS, _checked(box), 9)).otherwise(F.array())
 
 
-def detail_entries(html: Column) -> Column:
-    """PG11: all entries of a detail page in extraction order."""
-    return F.concat(
-        notice_entries(html), info_entries(html), tag_entries(html), main_table_entries(html),
-        section_table_entries(html, K.PAGE_SECTION_CARE[0], K.PAGE_SECTION_CARE[1], 5),
-        homes_entries(html),
-        section_table_entries(html, K.PAGE_SECTION_HEALTH[0], K.PAGE_SECTION_HEALTH[1], 7),
-        section_list_entries(html, K.PAGE_SECTION_REFERENCE[0], K.PAGE_SECTION_REFERENCE[1], 8),
-        terms_entries(html),
-    )
+def _pick(secs: Column, title: str) -> Column:
+    """WIN3: the first section whose title text contains ``title``."""
+    return F.try_element_at(F.filter(secs, lambda x: F.coalesce(x["t"].contains(title), F.lit(False))),
+                            F.lit(1))["c"]
 
 
 def detail_records(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """PG11 + SRC8: long form ``(page_id, key, value)``, one row per label; a later label wins.
 
-    Pivot to a wide table with ``records.groupBy(key).pivot('key', labels).agg(first('value'))``
-    when the label set is known."""
-    ent = pages.select(F.col(key).alias("__page"), F.explode(detail_entries(F.col(html))).alias("e"))
+    Staged projections locate every fragment once per page (an expensive expression used
+    twice is never inlined twice), then the entries are built from the fragments.
+    Pivot to a wide table with ``readers.wide_records`` when the label set is known."""
+    h = F.col("__html")
+    a = pages.select(F.col(key).alias("__page"), F.col(html).alias("__html"))
+    b = a.select(
+        "__page",
+        _first(h, r'(?s)<p class="num"[^>]*>(.*?)</p>').alias("num"),
+        _first(h, r'(?s)class="info_box"[^>]*>(.*?)</div>').alias("info"),
+        _first(h, r'(?s)class="tag_wrap"[^>]*>(.*?)</div>').alias("tags"),
+        _first(h, TB_PATTERN).alias("main_tb"),
+        _box_pt40(h).alias("homes"),
+        F.slice(F.coalesce(_sections(h), F.array()), 2, 1 << 20).alias("chunks"),
+    )
+    c = b.withColumn("secs", F.transform("chunks", lambda ch: F.struct(
+        ch.alias("c"), node_text(F.regexp_extract(ch, TITLE_PATTERN, 1)).alias("t")))).drop("chunks")
+    d = c.select("*",
+                 _pick(F.col("secs"), K.PAGE_SECTION_CARE[0]).alias("care"),
+                 _pick(F.col("secs"), K.PAGE_SECTION_HEALTH[0]).alias("health"),
+                 _pick(F.col("secs"), K.PAGE_SECTION_REFERENCE[0]).alias("ref"),
+                 _pick(F.col("secs"), K.PAGE_SECTION_TERMS).alias("terms")).drop("secs")
+    e = d.select("__page", "num", "info", "tags", "main_tb", "homes", "ref",
+                 _first(F.col("care"), TB_PATTERN).alias("care_tb"),
+                 _first(F.col("health"), TB_PATTERN).alias("health_tb"),
+                 _box_pt40(F.col("terms")).alias("terms_box"))
+    entries = F.concat(
+        notice_entries(F.col("num")), info_entries(F.col("info")), tag_entries(F.col("tags")),
+        table_entries(F.col("main_tb"), "", 4),
+        table_entries(F.col("care_tb"), K.PAGE_SECTION_CARE[1], 5),
+        homes_entries(F.col("homes")),
+        table_entries(F.col("health_tb"), K.PAGE_SECTION_HEALTH[1], 7),
+        list_entries(F.col("ref"), K.PAGE_SECTION_REFERENCE[1], 8),
+        terms_entries(F.col("terms_box")),
+    )
+    ent = e.select("__page", F.explode(entries).alias("e"))
     return (ent.groupBy("__page", F.col("e.key").alias("key"))
             .agg(F.max_by(F.col("e.value"), F.col("e.ord")).alias("value"))
             .withColumnRenamed("__page", key))

@@ -148,25 +148,24 @@ def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, *,
     """
     q = _prep_queries(queries, qid, q_vec, q_group)
     it = _prep_items(items, uid, i_vec, i_mask)
-    n_q = q.count()
     if dim is None:
         first = q.select(F.size("qvec").alias("d")).head(1)
         dim = int(first[0]["d"]) if first else 0
-    est = n_q * max(dim, 1) * 8
+    max_rows = max(1, max_broadcast_bytes // (max(dim, 1) * 8))
+    n_q = q.count()  # column-pruned count: no vector is read
     if strategy == "auto":
-        strategy = "broadcast" if est <= max_broadcast_bytes else "grid"
+        strategy = "broadcast" if n_q <= max_rows else "grid"
     if strategy == "broadcast":
-        if est > max_broadcast_bytes:
-            raise ValueError(f"query block of {est} bytes exceeds max_broadcast_bytes={max_broadcast_bytes}")
-        partial = _broadcast_partial(q, it, k)
+        if n_q > max_rows:
+            raise ValueError(f"{n_q} queries of dim {dim} exceed max_broadcast_bytes={max_broadcast_bytes}")
+        partial = _broadcast_partial(q.sparkSession, q.collect(), it, k)  # size proven above
     else:
         partial = _grid_partial(q, it, k, n_q, query_block_rows, item_block_rows)
     return _final_topk(partial, k)
 
 
-def _broadcast_partial(q: DataFrame, it: DataFrame, k: int) -> DataFrame:
-    spark = q.sparkSession
-    rows = q.collect()  # bounded: size checked by the caller against max_broadcast_bytes
+def _broadcast_partial(spark, rows: list, it: DataFrame, k: int) -> DataFrame:
+    """``rows``: the query block, already bounded by the caller."""
     qids = np.array([r["qid"] for r in rows], dtype=np.int64)
     groups = np.array([r["slot_group"] for r in rows], dtype=np.int64)
     qmat = _unit_rows(_stack(r["qvec"] for r in rows)) if rows else np.zeros((0, 0))
@@ -234,20 +233,27 @@ def top_k_for_vector(items: DataFrame, vector: list[float], k: int = 5, *, uid:
 def hashing_embedder(dim: int = 64, seed: int = 17) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic stand-in embedder: signed feature hashing of lower-cased word tokens.
 
-    Real deployments inject a model client; this one needs no network and no model files."""
+    Real deployments inject a model client; this one needs no network and no model files.
+    Tokens are counted per text first (C-level ``Counter``) and each distinct token is hashed
+    once per batch."""
     import re
+    from collections import Counter
 
     import xxhash
 
     token = re.compile(r"\w+", re.UNICODE)
 
     def embed(texts: list[str]) -> list[list[float]]:
+        cache: dict[str, tuple[int, float]] = {}
         out = []
         for t in texts:
             v = np.zeros(dim, dtype=np.float64)
-            for w in token.findall((t or "").lower()):
-                h = xxhash.xxh64_intdigest(w, seed=seed)
-                v[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
+            for w, n in Counter(token.findall((t or "").lower())).items():
+                hit = cache.get(w)
+                if hit is None:
+                    h = xxhash.xxh64_intdigest(w, seed=seed)
+                    hit = cache[w] = (h % dim, 1.0 if (h >> 63) & 1 else -1.0)
+                v[hit[0]] += hit[1] * n
             out.append(v.tolist())
         return out
 

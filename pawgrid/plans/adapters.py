@@ -94,11 +94,16 @@ FROM part
 # ----------------------------------------------------------------------------------------------
 # raw listing (addinfo columns: text builders, hard filters, recommendation)
 # ----------------------------------------------------------------------------------------------
-def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_listings(spark: SparkSession, sf_dir: str, long_text: bool = True) -> DataFrame:
+    """``long_text=False`` leaves ``addinfo10`` null and skips the documents join (for plans that
+    never read the free text, e.g. the vector side of a recommendation)."""
     p = table(spark, sf_dir, "part")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("doc_text"))
     k = "p_partkey"
-    j = p.join(d, k, "left")
+    if long_text:
+        d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(k), F.col("text").alias("doc_text"))
+        j = p.join(d, k, "left")
+    else:
+        j = p.withColumn("doc_text", F.lit(None).cast("string"))
     return j.select(
         F.col(k).alias("uid"),
         F.when(_m(k, 4) == 3, F.lit("임보완료")).otherwise(F.lit(K.OPEN_STATE)).alias("state"),
@@ -240,3 +245,33 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</div></body></html>"),
     )
     return p.select(F.col(k).alias("page_id"), html.alias("html"))
+
+
+DETAIL_PAGES_SQL = """
+SELECT p_partkey AS page_id, '<html><body>'
+  || CASE WHEN p_partkey % 7 <> 0 THEN '<p class="num">공고 번호 : ' || CAST(p_partkey AS VARCHAR) || '</p>' ELSE '' END
+  || '<div class="info_box">'
+  || CASE WHEN p_partkey % 5 = 0 THEN '<dl><dt>이름:</dt><dd>' || p_name || '</dd><dt>브랜드</dt></dl>'
+          ELSE '<dl><dt>이름:</dt><dd>' || p_name || '</dd><dt>브랜드 :</dt><dd> ' || p_brand || ' </dd></dl>' END
+  || '</div>'
+  || CASE WHEN p_partkey % 3 <> 0 THEN '<div class="tag_wrap">'
+          || array_to_string(list_transform(string_split(p_name, ' '), lambda w: '<p>#' || w || '</p>'), '')
+          || '</div>' ELSE '' END
+  || '<div class="tb_wrap"><table><tr><th>종류:</th><td>' || p_type
+  || '</td></tr><tr><th>크기</th><td><b>' || CAST(p_size AS VARCHAR) || '</b> kg</td></tr></table></div>'
+  || '<div class="box pt40"><div class="check_i a">아파트</div>'
+  || CASE WHEN p_partkey % 2 = 0 THEN '<div class="check_i a">주택</div>' ELSE '<div class="check_i a"> </div>' END
+  || '</div>' || '<div class="view_main">'
+  || '<div class="line"><p class="tit">임보 조건</p><div class="tb_wrap"><table><tr><th>기간</th><td>'
+  || CAST(p_partkey % 12 + 1 AS VARCHAR) || '개월</td></tr></table></div></div>'
+  || CASE WHEN p_partkey % 4 <> 0 THEN '<div class="line"><p class="tit">건강 정보</p><div class="tb_wrap"><table><tr><th>접종</th><td>'
+          || CASE WHEN p_partkey % 2 = 0 THEN '완료' ELSE '미완료' END
+          || '</td></tr><tr><th>종류</th><td>' || p_type || '</td></tr></table></div></div>' ELSE '' END
+  || '<div class="line"><p class="tit">참고용 정보</p><div class="box"><ul><li><p class="t_bef">가격</p><p class="a">'
+  || CAST(p_retailprice AS VARCHAR) || '</p></li><li><p class="t_bef">브랜드</p><p class="a">'
+  || p_brand || '</p></li></ul></div></div>'
+  || CASE WHEN p_partkey % 5 <> 1 THEN '<div class="line"><p class="tit">책임자 제공 사항</p><div class="box pt40">'
+          || '<div class="check_i a">사료</div><div class="check_i a">&amp; 용품</div></div></div>' ELSE '' END
+  || '</div></body></html>' AS html
+FROM part
+"""

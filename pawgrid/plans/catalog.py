@@ -207,7 +207,7 @@ def q_export_flat(spark: SparkSession, d: str) -> DataFrame:
 # ================================================================================================
 def _items(spark: SparkSession, d: str, with_mask: bool = False) -> DataFrame:
     """Open listings joined to their vectors on uid (JN3)."""
-    raw = A.raw_listings(spark, d)
+    raw = A.raw_listings(spark, d, long_text=False)
     open_ = RD.open_listings(raw)
     cols = [F.col("uid"), F.col("embedding")]
     if with_mask:
@@ -279,7 +279,7 @@ def q_recommend_zero_vector(spark: SparkSession, d: str) -> DataFrame:
         return F.when(cond, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
     queries = A.vector_queries(spark, d).withColumn("embedding", zero_if(F.col("label") == 8))
     vec = A.vectors(spark, d).withColumn("embedding", zero_if(F.col("label") == 9))
-    items = RD.open_listings(A.raw_listings(spark, d)).join(vec.select("uid", "embedding"), "uid")
+    items = RD.open_listings(A.raw_listings(spark, d, long_text=False)).join(vec.select("uid", "embedding"), "uid")
     return V.top_k_similar(queries, items, 10).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -359,7 +359,7 @@ def _slot_case_sql(slot: str, text: str = "text") -> str:
 def q_eligible_counts(spark: SparkSession, d: str) -> DataFrame:
     """JN5 / AGG12 for many queries: slots from user text, eligible open listings per query."""
     queries = PR.extract_slots(A.user_queries(spark, d), "text", rules=A.TEXT_SLOT_RULES)
-    return PR.eligible_counts(queries, A.raw_listings(spark, d))
+    return PR.eligible_counts(queries, A.raw_listings(spark, d, long_text=False))
 
 
 @register("extract_slots", "SELECT qid, " + ", ".join(f"{_slot_case_sql(s)} AS {s}" for s in ("size", "age", "gender"))
@@ -462,8 +462,7 @@ def _describe_sql() -> str:
                                        ", " + PREPARED_CTE))
 def q_describe_listing(spark: SparkSession, d: str) -> DataFrame:
     """PIPE1: clean weight -> fill defaults -> SC11 description for every listing (whole texts)."""
-    p = prepared(spark, d)
-    return p.select("uid", D.describe_listing(p).alias("description"))
+    return D.with_description(prepared(spark, d)).select("uid", "description")
 
 
 @register("text_length_stats", with_raw(
@@ -472,8 +471,7 @@ def q_describe_listing(spark: SparkSession, d: str) -> DataFrame:
     f"(SELECT {_describe_sql()} AS description FROM prepared)", ", " + PREPARED_CTE))
 def q_text_length_stats(spark: SparkSession, d: str) -> DataFrame:
     """AGG7 over the SC11 descriptions."""
-    p = prepared(spark, d)
-    return ST.length_stats(p.select(D.describe_listing(p).alias("description")), "description")
+    return ST.length_stats(D.with_description(prepared(spark, d)).select("description"), "description")
 
 
 @register("preview", with_raw(
@@ -482,9 +480,8 @@ def q_text_length_stats(spark: SparkSession, d: str) -> DataFrame:
     ", " + PREPARED_CTE))
 def q_preview(spark: SparkSession, d: str) -> DataFrame:
     """PRJ12: first 3 listings (by uid): name, first 300 characters, length."""
-    p = prepared(spark, d)
-    return SH.preview(p.select("uid", "addinfo01", D.describe_listing(p).alias("description")).orderBy("uid"),
-                      "description")
+    p = D.with_description(prepared(spark, d))
+    return SH.preview(p.select("uid", "addinfo01", "description").orderBy("uid"), "description")
 
 
 def _embedding_text_sql() -> str:
@@ -511,8 +508,7 @@ def _embedding_text_sql() -> str:
 @register("embedding_text", with_raw(f"SELECT uid, {_embedding_text_sql()} AS embedding_text FROM raw"))
 def q_embedding_text(spark: SparkSession, d: str) -> DataFrame:
     """SC12 over every listing, including the 30,000-character cut on long texts."""
-    raw = A.raw_listings(spark, d)
-    return raw.select("uid", D.embedding_text(raw).alias("embedding_text"))
+    return D.with_embedding_text(A.raw_listings(spark, d)).select("uid", "embedding_text")
 
 
 # ================================================================================================
@@ -876,7 +872,81 @@ def q_page_texts(spark: SparkSession, d: str) -> DataFrame:
     return PG.page_texts(A.table(spark, d, "pages"))
 
 
-@register("page_detail_records")
+def _detail_sql() -> str:
+    f, nt, st, dq = X.first, X.node_text, X.strip, X.decode
+
+    def section(title: str) -> str:
+        main = f("html", r'(?s)<div class="view_main"[^>]*>(.*)$')
+        chunks = f"regexp_split_to_array({main}, '<div class=\"line\"')[2:]"
+        tit = nt("regexp_extract(c, '(?s)<p class=\"tit\"[^>]*>(.*?)</p>', 1)")
+        return f"list_filter({chunks}, lambda c: coalesce(contains({tit}, {X.q(title)}), false))[1]"
+
+    def box_pt40(x: str) -> str:
+        after = f(x, r'(?s)<div class="box pt40"[^>]*>(.*)$')
+        return f"regexp_split_to_array({after}, '<div class=\"(?:line|view_main)\"')[1]"
+
+    def checked(x: str) -> str:
+        texts = (f"list_filter(list_transform(regexp_extract_all({x}, '(?s)<div class=\"check_i a\"[^>]*>(.*?)</div>', 1), "
+                 f"lambda ck: {nt('ck')}), lambda ck: ck <> '')")
+        return f"(CASE WHEN len({texts}) > 0 THEN array_to_string({texts}, ', ') END)"
+
+    def table(frag: str, prefix: str) -> tuple[str, str]:
+        rows = (f"list_filter(regexp_extract_all({frag}, '(?s)<tr[^>]*>(.*?)</tr>', 1), lambda r: "
+                "regexp_matches(r, '(?s)<th[^>]*>') AND regexp_matches(r, '(?s)<td[^>]*>'))")
+        keys = (f"list_transform({rows}, lambda r: {X.q(prefix)} || "
+                + st(f"replace({nt(chr(114) + chr(101) + 'gexp_extract(r, ' + X.q('(?s)<th[^>]*>(.*?)</th>') + ', 1)')}, ':', '')") + ")")
+        vals = f"list_transform({rows}, lambda r: {nt('regexp_extract(r, ' + X.q('(?s)<td[^>]*>(.*?)</td>') + ', 1)')})"
+        return keys, vals
+
+    def many(stage: int, keys: str, vals: str) -> str:
+        return (f"SELECT page_id, {stage * 100000} + unnest(range(len(k))) AS ord, unnest(k) AS key, unnest(v) AS value "
+                f"FROM (SELECT page_id, {keys} AS k, {vals} AS v FROM pages)")
+
+    def one(stage: int, key: str, val: str, cond: str = "true") -> str:
+        return f"SELECT page_id, {stage * 100000} AS ord, {X.q(key)} AS key, {val} AS value FROM pages WHERE {cond}"
+
+    notice = st(f"replace({nt(f('html', r'(?s)<p class="num"[^>]*>(.*?)</p>'))}, {X.q(K.PAGE_NOTICE_LABEL)}, '')")
+    box = f("html", r'(?s)class="info_box"[^>]*>(.*?)</div>')
+    dts = f"regexp_extract_all({box}, '(?s)<dt[^>]*>(.*?)</dt>', 1)"
+    dds = f"regexp_extract_all({box}, '(?s)<dd[^>]*>(.*?)</dd>', 1)"
+    paired = f"(len({dts}) > 0 AND len({dts}) = len({dds}))"
+    lines = f"list_filter(regexp_split_to_array({box}, '<[^>]*>'), lambda ln: contains(ln, ':'))"
+    ik = (f"CASE WHEN {paired} THEN list_transform({dts}, lambda t: replace({nt('t')}, ':', '')) ELSE "
+          f"list_transform({lines}, lambda ln: {st(dq('split_part(ln, chr(58), 1)'))}) END")
+    iv = (f"CASE WHEN {paired} THEN list_transform({dds}, lambda t: {nt('t')}) ELSE "
+          f"list_transform({lines}, lambda ln: {st(dq('substr(ln, strpos(ln, chr(58)) + 1)'))}) END")
+    wrap = f("html", r'(?s)class="tag_wrap"[^>]*>(.*?)</div>')
+    tags = (f"CASE WHEN {wrap} IS NOT NULL THEN array_to_string(list_transform(regexp_extract_all({wrap}, "
+            f"'(?s)<p[^>]*>(.*?)</p>', 1), lambda t: {nt('t')}), ', ') END")
+    mk, mv = table(f("html", r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>'), "")
+    care = section(K.PAGE_SECTION_CARE[0])
+    ck, cv = table(f(care, r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>'), K.PAGE_SECTION_CARE[1])
+    health = section(K.PAGE_SECTION_HEALTH[0])
+    hk, hv = table(f(health, r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>'), K.PAGE_SECTION_HEALTH[1])
+    ref_box = f(section(K.PAGE_SECTION_REFERENCE[0]), r'(?s)<div class="box[^"]*"[^>]*>(.*)$')
+    lis = (f"list_filter(regexp_extract_all({ref_box}, '(?s)<li[^>]*>(.*?)</li>', 1), lambda li: "
+           "regexp_matches(li, '<p class=\"t_bef\"') AND regexp_matches(li, '<p class=\"a\"'))")
+    rk = (f"list_transform({lis}, lambda li: {X.q(K.PAGE_SECTION_REFERENCE[1])} || "
+          f"{nt(chr(114) + 'egexp_extract(li, ' + X.q('(?s)<p class="t_bef"[^>]*>(.*?)</p>') + ', 1)')})")
+    rv = f"list_transform({lis}, lambda li: {nt('regexp_extract(li, ' + X.q('(?s)<p class="a"[^>]*>(.*?)</p>') + ', 1)')})"
+    terms_box = box_pt40(section(K.PAGE_SECTION_TERMS))
+    parts = [
+        one(1, K.PAGE_KEY_NOTICE, notice),
+        many(2, f"CASE WHEN {box} IS NULL THEN NULL ELSE {ik} END", f"CASE WHEN {box} IS NULL THEN NULL ELSE {iv} END"),
+        one(3, K.PAGE_KEY_TAGS, tags),
+        many(4, mk, mv),
+        many(5, ck, cv),
+        one(6, K.PAGE_KEY_HOMES, checked(box_pt40("html"))),
+        many(7, hk, hv),
+        many(8, rk, rv),
+        one(9, K.PAGE_KEY_TERMS, checked(terms_box), f"{terms_box} IS NOT NULL"),
+    ]
+    return (f"WITH pages AS ({A.DETAIL_PAGES_SQL}), e AS (" + " UNION ALL ".join(parts) + ") "
+            "SELECT page_id, key, value FROM (SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY ord DESC) "
+            "AS rn FROM e) WHERE rn = 1")
+
+
+@register("page_detail_records", _detail_sql())
 def q_page_detail_records(spark: SparkSession, d: str) -> DataFrame:
     """PG2–PG11 + SRC8: label/value records of one composed detail page per part row."""
     return PG.detail_records(A.detail_pages(spark, d))
@@ -958,7 +1028,8 @@ def q_recommend_text(spark: SparkSession, d: str) -> DataFrame:
     embedded (EMB3), listings embedded from their SC12 text (EMB2), exact cosine top-10."""
     embedder = V.hashing_embedder(64)
     p = prepared(spark, d)
-    listings = RD.open_listings(p).select("uid", D.embedding_text(p).alias("etext"), PR.slot_mask().alias("slot_mask"))
+    listings = D.with_embedding_text(RD.open_listings(p), "etext").select("uid", "etext",
+                                                                           PR.slot_mask().alias("slot_mask"))
     vecs = V.embed(listings, "etext", embedder, 64, key="uid")
     items = listings.select("uid", "slot_mask").join(vecs.where(~F.col("failed")), "uid")
     q = PR.extract_slots(A.user_queries(spark, d), "text", rules=A.TEXT_SLOT_RULES)

@@ -5,7 +5,7 @@ They mirror ``pawgrid.functions.text`` one-for-one so that oracle SQL reads like
 
 from __future__ import annotations
 
-from pawgrid.functions.text import HASHTAG_PATTERN, QUERY_DROP_PATTERN, WS_CLASS
+from pawgrid.functions.text import HASHTAG_PATTERN, QUERY_DROP_PATTERN, WS_CHARS, WS_CLASS
 
 
 def q(s: str) -> str:
@@ -13,8 +13,12 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _chars_sql(chars: str) -> str:
+    return " || ".join(f"chr({ord(ch)})" for ch in chars)
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(f'^{WS_CLASS}+|{WS_CLASS}+$')}, '', 'g')"
+    return f"trim({x}, {_chars_sql(WS_CHARS)})"
 
 
 def clean_text(x: str) -> str:
@@ -63,8 +67,8 @@ def decode(x: str) -> str:
 
 
 def node_text(x: str) -> str:
-    pieces = f"list_transform(regexp_split_to_array({x}, '<[^>]*>'), lambda s: {strip(decode('s'))})"
-    return f"array_to_string(list_filter({pieces}, lambda s: s <> ''), '')"
+    pieces = f"list_transform(regexp_split_to_array({x}, '<[^>]*>'), lambda ntx: {strip(decode('ntx'))})"
+    return f"array_to_string(list_filter({pieces}, lambda ntx: ntx <> ''), '')"
 
 
 def first(x: str, pattern: str) -> str:
