@@ -11,20 +11,56 @@ from pyspark.sql import functions as F
 
 
 def left_join_suffixed(left: DataFrame, right: DataFrame, key: str,
-                       suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+                       suffixes: tuple[str, str] = ("_x", "_y"), salts: int = 0,
+                       hot_fraction: float = 1e-4) -> DataFrame:
     """JN1 + JN2: left join on ``key``; non-key names present on both sides get ``_x`` (left)
-    and ``_y`` (right), as a dataframe merge does.  1:N fan-out is kept."""
+    and ``_y`` (right), as a dataframe merge does.  1:N fan-out is kept.
+
+    ``salts > 1`` switches to ``salted_left_join`` for right sides whose keys may be hot."""
     overlap = [c for c in right.columns if c in left.columns and c != key]
     lx = left.withColumnsRenamed({c: c + suffixes[0] for c in overlap}) if overlap else left
     ry = right.withColumnsRenamed({c: c + suffixes[1] for c in overlap}) if overlap else right
+    if salts > 1:
+        return salted_left_join(lx, ry, key, salts, hot_fraction)
     return lx.join(ry, on=key, how="left")
 
 
-def enrich(base: DataFrame, subs: list[DataFrame], key: str = "uid") -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16,
+                     hot_fraction: float = 1e-4) -> DataFrame:
+    """Left join that stays balanced when one key holds a large share of the right side.
+
+    AQE can split a skewed partition only on the preserved (left) side of a left join, so a
+    hot key on the right would land in one task.  Keys holding more than ``hot_fraction`` of
+    the right rows are found first (at most ``1 / hot_fraction`` of them, so broadcasting that
+    list has a proven bound); their right rows are spread over ``salts`` buckets by a
+    deterministic row hash and their left rows are replicated once per bucket.  The salted
+    inner join plus the left rows without any match (anti join against the distinct right
+    keys, which partial aggregation shrinks before the shuffle) equals the plain left join.
+    """
+    total = right.count()
+    threshold = max(1, int(total * hot_fraction))
+    hot = (right.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > threshold)
+           .select(key, F.lit(True).alias("__hot")))
+    hot = F.broadcast(hot)
+    r = (right.join(hot, key, "left")
+         .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*right.columns), F.lit(salts)))
+                     .otherwise(F.lit(0)).cast("long"))
+         .drop("__hot"))
+    l = (left.join(hot, key, "left")
+         .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                                         .otherwise(F.array(F.lit(0))).cast("array<long>")))
+         .drop("__hot"))
+    matched = l.join(r, [key, "__salt"], "inner").drop("__salt")
+    unmatched = left.join(right.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
+def enrich(base: DataFrame, subs: list[DataFrame], key: str = "uid", salts: int = 0,
+           hot_fraction: float = 1e-4) -> DataFrame:
     """Chain of suffixed left joins; a later table is compared with the already-suffixed names."""
     out = base
     for s in subs:
-        out = left_join_suffixed(out, s, key)
+        out = left_join_suffixed(out, s, key, salts=salts, hot_fraction=hot_fraction)
     return out
 
 

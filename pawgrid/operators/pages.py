@@ -26,15 +26,19 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 
 
 def _decode(c: Column) -> Column:
+    out = c
     for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(c.contains("&"), out).otherwise(c)
 
 
 def node_text(fragment: Column) -> Column:
-    """Stripped text pieces between tags, concatenated; null fragment -> null."""
+    """Stripped text pieces between tags, concatenated; null fragment -> null.
+
+    A fragment without any tag is one piece: it skips the split and the array functions."""
     pieces = F.transform(F.split(fragment, "<[^>]*>"), lambda s: pystrip(_decode(s)))
-    return F.array_join(F.filter(pieces, lambda s: s != ""), "")
+    tagged = F.array_join(F.filter(pieces, lambda s: s != ""), "")
+    return F.when(fragment.contains("<"), tagged).otherwise(pystrip(_decode(fragment)))
 
 
 def _first(html: Column, pattern: str) -> Column:

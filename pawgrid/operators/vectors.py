@@ -114,6 +114,12 @@ def block_topk(qids: np.ndarray, qgroups: np.ndarray, qmat: np.ndarray,
     return pd.concat(out, ignore_index=True)
 
 
+def reduce_topk(df: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Merge partial top-k rows: best k per query by (similarity desc, uid asc)."""
+    df = df.sort_values(["qid", "similarity", "uid"], ascending=[True, False, True], kind="mergesort")
+    return df.groupby("qid", sort=False).head(k)
+
+
 # ----------------------------------------------------------------------------------------------
 # Distributed top-k
 # ----------------------------------------------------------------------------------------------
@@ -173,12 +179,23 @@ def _broadcast_partial(spark, rows: list, it: DataFrame, k: int) -> DataFrame:
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b_qids, b_groups, b_qmat = bc.value
+        if len(b_qids) == 0:
+            return
+        kept: list[pd.DataFrame] = []
+        n_kept = 0
         for pdf in batches:
-            if pdf.empty or len(b_qids) == 0:
+            if pdf.empty:
                 continue
             imat = _unit_rows(_stack(pdf["ivec"]))
-            yield block_topk(b_qids, b_groups, b_qmat, pdf["uid"].to_numpy(np.int64),
-                             pdf["slot_mask"].to_numpy(np.int64), imat, k)
+            part = block_topk(b_qids, b_groups, b_qmat, pdf["uid"].to_numpy(np.int64),
+                              pdf["slot_mask"].to_numpy(np.int64), imat, k)
+            kept.append(part)
+            n_kept += len(part)
+            if n_kept > 4 * k * len(b_qids):          # keep task memory at O(queries x k)
+                kept = [reduce_topk(pd.concat(kept, ignore_index=True), k)]
+                n_kept = len(kept[0])
+        if kept:
+            yield reduce_topk(pd.concat(kept, ignore_index=True), k)   # one emission per task
 
     return it.mapInPandas(kernel, RESULT_SCHEMA)
 
