@@ -1045,3 +1045,39 @@ def q_recommend_text(spark: SparkSession, d: str) -> DataFrame:
     qv = V.embed(q, "clean", embedder, 64, key="qid").join(q.select("qid", "slot_group"), "qid")
     top = V.top_k_similar(qv, items, 10, q_group="slot_group", i_mask="slot_mask")
     return top.withColumn("similarity", F.round("similarity", 6))
+
+
+# ================================================================================================
+# Crawl table: list pages + detail pages -> one wide row per item (PIPE9, PG12, JN6, SRC8)
+# ================================================================================================
+SITE = "https://site.example"
+CRAWL_LABELS = ["종류", "크기", "임보조건_기간"]
+
+
+def composed_list_pages(spark: SparkSession, d: str) -> DataFrame:
+    """List pages of 10 items each (page = part key div 10), in the site's list markup."""
+    p = A.table(spark, d, "part")
+    li = F.concat(F.lit('<li><a href="/d/'), F.col("p_partkey").cast("string"), F.lit('"><p class="top">'),
+                  F.col("p_name"), F.lit('</p><p class="bottom"><span>지역</span><span>공고번호 '),
+                  F.col("p_partkey").cast("string"), F.lit("</span></p></a></li>"))
+    pages = (p.groupBy(F.floor(F.col("p_partkey") / 10).cast("long").alias("page_id"))
+             .agg(F.array_sort(F.collect_list(F.struct("p_partkey", li.alias("li")))).alias("items")))
+    return pages.select("page_id", F.concat(F.lit('<div class="lst_wrap"><ul>'),
+                                            F.array_join(F.transform("items", lambda x: x["li"]), ""),
+                                            F.lit("</ul></div>")).alias("html"))
+
+
+@register("crawl_table",
+          f"SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS page_id, "
+          "CAST(row_number() OVER (PARTITION BY floor(p_partkey / 10) ORDER BY p_partkey) - 1 AS BIGINT) AS pos, "
+          f"'{SITE}/d/' || CAST(p_partkey AS VARCHAR) AS \"상세링크\", string_split(p_name, ' ')[1] AS \"이름\", "
+          "CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey AS VARCHAR) END AS \"공고번호\", p_type AS \"종류\", "
+          "CAST(p_size AS VARCHAR) || 'kg' AS \"크기\", CAST(p_partkey % 12 + 1 AS VARCHAR) || '개월' AS \"임보조건_기간\" "
+          "FROM part")
+def q_crawl_table(spark: SparkSession, d: str) -> DataFrame:
+    """PG1 + PG11 + JN6 + SRC8: list items merged with their detail records (detail notice wins,
+    even when null) and pivoted on a fixed label list."""
+    from pawgrid.plans.crawl import crawl_table
+    details = A.detail_pages(spark, d).select(
+        F.concat(F.lit(f"{SITE}/d/"), F.col("page_id").cast("string")).alias("page_id"), "html")
+    return crawl_table(composed_list_pages(spark, d), details, SITE, CRAWL_LABELS)

@@ -24,10 +24,17 @@ def crawl_table(list_pages: DataFrame, detail_pages: DataFrame, base: str | Colu
     notice number comes from the detail page when it has one — ``mode`` as in JN6)."""
     items = PG.list_items(list_pages, base, container=container)
     records = PG.detail_records(detail_pages.withColumnRenamed("page_id", K.PAGE_ITEM_LINK), key=K.PAGE_ITEM_LINK)
-    merged = PG.merge_list_detail(items, records, mode=mode)
     extra = [x for x in labels if x not in (K.PAGE_KEY_NOTICE, K.PAGE_ITEM_NAME, K.PAGE_ITEM_LINK)]
-    wide = wide_records(records.where(F.col("key").isin(extra)), K.PAGE_ITEM_LINK, extra)
-    return merged.join(wide, K.PAGE_ITEM_LINK, "left")
+    # one pivot over the records (the notice key is on every detail page, so a detail row
+    # exists for every fetched page and marks it); the records are computed once
+    wide = (wide_records(records.where(F.col("key").isin([K.PAGE_KEY_NOTICE] + extra)), K.PAGE_ITEM_LINK,
+                         [K.PAGE_KEY_NOTICE] + extra)
+            .withColumnRenamed(K.PAGE_KEY_NOTICE, "__d_notice").withColumn("__hit", F.lit(True)))
+    j = items.join(wide, K.PAGE_ITEM_LINK, "left")
+    cur = F.col(K.PAGE_KEY_NOTICE)
+    notice = (F.when(F.col("__hit"), F.col("__d_notice")).otherwise(cur) if mode == "always"
+              else F.coalesce(F.col("__d_notice"), cur))
+    return j.withColumn(K.PAGE_KEY_NOTICE, notice).drop("__d_notice", "__hit")
 
 
 def crawl_log_rows(items: DataFrame, batch_col: str = "page_id", stamp: Column | None = None) -> DataFrame:
