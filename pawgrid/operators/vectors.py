@@ -317,3 +317,8 @@ def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[lis
                                 "failed": failed})
 
     return df.select(key, text_col).mapInPandas(run, schema)
+
+
+def embed_summary(embedded: DataFrame) -> DataFrame:
+    """AGG13: how many texts were embedded and how many fell back to a zero vector."""
+    return embedded.agg(F.count_if(~F.col("failed")).alias("ok"), F.count_if(F.col("failed")).alias("failed"))

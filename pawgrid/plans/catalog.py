@@ -1081,3 +1081,10 @@ def q_crawl_table(spark: SparkSession, d: str) -> DataFrame:
     details = A.detail_pages(spark, d).select(
         F.concat(F.lit(f"{SITE}/d/"), F.col("page_id").cast("string")).alias("page_id"), "html")
     return crawl_table(composed_list_pages(spark, d), details, SITE, CRAWL_LABELS)
+
+
+@register("embed_summary", "SELECT count(*) AS ok, CAST(0 AS BIGINT) AS failed FROM documents")
+def q_embed_summary(spark: SparkSession, d: str) -> DataFrame:
+    """AGG13 over the batch embedding of every document (the hashing embedder never fails)."""
+    docs = A.table(spark, d, "documents")
+    return V.embed_summary(V.embed(docs, "text", V.hashing_embedder(64), 64, key="doc_id"))
