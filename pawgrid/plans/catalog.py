@@ -1088,3 +1088,18 @@ def q_embed_summary(spark: SparkSession, d: str) -> DataFrame:
     """AGG13 over the batch embedding of every document (the hashing embedder never fails)."""
     docs = A.table(spark, d, "documents")
     return V.embed_summary(V.embed(docs, "text", V.hashing_embedder(64), 64, key="doc_id"))
+
+
+@register("scan_list_pages",
+          "WITH " + _li_sql() + ", cnt AS (SELECT p.page_id, count(i.href) AS n FROM pages p LEFT JOIN items i "
+          "ON i.page_id = p.page_id AND i.href IS NOT NULL WHERE p.html IS NOT NULL GROUP BY p.page_id), "
+          "stop AS (SELECT min(page_id + 1) AS s FROM cnt WHERE n = 0) "
+          f"SELECT page_id + 1 AS page_no, pos, \"{K.PAGE_ITEM_LINK}\", \"{K.PAGE_ITEM_NAME}\", \"{K.PAGE_KEY_NOTICE}\" "
+          "FROM items, stop WHERE href IS NOT NULL AND (stop.s IS NULL OR page_id + 1 < stop.s)")
+def q_scan_list_pages(spark: SparkSession, d: str) -> DataFrame:
+    """SRC7 over every stored page (page number = page_id + 1): failed pages skipped, the scan
+    ends at the first page without items."""
+    from pawgrid.plans.crawl import scan_list_pages
+    pages = A.table(spark, d, "pages")
+    numbered = pages.select((F.col("page_id") + 1).alias("page_no"), "url", "html")
+    return scan_list_pages(numbered, PG.site_root(F.col("url")), container="<nav")

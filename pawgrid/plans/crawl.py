@@ -42,3 +42,19 @@ def crawl_log_rows(items: DataFrame, batch_col: str = "page_id", stamp: Column |
     ts = stamp if stamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     s = ST.crawl_summary(items, batch_col, order_col="pos")
     return s.select(ts.alias("timestamp"), "collected_count", "animal_names", batch_col)
+
+
+def scan_list_pages(list_pages: DataFrame, base: str | Column, page_col: str = "page_no",
+                    container: str = '<div class="lst_wrap"', max_pages: int | None = None) -> DataFrame:
+    """SRC7: list items of numbered list pages, in page order semantics: a page whose fetch
+    failed (null html) is skipped, and the first page that lists no item ends the scan (it and
+    every later page are dropped).  ``max_pages`` caps the page numbers when given.
+
+    The stop page is one scalar (a min over per-page counts); the items are never collected."""
+    pages = list_pages if max_pages is None else list_pages.where(F.col(page_col).between(1, max_pages))
+    fetched = pages.where(F.col("html").isNotNull())
+    items = PG.list_items(fetched, base, container=container, key=page_col)
+    per_page = (fetched.select(page_col)
+                .join(items.groupBy(page_col).agg(F.count(F.lit(1)).alias("n")), page_col, "left"))
+    stop = per_page.where(F.col("n").isNull()).agg(F.min(page_col).alias("stop")).first()["stop"]
+    return items if stop is None else items.where(F.col(page_col) < F.lit(stop))

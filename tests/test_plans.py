@@ -40,3 +40,14 @@ def test_crawl_table(spark):
     assert t["https://s/d/2"]["공고번호"] is None and t["https://s/d/2"]["이름"] == "보리"
     log = CR.crawl_log_rows(CR.PG.list_items(lists, "https://s"), stamp=F.lit("t")).first()
     assert log.collected_count == 2 and log.animal_names == "콩이, 보리"
+
+
+def test_scan_stops_at_first_empty_page_and_skips_failed(spark):
+    def page(n):
+        lis = "".join(f'<li><a href="/d/{n}{i}"><p class="top">a{n}{i}</p></a></li>' for i in range(2))
+        return f'<div class="lst_wrap"><ul>{lis}</ul></div>'
+    rows = [(1, page(1)), (2, None), (3, page(3)), (4, '<div class="lst_wrap"><ul></ul></div>'), (5, page(5))]
+    pages = spark.createDataFrame(rows, "page_no long, html string")
+    got = sorted((r.page_no, r["이름"]) for r in CR.scan_list_pages(pages, "https://s").collect())
+    assert got == [(1, "a10"), (1, "a11"), (3, "a30"), (3, "a31")]
+    assert CR.scan_list_pages(pages, "https://s", max_pages=1).count() == 2
