@@ -1103,3 +1103,31 @@ def q_scan_list_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = A.table(spark, d, "pages")
     numbered = pages.select((F.col("page_id") + 1).alias("page_no"), "url", "html")
     return scan_list_pages(numbered, PG.site_root(F.col("url")), container="<nav")
+
+
+_HARD_CASES = [("소형", "고령", "남"), ("중형", "어린", None), (None, None, "여"), ("대형", None, None)]
+
+
+def _hard_sql(size, age, gender) -> str:
+    conds = ["state = '임보가능'"]
+    if size:
+        conds.append({"소형": "w < 7", "중형": "w >= 7 AND w < 20", "대형": "w >= 20"}[size])
+    if age:
+        conds.append(f"coalesce(regexp_matches(addinfo05, {X.q(K.HARD_AGE_PATTERNS[age])}), false)")
+    if gender:
+        conds.append(f"addinfo03 = {X.q(gender)}")
+    return " AND ".join(conds)
+
+
+@register("hard_filter_slots", with_raw(
+    " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS case_no, uid FROM (SELECT *, {X.strict_double('addinfo07')} AS w "
+                       f"FROM raw) WHERE {_hard_sql(*c)}" for i, c in enumerate(_HARD_CASES))))
+def q_hard_filter_slots(spark: SparkSession, d: str) -> DataFrame:
+    """FLT16–FLT19 for literal slot sets (one pass per case over the open listings)."""
+    raw = RD.open_listings(A.raw_listings(spark, d, long_text=False))
+    parts = [raw.where(PR.hard_filter(*c)).select(F.lit(i).cast("long").alias("case_no"), "uid")
+             for i, c in enumerate(_HARD_CASES)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
