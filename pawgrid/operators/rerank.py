@@ -14,12 +14,16 @@ from pawgrid.functions.describe import candidate_text
 from pawgrid.functions.text import format_fixed, pystrip
 
 
+BROADCAST_TOP_ROWS = 2_000_000
+
+
 def candidate_rows(top: DataFrame, listings: DataFrame, uid: str = "uid",
-                   link_prefix: str = K.LINK_PREFIX) -> DataFrame:
+                   link_prefix: str = K.LINK_PREFIX, top_bound: int | None = None) -> DataFrame:
     """PRJ11: ``(qid, rank, uid, similarity)`` + the listing fields of each candidate.
 
-    The top-k table is small (queries x k); it is joined to the listing columns it needs on
-    ``uid`` and the strategy is left to AQE."""
+    With a proven row bound for ``top`` (``top_bound``, from ``top_k_similar_bounded``) at most
+    ``BROADCAST_TOP_ROWS``, the top-k table is broadcast and the listing table is streamed
+    without a shuffle; otherwise the join strategy is left to AQE."""
     d = K.CANDIDATE_DEFAULTS
 
     def get(c: str, default=None) -> Column:
@@ -37,7 +41,13 @@ def candidate_rows(top: DataFrame, listings: DataFrame, uid: str = "uid",
     )
     link = F.when(F.col("uid").isNull() | (F.col("uid").cast("string") == ""), F.lit(K.NO_LINK)) \
         .otherwise(F.concat(F.lit(link_prefix), F.col("uid").cast("string")))
-    return top.join(lst, "uid", "left").withColumn("link", link)
+    if top_bound is not None and top_bound <= BROADCAST_TOP_ROWS:
+        # every top-k uid comes from the listing table, so the inner join loses no candidate;
+        # the bounded top-k side is the build side and the listing table is not shuffled
+        joined = lst.join(F.broadcast(top), "uid", "inner")
+    else:
+        joined = top.join(lst, "uid", "left")
+    return joined.withColumn("link", link)
 
 
 def with_candidate_text(cands: DataFrame, out: str = "description") -> DataFrame:

@@ -141,7 +141,12 @@ def _final_topk(partial: DataFrame, k: int) -> DataFrame:
             .select("qid", F.col("rank").cast("long").alias("rank"), "uid", "similarity"))
 
 
-def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, *,
+def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, **kw) -> DataFrame:
+    """Exact cosine top-k per query: ``(qid, rank, uid, similarity)``; see ``top_k_similar_bounded``."""
+    return top_k_similar_bounded(queries, items, k, **kw)[0]
+
+
+def top_k_similar_bounded(queries: DataFrame, items: DataFrame, k: int = 10, *,
                   qid: str = "qid", q_vec: str = "embedding", q_group: str | None = None,
                   uid: str = "uid", i_vec: str = "embedding", i_mask: str | None = None,
                   dim: int | None = None, strategy: str = "auto",
@@ -151,6 +156,9 @@ def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, *,
 
     ``q_group`` / ``i_mask`` name the slot group / eligibility bit-set columns (see
     ``pawgrid.operators.preferences``); without them every item is eligible.
+
+    Returns ``(top, bound)``: ``bound`` is a proven upper bound on the rows of ``top``
+    (queries x k) when the broadcast strategy ran, else None.
     """
     q = _prep_queries(queries, qid, q_vec, q_group)
     it = _prep_items(items, uid, i_vec, i_mask)
@@ -158,16 +166,18 @@ def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, *,
         first = q.select(F.size("qvec").alias("d")).head(1)
         dim = int(first[0]["d"]) if first else 0
     max_rows = max(1, max_broadcast_bytes // (max(dim, 1) * 8))
-    n_q = q.count()  # column-pruned count: no vector is read
-    if strategy == "auto":
-        strategy = "broadcast" if n_q <= max_rows else "grid"
-    if strategy == "broadcast":
-        if n_q > max_rows:
-            raise ValueError(f"{n_q} queries of dim {dim} exceed max_broadcast_bytes={max_broadcast_bytes}")
-        partial = _broadcast_partial(q.sparkSession, q.collect(), it, k)  # size proven above
-    else:
-        partial = _grid_partial(q, it, k, n_q, query_block_rows, item_block_rows)
-    return _final_topk(partial, k)
+    rows = None
+    if strategy in ("auto", "broadcast"):
+        # one bounded pass: at most max_rows + 1 query rows ever reach the driver, and the
+        # query side (possibly an embedding job) is evaluated once on this path
+        rows = q.limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            if strategy == "broadcast":
+                raise ValueError(f"more than {max_rows} queries of dim {dim} exceed max_broadcast_bytes")
+            rows = None
+    if rows is not None:
+        return _final_topk(_broadcast_partial(q.sparkSession, rows, it, k), k), len(rows) * k
+    return _final_topk(_grid_partial(q, it, k, q.count(), query_block_rows, item_block_rows), k), None
 
 
 def _broadcast_partial(spark, rows: list, it: DataFrame, k: int) -> DataFrame:

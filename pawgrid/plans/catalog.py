@@ -215,13 +215,17 @@ def _items(spark: SparkSession, d: str, with_mask: bool = False) -> DataFrame:
     return open_.join(A.vectors(spark, d).select("uid", "embedding"), "uid", "inner").select(*cols)
 
 
-def recommend(spark: SparkSession, d: str, k: int = 10, filtered: bool = False, **kw) -> DataFrame:
+def recommend_bounded(spark: SparkSession, d: str, k: int = 10, filtered: bool = False, **kw):
     queries = A.vector_queries(spark, d)
     if filtered:
         queries = queries.withColumn("slot_group", PR.slot_group())
     items = _items(spark, d, with_mask=filtered)
-    return V.top_k_similar(queries, items, k, q_group="slot_group" if filtered else None,
-                           i_mask="slot_mask" if filtered else None, **kw)
+    return V.top_k_similar_bounded(queries, items, k, q_group="slot_group" if filtered else None,
+                                   i_mask="slot_mask" if filtered else None, **kw)
+
+
+def recommend(spark: SparkSession, d: str, k: int = 10, filtered: bool = False, **kw) -> DataFrame:
+    return recommend_bounded(spark, d, k, filtered, **kw)[0]
 
 
 _ITEMS_SQL = (", items AS (SELECT r.uid, CAST(e.embedding AS DOUBLE[]) AS v, r.addinfo03, r.addinfo05, "
@@ -318,8 +322,8 @@ def prepared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    top = recommend(spark, d)
-    return R.with_candidate_text(R.candidate_rows(top, prepared(spark, d)))
+    top, bound = recommend_bounded(spark, d)
+    return R.with_candidate_text(R.candidate_rows(top, prepared(spark, d), top_bound=bound))
 
 
 @register("recommend_candidates", with_raw(

@@ -52,8 +52,8 @@ def candidates(prepared: DataFrame, vectors: DataFrame, queries: DataFrame, k: i
     """EMB5 for every query at once: hard slots, exact cosine top-k, candidate projection."""
     base = open_listings(prepared) if available_only else prepared
     items = base.select("uid", PR.slot_mask().alias("slot_mask")).join(vectors.select("uid", "embedding"), "uid")
-    top = V.top_k_similar(queries, items, k, q_group="slot_group", i_mask="slot_mask")
-    return R.with_candidate_text(R.candidate_rows(top, prepared))
+    top, bound = V.top_k_similar_bounded(queries, items, k, q_group="slot_group", i_mask="slot_mask")
+    return R.with_candidate_text(R.candidate_rows(top, prepared, top_bound=bound))
 
 
 def system_stats(prepared: DataFrame) -> DataFrame:
