@@ -24,14 +24,16 @@ def value_counts(df: DataFrame, col: str | Column, name: str = "key") -> DataFra
             .orderBy(F.desc("n"), F.asc(name)))
 
 
-def share(df: DataFrame, col: str) -> DataFrame:
+def share(df: DataFrame, col: str, total: int | None = None) -> DataFrame:
     """AGG2: per value count and percentage of all rows (nulls form their own key).
 
-    The total is a window over the grouped result (one row per distinct value), so there is
-    one scan and no join."""
+    The total is one scalar (a column-pruned count, or given by the caller), so the grouped
+    counts stay distributed whatever the number of distinct values — no single-partition
+    window and no join."""
+    if total is None:
+        total = df.count()
     counts = df.groupBy(F.col(col).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(1))
-    return counts.select("key", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(w), 6).alias("pct"))
+    return counts.select("key", "n", F.round(F.col("n") * 100.0 / F.lit(float(max(total, 1))), 6).alias("pct"))
 
 
 def state_share(df: DataFrame, state_col: str = "state") -> DataFrame:
@@ -44,8 +46,7 @@ def _facet(df: DataFrame, name: str, key: Column, top: int | None = None) -> Dat
            .groupBy("key").agg(F.count(F.lit(1)).alias("n"))
            .select(F.lit(name).alias("facet"), "key", "n"))
     if top is not None:
-        w = Window.partitionBy("facet").orderBy(F.desc("n"), F.asc("key"))
-        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
+        out = out.orderBy(F.desc("n"), F.asc("key")).limit(top)   # distributed top-n
     return out
 
 
