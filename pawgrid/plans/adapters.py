@@ -13,10 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pawgrid import constants as K
+from pawgrid.sources.readers import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False, key: str | None = None) -> DataFrame:
+    """The whole test table; ``wide=True`` spreads a few-split scan over the cores before
+    CPU-heavy per-row work (a no-op when the scan already has enough splits)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not wide:
+        return df
+    return spread(df, key) if key else spread(df)
 
 
 def _m(c: str, n: int):
@@ -97,11 +103,13 @@ FROM part
 def raw_listings(spark: SparkSession, sf_dir: str, long_text: bool = True) -> DataFrame:
     """``long_text=False`` leaves ``addinfo10`` null and skips the documents join (for plans that
     never read the free text, e.g. the vector side of a recommendation)."""
-    p = table(spark, sf_dir, "part")
     k = "p_partkey"
+    p = table(spark, sf_dir, "part", wide=long_text, key=k)
     if long_text:
         d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(k), F.col("text").alias("doc_text"))
-        j = p.join(d, k, "left")
+        # the free-text side grows with the data and has no size bound: join by key (sort-merge),
+        # never by a broadcast chosen from a file-size estimate
+        j = p.join(d.hint("merge"), k, "left")
     else:
         j = p.withColumn("doc_text", F.lit(None).cast("string"))
     return j.select(
@@ -194,7 +202,7 @@ TEXT_SLOT_RULES = {
 
 def user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of the conversations as queries ``(qid, text)``; qid = conv_id * 1000 + turn."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", wide=True)
     return c.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
 
 
@@ -208,7 +216,7 @@ SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user'
 # ----------------------------------------------------------------------------------------------
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detail page per part row in the site's markup (``page_id`` = part key)."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part", wide=True, key="p_partkey")
     k = "p_partkey"
     words = F.split("p_name", " ")
     tags = F.array_join(F.transform(words, lambda w: F.concat(F.lit("<p>#"), w, F.lit("</p>"))), "")

@@ -43,6 +43,23 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
     return spark.read.jdbc(url, src, properties=props)
 
 
+def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Give a CPU-heavy per-row stage (text cleaning, page extraction, embedding) at least one
+    task per core.
+
+    A file scan yields one task per split, and a table stored as a few large row groups yields
+    only a few.  When ``df`` has fewer partitions than ``tasks`` (default: the session's default
+    parallelism) its rows are dealt over ``tasks`` partitions — hashed on ``keys`` when given (a
+    later join or group on them reuses the partitioning), else round-robin.  Otherwise ``df`` is
+    returned unchanged: a cluster reading many splits pays no shuffle.  Call it on a scan (or a
+    projection of one), where counting partitions is planning only.
+    """
+    n = tasks or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
 def open_listings(df: DataFrame, state_col: str = "state", open_value: str = K.OPEN_STATE) -> DataFrame:
     """SRC3: the base table restricted to open listings (pushed into the scan)."""
     return df.where(F.col(state_col) == F.lit(open_value))
