@@ -9,6 +9,8 @@ oracle queries.  Modulo expressions below only derive attribute values; they nev
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,14 @@ from pawgrid.sources.readers import spread
 
 def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False, key: str | None = None) -> DataFrame:
     """The whole test table; ``wide=True`` spreads a few-split scan over the cores before
-    CPU-heavy per-row work (a no-op when the scan already has enough splits)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    CPU-heavy per-row work (a no-op when the scan already has enough splits).
+
+    Each table is registered once per session as a temp view, so later reads reuse its listed
+    file index and footer schema instead of listing and reading them again."""
+    view = "pawgrid_" + hashlib.sha1(f"{sf_dir.rstrip('/')}/{name}".encode()).hexdigest()[:12]
+    if not spark.catalog.tableExists(view):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+    df = spark.table(view)
     if not wide:
         return df
     return spread(df, key) if key else spread(df)
