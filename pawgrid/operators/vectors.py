@@ -288,14 +288,16 @@ def hashing_embedder(dim: int = 64, seed: int = 17) -> Callable[[list[str]], lis
 
 
 def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[list[float]]], dim: int,
-          key: str = "uid", batch_size: int = 100) -> DataFrame:
-    """EMB1: ``(key, embedding ARRAY<FLOAT>, failed BOOLEAN)`` via ``mapInPandas``.
+          key: str = "uid", batch_size: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """EMB1: ``(key, *keep, embedding ARRAY<FLOAT>, failed BOOLEAN)`` via ``mapInPandas``.
 
     Texts go to ``embedder`` in batches of ``batch_size``; a failing batch is retried text by
     text; a text that still fails gets a zero vector and ``failed = true`` (it then ranks with
-    similarity 0, as before)."""
+    similarity 0, as before).  ``keep`` columns ride along unchanged, so callers need no join
+    back to the input to recover them."""
     schema = T.StructType([
         T.StructField(key, df.schema[key].dataType),
+        *[T.StructField(c, df.schema[c].dataType) for c in keep],
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("failed", T.BooleanType()),
     ])
@@ -322,11 +324,12 @@ def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[lis
                         except Exception:  # noqa: BLE001
                             vecs.append(zero)
                             failed.append(True)
-            yield pd.DataFrame({key: pdf[key].values,
+            yield pd.DataFrame({key: pdf[key].values, **{c: pdf[c].values for c in keep},
                                 "embedding": [np.asarray(v, dtype=np.float32) for v in vecs],
                                 "failed": failed})
 
-    return df.select(key, text_col).mapInPandas(run, schema)
+    cols = [key, *keep] + ([] if text_col in keep else [text_col])
+    return df.select(*cols).mapInPandas(run, schema)
 
 
 def embed_summary(embedded: DataFrame) -> DataFrame:

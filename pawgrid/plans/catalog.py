@@ -604,7 +604,9 @@ def q_weight_scans(spark: SparkSession, d: str) -> DataFrame:
 # ================================================================================================
 def enrich_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Base = orders (open = status 'O'), sub01 = every line item, sub04 = per-order line summary."""
-    o = A.table(spark, d, "orders")
+    # base and subs are spread on the order key (no-op on a many-split scan); the subs grow with
+    # the data, so they join by key (sort-merge, co-partitioned on uid) rather than by broadcast
+    o = A.table(spark, d, "orders", wide=True, key="o_orderkey")
     base = o.select(
         F.col("o_orderkey").alias("uid"),
         F.when(F.col("o_orderstatus") == "O", F.lit(K.OPEN_STATE)).otherwise(F.lit("임보완료")).alias("state"),
@@ -618,7 +620,7 @@ def enrich_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
         F.col("o_orderdate").alias("d_regis"),
         F.col("o_custkey").alias("puid"),
     )
-    li = A.table(spark, d, "lineitem")
+    li = A.table(spark, d, "lineitem", wide=True, key="l_orderkey")
     sub01 = li.select(
         F.col("l_orderkey").alias("uid"), F.col("l_returnflag").alias("addinfo01"),
         F.col("l_linestatus").alias("addinfo03"),
@@ -631,7 +633,7 @@ def enrich_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
         F.when(F.max("l_linenumber") > 3, F.lit("long")).alias("addinfo13sub02"),
         F.sum("l_quantity").cast("bigint").cast("string").alias("addinfo17"),
     )
-    return base, sub01, sub04
+    return base, sub01.hint("merge"), sub04.hint("merge")
 
 
 def enrich_full(spark: SparkSession, d: str, as_of: str | None = AS_OF, salts: int = 0,
@@ -829,7 +831,10 @@ def rerank_replies(spark: SparkSession, d: str, cands: DataFrame) -> DataFrame:
 def q_rerank_final(spark: SparkSession, d: str) -> DataFrame:
     """PIPE4: candidates -> replies -> parsed picks -> picks joined back to candidates, with the
     similarity fallback (top 5) for queries whose reply names nothing (SRT4)."""
-    cands = candidates(spark, d)
+    # the candidate table is bounded (queries x k rows) and read three times (replies, join-back,
+    # fallback): it is checkpointed once into the shared checkpoint folder instead of re-running
+    # the free-text join and the top-k kernel for every use
+    cands = candidates(spark, d).checkpoint()
     picks = R.parse_replies(rerank_replies(spark, d, cands))
     return R.final_picks(picks, cands)
 
@@ -1043,11 +1048,10 @@ def q_recommend_text(spark: SparkSession, d: str) -> DataFrame:
     p = prepared(spark, d)
     listings = D.with_embedding_text(RD.open_listings(p), "etext").select("uid", "etext",
                                                                            PR.slot_mask().alias("slot_mask"))
-    vecs = V.embed(listings, "etext", embedder, 64, key="uid")
-    items = listings.select("uid", "slot_mask").join(vecs.where(~F.col("failed")), "uid")
+    items = V.embed(listings, "etext", embedder, 64, key="uid", keep=("slot_mask",)).where(~F.col("failed"))
     q = PR.extract_slots(A.user_queries(spark, d), "text", rules=A.TEXT_SLOT_RULES)
     q = q.select("qid", PR.slot_group().alias("slot_group"), T.clean_query("text").alias("clean"))
-    qv = V.embed(q, "clean", embedder, 64, key="qid").join(q.select("qid", "slot_group"), "qid")
+    qv = V.embed(q, "clean", embedder, 64, key="qid", keep=("slot_group",))
     top = V.top_k_similar(qv, items, 10, q_group="slot_group", i_mask="slot_mask")
     return top.withColumn("similarity", F.round("similarity", 6))
 

@@ -35,16 +35,16 @@ def prepare(raw: DataFrame) -> DataFrame:
 def listing_vectors(prepared: DataFrame, embedder: Embedder, dim: int, batch_size: int = 100) -> DataFrame:
     """EMB2: SC12 text per listing, embedded in batches: ``(uid, embedding, failed, embedding_text)``."""
     texts = with_embedding_text(prepared, "embedding_text").select("uid", "embedding_text")
-    vecs = V.embed(texts, "embedding_text", embedder, dim, key="uid", batch_size=batch_size)
-    return vecs.join(texts, "uid")
+    return V.embed(texts, "embedding_text", embedder, dim, key="uid", batch_size=batch_size,
+                   keep=("embedding_text",))
 
 
 def query_vectors(queries: DataFrame, embedder: Embedder, dim: int, rules: dict = K.SLOT_RULES) -> DataFrame:
     """SC5 + EMB3: slots and the slot group from the raw text, vector from the cleaned text."""
     slots = PR.extract_slots(queries, "text", rules).withColumn("slot_group", PR.slot_group())
-    cleaned = slots.select("qid", clean_query("text").alias("clean"))
-    vecs = V.embed(cleaned, "clean", embedder, dim, key="qid").where(~F.col("failed"))  # failed query: no result
-    return slots.join(vecs.select("qid", "embedding"), "qid")
+    cleaned = slots.select(*slots.columns, clean_query("text").alias("clean"))
+    vecs = V.embed(cleaned, "clean", embedder, dim, key="qid", keep=tuple(c for c in slots.columns if c != "qid"))
+    return vecs.where(~F.col("failed")).drop("failed")  # failed query: no result
 
 
 def candidates(prepared: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10,
