@@ -7,8 +7,6 @@ partial row per task, never a hot task.  Top-n uses ``orderBy().limit()``
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,31 +39,35 @@ def state_share(df: DataFrame, state_col: str = "state") -> DataFrame:
     return share(df, state_col)
 
 
-def _facet(df: DataFrame, name: str, key: Column, top: int | None = None) -> DataFrame:
-    out = (df.select(key.cast("string").alias("key")).where(F.col("key").isNotNull())
-           .groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-           .select(F.lit(name).alias("facet"), "key", "n"))
-    if top is not None:
-        out = out.orderBy(F.desc("n"), F.asc("key")).limit(top)   # distributed top-n
-    return out
-
-
 def result_facets(df: DataFrame, top_regions: int = 10) -> DataFrame:
     """AGG3–AGG6: total, sex, age bucket, weight bucket, care type, top-10 region counts.
 
     Output ``(facet, key, n)``; the total is facet ``total`` with key ``all`` (and n = 0 for an
-    empty input)."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("facet"),
-                                                       F.lit("all").alias("key"), "n")
-    parts = [
-        total,
-        _facet(df, "gender", F.col("gender")),
-        _facet(df, "age", age_bucket("age")),
-        _facet(df, "weight", size_class_c("weight")),
-        _facet(df, "care_type", F.col("care_type")),
-        _facet(df, "region", F.col("rescue_location"), top=top_regions),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    empty input).  One scan: every row emits one ``(facet, key)`` pair per facet and a single
+    ``groupBy`` counts them (partial aggregation before the shuffle, so a hot value costs one
+    row per task); the region facet keeps its top ``top_regions`` with a window over the
+    per-facet counts, which are bounded by the number of distinct values."""
+    def pair(facet: str, key: Column) -> Column:
+        return F.struct(F.lit(facet).alias("facet"), key.cast("string").alias("key"))
+
+    pairs = F.array(
+        pair("total", F.lit("all")),
+        pair("gender", F.col("gender")),
+        pair("age", age_bucket("age")),
+        pair("weight", size_class_c("weight")),
+        pair("care_type", F.col("care_type")),
+        pair("region", F.col("rescue_location")),
+    )
+    rows = (df.select(F.explode(pairs).alias("p")).select("p.facet", "p.key").where(F.col("key").isNotNull())
+            .withColumn("w", F.lit(1)))
+    # one zero-weight total row, so an empty input still reports total = 0
+    zero = df.sparkSession.range(1).select(F.lit("total").alias("facet"), F.lit("all").alias("key"),
+                                           F.lit(0).alias("w"))
+    counted = rows.unionByName(zero).groupBy("facet", "key").agg(F.sum("w").cast("long").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), F.asc("key")))
+    return (counted.withColumn("__rn", rank)
+            .where((F.col("facet") != "region") | (F.col("__rn") <= top_regions))
+            .select("facet", "key", "n"))
 
 
 def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:

@@ -4,9 +4,10 @@ Exact cosine top-k (EMB4, EMB5, JN3–JN5, WIN1) is brute force by definition: e
 every eligible item.  Two physical strategies, both exact, neither emits all pairs:
 
 * **broadcast** (query set size checked against ``max_broadcast_bytes``): the normalised query
-  block is broadcast once; items are scanned in place with ``mapInPandas`` (no item shuffle),
-  each Arrow batch keeps only its top-k per query; a final ``row_number`` window (Spark adds a
-  partial ``WindowGroupLimit`` before the exchange) picks the global top-k.
+  block is broadcast once; items are scanned in place with ``mapInPandas`` (no item shuffle;
+  splits merged into ``TASKS_PER_CORE`` waves per core), each task keeps only its top-k per
+  query; a final ``row_number`` window (Spark adds a partial ``WindowGroupLimit`` before the
+  exchange) picks the global top-k.
 * **grid** (query set too large to broadcast): queries are hashed into ``QB`` blocks, items into
   ``IB`` blocks; each query row is replicated IB times and each item row QB times, and each
   (qb, ib) cell runs one block matmul inside ``cogroup().applyInPandas``, again emitting only
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 RESULT_SCHEMA = "qid long, uid long, similarity double"
 QUERY_BLOCK = 1024          # queries per kernel matmul chunk
 MAX_BROADCAST_BYTES = 256 << 20
+TASKS_PER_CORE = 4          # item tasks per core in the broadcast strategy (bounds the partial top-k rows)
 
 
 # ----------------------------------------------------------------------------------------------
@@ -207,7 +209,12 @@ def _broadcast_partial(spark, rows: list, it: DataFrame, k: int) -> DataFrame:
         if kept:
             yield reduce_topk(pd.concat(kept, ignore_index=True), k)   # one emission per task
 
-    return it.mapInPandas(kernel, RESULT_SCHEMA)
+    # every task emits up to queries x k rows, so the partial rows grow with the task count: the
+    # item splits are merged (narrow coalesce, no shuffle) into a few waves per core, which bounds
+    # the final top-k shuffle by the cluster size instead of the data size; a smaller input is
+    # left as it is
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return it.coalesce(tasks).mapInPandas(kernel, RESULT_SCHEMA)
 
 
 def _grid_partial(q: DataFrame, it: DataFrame, k: int, n_q: int, query_block_rows: int,
