@@ -12,19 +12,37 @@ from pyspark.sql import functions as F
 
 def left_join_suffixed(left: DataFrame, right: DataFrame, key: str,
                        suffixes: tuple[str, str] = ("_x", "_y"), salts: int = 0,
-                       hot_fraction: float = 1e-4) -> DataFrame:
+                       hot_fraction: float = 1e-4, split: bool = True) -> DataFrame:
     """JN1 + JN2: left join on ``key``; non-key names present on both sides get ``_x`` (left)
     and ``_y`` (right), as a dataframe merge does.  1:N fan-out is kept.
 
-    ``salts > 1`` switches to ``salted_left_join`` for right sides whose keys may be hot."""
+    By default the join runs as ``split_left_join`` (AQE can split a hot key on either side);
+    ``salts > 1`` switches to ``salted_left_join`` (no reliance on AQE); ``split=False`` is the
+    plain left join."""
     overlap = [c for c in right.columns if c in left.columns and c != key]
     lx = left.withColumnsRenamed({c: c + suffixes[0] for c in overlap}) if overlap else left
     ry = right.withColumnsRenamed({c: c + suffixes[1] for c in overlap}) if overlap else right
     if salts > 1:
         return salted_left_join(lx, ry, key, salts, hot_fraction)
+    if split:
+        return split_left_join(lx, ry, key)
     return lx.join(ry, on=key, how="left")
 
 
+def split_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join written as (inner join) + (left rows without a match), same answer.
+
+    AQE's skew-join handling splits an oversized partition only on a side whose rows may be
+    replicated safely: for a left join that is the left side alone, so a key holding a third
+    of the *right* rows (the 1:N side) would stay in one task.  An inner join may be split on
+    either side, and the unmatched rows come from an anti join against the right's distinct
+    keys, which partial aggregation collapses to one row per key per task before the shuffle.
+    """
+    matched = left.join(right, on=key, how="inner")
+    unmatched = left.join(right.select(key).distinct(), on=key, how="left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16,
                      hot_fraction: float = 1e-4) -> DataFrame:
     """Left join that stays balanced when one key holds a large share of the right side.
