@@ -67,3 +67,19 @@ def test_override_join_modes(spark):
     always = {r.link: r.num for r in J.override_join(items, det, "link", ["num"]).collect()}
     keep = {r.link: r.num for r in J.override_join(items, det, "link", ["num"], mode="non_null").collect()}
     assert always == {"l1": None, "l2": "n2"} and keep == {"l1": "n1", "l2": "n2"}
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()),
+                  key=lambda t: tuple((x is None, x if x is not None else 0) for x in t))
+
+
+def test_left_join_strategies_agree(spark):
+    # key 1 is hot on the right (a third of the rows and more), key 3 has no match, null keys on both sides
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "uid long, v string")
+    sub = spark.createDataFrame([(1, f"r{i}") for i in range(30)] + [(2, "s"), (4, "t"), (None, "n")],
+                                "uid long, w string")
+    plain = base.join(sub, "uid", "left")
+    assert _rows(J.split_left_join(base, sub, "uid")) == _rows(plain)
+    assert _rows(J.salted_left_join(base, sub, "uid", salts=4, hot_fraction=0.1)) == _rows(plain)
+    assert len(_rows(plain)) == 33
