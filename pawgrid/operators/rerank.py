@@ -6,7 +6,7 @@ for every query at once and parse the reply rows back into ranked picks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pawgrid import constants as K
@@ -81,29 +81,42 @@ def parse_replies(replies: DataFrame, qid: str = "qid", reply: str = "reply") ->
     later ones overwrite.  An item opened without a name is dropped with its reason; other
     numbers open nothing.  ``item`` numbers the kept items 1.. in reply order (WIN2).
 
-    Each reply's lines stay in the reply's partition (posexplode); the running item number is
-    a window over the reply (WIN4), bounded by one reply's length."""
-    starts = K.REPLY_ITEM_PREFIXES
-    lines = replies.select(qid, F.posexplode(F.split(F.col(reply), "\n")).alias("pos", "raw"))
-    line = pystrip(F.col("raw"))
-    is_start = F.lit(False)
-    for p in starts:
-        is_start = is_start | line.startswith(p)
-    is_reason = line.startswith(K.REPLY_REASON_MARK)
-    lines = lines.select(qid, "pos", line.alias("line"), is_start.alias("is_start"), is_reason.alias("is_reason"))
-    w = Window.partitionBy(qid).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("seq", F.sum(F.col("is_start").cast("int")).over(w)).where(F.col("seq") > 0)
-    name = F.when(F.col("is_start") & F.col("line").contains(K.REPLY_NAME_MARK),
-                  pystrip(F.element_at(F.split(F.col("line"), K.REPLY_NAME_MARK), -1)))
-    reason = F.when(~F.col("is_start") & F.col("is_reason"),
-                    pystrip(F.replace(F.col("line"), F.lit(K.REPLY_REASON_MARK), F.lit(""))))
-    items = (lines.groupBy(qid, "seq")
-             .agg(F.max(F.when(F.col("is_start") & F.col("line").contains(K.REPLY_NAME_MARK), 1)).alias("named"),
-                  F.first(name, ignorenulls=True).alias("name"),
-                  F.max_by(reason, F.when(reason.isNotNull(), F.col("pos"))).alias("reason"))
-             .where(F.col("named") == 1))
-    wi = Window.partitionBy(qid).orderBy("seq")
-    return items.select(qid, F.row_number().over(wi).cast("long").alias("item"), "name", "reason")
+    Replies are independent, so each is parsed inside its own row with array functions: the
+    positions of the opening lines are found, each item's reason is the last reason line
+    before the next opening line (the carry-forward of WIN4), and only the kept items are
+    exploded.  No shuffle, and no key — however many replies share a ``qid`` — is grouped."""
+    # staged projections: the stripped lines and the opening positions are columns, so the
+    # lambdas below index them instead of re-splitting the reply for every element
+    staged = replies.select(qid, F.transform(F.split(F.coalesce(F.col(reply), F.lit("")), "\n"),
+                                             lambda s: pystrip(s)).alias("__lines"))
+    lines = F.col("__lines")
+    n = F.size(lines)
+
+    def opens(line: Column) -> Column:
+        out = F.lit(False)
+        for p in K.REPLY_ITEM_PREFIXES:
+            out = out | line.startswith(p)
+        return out
+
+    staged = staged.select(qid, "__lines", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                                    lambda i: opens(F.element_at(lines, i))).alias("__starts"))
+    starts = F.col("__starts")
+
+    def item(s: Column, k: Column) -> Column:
+        head = F.element_at(lines, s)
+        nxt = F.coalesce(F.try_element_at(starts, k + 2), n + 1)
+        body = F.slice(lines, s + 1, nxt - s - 1)
+        last_reason = F.try_element_at(F.filter(body, lambda x: x.startswith(K.REPLY_REASON_MARK)), F.lit(-1))
+        return F.struct(
+            head.contains(K.REPLY_NAME_MARK).alias("named"),
+            pystrip(F.element_at(F.split(head, K.REPLY_NAME_MARK), -1)).alias("name"),
+            pystrip(F.replace(last_reason, F.lit(K.REPLY_REASON_MARK), F.lit(""))).alias("reason"),
+        )
+
+    kept = F.filter(F.transform(starts, item), lambda it: it["named"])
+    return (staged.select(qid, F.posexplode(kept).alias("pos", "it"))
+            .select(qid, (F.col("pos") + 1).cast("long").alias("item"),
+                    F.col("it.name").alias("name"), F.col("it.reason").alias("reason")))
 
 
 def shown_picks(picks: DataFrame) -> DataFrame:

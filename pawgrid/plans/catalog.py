@@ -704,7 +704,7 @@ def q_rerank_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def composed_replies(spark: SparkSession, d: str) -> DataFrame:
     """Reply texts composed from every part row, covering every parsing rule."""
-    p = A.table(spark, d, "part")
+    p = A.table(spark, d, "part", wide=True, key="p_partkey")
     k = "p_partkey"
     lines = [
         F.lit("추천 리스트:"),
