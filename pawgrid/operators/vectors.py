@@ -44,21 +44,28 @@ def norm(v: Column | str) -> Column:
 
 
 def normalise(v: Column | str) -> Column:
-    """Unit vector in double; a zero vector stays zero (so its cosine is 0.0, as sklearn)."""
+    """Unit vector in double; a zero vector stays zero (so its cosine is 0.0, as sklearn).
+
+    Lambdas get no common-subexpression elimination, so stage the input (or use ``cosine``,
+    which divides once) rather than nesting this inside another per-element lambda."""
     v = F.col(v) if isinstance(v, str) else v
     n = norm(v)
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+                       lambda acc, x: acc + x)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    """EMB4 as a Column: cosine of two array columns, 0.0 when either is a zero vector."""
+    """EMB4 as a Column: cosine of two array columns, 0.0 when either is a zero vector.
+
+    One dot product and two norms per row (O(dim)); nothing is re-evaluated per element."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
-    return dot(normalise(a), normalise(b))
+    na, nb = norm(a), norm(b)
+    return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
 # ----------------------------------------------------------------------------------------------
@@ -251,7 +258,8 @@ def top_k_for_vector(items: DataFrame, vector: list[float], k: int = 5, *, uid:
     nrm = float(np.linalg.norm(qv))
     unit = (qv / nrm if nrm > 0 else qv).tolist()
     lit = F.array(*[F.lit(float(x)) for x in unit])
-    sim = dot(normalise(F.col(i_vec)), lit)
+    n_i = norm(F.col(i_vec))
+    sim = F.when(n_i > 0, dot(F.col(i_vec), lit) / n_i).otherwise(F.lit(0.0))
     base = items
     if i_mask:
         base = base.where(F.shiftright(F.col(i_mask), group).bitwiseAND(F.lit(1)) == 1)
