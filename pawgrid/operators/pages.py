@@ -2,8 +2,7 @@
 
 The job starts from a ``pages(page_id, url, html)`` table (fetching is out of scope).  Pages are
 independent, so every step is a per-row expression (regular expressions and higher-order
-functions on the html column) — no shuffle until the final later-key-wins dedupe, which groups
-by (page, key) and is bounded by one page's labels.
+functions on the html column), the later-key-wins dedupe included: extraction needs no shuffle.
 
 Markup assumptions (the site's flat structure): class attributes are written exactly as
 ``class="name"``; a section is a ``<div class="line">`` inside ``<div class="view_main">`` and
@@ -194,10 +193,12 @@ def detail_records(pages: DataFrame, key: str = "page_id", html: str = "html") -
         list_entries(F.col("ref"), K.PAGE_SECTION_REFERENCE[1], 8),
         terms_entries(F.col("terms_box")),
     )
-    ent = e.select("__page", F.explode(entries).alias("e"))
-    return (ent.groupBy("__page", F.col("e.key").alias("key"))
-            .agg(F.max_by(F.col("e.value"), F.col("e.ord")).alias("value"))
-            .withColumnRenamed("__page", key))
+    # a later label wins: an entry is kept when no entry of the same page with the same key
+    # comes later; pages are independent rows, so the dedupe needs no grouping and no shuffle
+    ent = e.select("__page", entries.alias("__e"))
+    kept = F.filter("__e", lambda x: ~F.exists("__e", lambda y: y["key"].eqNullSafe(x["key"]) & (y["ord"] > x["ord"])))
+    return (ent.select("__page", F.explode(kept).alias("e"))
+            .select(F.col("__page").alias(key), F.col("e.key").alias("key"), F.col("e.value").alias("value")))
 
 
 def list_items(pages: DataFrame, base: str | Column, container: str = '<div class="lst_wrap"',
