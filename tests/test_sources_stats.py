@@ -89,3 +89,12 @@ def test_crawl_summary(spark):
     got = {r.page: (r.collected_count, r.animal_names) for r in
            ST.crawl_summary(items, "page", name_col="n", order_col="pos").collect()}
     assert got == {1: (2, "b, N/A"), 2: (1, "N/A")}
+
+
+def test_spread_only_when_few_splits(spark):
+    df = spark.range(0, 1000, numPartitions=1).withColumnRenamed("id", "k")
+    wide = RD.spread(df, "k", tasks=4)
+    assert wide.rdd.getNumPartitions() == 4
+    assert sorted(r.k for r in wide.collect()) == list(range(1000))
+    many = spark.range(0, 1000, numPartitions=6)
+    assert RD.spread(many, tasks=4) is many                       # enough splits: unchanged, no shuffle

@@ -105,3 +105,16 @@ def test_embed_fallback(spark):
     df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "fine")], "uid long, t string").coalesce(1)
     out = {r.uid: (list(r.embedding), r.failed) for r in V.embed(df, "t", flaky, 2).collect()}
     assert out == {1: ([1.0, 2.0], False), 2: ([0.0, 0.0], True), 3: ([1.0, 2.0], False)}
+
+
+def test_cosine_column_matches_numpy(data):
+    _, _, items, queries = data
+    spark = data[0].sparkSession
+    rows = [(u, q, a, b) for u, a in items for q, b in queries[-4:]]   # includes the zero vectors
+    pairs = spark.createDataFrame(rows, "uid long, qid long, a array<float>, b array<float>")
+    got = {(r.uid, r.qid): r.c for r in pairs.select("uid", "qid", V.cosine("a", "b").alias("c")).collect()}
+    vecs, qv = dict(items), dict(queries)
+    for (uid, qid), c in got.items():
+        a, b = np.asarray(vecs[uid], float), np.asarray(qv[qid], float)
+        d = np.linalg.norm(a) * np.linalg.norm(b)
+        assert c == pytest.approx(a @ b / d if d else 0.0, abs=1e-9)
