@@ -1132,11 +1132,9 @@ def _hard_sql(size, age, gender) -> str:
     " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS case_no, uid FROM (SELECT *, {X.strict_double('addinfo07')} AS w "
                        f"FROM raw) WHERE {_hard_sql(*c)}" for i, c in enumerate(_HARD_CASES))))
 def q_hard_filter_slots(spark: SparkSession, d: str) -> DataFrame:
-    """FLT16–FLT19 for literal slot sets (one pass per case over the open listings)."""
+    """FLT16–FLT19 for literal slot sets, all cases in one scan of the open listings: each
+    listing emits the numbers of the cases it satisfies."""
     raw = RD.open_listings(A.raw_listings(spark, d, long_text=False))
-    parts = [raw.where(PR.hard_filter(*c)).select(F.lit(i).cast("long").alias("case_no"), "uid")
-             for i, c in enumerate(_HARD_CASES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    hits = F.filter(F.array(*[F.when(PR.hard_filter(*c), F.lit(i).cast("long")) for i, c in enumerate(_HARD_CASES)]),
+                    lambda x: x.isNotNull())
+    return raw.select(F.explode(hits).alias("case_no"), "uid")
