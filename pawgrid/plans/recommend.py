@@ -18,7 +18,6 @@ from pawgrid.functions.text import clean_query
 from pawgrid.operators import preferences as PR
 from pawgrid.operators import rerank as R
 from pawgrid.operators import shaping as SH
-from pawgrid.operators import stats as ST
 from pawgrid.operators import vectors as V
 from pawgrid.session import shared_path
 from pawgrid.sources.readers import open_listings
@@ -58,9 +57,10 @@ def candidates(prepared: DataFrame, vectors: DataFrame, queries: DataFrame, k: i
 
 def system_stats(prepared: DataFrame) -> DataFrame:
     """AGG1: state and sex counts, tidy ``(facet, key, n)``."""
-    st = ST.value_counts(prepared, "state").select(F.lit("state").alias("facet"), "key", "n")
-    sx = ST.value_counts(prepared, "addinfo03").select(F.lit("sex").alias("facet"), "key", "n")
-    return st.unionByName(sx)
+    pairs = F.array(F.struct(F.lit("state").alias("facet"), F.col("state").cast("string").alias("key")),
+                    F.struct(F.lit("sex").alias("facet"), F.col("addinfo03").cast("string").alias("key")))
+    return (prepared.select(F.explode(pairs).alias("p")).select("p.facet", "p.key").where(F.col("key").isNotNull())
+            .groupBy("facet", "key").agg(F.count(F.lit(1)).alias("n")))   # both facets in one scan
 
 
 def run(spark: SparkSession, raw: DataFrame, queries: DataFrame, embedder: Embedder, dim: int,
