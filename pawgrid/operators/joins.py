@@ -74,11 +74,17 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 1
 
 
 def enrich(base: DataFrame, subs: list[DataFrame], key: str = "uid", salts: int = 0,
-           hot_fraction: float = 1e-4) -> DataFrame:
-    """Chain of suffixed left joins; a later table is compared with the already-suffixed names."""
+           hot_fraction: float = 1e-4, unique: list[bool] | None = None) -> DataFrame:
+    """Chain of suffixed left joins; a later table is compared with the already-suffixed names.
+
+    ``unique[i]`` declares that sub table ``i`` holds at most one row per key (e.g. it was
+    aggregated by the key): no key can be hot there, so it joins with a plain left join and the
+    chain so far is read once.  Other subs use the hot-key-safe strategy (split or salted)."""
     out = base
-    for s in subs:
-        out = left_join_suffixed(out, s, key, salts=salts, hot_fraction=hot_fraction)
+    for i, s in enumerate(subs):
+        one_per_key = bool(unique and unique[i])
+        out = left_join_suffixed(out, s, key, salts=0 if one_per_key else salts, hot_fraction=hot_fraction,
+                                 split=not one_per_key)
     return out
 
 

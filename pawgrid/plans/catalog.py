@@ -639,7 +639,9 @@ def enrich_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 def enrich_full(spark: SparkSession, d: str, as_of: str | None = AS_OF, salts: int = 0,
                 hot_fraction: float = 1e-4) -> DataFrame:
     base, sub01, sub04 = enrich_inputs(spark, d)
-    merged = J.enrich(RD.open_listings(base), [sub01, sub04], key="uid", salts=salts, hot_fraction=hot_fraction)
+    # sub04 is aggregated by uid (one row per key); sub01 is the 1:N side that may hold hot keys
+    merged = J.enrich(RD.open_listings(base), [sub01, sub04], key="uid", salts=salts, hot_fraction=hot_fraction,
+                      unique=[False, True])
     out = SH.drop_if_present(merged, K.ENRICH_DROP)
     out = SH.rename_if_present(out, K.ENRICH_RENAME)
     out = SH.merge_text_columns(out, K.PERIOD_PARTS, K.PERIOD_MERGED)
