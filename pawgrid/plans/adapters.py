@@ -210,7 +210,7 @@ TEXT_SLOT_RULES = {
 
 def user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of the conversations as queries ``(qid, text)``; qid = conv_id * 1000 + turn."""
-    c = table(spark, sf_dir, "conversations", wide=True)
+    c = table(spark, sf_dir, "conversations", wide=True, key="conv_id")
     return c.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
 
 

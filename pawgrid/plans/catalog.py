@@ -379,7 +379,7 @@ def q_extract_slots(spark: SparkSession, d: str) -> DataFrame:
     "'#' || lang || '#' || source || ' &apos;' || text") + " AS cleaned FROM documents")
 def q_clean_text(spark: SparkSession, d: str) -> DataFrame:
     """SC1 + SC2 over every whole document (tags and an entity injected in front)."""
-    docs = A.table(spark, d, "documents", wide=True)
+    docs = A.table(spark, d, "documents", wide=True, key="doc_id")
     src = F.concat(F.lit("#"), F.col("lang"), F.lit("#"), F.col("source"), F.lit(" &apos;"), F.col("text"))
     return docs.select("doc_id", T.clean_text(src).alias("cleaned"))
 
@@ -863,7 +863,7 @@ def _li_sql(container: str = "<nav") -> str:
 
 
 def page_items(spark: SparkSession, d: str) -> DataFrame:
-    pages = A.table(spark, d, "pages", wide=True)
+    pages = A.table(spark, d, "pages", wide=True, key="page_id")
     return PG.list_items(pages, PG.site_root(F.col("url")), container="<nav")
 
 
@@ -889,7 +889,7 @@ def q_crawl_summary(spark: SparkSession, d: str) -> DataFrame:
           f"{X.first('html', '(?s)<article[^>]*>(.*?)</article>')} AS wrap FROM pages))")
 def q_page_texts(spark: SparkSession, d: str) -> DataFrame:
     """PG4 generalised: paragraph texts of each page's article, whole pages."""
-    return PG.page_texts(A.table(spark, d, "pages", wide=True))
+    return PG.page_texts(A.table(spark, d, "pages", wide=True, key="page_id"))
 
 
 def _detail_sql() -> str:
@@ -1036,7 +1036,7 @@ def q_materialised_prepared(spark: SparkSession, d: str) -> DataFrame:
 @register("embed_batch")
 def q_embed_batch(spark: SparkSession, d: str) -> DataFrame:
     """EMB1 over every whole document: batched, per-text fallback, zero vector + flag on failure."""
-    docs = A.table(spark, d, "documents", wide=True)
+    docs = A.table(spark, d, "documents", wide=True, key="doc_id")
     emb = V.embed(docs, "text", V.hashing_embedder(64), 64, key="doc_id")
     return emb.select("doc_id", "failed", F.size("embedding").cast("long").alias("dim"),
                       F.round(V.norm("embedding"), 6).alias("norm"))
@@ -1097,7 +1097,7 @@ def q_crawl_table(spark: SparkSession, d: str) -> DataFrame:
 @register("embed_summary", "SELECT count(*) AS ok, CAST(0 AS BIGINT) AS failed FROM documents")
 def q_embed_summary(spark: SparkSession, d: str) -> DataFrame:
     """AGG13 over the batch embedding of every document (the hashing embedder never fails)."""
-    docs = A.table(spark, d, "documents", wide=True)
+    docs = A.table(spark, d, "documents", wide=True, key="doc_id")
     return V.embed_summary(V.embed(docs, "text", V.hashing_embedder(64), 64, key="doc_id"))
 
 
@@ -1111,7 +1111,7 @@ def q_scan_list_pages(spark: SparkSession, d: str) -> DataFrame:
     """SRC7 over every stored page (page number = page_id + 1): failed pages skipped, the scan
     ends at the first page without items."""
     from pawgrid.plans.crawl import scan_list_pages
-    pages = A.table(spark, d, "pages", wide=True)
+    pages = A.table(spark, d, "pages", wide=True, key="page_id")
     numbered = pages.select((F.col("page_id") + 1).alias("page_no"), "url", "html")
     return scan_list_pages(numbered, PG.site_root(F.col("url")), container="<nav")
 
