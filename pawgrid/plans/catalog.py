@@ -1054,7 +1054,7 @@ def q_recommend_text(spark: SparkSession, d: str) -> DataFrame:
     q = PR.extract_slots(A.user_queries(spark, d), "text", rules=A.TEXT_SLOT_RULES)
     q = q.select("qid", PR.slot_group().alias("slot_group"), T.clean_query("text").alias("clean"))
     qv = V.embed(q, "clean", embedder, 64, key="qid", keep=("slot_group",))
-    top = V.top_k_similar(qv, items, 10, q_group="slot_group", i_mask="slot_mask")
+    top = V.top_k_similar(qv, items, 10, q_group="slot_group", i_mask="slot_mask", dim=64)
     return top.withColumn("similarity", F.round("similarity", 6))
 
 
