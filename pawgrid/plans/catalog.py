@@ -1015,7 +1015,7 @@ def q_incremental_stream(spark: SparkSession, d: str) -> DataFrame:
     drain_to_table(stream, out, f"incremental-{run}",
                    transform=lambda b, _e: RD.read_incremental(b, "ts", MARK)
                    .select("event_id", "user_id", "event_type", "value"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @register("materialised_prepared", with_raw(

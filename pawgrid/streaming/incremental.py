@@ -28,16 +28,20 @@ def stream_files(spark: SparkSession, path: str, schema: StructType | str, fmt:
 
 def drain_to_table(stream: DataFrame, out_path: str, name: str,
                    transform: Callable[[DataFrame, int], DataFrame] | None = None, fmt: str = "parquet") -> None:
-    """STR1: process everything available once, appending each micro-batch to ``out_path``.
+    """STR1: process everything available once, adding each micro-batch to ``out_path``.
 
     ``foreachBatch`` lets the batch DataFrame API (joins, windows) run per micro-batch; the
-    checkpoint makes a rerun after a failure skip committed batches (exactly-once files)."""
+    checkpoint makes a rerun skip committed batches.  A batch that ran but was not committed
+    (the driver died in between) is replayed with the same id, so each batch is written to its
+    own ``batch_id=<id>`` folder with overwrite: the replay replaces its output instead of
+    appending it twice (exactly-once files).  Read ``out_path`` as a table; ``batch_id`` is its
+    partition column."""
     spark = stream.sparkSession
     ckpt = shared_path(spark, f"streams/{name}")
 
     def write(batch: DataFrame, epoch: int) -> None:
         out = transform(batch, epoch) if transform else batch
-        out.write.mode("append").format(fmt).save(out_path)
+        out.write.mode("overwrite").format(fmt).save(f"{out_path.rstrip('/')}/batch_id={epoch}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

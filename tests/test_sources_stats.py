@@ -98,3 +98,19 @@ def test_spread_only_when_few_splits(spark):
     assert sorted(r.k for r in wide.collect()) == list(range(1000))
     many = spark.range(0, 1000, numPartitions=6)
     assert RD.spread(many, tasks=4) is many                       # enough splits: unchanged, no shuffle
+
+
+def test_stream_replay_does_not_duplicate(spark):
+    d = tempfile.mkdtemp(prefix="pawgrid-r-")
+    src, out = f"{d}/in", f"{d}/out"
+    spark.createDataFrame([(1,), (2,)], "id long").write.parquet(src)
+    name = "r-" + os.path.basename(d)
+    drain_to_table(stream_files(spark, src, "id long"), out, name)
+    # the driver "dies" after writing the last batch and before committing it: the batch is replayed
+    commits = os.path.join(shared_path(spark, f"streams/{name}"), "commits")
+    last = max(int(f) for f in os.listdir(commits) if f.isdigit())
+    for f in (str(last), f".{last}.crc"):                   # the commit marker and its checksum file
+        if os.path.exists(os.path.join(commits, f)):
+            os.remove(os.path.join(commits, f))
+    drain_to_table(stream_files(spark, src, "id long"), out, name)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
