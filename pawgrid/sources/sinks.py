@@ -45,13 +45,16 @@ def write_flat(df: DataFrame, path: str, score_col: str | None = "match_score")
 def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame], skip_existing: bool = True,
                 fmt: str = "parquet") -> DataFrame:
     """SNK7: rebuild a stage table only when it is missing (or ``skip_existing=False``), then
-    read it back — the written table also cuts the lineage for the next stage."""
+    read it back — the written table also cuts the lineage for the next stage.
+
+    A table counts as present only when its write committed (the ``_SUCCESS`` marker of the
+    job commit): a folder left by a write that died part-way is rebuilt, not reused."""
     exists = False
     if skip_existing:
         try:
-            spark.read.format(fmt).load(path).schema  # noqa: B018 — existence probe
+            spark.read.format("text").load(path.rstrip("/") + "/_SUCCESS")   # resolves the path only, no job
             exists = True
-        except Exception:  # noqa: BLE001 — missing path
+        except Exception:  # noqa: BLE001 — no committed table at the path
             exists = False
     if not exists:
         build().write.mode("overwrite").format(fmt).save(path)

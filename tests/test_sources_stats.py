@@ -114,3 +114,16 @@ def test_stream_replay_does_not_duplicate(spark):
             os.remove(os.path.join(commits, f))
     drain_to_table(stream_files(spark, src, "id long"), out, name)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_materialise_rebuilds_uncommitted_table(spark):
+    path = shared_path(spark, "stages/partial-" + next(tempfile._get_candidate_names()))
+    spark.range(2).write.parquet(path)
+    os.remove(os.path.join(path, "_SUCCESS"))        # a write that died before its job commit
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5)
+
+    assert SK.materialise(spark, path, build).count() == 5 and len(calls) == 1
