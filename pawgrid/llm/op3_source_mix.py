@@ -41,24 +41,20 @@ def _apportion(df: DataFrame, votes: str, seats: Column, divisor: Column, by: li
     df = (df.withColumn("_seats", seats).withColumn("_div", divisor)
           .withColumn("_near", F.coalesce(near, F.lit(0).cast("long")))
           .withColumn("_miss", F.abs(F.col("_seats") - F.sum("_near").over(group)))
-          .withColumn("_low", F.greatest(F.lit(0).cast("long"), F.col("_near") - F.col("_miss"))))
+          .withColumn("_low", F.greatest(F.lit(0).cast("long"), F.col("_near") - F.col("_miss")))
+          .withColumn("_left", F.col("_seats") - F.sum("_low").over(group)))
     seat = df.filter((F.col("_miss") > 0) & (F.col(votes) > 0)).select(
-        *by, *[c for c in order if c not in by], votes, "_seats", "_low",
+        *by, *[c for c in order if c not in by], votes, "_left",
         F.explode(F.sequence(F.col("_low") + 1, F.col("_near") + F.col("_miss"))).alias("_k"))
-    left = F.col("_seats") - F.col("_base")
     keys = [*by, *[c for c in order if c not in by]]
-    base = df.groupBy(*by).agg(F.sum("_low").alias("_base"))
-    same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    ranked = (seat.join(base.select(*[F.col(c).alias(f"_b_{c}") for c in by], "_base"),
-                        [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(
         F.desc(F.col(votes) / (2 * F.col("_k") - 1)), *[F.col(c).asc_nulls_last() for c in order], "_k"))
-    won = (ranked.withColumn("_rank", rank).filter(F.col("_rank") <= left)
+    won = (seat.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left"))
            .groupBy(*[F.col(c).alias(f"_w_{c}") for c in keys]).agg(F.count(F.lit(1)).alias("_won")))
     out = df.join(won, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in keys], "left")
     quota = F.when(F.col("_miss") == 0, F.col("_near")).otherwise(F.col("_low") + F.coalesce("_won", F.lit(0)))
     return (out.withColumn("quota", quota.cast("long"))
-            .drop("_seats", "_div", "_near", "_miss", "_low", "_won", *[f"_w_{c}" for c in keys]))
+            .drop("_seats", "_div", "_near", "_miss", "_low", "_left", "_won", *[f"_w_{c}" for c in keys]))
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:

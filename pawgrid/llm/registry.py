@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pawgrid.llm import op3_source_mix
+from pawgrid.llm import (
+    op1_toxicity,
+    op2_fingerprints,
+    op3_source_mix,
+    op6_token_counts,
+    op7_secret_scan,
+    op8_best_fit_packing,
+    op9_language_id,
+    op10_lm_scoring,
+)
 
-_MODULES = [op3_source_mix]
+_MODULES = [op1_toxicity, op2_fingerprints, op3_source_mix, op6_token_counts, op7_secret_scan, op8_best_fit_packing,
+            op9_language_id, op10_lm_scoring]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
