@@ -230,7 +230,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, lm, folds: in
             for toxic, ws in zip(pdf["toxic"], pdf["words"]):
                 seen[int(toxic > 0)].update({f for w in set(ws) for f in word_features(w)})
         keys = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"feature": keys, "n0": [seen[0][k] for k in keys], "n1": [seen[1][k] for k in keys]})
+        if keys:
+            yield pd.DataFrame({"feature": keys, "n0": [seen[0][k] for k in keys], "n1": [seen[1][k] for k in keys]})
 
     sizes = {int(r["toxic"] > 0): r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic"))
              .agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -48,7 +48,8 @@ def frequent_units(docs: DataFrame, per_task: int, table_units: int) -> list[str
                     if len(seen) > COUNTED_UNITS:
                         seen = Counter(dict(seen.most_common(COUNTED_UNITS // 4)))
         top = seen.most_common(per_task)
-        yield pd.DataFrame({"unit": [u for u, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame({"unit": [u for u, _ in top], "n": [n for _, n in top]})
 
     rows = (docs.select("text").mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
             .orderBy(F.desc("n"), "unit").limit(table_units).collect())

@@ -64,7 +64,8 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarra
                     inside[first] += 1
                     inside[last] -= 1
                     total += np.bincount(bucket[np.cumsum(inside[:-1]) > 0], minlength=buckets)
-        yield pd.DataFrame({"block": list(seen), "part": task_index(), "data": [v.tobytes() for v in seen.values()]})
+        if seen:
+            yield pd.DataFrame({"block": list(seen), "part": task_index(), "data": [v.tobytes() for v in seen.values()]})
 
     if not langs:
         return [], np.zeros((buckets, 0), dtype=np.float32)

@@ -6,6 +6,8 @@ from pawgrid.llm import (
     op1_toxicity,
     op2_fingerprints,
     op3_source_mix,
+    op4_exact_topk,
+    op5_ngram_join,
     op6_token_counts,
     op7_secret_scan,
     op8_best_fit_packing,
@@ -13,7 +15,7 @@ from pawgrid.llm import (
     op10_lm_scoring,
 )
 
-_MODULES = [op1_toxicity, op2_fingerprints, op3_source_mix, op6_token_counts, op7_secret_scan, op8_best_fit_packing,
+_MODULES = [op1_toxicity, op2_fingerprints, op3_source_mix, op4_exact_topk, op5_ngram_join, op6_token_counts, op7_secret_scan, op8_best_fit_packing,
             op9_language_id, op10_lm_scoring]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
