@@ -103,8 +103,10 @@ def exact_topk(spark: SparkSession, embeddings: DataFrame, k: int = K, query_eve
     width = -(-(2 * bound + 1) // SLICES)
     state = queries.select("qk", F.lit(-bound).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))
     while True:
-        def count(x: pd.DataFrame, q: pd.DataFrame, width: int = width) -> pd.DataFrame:
-            found = []
+        step = width
+
+        def count(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            width, found = step, []
             if len(x) and len(q):
                 for part, s, _, counts in _tiles(q, x, exact):
                     b = (s - part["low"].to_numpy(np.int64)[:, None]) // width
@@ -154,10 +156,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {"op4_exact_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
