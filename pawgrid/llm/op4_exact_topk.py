@@ -100,17 +100,18 @@ def exact_topk(spark: SparkSession, embeddings: DataFrame, k: int = K, query_eve
         q = (queries.join(state, "qk").withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))))
         return items.groupBy(*grid).cogroup(q.groupBy(*grid)).applyInPandas(fn, schema)
 
-    width = -(-(2 * bound + 1) // SLICES)
+    span = 2 * bound + 1  # length of the interval that holds the k-th value
     state = queries.select("qk", F.lit(-bound).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))
     while True:
-        step = width
+        width = -(-span // SLICES)
+        inside, step = span, width
 
         def count(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             width, found = step, []
             if len(x) and len(q):
                 for part, s, _, counts in _tiles(q, x, exact):
-                    b = (s - part["low"].to_numpy(np.int64)[:, None]) // width
-                    b = np.where(counts & (b >= 0) & (b < SLICES), b, -1)
+                    above = s - part["low"].to_numpy(np.int64)[:, None]
+                    b = np.where(counts & (above >= 0) & (above < inside), above // width, -1)
                     cut = np.partition(b, -k, axis=1)[:, -k] if b.shape[1] >= k else np.zeros(len(b), dtype=np.int64)
                     row, col = np.nonzero(b >= np.maximum(cut, 0)[:, None])
                     key, n = np.unique(row * SLICES + b[row, col], return_counts=True)
@@ -126,9 +127,9 @@ def exact_topk(spark: SparkSession, embeddings: DataFrame, k: int = K, query_eve
         state = stage(spark, state.join(hist, "qk", "left").select(
             "qk", (F.col("low") + F.coalesce("slice", F.lit(0)) * width).cast("long").alias("low"),
             F.coalesce("left", "need").cast("long").alias("need")), "topk-state")
-        if width == 1:
+        span = width
+        if span == 1:
             break
-        width = -(-width // SLICES)
 
     def keep(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
