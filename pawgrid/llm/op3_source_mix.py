@@ -146,6 +146,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS,
                        F.struct("doc_id", "text_key").alias("row_key"))
 
 
+def mixed_documents(spark: SparkSession, docs: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes the whole document (0 to
+    max_repeat times).  Equal rows share their copies evenly, rounded.  Texts without words add no
+    words to a mix and are left out."""
+    mix = mix_sources(spark, docs, **params)
+    times = (mix.groupBy("row_key.doc_id", "row_key.text_key").agg(F.round(F.avg("copies")).cast("int").alias("times"))
+             .filter(F.col("times") > 0).withColumnRenamed("text_key", "key"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"))
+    rows = rows.join(times, (F.col("text_key") == F.col("key")) & F.col("doc.doc_id").eqNullSafe(times["doc_id"]))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, read(spark, sf_dir, "documents")).drop("row_key")
 

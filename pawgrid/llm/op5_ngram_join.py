@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pawgrid.llm.common import collect_blocks, read, split_count, stage, task_index, worker_state
@@ -222,7 +223,8 @@ def linked_pairs(spark: SparkSession, docs: DataFrame, keys: DataFrame, pairs: D
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id per row, and ``row_key``, a hash of doc_id and text.
+    """doc_id, n_shingles, component_id per row; also ``component`` (one class of the component, null
+    for texts without words) and ``row_key``, a hash of doc_id and text.
 
     Null texts and texts without words: no shingles, a component of their own (their doc_id).
     Equal texts, and equal shingle sets, are linked.  component_id is the smallest doc_id of the
@@ -265,11 +267,31 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     least = placed.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-        .alias("component_id"), "row_key")
+        .alias("component_id"), "component", "row_key")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each component the row of the
+    smallest doc_id stays (null ids last, then by a hash of the text).  Rows without words stay."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")))
+    found = stage(spark, jaccard_components(spark, docs, percent), "components")
+    best = found.filter(F.col("component").isNotNull()).groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"))
+    times = found.groupBy("row_key").agg(F.count(F.lit(1)).alias("times"))
+    keep = (best.select(F.col("best.row_key").alias("row_key")).join(times, "row_key")
+            .union(found.filter(F.col("component").isNull()).select("row_key").distinct()
+                   .withColumn("times", F.lit(1).cast("long"))))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.select(whole.alias("doc"), key.alias("row_key")).join(keep, "row_key")
+    # equal rows (same doc_id and text) share a key: the first by the other columns stays
+    first = W.partitionBy("row_key").orderBy(F.col("doc"))
+    several = (kept.filter(F.col("times") > 1).withColumn("place", F.row_number().over(first))
+               .filter(F.col("place") == 1).drop("place"))
+    return kept.filter(F.col("times") == 1).union(several).select("doc.*")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark, read(spark, sf_dir, "documents")).drop("row_key")
+    return jaccard_components(spark, read(spark, sf_dir, "documents")).drop("row_key", "component")
 
 
 ORACLE = {}
