@@ -95,7 +95,6 @@ HARD_SIZE_CUTS = (7.0, 20.0)
 HARD_AGE_PATTERNS = {"어린": "2024|2023", "고령": "2013|2014|2015|2016"}
 
 # --- candidate projection ---------------------------------------------------------------------
-LINK_PREFIX = "https://www.pimfyvirus.com/search/01_v/"
 NO_LINK = "링크 없음"
 CANDIDATE_DEFAULTS = {"age": "나이미정", "neuter": "중성화미정", "kind": "임보종류미정"}
 
@@ -114,7 +113,6 @@ PROMPT_TAIL = (
     "   이유: (이유)\n"
     "3. ...\n"
 )
-REPLY_ITEM_PREFIXES = ["1.", "2.", "3.", "4.", "5."]
 REPLY_NAME_MARK = "이름:"
 REPLY_REASON_MARK = "이유:"
 LOG_NO_NAME = "이름없음"

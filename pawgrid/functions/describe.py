@@ -37,7 +37,7 @@ def with_description(df: DataFrame, out: str = "description") -> DataFrame:
         *[f"__clean_{c}" for c in DESCRIBE_TEXT_COLS])
 
 
-def with_embedding_text(df: DataFrame, out: str = "embedding_text", max_length: int = 30000,
+def with_embedding_text(df: DataFrame, out: str = "embedding_text", max_length: int | None = None,
                         tag_mode: str = "reference") -> DataFrame:
     """SC12 as a frame step: stripped free-text fields projected once."""
     staged = df.withColumns({f"__strip_{c}": pystrip(get_or(df, c, "").cast("string")) for c in EMBED_TEXT_COLS})
@@ -91,11 +91,12 @@ def describe_listing(df: DataFrame, _staged: bool = False) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), " ")
 
 
-def embedding_text(df: DataFrame, max_length: int = 30000, tag_mode: str = "reference",
+def embedding_text(df: DataFrame, max_length: int | None = None, tag_mode: str = "reference",
                    _staged: bool = False) -> Column:
     """SC12: basic sentence + status + tags + 4 labelled free-text parts, joined by a space.
 
-    Longer than ``max_length`` -> only the first 4 parts, cut with ``...`` if still too long.
+    Whole texts by default.  With ``max_length``, a longer text keeps its first 4 parts only, cut
+    with ``...`` if still too long.
     A missing weight gives ``몸무게미정`` / ``크기미정`` (where the source printed ``nan``).
     """
     d = K.EMBED_DEFAULTS
@@ -131,6 +132,8 @@ def embedding_text(df: DataFrame, max_length: int = 30000, tag_mode: str = "refe
     ]
     arr = F.array_compact(F.array(*parts))
     full = F.array_join(arr, " ")
+    if max_length is None:
+        return full
     essential = F.array_join(F.slice(arr, 1, 4), " ")
     cut = F.when(F.char_length(essential) <= max_length, essential).otherwise(
         F.concat(F.substring(essential, 1, max_length), F.lit("...")))
@@ -143,14 +146,18 @@ def is_blank_empty(c: Column) -> Column:
 
 
 def candidate_text(gender: Column, weight: Column, tags: Column, personality: Column,
-                   special_needs: Column, rescue_story: Column) -> Column:
-    """SC13: up to 5 parts joined by `` | ``; personality cut at 200, story at 150 chars."""
+                   special_needs: Column, rescue_story: Column, personality_length: int | None = None,
+                   story_length: int | None = None) -> Column:
+    """SC13: up to 5 parts joined by `` | ``; the personality and the story are cut where a length is given."""
+    def cut(c: Column, n: int | None) -> Column:
+        return c if n is None else truncate(c, n)
+
     parts = [
         F.concat(F.lit("성별: "), F.coalesce(gender.cast("string"), F.lit("nan")), F.lit(", 몸무게: "),
                  F.coalesce(weight.cast("string"), F.lit("nan")), F.lit("kg")),
         _part(~is_blank_empty(tags), F.concat(F.lit("성격: "), tags)),
-        _part(~is_blank_empty(personality), F.concat(F.lit("상세설명: "), truncate(personality, 200))),
+        _part(~is_blank_empty(personality), F.concat(F.lit("상세설명: "), cut(personality, personality_length))),
         _part(~is_blank_empty(special_needs), F.concat(F.lit("특별요구: "), special_needs)),
-        _part(~is_blank_empty(rescue_story), F.concat(F.lit("구조배경: "), truncate(rescue_story, 150))),
+        _part(~is_blank_empty(rescue_story), F.concat(F.lit("구조배경: "), cut(rescue_story, story_length))),
     ]
     return F.array_join(F.array_compact(F.array(*parts)), " | ")

@@ -112,8 +112,8 @@ def any_two_way(tags: Column, wanted: list[str]) -> Column:
 
 
 def format_fixed(c: Column | str, decimals: int = 3) -> Column:
-    """SC20: ``f"{x:.3f}"``."""
-    return F.format_string(f"%.{decimals}f", col_(c))
+    """SC20: ``f"{x:.3f}"``; a tie goes to the even digit."""
+    return F.format_string(f"%.{decimals}f", F.bround(col_(c), decimals))
 
 
 def py_str(c: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Joins: left join with overlap suffixes (JN1–JN2), the 3-way enrichment, detail-wins merge (JN6).
+"""Joins: left join with overlap suffixes (JN1–JN2), the 3-way enrichment.
 
 All joins are equi-joins on the key; the physical strategy (broadcast when a side is small at
 runtime, else sort-merge) is left to AQE.  Nothing is broadcast on a guess.
@@ -86,24 +86,3 @@ def enrich(base: DataFrame, subs: list[DataFrame], key: str = "uid", salts: int
         out = left_join_suffixed(out, s, key, salts=0 if one_per_key else salts, hot_fraction=hot_fraction,
                                  split=not one_per_key)
     return out
-
-
-def override_join(items: DataFrame, details: DataFrame, key: str, cols: list[str],
-                  mode: str = "always") -> DataFrame:
-    """JN6: list item updated by its detail record on ``key``.
-
-    ``always``: a detail column wins whenever the detail row exists, even with a null value
-    (dict.update).  ``non_null``: the item value is kept when the detail value is null."""
-    d = details.select(key, *[F.col(c).alias(f"__d_{c}") for c in cols]).withColumn("__d_hit", F.lit(True))
-    j = items.join(d, on=key, how="left")
-    out = []
-    for c in cols:
-        dc = F.col(f"__d_{c}")
-        if c in items.columns:
-            v = (F.when(F.col("__d_hit"), dc).otherwise(F.col(c)) if mode == "always"
-                 else F.coalesce(dc, F.col(c)))
-        else:
-            v = dc
-        out.append(v.alias(c))
-    keep = [F.col(c) for c in items.columns if c not in cols]
-    return j.select(*keep, *out)

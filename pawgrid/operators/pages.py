@@ -1,230 +1,146 @@
-"""Label/value extraction from stored web pages (PG1–PG12, JN6–JN7, WIN3, SRC8).
+"""Label/value extraction from stored web pages (PG1–PG12, JN7, WIN3, SRC8).
 
 The job starts from a ``pages(page_id, url, html)`` table (fetching is out of scope).  Pages are
-independent, so every step is a per-row expression (regular expressions and higher-order
-functions on the html column), the later-key-wins dedupe included: extraction needs no shuffle.
-
-Markup assumptions (the site's flat structure): class attributes are written exactly as
-``class="name"``; a section is a ``<div class="line">`` inside ``<div class="view_main">`` and
-runs to the next ``line``; cells hold text or inline tags only.
-
-Node text follows the ``get_text(strip=True)`` rule: text pieces between tags are stripped,
-empty pieces dropped, the rest concatenated; the common entities are decoded.
+independent and no built-in parses HTML, so each page is parsed once inside ``mapInPandas`` by the
+standard library's parser (``pagetree``) and yields its rows; extraction needs no shuffle.
+Elements are found by tag, class list and descent, as a selector would.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pawgrid import constants as K
-from pawgrid.functions.text import WS_CLASS, pystrip
-
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-            ("&amp;", "&")]
-
-
-def _decode(c: Column) -> Column:
-    out = c
-    for a, b in ENTITIES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.when(c.contains("&"), out).otherwise(c)
-
-
-def node_text(fragment: Column) -> Column:
-    """Stripped text pieces between tags, concatenated; null fragment -> null.
-
-    A fragment without any tag is one piece: it skips the split and the array functions."""
-    pieces = F.transform(F.split(fragment, "<[^>]*>"), lambda s: pystrip(_decode(s)))
-    tagged = F.array_join(F.filter(pieces, lambda s: s != ""), "")
-    return F.when(fragment.contains("<"), tagged).otherwise(pystrip(_decode(fragment)))
-
-
-def _first(html: Column, pattern: str) -> Column:
-    """First capture of ``pattern`` or null when it does not occur."""
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
-
-
-def _all(fragment: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(fragment, F.lit(pattern), 1)
-
-
-def _cls(name: str) -> str:
-    return f'class="{name}"'
-
-
-def _entries(keys: Column, values: Column, stage: int) -> Column:
-    """Array of (ord, key, value) structs from two parallel arrays."""
-    return F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")),
-                       lambda e, i: F.struct((F.lit(stage * 100000) + i).alias("ord"),
-                                             e["k"].alias("key"), e["v"].alias("value")))
-
-
-def _one(key: str, value: Column, stage: int) -> Column:
-    return F.array(F.struct(F.lit(stage * 100000).alias("ord"), F.lit(key).alias("key"),
-                            value.cast("string").alias("value")))
-
-
-def _table_rows(fragment: Column, prefix: str, stage: int) -> Column:
-    """th/td rows of a table fragment -> entries ``prefix + th`` -> td (rows without both skipped)."""
-    rows = F.filter(_all(fragment, r"(?s)<tr[^>]*>(.*?)</tr>"),
-                    lambda r: r.rlike(r"(?s)<th[^>]*>") & r.rlike(r"(?s)<td[^>]*>"))
-    keys = F.transform(rows, lambda r: F.concat(F.lit(prefix), pystrip(F.replace(
-        node_text(F.regexp_extract(r, r"(?s)<th[^>]*>(.*?)</th>", 1)), F.lit(":"), F.lit("")))))
-    vals = F.transform(rows, lambda r: node_text(F.regexp_extract(r, r"(?s)<td[^>]*>(.*?)</td>", 1)))
-    return _entries(keys, vals, stage)
-
-
-def _checked(fragment: Column) -> Column:
-    """Non-empty texts of ``div.check_i.a`` items, ', '-joined, or null when none."""
-    texts = F.filter(F.transform(_all(fragment, r'(?s)<div class="check_i a"[^>]*>(.*?)</div>'), node_text),
-                     lambda s: s != "")
-    return F.when(F.size(texts) > 0, F.array_join(texts, ", "))
-
-
-def _box_pt40(fragment: Column) -> Column:
-    """The first ``div.box.pt40`` of a fragment, up to the next section or main block."""
-    after = _first(fragment, r'(?s)<div class="box pt40"[^>]*>(.*)$')
-    return F.element_at(F.split(after, r'<div class="(?:line|view_main)"'), 1)
-
-
-def _sections(html: Column) -> Column:
-    """Chunks of ``view_main`` that each start at one ``div.line`` (the first element is the
-    text before the first line)."""
-    main = _first(html, r'(?s)<div class="view_main"[^>]*>(.*)$')
-    return F.split(main, r'<div class="line"')
-
-
-TITLE_PATTERN = r'(?s)<p class="tit"[^>]*>(.*?)</p>'
-TB_PATTERN = r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>'
-
-
-def notice_entries(frag: Column) -> Column:
-    """PG2: ``p.num`` text without its label, or null (the key is always set)."""
-    val = pystrip(F.replace(node_text(frag), F.lit(K.PAGE_NOTICE_LABEL), F.lit("")))
-    return _one(K.PAGE_KEY_NOTICE, val, 1)
-
-
-def info_entries(box: Column) -> Column:
-    """PG3 + JN7: ``.info_box`` dt/dd pairs when the counts agree, else ``k:v`` text lines."""
-    dts = _all(box, r"(?s)<dt[^>]*>(.*?)</dt>")
-    dds = _all(box, r"(?s)<dd[^>]*>(.*?)</dd>")
-    paired = (F.size(dts) > 0) & (F.size(dts) == F.size(dds))
-    pk = F.transform(dts, lambda t: F.replace(node_text(t), F.lit(":"), F.lit("")))
-    pv = F.transform(dds, node_text)
-    lines = F.filter(F.split(box, r"<[^>]*>"), lambda s: s.contains(":"))
-    lk = F.transform(lines, lambda s: pystrip(_decode(F.substring_index(s, ":", 1))))
-    lv = F.transform(lines, lambda s: pystrip(_decode(F.substring(s, F.locate(":", s) + 1, 1 << 30))))
-    return F.when(box.isNull(), F.array()).when(paired, _entries(pk, pv, 2)).otherwise(_entries(lk, lv, 2))
-
-
-def tag_entries(wrap: Column) -> Column:
-    """PG4: ``.tag_wrap p`` texts ', '-joined (empties kept), or null without the block."""
-    ps = F.transform(_all(wrap, r"(?s)<p[^>]*>(.*?)</p>"), node_text)
-    return _one(K.PAGE_KEY_TAGS, F.when(wrap.isNotNull(), F.array_join(ps, ", ")), 3)
-
-
-def table_entries(frag: Column, prefix: str, stage: int) -> Column:
-    """PG5 / PG6 / PG8: the rows of a ``div.tb_wrap`` table fragment, keys prefixed."""
-    return F.coalesce(_table_rows(frag, prefix, stage), F.array())
-
-
-def homes_entries(box: Column) -> Column:
-    """PG7: checked items of the first ``div.box.pt40`` (key always set)."""
-    return _one(K.PAGE_KEY_HOMES, _checked(box), 6)
-
-
-def list_entries(sec: Column, prefix: str, stage: int) -> Column:
-    """PG9: ``ul li`` items (``p.t_bef`` label, ``p.a`` value) of a section's box."""
-    box = _first(sec, r'(?s)<div class="box[^"]*"[^>]*>(.*)$')
-    lis = F.filter(_all(box, r"(?s)<li[^>]*>(.*?)</li>"),
-                   lambda li: li.rlike(r'<p class="t_bef"') & li.rlike(r'<p class="a"'))
-    keys = F.transform(lis, lambda li: F.concat(F.lit(prefix), node_text(
-        F.regexp_extract(li, r'(?s)<p class="t_bef"[^>]*>(.*?)</p>', 1))))
-    vals = F.transform(lis, lambda li: node_text(F.regexp_extract(li, r'(?s)<p class="a"[^>]*>(.*?)</p>', 1)))
-    return F.coalesce(_entries(keys, vals, stage), F.array())
-
-
-def terms_entries(box: Column) -> Column:
-    """PG10: checked items of the section's ``div.box.pt40`` (key set only when it exists)."""
-    return F.when(box.isNotNull(), _one(K.PAGE_KEY_TERMS, _checked(box), 9)).otherwise(F.array())
-
-
-def _pick(secs: Column, title: str) -> Column:
-    """WIN3: the first section whose title text contains ``title``."""
-    return F.try_element_at(F.filter(secs, lambda x: F.coalesce(x["t"].contains(title), F.lit(False))),
-                            F.lit(1))["c"]
+from pawgrid.operators.pagetree import Node, parse
+
+
+def _table(box: Node | None, prefix: str) -> dict[str, str]:
+    """PG5 / PG6 / PG8: rows with a header and a value, of all tables of a block."""
+    out: dict[str, str] = {}
+    for table in box.all("table") if box else []:
+        for row in table.all("tr"):
+            head, value = row.first("th"), row.first("td")
+            if head and value:
+                out[prefix + head.text().replace(":", "").strip()] = value.text()
+    return out
+
+
+def _checked(box: Node) -> str | None:
+    """PG7 / PG10: the checked items of a box, or null when none has text."""
+    return ", ".join(t for t in (n.text() for n in box.all("div.check_i.a")) if t) or None
+
+
+def _section(main: Node | None, title: str) -> Node | None:
+    """WIN3: the first section whose title contains ``title``."""
+    for line in main.all("div.line") if main else []:
+        tit = line.first("p.tit")
+        if tit and title in tit.text():
+            return line
+    return None
+
+
+def _info(box: Node | None) -> dict[str, str]:
+    """PG3 + JN7: dt/dd pairs when the counts agree, else ``k:v`` text lines."""
+    if box is None:
+        return {}
+    dts, dds = box.all("dt"), box.all("dd")
+    if dts and len(dts) == len(dds):
+        return {t.text().replace(":", ""): d.text() for t, d in zip(dts, dds)}
+    pairs = (line.split(":", 1) for line in "|".join(box.strings()).split("|") if ":" in line)
+    return {k.strip(): v.strip() for k, v in pairs}
+
+
+def page_record(root: Node) -> dict[str, str | None]:
+    """PG2–PG11: every label of a detail page with its value; a later label wins."""
+    out: dict[str, str | None] = {}
+    num = root.first("p.num")
+    out[K.PAGE_KEY_NOTICE] = num.text().replace(K.PAGE_NOTICE_LABEL, "").strip() if num else None
+    out.update(_info(root.first(".info_box")))
+    tags = root.first(".tag_wrap")
+    out[K.PAGE_KEY_TAGS] = ", ".join(p.text() for p in tags.all("p")) if tags else None
+    out.update(_table(root.first("div.tb_wrap"), ""))
+    main = root.first("div.view_main")
+    care = _section(main, K.PAGE_SECTION_CARE[0])
+    out.update(_table(care.first("div.tb_wrap") if care else None, K.PAGE_SECTION_CARE[1]))
+    homes = root.first("div.box.pt40")
+    out[K.PAGE_KEY_HOMES] = _checked(homes) if homes else None
+    health = _section(main, K.PAGE_SECTION_HEALTH[0])
+    out.update(_table(health.first("div.tb_wrap") if health else None, K.PAGE_SECTION_HEALTH[1]))
+    ref = _section(main, K.PAGE_SECTION_REFERENCE[0])
+    box = ref.first("div.box") if ref else None
+    for ul in box.all("ul") if box else []:
+        for li in ul.all("li"):
+            label, value = li.first("p.t_bef"), li.first("p.a")
+            if label and value:
+                out[K.PAGE_SECTION_REFERENCE[1] + label.text()] = value.text()
+    terms = _section(main, K.PAGE_SECTION_TERMS)
+    box = terms.first("div.box.pt40") if terms else None
+    if box:
+        out[K.PAGE_KEY_TERMS] = _checked(box)
+    return out
+
+
+def page_items(root: Node, container: str) -> list[tuple[int, str, str | None, str | None]]:
+    """PG1: (position, href, name, number) of every ``li`` of a list in the container, with an anchor."""
+    seen: dict[int, Node] = {}
+    for box in root.all(container):
+        for ul in box.all("ul"):
+            seen.update({id(li): li for li in ul.all("li")})
+    out = []
+    for pos, li in enumerate(seen.values()):
+        anchor = li.first("a")
+        if anchor is None or anchor.attrs.get("href") is None:
+            continue
+        top, bottom, name, number = anchor.first(".top"), anchor.first(".bottom"), None, None
+        if top:
+            name = next(iter(top.text().split()), None)
+        for part in "|".join(bottom.strings()).split("|") if bottom else []:
+            if K.PAGE_LIST_NOTICE_LABEL in part:
+                number = part.strip().replace(K.PAGE_LIST_NOTICE_LABEL, "").strip()
+        out.append((pos, anchor.attrs["href"], name, number))
+    return out
+
+
+def _per_page(pages: DataFrame, key: str, html: str, rows: Callable[[Node], list[tuple]], fields: str,
+              keep: Column | None = None) -> DataFrame:
+    """One parse per page: ``rows`` of the tree with the page's key (and ``keep``); a null page has none."""
+    src = pages.select(F.col(key).alias("__key"), (keep if keep is not None else F.lit("")).alias("__keep"),
+                       F.col(html).alias("__html"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(k, b, *row) for k, b, h in zip(pdf["__key"], pdf["__keep"], pdf["__html"]) if isinstance(h, str)
+                   for row in rows(parse(h))]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    schema = f"`{key}` {src.schema['__key'].dataType.simpleString()}, __keep string, {fields}"
+    names = [key, "__keep", *[f.split()[0] for f in fields.split(", ")]]
+    return src.mapInPandas(run, schema)
 
 
 def detail_records(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """PG11 + SRC8: long form ``(page_id, key, value)``, one row per label; a later label wins.
 
-    Staged projections locate every fragment once per page (an expensive expression used
-    twice is never inlined twice), then the entries are built from the fragments.
     Pivot to a wide table with ``readers.wide_records`` when the label set is known."""
-    h = F.col("__html")
-    a = pages.select(F.col(key).alias("__page"), F.col(html).alias("__html"))
-    b = a.select(
-        "__page",
-        _first(h, r'(?s)<p class="num"[^>]*>(.*?)</p>').alias("num"),
-        _first(h, r'(?s)class="info_box"[^>]*>(.*?)</div>').alias("info"),
-        _first(h, r'(?s)class="tag_wrap"[^>]*>(.*?)</div>').alias("tags"),
-        _first(h, TB_PATTERN).alias("main_tb"),
-        _box_pt40(h).alias("homes"),
-        F.slice(F.coalesce(_sections(h), F.array()), 2, 1 << 20).alias("chunks"),
-    )
-    c = b.withColumn("secs", F.transform("chunks", lambda ch: F.struct(
-        ch.alias("c"), node_text(F.regexp_extract(ch, TITLE_PATTERN, 1)).alias("t")))).drop("chunks")
-    d = c.select("*",
-                 _pick(F.col("secs"), K.PAGE_SECTION_CARE[0]).alias("care"),
-                 _pick(F.col("secs"), K.PAGE_SECTION_HEALTH[0]).alias("health"),
-                 _pick(F.col("secs"), K.PAGE_SECTION_REFERENCE[0]).alias("ref"),
-                 _pick(F.col("secs"), K.PAGE_SECTION_TERMS).alias("terms")).drop("secs")
-    e = d.select("__page", "num", "info", "tags", "main_tb", "homes", "ref",
-                 _first(F.col("care"), TB_PATTERN).alias("care_tb"),
-                 _first(F.col("health"), TB_PATTERN).alias("health_tb"),
-                 _box_pt40(F.col("terms")).alias("terms_box"))
-    entries = F.concat(
-        notice_entries(F.col("num")), info_entries(F.col("info")), tag_entries(F.col("tags")),
-        table_entries(F.col("main_tb"), "", 4),
-        table_entries(F.col("care_tb"), K.PAGE_SECTION_CARE[1], 5),
-        homes_entries(F.col("homes")),
-        table_entries(F.col("health_tb"), K.PAGE_SECTION_HEALTH[1], 7),
-        list_entries(F.col("ref"), K.PAGE_SECTION_REFERENCE[1], 8),
-        terms_entries(F.col("terms_box")),
-    )
-    # a later label wins: an entry is kept when no entry of the same page with the same key
-    # comes later; pages are independent rows, so the dedupe needs no grouping and no shuffle
-    ent = e.select("__page", entries.alias("__e"))
-    kept = F.filter("__e", lambda x: ~F.exists("__e", lambda y: y["key"].eqNullSafe(x["key"]) & (y["ord"] > x["ord"])))
-    return (ent.select("__page", F.explode(kept).alias("e"))
-            .select(F.col("__page").alias(key), F.col("e.key").alias("key"), F.col("e.value").alias("value")))
-
-
-def list_items(pages: DataFrame, base: str | Column, container: str = '<div class="lst_wrap"',
+    return _per_page(pages, key, html, lambda root: list(page_record(root).items()), "key string, value string") \
+        .drop("__keep")
+
+
+def list_items(pages: DataFrame, base: str | Column, container: str = "div.lst_wrap",
                key: str = "page_id", html: str = "html") -> DataFrame:
     """PG1: ``(page_id, pos, 상세링크, 이름, 공고번호)`` for each ``li`` with an anchor in the container.
 
     Link = base + href; name = first word of the anchor's ``.top`` text (null without it);
     number = text after '공고번호' in the ``.bottom`` block (null without it)."""
-    seg = _first(F.col(html), "(?s)" + container + r"[^>]*>(.*?)</ul>")
-    base_c = F.lit(base) if isinstance(base, str) else base
-    items = pages.select(key, base_c.alias("__base"),
-                         F.posexplode(F.coalesce(_all(seg, r"(?s)<li[^>]*>(.*?)</li>"), F.array())).alias("pos", "li"))
-    li = F.col("li")
-    href = _first(li, r'(?s)<a\s[^>]*?href="([^"]*)"')
-    top = _first(li, r'(?s)class="top"[^>]*>(.*?)</(?:p|div|span|strong)>')
-    top_text = node_text(top)
-    name = F.nullif(F.element_at(F.split(top_text, WS_CLASS + "+"), 1), F.lit(""))
-    bottom = _first(li, r'(?s)class="bottom"[^>]*>(.*?)</(?:p|div)>')
-    parts = F.transform(F.split(bottom, r"<[^>]*>"), lambda s: pystrip(_decode(s)))
-    numbers = F.filter(parts, lambda s: s.contains(K.PAGE_LIST_NOTICE_LABEL))
-    number = F.try_element_at(F.transform(numbers, lambda s: pystrip(F.replace(s, F.lit(K.PAGE_LIST_NOTICE_LABEL),
-                                                                               F.lit("")))), F.lit(-1))
-    return (items.where(href.isNotNull())
-            .select(key, F.col("pos").cast("long").alias("pos"),
-                    F.concat(F.col("__base"), href).alias(K.PAGE_ITEM_LINK),
-                    name.alias(K.PAGE_ITEM_NAME), number.alias(K.PAGE_KEY_NOTICE)))
+    items = _per_page(pages, key, html, lambda root: page_items(root, container),
+                      "pos long, href string, name string, number string", F.lit(base) if isinstance(base, str) else base)
+    return items.select(key, "pos", F.concat("__keep", "href").alias(K.PAGE_ITEM_LINK), F.col("name").alias(K.PAGE_ITEM_NAME),
+                        F.col("number").alias(K.PAGE_KEY_NOTICE))
 
 
 def site_root(url: Column) -> Column:
@@ -232,23 +148,14 @@ def site_root(url: Column) -> Column:
     return F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+)", 1)
 
 
-def page_texts(pages: DataFrame, container_tag: str = "article", key: str = "page_id",
-               html: str = "html") -> DataFrame:
-    """PG4 on arbitrary pages: ``<p>`` texts of the first ``container_tag`` block, ', '-joined."""
-    wrap = _first(F.col(html), f"(?s)<{container_tag}[^>]*>(.*?)</{container_tag}>")
-    ps = F.transform(_all(wrap, r"(?s)<p[^>]*>(.*?)</p>"), node_text)
-    return pages.select(key, F.when(wrap.isNotNull(), F.array_join(ps, ", ")).alias("texts"),
-                        F.when(wrap.isNotNull(), F.size(ps)).cast("long").alias("n_paragraphs"))
-
-
-def merge_list_detail(items: DataFrame, details_long: DataFrame, link_col: str = K.PAGE_ITEM_LINK,
-                      mode: str = "always") -> DataFrame:
-    """JN6: a list item's notice number replaced by its detail page's (``always``: even by a
-    null, as a dict update does; ``non_null``: only by a value).  ``details_long`` holds
-    ``(link, key, value)`` rows."""
-    det = (details_long.where(F.col("key") == K.PAGE_KEY_NOTICE)
-           .select(F.col(link_col), F.col("value").alias("__d"), F.lit(True).alias("__hit")))
-    j = items.join(det, link_col, "left")
-    cur = F.col(K.PAGE_KEY_NOTICE)
-    merged = F.when(F.col("__hit"), F.col("__d")).otherwise(cur) if mode == "always" else F.coalesce(F.col("__d"), cur)
-    return j.withColumn(K.PAGE_KEY_NOTICE, merged).drop("__d", "__hit")
+def page_texts(pages: DataFrame, container: str = "article", key: str = "page_id", html: str = "html") -> DataFrame:
+    """PG4 on arbitrary pages: the ``p`` texts of all ``container`` blocks, ', '-joined, and their
+    number; nulls for a page without the block."""
+    def rows(root: Node) -> list[tuple]:
+        boxes = root.all(container)
+        if not boxes:
+            return [(None, None)]
+        found = {id(p): p for box in boxes for p in box.all("p")}
+        return [(", ".join(p.text() for p in found.values()), len(found))]
+
+    return _per_page(pages, key, html, rows, "texts string, n_paragraphs long").drop("__keep")

@@ -14,16 +14,10 @@ from pawgrid.functions.describe import candidate_text
 from pawgrid.functions.text import format_fixed, pystrip
 
 
-BROADCAST_TOP_ROWS = 2_000_000
-
-
-def candidate_rows(top: DataFrame, listings: DataFrame, uid: str = "uid",
-                   link_prefix: str = K.LINK_PREFIX, top_bound: int | None = None) -> DataFrame:
+def candidate_rows(top: DataFrame, listings: DataFrame, link_prefix: str, uid: str = "uid") -> DataFrame:
     """PRJ11: ``(qid, rank, uid, similarity)`` + the listing fields of each candidate.
 
-    With a proven row bound for ``top`` (``top_bound``, from ``top_k_similar_bounded``) at most
-    ``BROADCAST_TOP_ROWS``, the top-k table is broadcast and the listing table is streamed
-    without a shuffle; otherwise the join strategy is left to AQE."""
+    Every row of ``top`` stays, whatever the sizes; a uid that is no listing has null fields."""
     d = K.CANDIDATE_DEFAULTS
 
     def get(c: str, default=None) -> Column:
@@ -41,20 +35,15 @@ def candidate_rows(top: DataFrame, listings: DataFrame, uid: str = "uid",
     )
     link = F.when(F.col("uid").isNull() | (F.col("uid").cast("string") == ""), F.lit(K.NO_LINK)) \
         .otherwise(F.concat(F.lit(link_prefix), F.col("uid").cast("string")))
-    if top_bound is not None and top_bound <= BROADCAST_TOP_ROWS:
-        # every top-k uid comes from the listing table, so the inner join loses no candidate;
-        # the bounded top-k side is the build side and the listing table is not shuffled
-        joined = lst.join(F.broadcast(top), "uid", "inner")
-    else:
-        joined = top.join(lst, "uid", "left")
-    return joined.withColumn("link", link)
+    return top.join(lst, "uid", "left").withColumn("link", link)
 
 
-def with_candidate_text(cands: DataFrame, out: str = "description") -> DataFrame:
-    """RR2: the per-candidate description used in the prompt."""
+def with_candidate_text(cands: DataFrame, out: str = "description", personality_length: int | None = None,
+                        story_length: int | None = None) -> DataFrame:
+    """RR2: the per-candidate description used in the prompt; whole texts unless lengths are given."""
     return cands.withColumn(out, candidate_text(F.col("gender"), F.col("weight"), F.col("personality_tags"),
                                                 F.col("personality_desc"), F.col("special_needs"),
-                                                F.col("rescue_story")))
+                                                F.col("rescue_story"), personality_length, story_length))
 
 
 def prompts(cands: DataFrame, queries: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
@@ -73,10 +62,12 @@ def prompts(cands: DataFrame, queries: DataFrame, qid: str = "qid", text: str =
             .select(qid, F.concat(head, F.col("body"), F.lit(K.PROMPT_TAIL)).alias("prompt")))
 
 
-def parse_replies(replies: DataFrame, qid: str = "qid", reply: str = "reply") -> DataFrame:
+def parse_replies(replies: DataFrame, qid: str = "qid", reply: str = "reply",
+                  picks: int = K.FALLBACK_PICKS) -> DataFrame:
     """RR3: reply text -> ``(qid, item, name, reason)``.
 
-    Lines are stripped.  A line starting ``1.``..``5.`` opens an item (name = text after the
+    Lines are stripped.  A line starting ``1.``..``<picks>.`` (the number of picks that the prompt
+    asked for) opens an item (name = text after the
     last ``이름:``, when present); a line starting ``이유:`` sets the reason of the open item,
     later ones overwrite.  An item opened without a name is dropped with its reason; other
     numbers open nothing.  ``item`` numbers the kept items 1.. in reply order (WIN2).
@@ -94,8 +85,8 @@ def parse_replies(replies: DataFrame, qid: str = "qid", reply: str = "reply") ->
 
     def opens(line: Column) -> Column:
         out = F.lit(False)
-        for p in K.REPLY_ITEM_PREFIXES:
-            out = out | line.startswith(p)
+        for i in range(1, picks + 1):
+            out = out | line.startswith(f"{i}.")
         return out
 
     staged = staged.select(qid, "__lines", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
@@ -144,7 +135,7 @@ def final_picks(picks: DataFrame, cands: DataFrame, qid: str = "qid",
     return chosen.unionByName(fb)
 
 
-def recommendation_log(picks: DataFrame, queries: DataFrame, satisfaction: Column | None = None,
+def pick_log(picks: DataFrame, queries: DataFrame, satisfaction: Column | None = None,
                        ts: Column | None = None, qid: str = "qid", text: str = "text") -> DataFrame:
     """SNK5 rows: ``(timestamp, user_query, rank, animal_name, reason, satisfaction)`` with the
     defaults for a missing name / reason; rank is the pick's position 1.. (WIN2)."""

@@ -22,16 +22,14 @@ def value_counts(df: DataFrame, col: str | Column, name: str = "key") -> DataFra
             .orderBy(F.desc("n"), F.asc(name)))
 
 
-def share(df: DataFrame, col: str, total: int | None = None) -> DataFrame:
+def share(df: DataFrame, col: str) -> DataFrame:
     """AGG2: per value count and percentage of all rows (nulls form their own key).
 
-    The total is one scalar (a column-pruned count, or given by the caller), so the grouped
-    counts stay distributed whatever the number of distinct values — no single-partition
-    window and no join."""
-    if total is None:
-        total = df.count()
+    The total is a scalar subquery of the plan (a column-pruned count), so nothing runs before the
+    caller's action and the grouped counts stay distributed whatever their number."""
     counts = df.groupBy(F.col(col).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("key", "n", F.round(F.col("n") * 100.0 / F.lit(float(max(total, 1))), 6).alias("pct"))
+    total = df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    return counts.select("key", "n", F.round(F.col("n") * 100.0 / total, 6).alias("pct"))
 
 
 def state_share(df: DataFrame, state_col: str = "state") -> DataFrame:
@@ -110,6 +108,23 @@ def summary(df: DataFrame, open_value: str = K.OPEN_STATE) -> DataFrame:
     )
 
 
+def full_summary(df: DataFrame, open_value: str = K.OPEN_STATE, top: int = 10) -> DataFrame:
+    """AGG9 + PIPE8: ``summary`` with the sex, care-type and region distributions and the ``top`` most
+    frequent regions and care types, tidy ``(facet, key, n)``."""
+    one = summary(df, open_value)
+    names = ["total", "available", "average_age", "average_weight"]
+    totals = one.select(F.explode(F.array(*[F.struct(F.lit("all").alias("facet"), F.lit(c).alias("key"),
+                                                     F.col(c).cast("double").alias("n")) for c in names])).alias("p")).select("p.*")
+    sides = {"sex": "gender", "care_type": "care_type", "region": "rescue_location"}
+    pairs = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(c).cast("string").alias("key")) for f, c in sides.items()])
+    counts = (df.select(F.explode(pairs).alias("p")).select("p.facet", "p.key").where(F.col("key").isNotNull())
+              .groupBy("facet", "key").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), F.asc("key")))
+    leaders = (counts.where(F.col("facet").isin("region", "care_type")).withColumn("__rn", rank)
+               .where(F.col("__rn") <= top).select(F.concat(F.lit("top_"), "facet").alias("facet"), "key", "n"))
+    return totals.unionByName(counts).unionByName(leaders)
+
+
 def distinct_tags(df: DataFrame, tags: str = "hashtags") -> DataFrame:
     """AGG10: every distinct tag (flattened), with its listing count."""
     return (df.select(F.explode(tags).alias("tag")).where(F.col("tag").isNotNull())

@@ -1,26 +1,20 @@
 """Dense vectors: normalisation, cosine, exact top-k for many queries, batch embedding.
 
 Exact cosine top-k (EMB4, EMB5, JN3–JN5, WIN1) is brute force by definition: every query meets
-every eligible item.  Two physical strategies, both exact, neither emits all pairs:
-
-* **broadcast** (query set size checked against ``max_broadcast_bytes``): the normalised query
-  block is broadcast once; items are scanned in place with ``mapInPandas`` (no item shuffle;
-  splits merged into ``TASKS_PER_CORE`` waves per core), each task keeps only its top-k per
-  query; a final ``row_number`` window (Spark adds a partial ``WindowGroupLimit`` before the
-  exchange) picks the global top-k.
-* **grid** (query set too large to broadcast): queries are hashed into ``QB`` blocks, items into
-  ``IB`` blocks; each query row is replicated IB times and each item row QB times, and each
-  (qb, ib) cell runs one block matmul inside ``cogroup().applyInPandas``, again emitting only
-  top-k per query.  Cell size is bounded by the block parameters, not by the data.
+every eligible item.  One plan serves every size: queries and items are hashed into blocks of
+``block_rows`` rows (the same bound on both sides keeps the copied rows, items x query blocks +
+queries x item blocks, least for a given task memory); each (query block, item block) cell is one
+block product inside ``cogroup().applyInPandas`` that emits its top-k per query, and a window over
+those rows (with Spark's partial limit before the exchange) merges them.  Block counts are scalar
+subqueries of the plan: nothing runs while the plan is built and no row passes through the driver.
 
 Hard constraints (the size/age/sex slots) ride along as a small integer: each query carries a
-``slot_group`` (0..62) and each item a ``slot_mask`` bit set of the groups it satisfies, so
-eligibility is one bit test inside the kernel.
+``slot_group`` (0..35) and each item a ``slot_mask`` bit set of the groups it satisfies, so
+eligibility is one bit test inside the kernel.  An item without a vector ranks with similarity 0.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,10 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESULT_SCHEMA = "qid long, uid long, similarity double"
-QUERY_BLOCK = 1024          # queries per kernel matmul chunk
-MAX_BROADCAST_BYTES = 256 << 20
-TASKS_PER_CORE = 4          # item tasks per core in the broadcast strategy (bounds the partial top-k rows)
+QUERY_BLOCK = 256           # queries per kernel matmul chunk
+BLOCK_ROWS = 16384          # rows of a query or an item block
+TIE_DIGITS = 9              # similarities equal to so many decimals tie, and the smaller uid comes first
+LEAST_ITEMS = 128           # items are not cut into smaller blocks than this to occupy more tasks
 
 
 # ----------------------------------------------------------------------------------------------
@@ -69,7 +63,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 # ----------------------------------------------------------------------------------------------
-# Kernel (pure numpy; shared by both strategies)
+# Kernel (pure numpy)
 # ----------------------------------------------------------------------------------------------
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     m = np.asarray(m, dtype=np.float64)
@@ -78,11 +72,16 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / n[:, None]
 
 
-def _stack(vectors) -> np.ndarray:
+def _stack(vectors, dim: int | None = None) -> np.ndarray:
+    """Rows of a matrix; a missing vector is a zero row."""
     vs = list(vectors)
-    if not vs:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vs])
+    if dim is None:
+        dim = next((len(v) for v in vs if v is not None), 0)
+    out = np.zeros((len(vs), dim))
+    for i, v in enumerate(vs):
+        if v is not None:
+            out[i] = v
+    return out
 
 
 def block_topk(qids: np.ndarray, qgroups: np.ndarray, qmat: np.ndarray,
@@ -94,7 +93,7 @@ def block_topk(qids: np.ndarray, qgroups: np.ndarray, qmat: np.ndarray,
     out = []
     n = imat.shape[0]
     if n == 0 or len(qids) == 0:
-        return pd.DataFrame({"qid": np.array([], np.int64), "uid": np.array([], np.int64),
+        return pd.DataFrame({"qid": qids[:0], "uid": np.array([], np.int64),
                              "similarity": np.array([], np.float64)})
     for s in range(0, len(qids), QUERY_BLOCK):
         q = qmat[s:s + QUERY_BLOCK]
@@ -102,39 +101,34 @@ def block_topk(qids: np.ndarray, qgroups: np.ndarray, qmat: np.ndarray,
         sims = q @ imat.T
         eligible = ((masks[None, :] >> g[:, None]) & 1).astype(bool)
         sims = np.where(eligible, sims, -np.inf)
+        order_by = np.round(sims, TIE_DIGITS)
         kk = min(k, n)
         if kk < n:
-            part = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
-            kth = np.take_along_axis(sims, part, axis=1).min(axis=1)
-            keep = sims >= kth[:, None]
+            part = np.argpartition(-order_by, kk - 1, axis=1)[:, :kk]
+            kth = np.take_along_axis(order_by, part, axis=1).min(axis=1)
+            keep = order_by >= kth[:, None]
         else:
             keep = np.ones_like(sims, dtype=bool)
         keep &= np.isfinite(sims)
         r, c = np.nonzero(keep)
         vals = sims[r, c]
-        order = np.lexsort((uids[c], -vals, r))
+        order = np.lexsort((uids[c], -order_by[r, c], r))
         r, c, vals = r[order], c[order], vals[order]
         starts = np.searchsorted(r, np.arange(len(q)))
         rank = np.arange(len(r)) - starts[r]
         sel = rank < k
-        out.append(pd.DataFrame({"qid": qids[s:s + QUERY_BLOCK][r[sel]].astype(np.int64),
+        out.append(pd.DataFrame({"qid": qids[s:s + QUERY_BLOCK][r[sel]],
                                  "uid": uids[c[sel]].astype(np.int64),
                                  "similarity": vals[sel].astype(np.float64)}))
     return pd.concat(out, ignore_index=True)
 
 
-def reduce_topk(df: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Merge partial top-k rows: best k per query by (similarity desc, uid asc)."""
-    df = df.sort_values(["qid", "similarity", "uid"], ascending=[True, False, True], kind="mergesort")
-    return df.groupby("qid", sort=False).head(k)
-
-
 # ----------------------------------------------------------------------------------------------
 # Distributed top-k
 # ----------------------------------------------------------------------------------------------
 def _prep_queries(queries: DataFrame, qid: str, vec: str, group: str | None) -> DataFrame:
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
-    return queries.select(F.col(qid).cast("long").alias("qid"), g.alias("slot_group"),
+    return queries.select(F.col(qid).alias("qid"), g.alias("slot_group"),
                           F.col(vec).alias("qvec"))
 
 
@@ -144,108 +138,44 @@ def _prep_items(items: DataFrame, uid: str, vec: str, mask: str | None) -> DataF
 
 
 def _final_topk(partial: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.asc("uid"))
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", TIE_DIGITS)), F.asc("uid"))
     return (partial.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
             .select("qid", F.col("rank").cast("long").alias("rank"), "uid", "similarity"))
 
 
-def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, **kw) -> DataFrame:
-    """Exact cosine top-k per query: ``(qid, rank, uid, similarity)``; see ``top_k_similar_bounded``."""
-    return top_k_similar_bounded(queries, items, k, **kw)[0]
-
-
-def top_k_similar_bounded(queries: DataFrame, items: DataFrame, k: int = 10, *,
+def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, *,
                   qid: str = "qid", q_vec: str = "embedding", q_group: str | None = None,
                   uid: str = "uid", i_vec: str = "embedding", i_mask: str | None = None,
-                  dim: int | None = None, strategy: str = "auto",
-                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-                  query_block_rows: int = 4096, item_block_rows: int = 16384) -> DataFrame:
+                  block_rows: int = BLOCK_ROWS, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Exact cosine top-k per query: ``(qid, rank, uid, similarity)``; rank 1..min(k, eligible).
 
     ``q_group`` / ``i_mask`` name the slot group / eligibility bit-set columns (see
-    ``pawgrid.operators.preferences``); without them every item is eligible.
-
-    Returns ``(top, bound)``: ``bound`` is a proven upper bound on the rows of ``top``
-    (queries x k) when the broadcast strategy ran, else None.
+    ``pawgrid.operators.preferences``); without them every item is eligible.  ``sizes`` names frames
+    with as many rows as queries and items where counting those would repeat an embedding job.
     """
     q = _prep_queries(queries, qid, q_vec, q_group)
     it = _prep_items(items, uid, i_vec, i_mask)
-    if dim is None:
-        first = q.select(F.size("qvec").alias("d")).head(1)
-        dim = int(first[0]["d"]) if first else 0
-    max_rows = max(1, max_broadcast_bytes // (max(dim, 1) * 8))
-    rows = None
-    if strategy in ("auto", "broadcast"):
-        # one bounded pass: at most max_rows + 1 query rows ever reach the driver, and the
-        # query side (possibly an embedding job) is evaluated once on this path
-        rows = q.limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            if strategy == "broadcast":
-                raise ValueError(f"more than {max_rows} queries of dim {dim} exceed max_broadcast_bytes")
-            rows = None
-    if rows is not None:
-        return _final_topk(_broadcast_partial(q.sparkSession, rows, it, k), k), len(rows) * k
-    return _final_topk(_grid_partial(q, it, k, q.count(), query_block_rows, item_block_rows), k), None
-
-
-def _broadcast_partial(spark, rows: list, it: DataFrame, k: int) -> DataFrame:
-    """``rows``: the query block, already bounded by the caller."""
-    qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    groups = np.array([r["slot_group"] for r in rows], dtype=np.int64)
-    qmat = _unit_rows(_stack(r["qvec"] for r in rows)) if rows else np.zeros((0, 0))
-    bc = spark.sparkContext.broadcast((qids, groups, qmat))
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b_qids, b_groups, b_qmat = bc.value
-        if len(b_qids) == 0:
-            return
-        kept: list[pd.DataFrame] = []
-        n_kept = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            imat = _unit_rows(_stack(pdf["ivec"]))
-            part = block_topk(b_qids, b_groups, b_qmat, pdf["uid"].to_numpy(np.int64),
-                              pdf["slot_mask"].to_numpy(np.int64), imat, k)
-            kept.append(part)
-            n_kept += len(part)
-            if n_kept > 4 * k * len(b_qids):          # keep task memory at O(queries x k)
-                kept = [reduce_topk(pd.concat(kept, ignore_index=True), k)]
-                n_kept = len(kept[0])
-        if kept:
-            yield reduce_topk(pd.concat(kept, ignore_index=True), k)   # one emission per task
-
-    # every task emits up to queries x k rows, so the partial rows grow with the task count: the
-    # item splits are merged (narrow coalesce, no shuffle) into a few waves per core, which bounds
-    # the final top-k shuffle by the cluster size instead of the data size; a smaller input is
-    # left as it is
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    return it.coalesce(tasks).mapInPandas(kernel, RESULT_SCHEMA)
-
-
-def _grid_partial(q: DataFrame, it: DataFrame, k: int, n_q: int, query_block_rows: int,
-                  item_block_rows: int) -> DataFrame:
-    spark = q.sparkSession
-    n_i = it.count()
-    parallelism = spark.sparkContext.defaultParallelism
-    qb_n = max(1, math.ceil(n_q / query_block_rows))
-    ib_n = max(1, math.ceil(n_i / item_block_rows), min(parallelism, max(1, n_i // 64)))
-    qrep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb_n)))
-            .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib_n - 1)).cast("array<long>"))))
-    irep = (it.withColumn("ib", F.pmod(F.xxhash64("uid"), F.lit(ib_n)))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb_n - 1)).cast("array<long>"))))
+    parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_q, n_i = (f.agg(F.count(F.lit(1)).alias("n")).scalar() for f in sizes or (q, it))
+    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(n_q / block_rows))
+    cells = F.greatest(F.lit(1).cast("long"), F.ceil(n_i / block_rows),
+                       F.least(F.lit(parts).cast("long"), F.ceil(n_i / LEAST_ITEMS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = (q.withColumn("qn", blocks).withColumn("in", cells)
+         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("qn"))).withColumn("ib", every("in")).drop("qn", "in"))
+    it = (it.withColumn("qn", blocks).withColumn("in", cells)
+          .withColumn("ib", F.pmod(F.xxhash64("uid"), F.col("in"))).withColumn("qb", every("qn")).drop("qn", "in"))
 
     def cell(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or ipdf.empty:
-            return pd.DataFrame({"qid": [], "uid": [], "similarity": []}).astype(
-                {"qid": "int64", "uid": "int64", "similarity": "float64"})
-        return block_topk(qpdf["qid"].to_numpy(np.int64), qpdf["slot_group"].to_numpy(np.int64),
-                          _unit_rows(_stack(qpdf["qvec"])), ipdf["uid"].to_numpy(np.int64),
-                          ipdf["slot_mask"].to_numpy(np.int64), _unit_rows(_stack(ipdf["ivec"])), k)
+        qmat = _stack(qpdf["qvec"])
+        return block_topk(qpdf["qid"].to_numpy(), qpdf["slot_group"].to_numpy(np.int64), _unit_rows(qmat),
+                          ipdf["uid"].to_numpy(np.int64), ipdf["slot_mask"].to_numpy(np.int64),
+                          _unit_rows(_stack(ipdf["ivec"], qmat.shape[1])), k)
 
-    return (qrep.groupBy("qb", "ib").cogroup(irep.groupBy("qb", "ib"))
-            .applyInPandas(cell, RESULT_SCHEMA))
+    schema = f"qid {q.schema['qid'].dataType.simpleString()}, uid long, similarity double"
+    partial = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(cell, schema)
+    return _final_topk(partial, k)
 
 
 def top_k_for_vector(items: DataFrame, vector: list[float], k: int = 5, *, uid: str = "uid",
@@ -272,31 +202,32 @@ def top_k_for_vector(items: DataFrame, vector: list[float], k: int = 5, *, uid:
 # ----------------------------------------------------------------------------------------------
 # Batch embedding (EMB1–EMB3, WIN5, AGG13)
 # ----------------------------------------------------------------------------------------------
-def hashing_embedder(dim: int = 64, seed: int = 17) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic stand-in embedder: signed feature hashing of lower-cased word tokens.
-
-    Real deployments inject a model client; this one needs no network and no model files.
-    Tokens are counted per text first (C-level ``Counter``) and each distinct token is hashed
-    once per batch."""
-    import re
+def hashing_embedder(dim: int = 64, fail_on: str | None = None) -> Callable[[list[str]], list[list[float]]]:
+    """A deterministic stand-in embedder: signed feature hashing of lower-cased words.
+
+    Words are the non-empty pieces between single spaces; the first 8 hex digits of a word's md5
+    choose its place, the ninth its sign.  Real deployments inject a model client; this one needs
+    no network, no model files and only the standard library.  A batch that holds a text with
+    ``fail_on`` fails, as a remote call may."""
+    import hashlib
     from collections import Counter
 
-    import xxhash
-
-    token = re.compile(r"\w+", re.UNICODE)
-
     def embed(texts: list[str]) -> list[list[float]]:
+        if fail_on and any(fail_on in (t or "") for t in texts):
+            raise ValueError("text refused")
         cache: dict[str, tuple[int, float]] = {}
         out = []
         for t in texts:
-            v = np.zeros(dim, dtype=np.float64)
-            for w, n in Counter(token.findall((t or "").lower())).items():
+            v = [0.0] * dim
+            for w, n in Counter((t or "").lower().split(" ")).items():
+                if not w:
+                    continue
                 hit = cache.get(w)
                 if hit is None:
-                    h = xxhash.xxh64_intdigest(w, seed=seed)
-                    hit = cache[w] = (h % dim, 1.0 if (h >> 63) & 1 else -1.0)
+                    h = hashlib.md5(w.encode()).hexdigest()
+                    hit = cache[w] = (int(h[:8], 16) % dim, 1.0 if h[8] >= "8" else -1.0)
                 v[hit[0]] += hit[1] * n
-            out.append(v.tolist())
+            out.append(v)
         return out
 
     return embed

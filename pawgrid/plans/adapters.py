@@ -209,13 +209,13 @@ TEXT_SLOT_RULES = {
 
 
 def user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of the conversations as queries ``(qid, text)``; qid = conv_id * 1000 + turn."""
+    """User turns of the conversations as queries ``(qid, text)``; qid = conversation and turn, as text."""
     c = table(spark, sf_dir, "conversations", wide=True, key="conv_id")
-    return c.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    return c.where(F.col("role") == "user").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
 
 
 USER_QUERIES_SQL = """
-SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user'
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid, text FROM conversations WHERE role = 'user'
 """
 
 

@@ -30,6 +30,7 @@ from pawgrid.plans import sqltext as X
 from pawgrid.sources import readers as RD
 
 AS_OF = "2026-12-01"
+LINK_PREFIX = "https://site.example/listing/"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -76,6 +77,8 @@ FILTERS = {
     "filter_health": ({"health_requirements": {"min_vaccinations": 2, "exclude_conditions": ["red"]}},
                       "NOT health_null AND NOT coalesce(len(vaccination) > 0 AND len(vaccination) < 2, false) "
                       "AND NOT coalesce(medical_history <> '' AND contains(lower(medical_history), 'red'), false)"),
+    "filter_no_history": ({"health_requirements": {"no_medical_history": True}},
+                          "NOT health_null AND coalesce(medical_history, '') = ''"),
     "filter_care": ({"care_preferences": {"max_duration": 8, "pickup_method": "delivery",
                                           "exclude_conditions": ["promo"]}},
                     "NOT care_null AND NOT coalesce(care_duration <> 0 AND care_duration > 8, false) "
@@ -206,33 +209,29 @@ def q_export_flat(spark: SparkSession, d: str) -> DataFrame:
 # Vector recommendation (EMB4–EMB5, JN3–JN5, WIN1, SRT3, PRJ11, FLT16–FLT19)
 # ================================================================================================
 def _items(spark: SparkSession, d: str, with_mask: bool = False) -> DataFrame:
-    """Open listings joined to their vectors on uid (JN3)."""
+    """Open listings with their vectors on uid (JN3); a listing without a vector stays (similarity 0)."""
     raw = A.raw_listings(spark, d, long_text=False)
     open_ = RD.open_listings(raw)
     cols = [F.col("uid"), F.col("embedding")]
     if with_mask:
         cols.append(PR.slot_mask().alias("slot_mask"))
-    return open_.join(A.vectors(spark, d).select("uid", "embedding"), "uid", "inner").select(*cols)
+    return open_.join(A.vectors(spark, d).select("uid", "embedding"), "uid", "left").select(*cols)
 
 
-def recommend_bounded(spark: SparkSession, d: str, k: int = 10, filtered: bool = False, **kw):
+def recommend(spark: SparkSession, d: str, k: int = 10, filtered: bool = False, **kw) -> DataFrame:
     queries = A.vector_queries(spark, d)
     if filtered:
         queries = queries.withColumn("slot_group", PR.slot_group())
     items = _items(spark, d, with_mask=filtered)
-    return V.top_k_similar_bounded(queries, items, k, q_group="slot_group" if filtered else None,
-                                   i_mask="slot_mask" if filtered else None, **kw)
-
-
-def recommend(spark: SparkSession, d: str, k: int = 10, filtered: bool = False, **kw) -> DataFrame:
-    return recommend_bounded(spark, d, k, filtered, **kw)[0]
+    return V.top_k_similar(queries, items, k, q_group="slot_group" if filtered else None,
+                           i_mask="slot_mask" if filtered else None, **kw)
 
 
 _ITEMS_SQL = (", items AS (SELECT r.uid, CAST(e.embedding AS DOUBLE[]) AS v, r.addinfo03, r.addinfo05, "
-              f"{X.strict_double('r.addinfo07')} AS w FROM raw r JOIN embeddings e ON e.vec_id = r.uid "
+              f"{X.strict_double('r.addinfo07')} AS w FROM raw r LEFT JOIN embeddings e ON e.vec_id = r.uid "
               "WHERE r.state = '임보가능')"
               f", qs AS (SELECT qid, CAST(embedding AS DOUBLE[]) AS v, size, age, gender FROM ({A.VQUERIES_SQL}))")
-_COS = ("CASE WHEN list_dot_product(q.v, q.v) = 0 OR list_dot_product(i.v, i.v) = 0 THEN 0.0 ELSE "
+_COS = ("CASE WHEN i.v IS NULL OR list_dot_product(q.v, q.v) = 0 OR list_dot_product(i.v, i.v) = 0 THEN 0.0 ELSE "
         "list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(i.v, i.v))) END")
 _SLOT_OK = ("(q.size IS NULL OR (q.size = '소형' AND i.w < 7) OR (q.size = '중형' AND i.w >= 7 AND i.w < 20) "
             "OR (q.size = '대형' AND i.w >= 20)) "
@@ -256,9 +255,8 @@ def q_recommend_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @register("recommend_topk_grid", _topk_sql(False))
 def q_recommend_topk_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Same answer through the grid strategy (forced), proving both plans agree."""
-    return recommend(spark, d, strategy="grid", query_block_rows=256,
-                     item_block_rows=128).withColumn("similarity", F.round("similarity", 6))
+    """Same answer with small blocks (several query and item blocks at any size)."""
+    return recommend(spark, d, block_rows=128).withColumn("similarity", F.round("similarity", 6))
 
 
 @register("recommend_topk_filtered", _topk_sql(True))
@@ -267,7 +265,7 @@ def q_recommend_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ZERO_ITEMS = (", items AS (SELECT r.uid, CASE WHEN e.label = 9 THEN list_transform(CAST(e.embedding AS DOUBLE[]), "
-               "lambda x: 0.0) ELSE CAST(e.embedding AS DOUBLE[]) END AS v FROM raw r JOIN embeddings e "
+               "lambda x: 0.0) ELSE CAST(e.embedding AS DOUBLE[]) END AS v FROM raw r LEFT JOIN embeddings e "
                "ON e.vec_id = r.uid WHERE r.state = '임보가능')"
                f", qs AS (SELECT qid, CASE WHEN label = 8 THEN list_transform(CAST(embedding AS DOUBLE[]), "
                f"lambda x: 0.0) ELSE CAST(embedding AS DOUBLE[]) END AS v FROM ({A.VQUERIES_SQL}))")
@@ -283,7 +281,7 @@ def q_recommend_zero_vector(spark: SparkSession, d: str) -> DataFrame:
         return F.when(cond, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
     queries = A.vector_queries(spark, d).withColumn("embedding", zero_if(F.col("label") == 8))
     vec = A.vectors(spark, d).withColumn("embedding", zero_if(F.col("label") == 9))
-    items = RD.open_listings(A.raw_listings(spark, d, long_text=False)).join(vec.select("uid", "embedding"), "uid")
+    items = RD.open_listings(A.raw_listings(spark, d, long_text=False)).join(vec.select("uid", "embedding"), "uid", "left")
     return V.top_k_similar(queries, items, 10).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -302,7 +300,7 @@ def _cand_desc_sql(alias: str = "r") -> str:
             "CASE WHEN coalesce({r}.addinfo10, '') <> '' THEN '상세설명: ' || ({t10}) END, "
             "CASE WHEN coalesce({r}.addinfo16, '') <> '' THEN '특별요구: ' || {r}.addinfo16 END, "
             "CASE WHEN coalesce({r}.addinfo09, '') <> '' THEN '구조배경: ' || ({t09}) END)").format(
-        r=r, t10=X.truncate(f"{r}.addinfo10", 200), t09=X.truncate(f"{r}.addinfo09", 150))
+        r=r, t10=f"{r}.addinfo10", t09=f"{r}.addinfo09")
 
 
 _CANDS_SQL = (
@@ -312,7 +310,7 @@ _CANDS_SQL = (
     "CAST(r.addinfo07 AS VARCHAR) AS weight, "
     "coalesce(r.addinfo05, '나이미정') AS age, coalesce(r.addinfo04, '중성화미정') AS neuter, "
     "coalesce(r.kind, '임보종류미정') AS kind, r.state, "
-    f"'{K.LINK_PREFIX}' || CAST(t.uid AS VARCHAR) AS link, {_cand_desc_sql('r')} AS description "
+    f"'{LINK_PREFIX}' || CAST(t.uid AS VARCHAR) AS link, {_cand_desc_sql('r')} AS description "
     "FROM top t LEFT JOIN prepared r ON r.uid = t.uid)")
 
 
@@ -322,8 +320,7 @@ def prepared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    top, bound = recommend_bounded(spark, d)
-    return R.with_candidate_text(R.candidate_rows(top, prepared(spark, d), top_bound=bound))
+    return R.with_candidate_text(R.candidate_rows(recommend(spark, d), prepared(spark, d), LINK_PREFIX))
 
 
 @register("recommend_candidates", with_raw(
@@ -338,9 +335,7 @@ def q_recommend_candidates(spark: SparkSession, d: str) -> DataFrame:
 @register("recommend_single", with_raw(
     f", qv AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0) "
     "SELECT rank, uid, round(sim, 6) AS similarity FROM (SELECT i.uid, "
-    "list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(i.v, i.v))) AS sim, "
-    "row_number() OVER (ORDER BY list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * "
-    "sqrt(list_dot_product(i.v, i.v))) DESC, i.uid) AS rank FROM items i, qv q) t WHERE rank <= 5",
+    f"{_COS} AS sim, row_number() OVER (ORDER BY {_COS} DESC, i.uid) AS rank FROM items i, qv q) t WHERE rank <= 5",
     _ITEMS_SQL))
 def q_recommend_single(spark: SparkSession, d: str) -> DataFrame:
     """PIPE5 / SRT3: one query vector (the first stored vector, read from the table), top 5."""
@@ -393,7 +388,7 @@ def q_clean_query(spark: SparkSession, d: str) -> DataFrame:
 @register("tag_text", with_raw(f"SELECT uid, {X.tag_text('addinfo08')} AS tag_text FROM raw"))
 def q_tag_text(spark: SparkSession, d: str) -> DataFrame:
     """SC3 (reference mode: '#a#b' -> 'ab')."""
-    return A.raw_listings(spark, d).select("uid", T.tag_text("addinfo08").alias("tag_text"))
+    return A.raw_listings(spark, d, long_text=False).select("uid", T.tag_text("addinfo08").alias("tag_text"))
 
 
 _W = X.strict_double("addinfo07")
@@ -408,7 +403,7 @@ _W = X.strict_double("addinfo07")
 def q_size_classes(spark: SparkSession, d: str) -> DataFrame:
     """SC6, SC7, SC8 (three cut sets) over the parsed weight."""
     w = C.strict_double("addinfo07")
-    return A.raw_listings(spark, d).select("uid", C.size_class_a(w).alias("size_a"), C.size_class_b(w).alias("size_b"),
+    return A.raw_listings(spark, d, long_text=False).select("uid", C.size_class_a(w).alias("size_a"), C.size_class_b(w).alias("size_b"),
                                            C.size_class_c(w).alias("size_c"))
 
 
@@ -421,14 +416,14 @@ def _age_phrase_sql(x: str) -> str:
 @register("age_phrase", with_raw(f"SELECT uid, {_age_phrase_sql('addinfo05')} AS age_phrase FROM raw"))
 def q_age_phrase(spark: SparkSession, d: str) -> DataFrame:
     """SC9."""
-    return A.raw_listings(spark, d).select("uid", C.age_phrase("addinfo05").alias("age_phrase"))
+    return A.raw_listings(spark, d, long_text=False).select("uid", C.age_phrase("addinfo05").alias("age_phrase"))
 
 
 @register("age_months", with_raw(
     f"SELECT uid, addinfo05 AS birth, {X.age_months_text('addinfo05', AS_OF)} AS age_months FROM raw"))
 def q_age_months(spark: SparkSession, d: str) -> DataFrame:
     """SC10 with a fixed reference date."""
-    return A.raw_listings(spark, d).select("uid", F.col("addinfo05").alias("birth"),
+    return A.raw_listings(spark, d, long_text=False).select("uid", F.col("addinfo05").alias("birth"),
                                            C.age_months_text("addinfo05", AS_OF).alias("age_months"))
 
 
@@ -484,8 +479,9 @@ def q_text_length_stats(spark: SparkSession, d: str) -> DataFrame:
     ", " + PREPARED_CTE))
 def q_preview(spark: SparkSession, d: str) -> DataFrame:
     """PRJ12: first 3 listings (by uid): name, first 300 characters, length."""
-    # the first rows are chosen on the key before the description is built, so only they are described
-    first = prepared(spark, d).orderBy("uid").limit(3)
+    # the rows are chosen on the key before the free text is joined
+    first = A.raw_listings(spark, d, long_text=False).select("uid").orderBy("uid").limit(3)
+    first = prepared(spark, d).join(first, "uid", "left_semi")
     return SH.preview(D.with_description(first).select("uid", "addinfo01", "description").orderBy("uid"), "description")
 
 
@@ -504,15 +500,12 @@ def _embedding_text_sql() -> str:
                        ("addinfo20", "일상 관리: ")]:
         parts.append(f"CASE WHEN NOT {X.is_blank(col)} THEN '{label}' || {X.strip(col)} END")
     arr = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
-    return (f"(SELECT CASE WHEN length(array_to_string(a, ' ')) > 30000 THEN "
-            f"(CASE WHEN length(array_to_string(a[1:4], ' ')) <= 30000 THEN array_to_string(a[1:4], ' ') "
-            f"ELSE left(array_to_string(a[1:4], ' '), 30000) || '...' END) ELSE array_to_string(a, ' ') END "
-            f"FROM (SELECT {arr} AS a))")
+    return f"array_to_string({arr}, ' ')"
 
 
 @register("embedding_text", with_raw(f"SELECT uid, {_embedding_text_sql()} AS embedding_text FROM raw"))
 def q_embedding_text(spark: SparkSession, d: str) -> DataFrame:
-    """SC12 over every listing, including the 30,000-character cut on long texts."""
+    """SC12 over every listing, whole texts."""
     return D.with_embedding_text(A.raw_listings(spark, d)).select("uid", "embedding_text")
 
 
@@ -524,7 +517,7 @@ def q_embedding_text(spark: SparkSession, d: str) -> DataFrame:
     "FROM raw GROUP BY state"))
 def q_state_share(spark: SparkSession, d: str) -> DataFrame:
     """AGG1 + AGG2: per state count and share."""
-    return ST.state_share(A.raw_listings(spark, d))
+    return ST.state_share(A.raw_listings(spark, d, long_text=False))
 
 
 _AGE_BUCKET_SQL = ("CASE WHEN age IS NULL THEN '나이 불명' WHEN age <= 1 THEN '1세 이하' WHEN age <= 3 THEN '1-3세' "
@@ -556,12 +549,35 @@ def q_top_regions(spark: SparkSession, d: str) -> DataFrame:
     return ST.top_values(A.structured_listings(spark, d).where(P.open_state()), "rescue_location", 10)
 
 
+_FACETS_SQL = ("SELECT 'sex' AS facet, gender AS key, count(*) AS n FROM listings WHERE gender IS NOT NULL GROUP BY gender "
+               "UNION ALL SELECT 'care_type', care_type, count(*) FROM listings WHERE care_type IS NOT NULL GROUP BY care_type "
+               "UNION ALL SELECT 'region', rescue_location, count(*) FROM listings WHERE rescue_location IS NOT NULL "
+               "GROUP BY rescue_location")
+
+
 @register("summary", with_listings(
-    "SELECT count(*) AS total, count_if(status = '임보가능') AS available, round(avg(age), 6) AS average_age, "
-    "round(avg(weight), 6) AS average_weight FROM listings"))
+    "SELECT 'all' AS facet, 'total' AS key, CAST(count(*) AS DOUBLE) AS n FROM listings "
+    "UNION ALL SELECT 'all', 'available', CAST(count_if(status = '임보가능') AS DOUBLE) FROM listings "
+    "UNION ALL SELECT 'all', 'average_age', round(avg(age), 6) FROM listings "
+    "UNION ALL SELECT 'all', 'average_weight', round(avg(weight), 6) FROM listings "
+    f"UNION ALL SELECT facet, key, CAST(n AS DOUBLE) FROM ({_FACETS_SQL}) "
+    "UNION ALL SELECT 'top_region', key, CAST(n AS DOUBLE) FROM (SELECT rescue_location AS key, count(*) AS n FROM listings "
+    "WHERE rescue_location IS NOT NULL GROUP BY 1 ORDER BY n DESC, key LIMIT 10) "
+    "UNION ALL SELECT 'top_care_type', key, CAST(n AS DOUBLE) FROM (SELECT care_type AS key, count(*) AS n FROM listings "
+    "WHERE care_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, key LIMIT 10)"))
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
-    """AGG9."""
-    return ST.summary(A.structured_listings(spark, d))
+    """AGG9 + PIPE8: totals and means, the sex, care-type and region distributions, and the ten most
+    frequent regions and care types, as tidy (facet, key, n)."""
+    return ST.full_summary(A.structured_listings(spark, d))
+
+
+@register("system_stats", with_raw(
+    "SELECT 'state' AS facet, state AS key, count(*) AS n FROM raw WHERE state IS NOT NULL GROUP BY state "
+    "UNION ALL SELECT 'sex', addinfo03, count(*) FROM raw WHERE addinfo03 IS NOT NULL GROUP BY addinfo03"))
+def q_system_stats(spark: SparkSession, d: str) -> DataFrame:
+    """AGG1: state and sex counts."""
+    from pawgrid.plans.recommend import system_stats
+    return system_stats(A.raw_listings(spark, d, long_text=False))
 
 
 @register("distinct_tags", with_listings(
@@ -714,7 +730,8 @@ def composed_replies(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("   이유: "), F.col("p_type")),
         F.when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit("2. "), F.col("p_brand")))
         .otherwise(F.concat(F.lit("2. 이름: "), F.col("p_brand"))),
-        F.lit("   이유: brand reason"),
+        F.when(F.pmod(k, F.lit(4)) != 1, F.lit("   이유: brand reason")),
+        F.when(F.pmod(k, F.lit(11)) == 0, F.lit("4. 이름:")),
         F.when(F.pmod(k, F.lit(2)) == 0, F.concat(F.lit("3. 이름:"), F.col("p_name"))).otherwise(F.lit("3. 이름: a 이름: b")),
         F.when(F.pmod(k, F.lit(5)) == 0, F.lit("6. 이름: six")),
         F.concat(F.lit("   이유: size "), F.col("p_size").cast("string")),
@@ -727,13 +744,13 @@ def composed_replies(spark: SparkSession, d: str) -> DataFrame:
 _REPLIES_SQL = (
     "replies AS (SELECT p_partkey AS qid, p_name AS text, concat_ws(chr(10), '추천 리스트:', '1. 이름: ' || p_name, "
     "'   이유: ' || p_type, CASE WHEN p_partkey % 3 = 0 THEN '2. ' || p_brand ELSE '2. 이름: ' || p_brand END, "
-    "'   이유: brand reason', CASE WHEN p_partkey % 2 = 0 THEN '3. 이름:' || p_name ELSE '3. 이름: a 이름: b' END, "
+    "CASE WHEN p_partkey % 4 <> 1 THEN '   이유: brand reason' END, CASE WHEN p_partkey % 11 = 0 THEN '4. 이름:' END, CASE WHEN p_partkey % 2 = 0 THEN '3. 이름:' || p_name ELSE '3. 이름: a 이름: b' END, "
     "CASE WHEN p_partkey % 5 = 0 THEN '6. 이름: six' END, '   이유: size ' || CAST(p_size AS VARCHAR), "
     "'10. 이름: ten', '이유: 이유: double ') AS reply FROM part)")
 
 
 def _parse_sql(replies: str = "replies") -> str:
-    starts = " OR ".join(f"starts_with(line, '{p}')" for p in K.REPLY_ITEM_PREFIXES)
+    starts = " OR ".join(f"starts_with(line, '{p}')" for p in [f"{i}." for i in range(1, K.FALLBACK_PICKS + 1)])
     return (
         f"lines AS (SELECT qid, unnest(string_split(reply, chr(10))) AS raw, "
         f"unnest(range(len(string_split(reply, chr(10))))) AS pos FROM {replies}), "
@@ -742,8 +759,8 @@ def _parse_sql(replies: str = "replies") -> str:
         "l4 AS (SELECT *, sum(CASE WHEN is_start THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY pos "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seq FROM l3), "
         "its AS (SELECT qid, seq, max(CASE WHEN is_start AND contains(line, '이름:') THEN 1 END) AS named, "
-        f"max(CASE WHEN is_start AND contains(line, '이름:') THEN {X.strip(chr(40) + 'string_split(line, ' + chr(39) + '이름:' + chr(39) + ')[-1]' + chr(41))} END) AS name, "
-        f"arg_max(CASE WHEN NOT is_start AND is_reason THEN {X.strip('replace(line, ' + chr(39) + '이유:' + chr(39) + ', ' + chr(39) + chr(39) + ')')} END, "
+        f"max(CASE WHEN is_start AND contains(line, '이름:') THEN {X.strip("(string_split(line, '이름:')[-1])")} END) AS name, "
+        f"arg_max(CASE WHEN NOT is_start AND is_reason THEN {X.strip("replace(line, '이유:', '')")} END, "
         "CASE WHEN NOT is_start AND is_reason THEN pos END) AS reason FROM l4 WHERE seq > 0 GROUP BY qid, seq), "
         "picks AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY seq) AS item, name, reason "
         "FROM its WHERE named = 1)")
@@ -789,16 +806,16 @@ def q_satisfaction_valid(spark: SparkSession, d: str) -> DataFrame:
     return ev.select("event_id", "text", P.satisfaction_valid("text").alias("satisfaction"))
 
 
-@register("recommendation_log",
+@register("pick_log",
           f"WITH {_REPLIES_SQL}, {_parse_sql()} SELECT '2026-12-01 00:00:00' AS timestamp, r.text AS user_query, "
           "p.item AS rank, coalesce(p.name, '이름없음') AS animal_name, coalesce(p.reason, '이유없음') AS reason, "
           + _sat_valid_sql("CAST(r.qid % 7 AS VARCHAR)") + " AS satisfaction FROM picks p JOIN replies r ON r.qid = p.qid")
-def q_recommendation_log(spark: SparkSession, d: str) -> DataFrame:
+def q_pick_log(spark: SparkSession, d: str) -> DataFrame:
     """SNK5 rows (RR5 defaults, WIN2 ranks) with a fixed timestamp."""
     rep = composed_replies(spark, d)
     picks = R.parse_replies(rep)
     sat = P.satisfaction_valid(F.pmod("qid", F.lit(7)).cast("string"))
-    return R.recommendation_log(picks, rep.select("qid", "text"), satisfaction=sat,
+    return R.pick_log(picks, rep.select("qid", "text"), satisfaction=sat,
                                 ts=F.lit("2026-12-01 00:00:00"))
 
 
@@ -849,7 +866,7 @@ def _li_sql(container: str = "<nav") -> str:
     bottom = X.first("li", r'(?s)class="bottom"[^>]*>(.*?)</(?:p|div)>')
     parts = f"list_transform(regexp_split_to_array({bottom}, '<[^>]*>'), lambda s: {X.strip(X.decode('s'))})"
     nums = (f"list_transform(list_filter({parts}, lambda s: contains(s, '{K.PAGE_LIST_NOTICE_LABEL}')), "
-            f"lambda s: {X.strip(chr(40) + 'replace(s, ' + X.q(K.PAGE_LIST_NOTICE_LABEL) + ', ' + chr(39) * 2 + ')' + chr(41))})")
+            f"lambda s: {X.strip("(replace(s, " + X.q(K.PAGE_LIST_NOTICE_LABEL) + ", ''))")})")
     from pawgrid.functions.text import WS_CLASS
     name = f"nullif(string_split_regex({X.node_text(top)}, {X.q(WS_CLASS + '+')})[1], '')"
     return (
@@ -864,7 +881,7 @@ def _li_sql(container: str = "<nav") -> str:
 
 def page_items(spark: SparkSession, d: str) -> DataFrame:
     pages = A.table(spark, d, "pages", wide=True, key="page_id")
-    return PG.list_items(pages, PG.site_root(F.col("url")), container="<nav")
+    return PG.list_items(pages, PG.site_root(F.col("url")), container="nav")
 
 
 @register("page_list_items", "WITH " + _li_sql() + f" SELECT page_id, pos, \"{K.PAGE_ITEM_LINK}\", "
@@ -874,104 +891,29 @@ def q_page_list_items(spark: SparkSession, d: str) -> DataFrame:
     return page_items(spark, d)
 
 
-@register("crawl_summary", "WITH " + _li_sql() + " SELECT page_id, count(*) AS collected_count, "
-          f"string_agg(coalesce(nullif(\"{K.PAGE_ITEM_NAME}\", ''), '{K.CRAWL_NO_NAMES}'), ', ' ORDER BY pos) "
-          "AS animal_names FROM items WHERE href IS NOT NULL GROUP BY page_id")
+_RUN_PAGES = 100  # list pages of one crawl run
+
+
+@register("crawl_summary", "WITH " + _li_sql() + f" SELECT CAST(page_id // {_RUN_PAGES} AS BIGINT) AS run, "
+          "count(*) AS collected_count, "
+          f"string_agg(coalesce(nullif(\"{K.PAGE_ITEM_NAME}\", ''), '{K.CRAWL_NO_NAMES}'), ', ' ORDER BY page_id, pos) "
+          "AS animal_names FROM items WHERE href IS NOT NULL GROUP BY 1")
 def q_crawl_summary(spark: SparkSession, d: str) -> DataFrame:
-    """AGG11 / SNK2 rows: per page the item count and the joined names ('N/A' when missing)."""
-    return ST.crawl_summary(page_items(spark, d), "page_id", order_col="pos")
+    """AGG11 / SNK2 rows: per crawl run (at most 100 list pages) the item count and the joined names."""
+    items = page_items(spark, d).withColumn("run", F.floor(F.col("page_id") / _RUN_PAGES).cast("long"))
+    return ST.crawl_summary(items.withColumn("place", F.struct("page_id", "pos")), "run", order_col="place")
 
 
 @register("page_texts",
           "SELECT page_id, CASE WHEN wrap IS NOT NULL THEN array_to_string(ps, ', ') END AS texts, "
-          "CAST(len(ps) AS BIGINT) AS n_paragraphs FROM (SELECT page_id, wrap, list_transform(regexp_extract_all(wrap, "
-          f"'(?s)<p[^>]*>(.*?)</p>', 1), lambda x: {X.node_text('x')}) AS ps FROM (SELECT page_id, "
-          f"{X.first('html', '(?s)<article[^>]*>(.*?)</article>')} AS wrap FROM pages))")
+          "CASE WHEN wrap IS NOT NULL THEN CAST(len(ps) AS BIGINT) END AS n_paragraphs FROM (SELECT page_id, wrap, "
+          f"list_transform(string_split(wrap, '<p>')[2:], lambda x: {X.node_text("split_part(x, '</p>', 1)")}) AS ps "
+          f"FROM (SELECT page_id, {X.first('html', '(?s)<article[^>]*>(.*?)</article>')} AS wrap FROM pages))")
 def q_page_texts(spark: SparkSession, d: str) -> DataFrame:
     """PG4 generalised: paragraph texts of each page's article, whole pages."""
     return PG.page_texts(A.table(spark, d, "pages", wide=True, key="page_id"))
 
 
-def _detail_sql() -> str:
-    f, nt, st, dq = X.first, X.node_text, X.strip, X.decode
-
-    def section(title: str) -> str:
-        main = f("html", r'(?s)<div class="view_main"[^>]*>(.*)$')
-        chunks = f"regexp_split_to_array({main}, '<div class=\"line\"')[2:]"
-        tit = nt("regexp_extract(c, '(?s)<p class=\"tit\"[^>]*>(.*?)</p>', 1)")
-        return f"list_filter({chunks}, lambda c: coalesce(contains({tit}, {X.q(title)}), false))[1]"
-
-    def box_pt40(x: str) -> str:
-        after = f(x, r'(?s)<div class="box pt40"[^>]*>(.*)$')
-        return f"regexp_split_to_array({after}, '<div class=\"(?:line|view_main)\"')[1]"
-
-    def checked(x: str) -> str:
-        texts = (f"list_filter(list_transform(regexp_extract_all({x}, '(?s)<div class=\"check_i a\"[^>]*>(.*?)</div>', 1), "
-                 f"lambda ck: {nt('ck')}), lambda ck: ck <> '')")
-        return f"(CASE WHEN len({texts}) > 0 THEN array_to_string({texts}, ', ') END)"
-
-    def table(frag: str, prefix: str) -> tuple[str, str]:
-        rows = (f"list_filter(regexp_extract_all({frag}, '(?s)<tr[^>]*>(.*?)</tr>', 1), lambda r: "
-                "regexp_matches(r, '(?s)<th[^>]*>') AND regexp_matches(r, '(?s)<td[^>]*>'))")
-        keys = (f"list_transform({rows}, lambda r: {X.q(prefix)} || "
-                + st(f"replace({nt(chr(114) + chr(101) + 'gexp_extract(r, ' + X.q('(?s)<th[^>]*>(.*?)</th>') + ', 1)')}, ':', '')") + ")")
-        vals = f"list_transform({rows}, lambda r: {nt('regexp_extract(r, ' + X.q('(?s)<td[^>]*>(.*?)</td>') + ', 1)')})"
-        return keys, vals
-
-    def many(stage: int, keys: str, vals: str) -> str:
-        return (f"SELECT page_id, {stage * 100000} + unnest(range(len(k))) AS ord, unnest(k) AS key, unnest(v) AS value "
-                f"FROM (SELECT page_id, {keys} AS k, {vals} AS v FROM pages)")
-
-    def one(stage: int, key: str, val: str, cond: str = "true") -> str:
-        return f"SELECT page_id, {stage * 100000} AS ord, {X.q(key)} AS key, {val} AS value FROM pages WHERE {cond}"
-
-    notice = st(f"replace({nt(f('html', r'(?s)<p class="num"[^>]*>(.*?)</p>'))}, {X.q(K.PAGE_NOTICE_LABEL)}, '')")
-    box = f("html", r'(?s)class="info_box"[^>]*>(.*?)</div>')
-    dts = f"regexp_extract_all({box}, '(?s)<dt[^>]*>(.*?)</dt>', 1)"
-    dds = f"regexp_extract_all({box}, '(?s)<dd[^>]*>(.*?)</dd>', 1)"
-    paired = f"(len({dts}) > 0 AND len({dts}) = len({dds}))"
-    lines = f"list_filter(regexp_split_to_array({box}, '<[^>]*>'), lambda ln: contains(ln, ':'))"
-    ik = (f"CASE WHEN {paired} THEN list_transform({dts}, lambda t: replace({nt('t')}, ':', '')) ELSE "
-          f"list_transform({lines}, lambda ln: {st(dq('split_part(ln, chr(58), 1)'))}) END")
-    iv = (f"CASE WHEN {paired} THEN list_transform({dds}, lambda t: {nt('t')}) ELSE "
-          f"list_transform({lines}, lambda ln: {st(dq('substr(ln, strpos(ln, chr(58)) + 1)'))}) END")
-    wrap = f("html", r'(?s)class="tag_wrap"[^>]*>(.*?)</div>')
-    tags = (f"CASE WHEN {wrap} IS NOT NULL THEN array_to_string(list_transform(regexp_extract_all({wrap}, "
-            f"'(?s)<p[^>]*>(.*?)</p>', 1), lambda t: {nt('t')}), ', ') END")
-    mk, mv = table(f("html", r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>'), "")
-    care = section(K.PAGE_SECTION_CARE[0])
-    ck, cv = table(f(care, r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>'), K.PAGE_SECTION_CARE[1])
-    health = section(K.PAGE_SECTION_HEALTH[0])
-    hk, hv = table(f(health, r'(?s)<div class="tb_wrap"[^>]*>(.*?)</table>'), K.PAGE_SECTION_HEALTH[1])
-    ref_box = f(section(K.PAGE_SECTION_REFERENCE[0]), r'(?s)<div class="box[^"]*"[^>]*>(.*)$')
-    lis = (f"list_filter(regexp_extract_all({ref_box}, '(?s)<li[^>]*>(.*?)</li>', 1), lambda li: "
-           "regexp_matches(li, '<p class=\"t_bef\"') AND regexp_matches(li, '<p class=\"a\"'))")
-    rk = (f"list_transform({lis}, lambda li: {X.q(K.PAGE_SECTION_REFERENCE[1])} || "
-          f"{nt(chr(114) + 'egexp_extract(li, ' + X.q('(?s)<p class="t_bef"[^>]*>(.*?)</p>') + ', 1)')})")
-    rv = f"list_transform({lis}, lambda li: {nt('regexp_extract(li, ' + X.q('(?s)<p class="a"[^>]*>(.*?)</p>') + ', 1)')})"
-    terms_box = box_pt40(section(K.PAGE_SECTION_TERMS))
-    parts = [
-        one(1, K.PAGE_KEY_NOTICE, notice),
-        many(2, f"CASE WHEN {box} IS NULL THEN NULL ELSE {ik} END", f"CASE WHEN {box} IS NULL THEN NULL ELSE {iv} END"),
-        one(3, K.PAGE_KEY_TAGS, tags),
-        many(4, mk, mv),
-        many(5, ck, cv),
-        one(6, K.PAGE_KEY_HOMES, checked(box_pt40("html"))),
-        many(7, hk, hv),
-        many(8, rk, rv),
-        one(9, K.PAGE_KEY_TERMS, checked(terms_box), f"{terms_box} IS NOT NULL"),
-    ]
-    return (f"WITH pages AS ({A.DETAIL_PAGES_SQL}), e AS (" + " UNION ALL ".join(parts) + ") "
-            "SELECT page_id, key, value FROM (SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY ord DESC) "
-            "AS rn FROM e) WHERE rn = 1")
-
-
-@register("page_detail_records", _detail_sql())
-def q_page_detail_records(spark: SparkSession, d: str) -> DataFrame:
-    """PG2–PG11 + SRC8: label/value records of one composed detail page per part row."""
-    return PG.detail_records(A.detail_pages(spark, d))
-
-
 # ================================================================================================
 # Incremental read, streaming twin, stage materialisation (SRC2, STR1, SNK7, SRC5)
 # ================================================================================================
@@ -1033,36 +975,113 @@ def q_materialised_prepared(spark: SparkSession, d: str) -> DataFrame:
 # ================================================================================================
 # Embedding job and the text-to-listing recommendation (EMB1–EMB3, EMB5, WIN5, AGG13, PIPE4/5)
 # ================================================================================================
-@register("embed_batch")
+DIM = 64
+LISTING_FAIL, QUERY_FAIL = "password", " wh "  # texts that the stand-in embedder refuses
+
+
+def _hash_vectors_sql(name: str, source: str, key: str, fail: str) -> str:
+    """CTEs: ``name`` (key, v) with the hashed vector of every text of ``source`` that is not refused."""
+    return (f"{name}_w AS (SELECT {key}, unnest(string_split(lower(coalesce(text, '')), ' ')) AS w FROM {source} "
+            f"WHERE NOT contains(coalesce(text, ''), {X.q(fail)})), "
+            f"{name}_b AS (SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {DIM} AS b, "
+            f"sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS s FROM {name}_w "
+            "WHERE w <> '' GROUP BY 1, 2), "
+            f"{name}_m AS (SELECT {key}, map(list(b), list(s)) AS m FROM {name}_b GROUP BY 1), "
+            f"{name} AS (SELECT t.{key}, CASE WHEN contains(coalesce(t.text, ''), {X.q(fail)}) THEN NULL ELSE "
+            f"[coalesce(m.m[i], 0.0) for i in range({DIM})] END AS v FROM {source} t LEFT JOIN {name}_m m USING ({key}))")
+
+
+_DOC_VECTORS = ("WITH docs AS (SELECT doc_id, text FROM documents), "
+                + _hash_vectors_sql("vec", "docs", "doc_id", LISTING_FAIL))
+
+
+@register("embed_batch", _DOC_VECTORS + f" SELECT doc_id, v IS NULL AS failed, CAST({DIM} AS BIGINT) AS dim, "
+          "round(coalesce(sqrt(list_dot_product(v, v)), 0.0), 6) AS norm FROM vec")
 def q_embed_batch(spark: SparkSession, d: str) -> DataFrame:
     """EMB1 over every whole document: batched, per-text fallback, zero vector + flag on failure."""
     docs = A.table(spark, d, "documents", wide=True, key="doc_id")
-    emb = V.embed(docs, "text", V.hashing_embedder(64), 64, key="doc_id")
+    emb = V.embed(docs, "text", V.hashing_embedder(DIM, LISTING_FAIL), DIM, key="doc_id")
     return emb.select("doc_id", "failed", F.size("embedding").cast("long").alias("dim"),
                       F.round(V.norm("embedding"), 6).alias("norm"))
 
 
-@register("recommend_text")
-def q_recommend_text(spark: SparkSession, d: str) -> DataFrame:
-    """EMB5 end to end for every user turn: slots from the text (hard filter), cleaned text
-    embedded (EMB3), listings embedded from their SC12 text (EMB2), exact cosine top-10."""
-    embedder = V.hashing_embedder(64)
-    p = prepared(spark, d)
-    listings = D.with_embedding_text(RD.open_listings(p), "etext").select("uid", "etext",
-                                                                           PR.slot_mask().alias("slot_mask"))
-    items = V.embed(listings, "etext", embedder, 64, key="uid", keep=("slot_mask",)).where(~F.col("failed"))
+@register("embed_summary", _DOC_VECTORS + " SELECT count(v) AS ok, count(*) - count(v) AS failed FROM vec")
+def q_embed_summary(spark: SparkSession, d: str) -> DataFrame:
+    """AGG13 over the batch embedding of every document; the embedder refuses some."""
+    docs = A.table(spark, d, "documents", wide=True, key="doc_id")
+    return V.embed_summary(V.embed(docs, "text", V.hashing_embedder(DIM, LISTING_FAIL), DIM, key="doc_id"))
+
+
+def text_queries(spark: SparkSession, d: str) -> DataFrame:
+    """SC5 + EMB3 for every user turn: slot group from the text, vector of the cleaned text; a turn
+    whose embedding failed has no result."""
     q = PR.extract_slots(A.user_queries(spark, d), "text", rules=A.TEXT_SLOT_RULES)
-    q = q.select("qid", PR.slot_group().alias("slot_group"), T.clean_query("text").alias("clean"))
-    qv = V.embed(q, "clean", embedder, 64, key="qid", keep=("slot_group",))
-    top = V.top_k_similar(qv, items, 10, q_group="slot_group", i_mask="slot_mask", dim=64)
+    q = q.select("qid", "text", PR.slot_group().alias("slot_group"), T.clean_query("text").alias("clean"))
+    qv = V.embed(q, "clean", V.hashing_embedder(DIM, QUERY_FAIL), DIM, key="qid", keep=("slot_group", "text"))
+    return qv.where(~F.col("failed")).drop("failed")
+
+
+def recommend_by_text(spark: SparkSession, d: str, queries: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:
+    """EMB2 + EMB5: listings embedded from their SC12 text (a failed one ranks with similarity 0),
+    exact cosine top-k among those that meet the query's hard slots."""
+    listings = RD.open_listings(A.raw_listings(spark, d))
+    texts = D.with_embedding_text(listings, "etext").select("uid", "etext", PR.slot_mask().alias("slot_mask"))
+    items = V.embed(texts, "etext", V.hashing_embedder(DIM, LISTING_FAIL), DIM, key="uid", keep=("slot_mask",))
+    return V.top_k_similar(queries, items, k, q_group="slot_group", i_mask="slot_mask",
+                           sizes=(sizes, RD.open_listings(A.raw_listings(spark, d, long_text=False))))
+
+
+_TEXT_TOP_SQL = (
+    f", lt AS (SELECT uid, {_embedding_text_sql()} AS text FROM raw WHERE state = '임보가능'), "
+    + _hash_vectors_sql("lv", "lt", "uid", LISTING_FAIL)
+    + f", uq AS (SELECT qid, text AS raw_text, {X.clean_query('text')} AS text, "
+    + ", ".join(f"{_slot_case_sql(s)} AS {s}" for s in ("size", "age", "gender")) + f" FROM ({A.USER_QUERIES_SQL})), "
+    + _hash_vectors_sql("qv", "uq", "qid", QUERY_FAIL)
+    + ", items AS (SELECT r.uid, l.v, r.addinfo03, r.addinfo05, " + X.strict_double("r.addinfo07")
+    + " AS w FROM raw r JOIN lv l ON l.uid = r.uid), "
+    "qs AS (SELECT u.qid, u.raw_text, u.size, u.age, u.gender, q.v FROM uq u JOIN qv q USING (qid) WHERE q.v IS NOT NULL{only}), "
+    f"top AS (SELECT qid, rank, uid, sim FROM (SELECT q.qid, i.uid, {_COS} AS sim, row_number() OVER (PARTITION BY q.qid "
+    f"ORDER BY round({_COS}, 9) DESC, i.uid) AS rank FROM qs q JOIN items i ON {_SLOT_OK}) t WHERE rank <= 10)")
+
+
+@register("recommend_text", with_raw("SELECT qid, rank, uid, round(sim, 6) AS similarity FROM top",
+                                     _TEXT_TOP_SQL.replace("{only}", "")))
+def q_recommend_text(spark: SparkSession, d: str) -> DataFrame:
+    """EMB5 end to end for every user turn."""
+    top = recommend_by_text(spark, d, text_queries(spark, d), A.user_queries(spark, d))
     return top.withColumn("similarity", F.round("similarity", 6))
 
 
+_LAST_TURN_SQL = " AND q.qid = (SELECT max(qid) FROM qv WHERE v IS NOT NULL)"
+
+
+@register("single_query_chain", with_raw(
+    "SELECT t.qid, " + _PROMPT_HEAD_SQL.replace("text", "max(q.raw_text)") + " || string_agg(chr(10) || CAST(t.rank AS VARCHAR) || "
+    "'. 이름: ' || r.addinfo01 || chr(10) || '   설명: ' || " + _cand_desc_sql("r") + " || chr(10) || '   유사도 점수: ' "
+    "|| printf('%.3f', t.sim) || chr(10), '' ORDER BY t.rank) || " + _PROMPT_TAIL_SQL + " AS prompt, "
+    "list(r.addinfo01 ORDER BY t.rank)[1:3] AS picks FROM top t JOIN prepared r ON r.uid = t.uid JOIN qs q ON q.qid = t.qid "
+    "GROUP BY t.qid", _TEXT_TOP_SQL.replace("{only}", _LAST_TURN_SQL) + ", " + PREPARED_CTE))
+def q_single_query_chain(spark: SparkSession, d: str) -> DataFrame:
+    """PIPE5: one user turn through the whole chain: text -> slots -> hard filter and top-k ->
+    prompt -> reply (the stand-in model names the first three candidates) -> parsed picks."""
+    everyone = text_queries(spark, d)
+    turn = everyone.orderBy(F.desc("qid")).limit(1)
+    top = recommend_by_text(spark, d, turn, A.user_queries(spark, d).limit(1))
+    cands = R.with_candidate_text(R.candidate_rows(top, prepared(spark, d), LINK_PREFIX))
+    asked = R.prompts(cands, turn.select("qid", "text"))
+    line = F.concat(F.col("rank").cast("string"), F.lit(". 이름: "), F.col("name"))
+    replies = cands.where(F.col("rank") <= 3).groupBy("qid").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n")
+        .alias("reply"))
+    picks = R.parse_replies(replies).groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("item", "name"))), lambda x: x["name"]).alias("picks"))
+    return asked.join(picks, "qid")
+
+
 # ================================================================================================
 # Crawl table: list pages + detail pages -> one wide row per item (PIPE9, PG12, JN6, SRC8)
 # ================================================================================================
 SITE = "https://site.example"
-CRAWL_LABELS = ["종류", "크기", "임보조건_기간"]
 
 
 def composed_list_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -1078,42 +1097,73 @@ def composed_list_pages(spark: SparkSession, d: str) -> DataFrame:
                                             F.lit("</ul></div>")).alias("html"))
 
 
+def _labels_sql() -> dict[str, tuple[str, str]]:
+    """Label -> (when the composed detail page has it, its value), from the source columns."""
+    k = "p_partkey"
+    return {
+        K.PAGE_KEY_NOTICE: ("true", f"CASE WHEN {k} % 7 <> 0 THEN CAST({k} AS VARCHAR) END"),
+        # without as many descriptions as terms only the text line with a colon counts, and it is empty
+        K.PAGE_ITEM_NAME: ("true", f"CASE WHEN {k} % 5 = 0 THEN '' ELSE p_name END"),
+        "브랜드 ": (f"{k} % 5 <> 0", "p_brand"),
+        K.PAGE_KEY_TAGS: ("true", f"CASE WHEN {k} % 3 <> 0 THEN array_to_string(list_transform(string_split(p_name, ' '), "
+                                  "lambda w: '#' || w), ', ') END"),
+        "종류": ("true", "p_type"),
+        "크기": ("true", "CAST(p_size AS VARCHAR) || 'kg'"),
+        "임보조건_기간": ("true", f"CAST({k} % 12 + 1 AS VARCHAR) || '개월'"),
+        K.PAGE_KEY_HOMES: ("true", f"CASE WHEN {k} % 2 = 0 THEN '아파트, 주택' ELSE '아파트' END"),
+        "건강정보_접종": (f"{k} % 4 <> 0", f"CASE WHEN {k} % 2 = 0 THEN '완료' ELSE '미완료' END"),
+        "건강정보_종류": (f"{k} % 4 <> 0", "p_type"),
+        "참고용정보_가격": ("true", "CAST(p_retailprice AS VARCHAR)"),
+        "참고용정보_브랜드": ("true", "p_brand"),
+        K.PAGE_KEY_TERMS: (f"{k} % 5 <> 1", "'사료, & 용품'"),
+    }
+
+
+_LABELS = {k: v for k, v in _labels_sql().items()}
+CRAWL_LABELS = list(_LABELS)
+
+
+@register("page_detail_records", " UNION ALL ".join(
+    f"SELECT p_partkey AS page_id, {X.q(label)} AS key, {value} AS value FROM part WHERE {has}"
+    for label, (has, value) in _LABELS.items()))
+def q_page_detail_records(spark: SparkSession, d: str) -> DataFrame:
+    """PG2–PG11 + SRC8: label/value records of one composed detail page per part row."""
+    return PG.detail_records(A.detail_pages(spark, d))
+
+
 @register("crawl_table",
           f"SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS page_id, "
           "CAST(row_number() OVER (PARTITION BY floor(p_partkey / 10) ORDER BY p_partkey) - 1 AS BIGINT) AS pos, "
-          f"'{SITE}/d/' || CAST(p_partkey AS VARCHAR) AS \"상세링크\", string_split(p_name, ' ')[1] AS \"이름\", "
-          "CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey AS VARCHAR) END AS \"공고번호\", p_type AS \"종류\", "
-          "CAST(p_size AS VARCHAR) || 'kg' AS \"크기\", CAST(p_partkey % 12 + 1 AS VARCHAR) || '개월' AS \"임보조건_기간\" "
-          "FROM part")
+          f"'{SITE}/d/' || CAST(p_partkey AS VARCHAR) AS \"상세링크\", "
+          + ", ".join(f"CASE WHEN {has} THEN {value} END AS \"{label}\"" for label, (has, value) in _LABELS.items())
+          + " FROM part")
 def q_crawl_table(spark: SparkSession, d: str) -> DataFrame:
-    """PG1 + PG11 + JN6 + SRC8: list items merged with their detail records (detail notice wins,
-    even when null) and pivoted on a fixed label list."""
+    """PG1 + PG11 + PG12 + JN6 + SRC8: list items merged with all labels of their detail pages; a
+    label of the detail page wins, even when null or empty."""
     from pawgrid.plans.crawl import crawl_table
     details = A.detail_pages(spark, d).select(
         F.concat(F.lit(f"{SITE}/d/"), F.col("page_id").cast("string")).alias("page_id"), "html")
     return crawl_table(composed_list_pages(spark, d), details, SITE, CRAWL_LABELS)
 
 
-@register("embed_summary", "SELECT count(*) AS ok, CAST(0 AS BIGINT) AS failed FROM documents")
-def q_embed_summary(spark: SparkSession, d: str) -> DataFrame:
-    """AGG13 over the batch embedding of every document (the hashing embedder never fails)."""
-    docs = A.table(spark, d, "documents", wide=True, key="doc_id")
-    return V.embed_summary(V.embed(docs, "text", V.hashing_embedder(64), 64, key="doc_id"))
+_SCAN_HTML = "CASE WHEN page_id % 90 = 89 THEN '<nav><ul></ul></nav>' WHEN page_id % 7 = 3 THEN NULL ELSE html END"
 
 
 @register("scan_list_pages",
-          "WITH " + _li_sql() + ", cnt AS (SELECT p.page_id, count(i.href) AS n FROM pages p LEFT JOIN items i "
+          f"WITH stored AS (SELECT page_id, url, {_SCAN_HTML} AS html FROM pages), "
+          + _li_sql().replace("FROM pages)", "FROM stored)", 1) + ", "
+          "cnt AS (SELECT p.page_id, count(i.href) AS n FROM stored p LEFT JOIN items i "
           "ON i.page_id = p.page_id AND i.href IS NOT NULL WHERE p.html IS NOT NULL GROUP BY p.page_id), "
           "stop AS (SELECT min(page_id + 1) AS s FROM cnt WHERE n = 0) "
           f"SELECT page_id + 1 AS page_no, pos, \"{K.PAGE_ITEM_LINK}\", \"{K.PAGE_ITEM_NAME}\", \"{K.PAGE_KEY_NOTICE}\" "
           "FROM items, stop WHERE href IS NOT NULL AND (stop.s IS NULL OR page_id + 1 < stop.s)")
 def q_scan_list_pages(spark: SparkSession, d: str) -> DataFrame:
-    """SRC7 over every stored page (page number = page_id + 1): failed pages skipped, the scan
-    ends at the first page without items."""
+    """SRC7 (page number = page_id + 1): every seventh page failed to load and is skipped, the scan
+    ends at the first page without items (the 90th)."""
     from pawgrid.plans.crawl import scan_list_pages
     pages = A.table(spark, d, "pages", wide=True, key="page_id")
-    numbered = pages.select((F.col("page_id") + 1).alias("page_no"), "url", "html")
-    return scan_list_pages(numbered, PG.site_root(F.col("url")), container="<nav")
+    numbered = pages.select((F.col("page_id") + 1).alias("page_no"), "url", F.expr(_SCAN_HTML).alias("html"))
+    return scan_list_pages(numbered, PG.site_root(F.col("url")), container="nav")
 
 
 _HARD_CASES = [("소형", "고령", "남"), ("중형", "어린", None), (None, None, "여"), ("대형", None, None)]

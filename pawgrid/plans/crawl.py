@@ -13,48 +13,49 @@ from pyspark.sql import functions as F
 from pawgrid import constants as K
 from pawgrid.operators import pages as PG
 from pawgrid.operators import stats as ST
-from pawgrid.sources.readers import wide_records
 
 
 def crawl_table(list_pages: DataFrame, detail_pages: DataFrame, base: str | Column, labels: list[str],
-                container: str = '<div class="lst_wrap"', mode: str = "always") -> DataFrame:
-    """PG12: ``(상세링크, 이름, 공고번호, <labels>...)`` — one row per listed item.
+                container: str = "div.lst_wrap") -> DataFrame:
+    """PG12: list item columns and one column per label of ``labels`` — one row per listed item.
 
-    ``detail_pages`` holds ``(page_id = link, html)``; ``labels`` fixes the pivot columns (the
-    notice number comes from the detail page when it has one — ``mode`` as in JN6)."""
+    ``detail_pages`` holds ``(page_id = link, html)``.  A label that the detail page has (even with
+    a null value) wins over the list item's column of the same name (JN6); other items keep theirs."""
+    link = K.PAGE_ITEM_LINK
+    labels = [x for x in (K.PAGE_ITEM_NAME, K.PAGE_KEY_NOTICE) if x not in labels] + labels  # shared with the items
     items = PG.list_items(list_pages, base, container=container)
-    records = PG.detail_records(detail_pages.withColumnRenamed("page_id", K.PAGE_ITEM_LINK), key=K.PAGE_ITEM_LINK)
-    extra = [x for x in labels if x not in (K.PAGE_KEY_NOTICE, K.PAGE_ITEM_NAME, K.PAGE_ITEM_LINK)]
-    # one pivot over the records (the notice key is on every detail page, so a detail row
-    # exists for every fetched page and marks it); the records are computed once
-    wide = (wide_records(records.where(F.col("key").isin([K.PAGE_KEY_NOTICE] + extra)), K.PAGE_ITEM_LINK,
-                         [K.PAGE_KEY_NOTICE] + extra)
-            .withColumnRenamed(K.PAGE_KEY_NOTICE, "__d_notice").withColumn("__hit", F.lit(True)))
-    j = items.join(wide, K.PAGE_ITEM_LINK, "left")
-    cur = F.col(K.PAGE_KEY_NOTICE)
-    notice = (F.when(F.col("__hit"), F.col("__d_notice")).otherwise(cur) if mode == "always"
-              else F.coalesce(F.col("__d_notice"), cur))
-    return j.withColumn(K.PAGE_KEY_NOTICE, notice).drop("__d_notice", "__hit")
+    records = PG.detail_records(detail_pages.withColumnRenamed("page_id", link), key=link)
+    # labels given, so the pivot needs no pass to discover them; the struct tells a null value from no label
+    wide = (records.groupBy(F.col(link).alias("__link")).pivot("key", labels).agg(F.first(F.struct("value")))
+            .withColumnsRenamed({x: f"__{x}" for x in labels}))
+    joined = items.join(wide, F.col(link) == F.col("__link"), "left")
+    shared = [c for c in items.columns if c in labels]
+    value = {x: F.col(f"__{x}")["value"] for x in labels}
+    return joined.select(
+        *[F.when(F.col(f"__{c}").isNotNull(), value[c]).otherwise(F.col(c)).alias(c) if c in shared else F.col(c)
+          for c in items.columns],
+        *[value[x].alias(x) for x in labels if x not in shared])
 
 
 def crawl_log_rows(items: DataFrame, batch_col: str = "page_id", stamp: Column | None = None) -> DataFrame:
-    """SNK2 rows: ``(timestamp, collected_count, animal_names)`` per list page."""
+    """SNK2 rows: ``(timestamp, collected_count, animal_names)`` per crawl run (``batch_col``)."""
     ts = stamp if stamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     s = ST.crawl_summary(items, batch_col, order_col="pos")
     return s.select(ts.alias("timestamp"), "collected_count", "animal_names", batch_col)
 
 
 def scan_list_pages(list_pages: DataFrame, base: str | Column, page_col: str = "page_no",
-                    container: str = '<div class="lst_wrap"', max_pages: int | None = None) -> DataFrame:
+                    container: str = "div.lst_wrap", max_pages: int | None = None) -> DataFrame:
     """SRC7: list items of numbered list pages, in page order semantics: a page whose fetch
     failed (null html) is skipped, and the first page that lists no item ends the scan (it and
     every later page are dropped).  ``max_pages`` caps the page numbers when given.
 
-    The stop page is one scalar (a min over per-page counts); the items are never collected."""
+    The stop page is a scalar subquery of the plan (a min over the pages without an item); the items
+    are never collected and nothing runs before the caller's action."""
     pages = list_pages if max_pages is None else list_pages.where(F.col(page_col).between(1, max_pages))
     fetched = pages.where(F.col("html").isNotNull())
     items = PG.list_items(fetched, base, container=container, key=page_col)
     per_page = (fetched.select(page_col)
                 .join(items.groupBy(page_col).agg(F.count(F.lit(1)).alias("n")), page_col, "left"))
-    stop = per_page.where(F.col("n").isNull()).agg(F.min(page_col).alias("stop")).first()["stop"]
-    return items if stop is None else items.where(F.col(page_col) < F.lit(stop))
+    stop = per_page.where(F.col("n").isNull()).agg(F.min(page_col).alias("stop")).scalar()
+    return items.where(F.coalesce(F.col(page_col) < stop, F.lit(True)))

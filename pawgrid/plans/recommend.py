@@ -46,13 +46,13 @@ def query_vectors(queries: DataFrame, embedder: Embedder, dim: int, rules: dict
     return vecs.where(~F.col("failed")).drop("failed")  # failed query: no result
 
 
-def candidates(prepared: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10,
+def candidates(prepared: DataFrame, vectors: DataFrame, queries: DataFrame, link_prefix: str, k: int = 10,
                available_only: bool = True) -> DataFrame:
     """EMB5 for every query at once: hard slots, exact cosine top-k, candidate projection."""
     base = open_listings(prepared) if available_only else prepared
-    items = base.select("uid", PR.slot_mask().alias("slot_mask")).join(vectors.select("uid", "embedding"), "uid")
-    top, bound = V.top_k_similar_bounded(queries, items, k, q_group="slot_group", i_mask="slot_mask")
-    return R.with_candidate_text(R.candidate_rows(top, prepared, top_bound=bound))
+    items = base.select("uid", PR.slot_mask().alias("slot_mask")).join(vectors.select("uid", "embedding"), "uid", "left")
+    top = V.top_k_similar(queries, items, k, q_group="slot_group", i_mask="slot_mask")
+    return R.with_candidate_text(R.candidate_rows(top, prepared, link_prefix))
 
 
 def system_stats(prepared: DataFrame) -> DataFrame:
@@ -64,13 +64,16 @@ def system_stats(prepared: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, raw: DataFrame, queries: DataFrame, embedder: Embedder, dim: int,
-        name: str = "default", k: int = 10, skip_existing: bool = True) -> dict[str, DataFrame]:
+        link_prefix: str, name: str = "default", k: int = 10, skip_existing: bool = True) -> dict[str, DataFrame]:
     """PIPE3 + PIPE4: stages materialised under ``spark.checkpoint.dir``; returns the stage
     frames (``prepared``, ``vectors``, ``stats``, ``candidates``, ``prompts``)."""
     prepared = materialise(spark, shared_path(spark, f"stages/{name}/prepared"), lambda: prepare(raw), skip_existing)
     vectors = materialise(spark, shared_path(spark, f"stages/{name}/vectors"),
                           lambda: listing_vectors(prepared, embedder, dim), skip_existing)
-    qv = query_vectors(queries, embedder, dim)
-    cands = candidates(prepared, vectors, qv, k)
+    # read several times below: each is computed once and cut off from the jobs before it
+    qv = materialise(spark, shared_path(spark, f"stages/{name}/query-vectors"),
+                     lambda: query_vectors(queries, embedder, dim), skip_existing=False)
+    cands = materialise(spark, shared_path(spark, f"stages/{name}/candidates"),
+                        lambda: candidates(prepared, vectors, qv, link_prefix, k), skip_existing=False)
     return {"prepared": prepared, "vectors": vectors, "stats": system_stats(prepared), "candidates": cands,
             "prompts": R.prompts(cands, queries)}

@@ -57,6 +57,7 @@ def contains_any(x: str, words: list[str]) -> str:
 
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+            ("&middot;", "·"), ("&copy;", "©"),
             ("&amp;", "&")]
 
 

@@ -45,6 +45,21 @@ def test_list_items(spark):
         [(0, "https://site/v/1", "콩이", "123"), (2, "https://site/v/2", None, None)]
 
 
+def test_markup_that_is_not_tidy(spark):
+    """Two lists in a container with a second class, a single-quoted link, unclosed paragraphs, class
+    lists, a block with two tables, nested boxes and all kinds of character references."""
+    lst = ("<div class='wide lst_wrap'><ul><li><a href='/v/1'><p class='x top'>a b</a><li><a href=\"/v/2\">x</a></ul>"
+           "<ul><li><a href=/v/3><pre>no p</pre></a></li><li><link><a href='/v/4'></a></li></ul></div>")
+    rows = PG.list_items(spark.createDataFrame([(1, lst)], "page_id long, html string"), "s").orderBy("pos").collect()
+    assert [(r["상세링크"], r["이름"]) for r in rows] == [("s/v/1", "a"), ("s/v/2", None), ("s/v/3", None), ("s/v/4", None)]
+    page = ('<p class="num big">공고 번호 : 5</p><div class="info_box"><div><dl><dt>a:<dd>1</dl></div><dl><dt>b</dt><dd>2 &copy;</dd>'
+            '</dl></div><div class="tb_wrap"><table><tr><th>x<td>1</table><table><thead><tr><th>y</th><td>2 &#183; &#xb7;</td>'
+            '</tr></thead></table></div><div class="tag_wrap"><p>one<p>two <b>three</div>')
+    got = {r.key: r.value for r in PG.detail_records(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()}
+    assert got["공고번호"] == "5" and (got["a"], got["b"], got["x"], got["y"]) == ("1", "2 ©", "1", "2 · ·")
+    assert got["해시태그"] == "one, twothree"
+
+
 def test_suffix_join_and_shaping(spark):
     base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "uid long, addinfo01 string, state string")
     sub = spark.createDataFrame([(1, "s1"), (1, "s2")], "uid long, addinfo01 string")
@@ -61,14 +76,6 @@ def test_merge_text_columns(spark):
     assert got == ["a  c", None]
 
 
-def test_override_join_modes(spark):
-    items = spark.createDataFrame([("l1", "n1"), ("l2", "n2")], "link string, num string")
-    det = spark.createDataFrame([("l1", None)], "link string, num string")
-    always = {r.link: r.num for r in J.override_join(items, det, "link", ["num"]).collect()}
-    keep = {r.link: r.num for r in J.override_join(items, det, "link", ["num"], mode="non_null").collect()}
-    assert always == {"l1": None, "l2": "n2"} and keep == {"l1": "n1", "l2": "n2"}
-
-
 def _rows(df):
     return sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()),
                   key=lambda t: tuple((x is None, x if x is not None else 0) for x in t))

@@ -18,7 +18,7 @@ def test_full_run_stages(spark):
         "addinfo05 string, addinfo07 string, addinfo08 string, addinfo09 string, addinfo10 string, "
         "addinfo11 string, addinfo16 string, addinfo19 string, addinfo20 string, addinfo02 string")
     queries = spark.createDataFrame([(1, "활발하고 애교 많은 소형견을 원해요"), (2, "차분한 아이")], "qid long, text string")
-    out = RC.run(spark, raw, queries, hashing_embedder(16), 16, name="t" + next(tempfile._get_candidate_names()), k=5)
+    out = RC.run(spark, raw, queries, hashing_embedder(16), 16, "https://site.example/", name="t" + next(tempfile._get_candidate_names()), k=5)
     c = out["candidates"].collect()
     assert {r.uid for r in c if r.qid == 1} == {1}          # small-size slot keeps only the 5 kg listing
     assert {r.uid for r in c if r.qid == 2} == {1, 2}       # closed listing never appears

@@ -27,6 +27,29 @@ def test_shown_and_fallback(spark):
     assert all(v[1] == "similarity" for k, v in fin.items() if k[0] == 2)
 
 
+def test_candidate_rows_keep_every_top_row(spark):
+    top = spark.createDataFrame([(1, 1, 7, 0.5), (1, 2, 8, 0.4)], "qid long, rank long, uid long, similarity double")
+    listings = spark.createDataFrame([(7, "콩이")], "uid long, addinfo01 string")
+    got = {r.uid: (r.name, r.link) for r in R.candidate_rows(top, listings, "https://site.example/").collect()}
+    assert got == {7: ("콩이", "https://site.example/7"), 8: (None, "https://site.example/8")}
+
+
+def test_as_many_picks_as_asked(spark):
+    text = "\n".join(f"{i}. 이름: n{i}" for i in range(1, 13))
+    rep = spark.createDataFrame([(1, text)], "qid long, reply string")
+    assert R.parse_replies(rep).count() == 5 and R.parse_replies(rep, picks=12).count() == 12
+
+
+def test_whole_texts_unless_a_length_is_given(spark):
+    c = spark.createDataFrame([("남", "3", "", "p" * 500, "", "s" * 400)],
+                              "gender string, weight string, personality_tags string, personality_desc string, "
+                              "special_needs string, rescue_story string")
+    whole = R.with_candidate_text(c).first().description
+    cut = R.with_candidate_text(c, personality_length=200, story_length=150).first().description
+    assert "p" * 500 in whole and "s" * 400 in whole
+    assert "p" * 200 + "..." in cut and "p" * 201 not in cut and "s" * 150 + "..." in cut and "s" * 151 not in cut
+
+
 def test_prompt_layout(spark):
     cands = spark.createDataFrame([(1, 2, "b", "desc b", 0.5), (1, 1, "a", "desc a", 0.0625)],
                                   "qid long, rank long, name string, description string, similarity double")
@@ -40,5 +63,5 @@ def test_prompt_layout(spark):
 def test_log_defaults(spark):
     picks = spark.createDataFrame([(1, 1, None, "r"), (1, 2, "n", None)], "qid long, item long, name string, reason string")
     q = spark.createDataFrame([(1, "질문")], "qid long, text string")
-    rows = R.recommendation_log(picks, q, satisfaction=F.lit(4), ts=F.lit("t")).orderBy("rank").collect()
+    rows = R.pick_log(picks, q, satisfaction=F.lit(4), ts=F.lit("t")).orderBy("rank").collect()
     assert [(r.animal_name, r.reason, r.satisfaction) for r in rows] == [("이름없음", "r", 4), ("n", "이유없음", 4)]

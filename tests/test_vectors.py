@@ -1,4 +1,4 @@
-"""G7 and the two exact top-k strategies (EMB1, EMB4, WIN1, JN5)."""
+"""G7 and the exact top-k at several block sizes (EMB1, EMB4, WIN1, JN5)."""
 
 import numpy as np
 import pandas as pd
@@ -36,10 +36,10 @@ def brute(items, queries, k):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
-def test_topk_matches_brute_force(data, strategy):
+@pytest.mark.parametrize("block_rows", [7, 16384])
+def test_topk_matches_brute_force(data, block_rows):
     it, qs, items, queries = data
-    got = V.top_k_similar(qs, it, 5, strategy=strategy, query_block_rows=7, item_block_rows=9)
+    got = V.top_k_similar(qs, it, 5, block_rows=block_rows)
     rows = got.orderBy("qid", "rank").collect()
     res = {}
     for r in rows:
