@@ -43,6 +43,16 @@ def split_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
+def salt_hot_rows(right: DataFrame, hot: DataFrame, key: str, salts: int) -> DataFrame:
+    """Adds ``__salt``: rows of hot keys are dealt over ``salts`` buckets by their position in the scan
+    (equal rows too), others get 0.  ``right`` is a scan or a projection of one, whose row order is
+    the same whenever a task is run again."""
+    place = F.monotonically_increasing_id()
+    return (right.withColumn("__place", place).join(hot, key, "left")
+            .withColumn("__salt", F.when(F.col("__hot"), F.pmod("__place", F.lit(salts))).otherwise(F.lit(0)).cast("long"))
+            .drop("__hot", "__place"))
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16,
                      hot_fraction: float = 1e-4) -> DataFrame:
     """Left join that stays balanced when one key holds a large share of the right side.
@@ -50,20 +60,18 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 1
     AQE can split a skewed partition only on the preserved (left) side of a left join, so a
     hot key on the right would land in one task.  Keys holding more than ``hot_fraction`` of
     the right rows are found first (at most ``1 / hot_fraction`` of them, so broadcasting that
-    list has a proven bound); their right rows are spread over ``salts`` buckets by a
-    deterministic row hash and their left rows are replicated once per bucket.  The salted
-    inner join plus the left rows without any match (anti join against the distinct right
-    keys, which partial aggregation shrinks before the shuffle) equals the plain left join.
+    list has a proven bound; their number is compared with a scalar subquery, no action runs
+    here); their right rows are spread over ``salts`` buckets and their left rows are replicated
+    once per bucket.  The salted inner join plus the left rows without any match (anti join against
+    the distinct right keys, which partial aggregation shrinks before the shuffle) equals the
+    plain left join.
     """
-    total = right.count()
-    threshold = max(1, int(total * hot_fraction))
-    hot = (right.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > threshold)
+    total = right.agg(F.count(F.lit(1)).alias("n")).scalar()
+    hot = (right.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+           .where(F.col("__n") > F.greatest(F.lit(1).cast("long"), F.floor(total * hot_fraction)))
            .select(key, F.lit(True).alias("__hot")))
     hot = F.broadcast(hot)
-    r = (right.join(hot, key, "left")
-         .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*right.columns), F.lit(salts)))
-                     .otherwise(F.lit(0)).cast("long"))
-         .drop("__hot"))
+    r = salt_hot_rows(right, hot, key, salts)
     l = (left.join(hot, key, "left")
          .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
                                          .otherwise(F.array(F.lit(0))).cast("array<long>")))

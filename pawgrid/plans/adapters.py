@@ -112,7 +112,7 @@ def raw_listings(spark: SparkSession, sf_dir: str, long_text: bool = True) -> Da
     """``long_text=False`` leaves ``addinfo10`` null and skips the documents join (for plans that
     never read the free text, e.g. the vector side of a recommendation)."""
     k = "p_partkey"
-    p = table(spark, sf_dir, "part", wide=long_text, key=k)
+    p = table(spark, sf_dir, "part")
     if long_text:
         d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(k), F.col("text").alias("doc_text"))
         # the free-text side grows with the data and has no size bound: join by key (sort-merge),
@@ -210,7 +210,7 @@ TEXT_SLOT_RULES = {
 
 def user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of the conversations as queries ``(qid, text)``; qid = conversation and turn, as text."""
-    c = table(spark, sf_dir, "conversations", wide=True, key="conv_id")
+    c = table(spark, sf_dir, "conversations", wide=True)  # not by conversation: one may be huge
     return c.where(F.col("role") == "user").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
 
 

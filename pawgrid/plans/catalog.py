@@ -620,9 +620,9 @@ def q_weight_scans(spark: SparkSession, d: str) -> DataFrame:
 # ================================================================================================
 def enrich_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Base = orders (open = status 'O'), sub01 = every line item, sub04 = per-order line summary."""
-    # base and subs are spread on the order key (no-op on a many-split scan); the subs grow with
-    # the data, so they join by key (sort-merge, co-partitioned on uid) rather than by broadcast
-    o = A.table(spark, d, "orders", wide=True, key="o_orderkey")
+    # the subs grow with the data, so they join by key (sort-merge) rather than by broadcast; every
+    # exchange below a join is the join's own, which AQE may split where a key is hot
+    o = A.table(spark, d, "orders")
     base = o.select(
         F.col("o_orderkey").alias("uid"),
         F.when(F.col("o_orderstatus") == "O", F.lit(K.OPEN_STATE)).otherwise(F.lit("임보완료")).alias("state"),
@@ -636,7 +636,7 @@ def enrich_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
         F.col("o_orderdate").alias("d_regis"),
         F.col("o_custkey").alias("puid"),
     )
-    li = A.table(spark, d, "lineitem", wide=True, key="l_orderkey")
+    li = A.table(spark, d, "lineitem")
     sub01 = li.select(
         F.col("l_orderkey").alias("uid"), F.col("l_returnflag").alias("addinfo01"),
         F.col("l_linestatus").alias("addinfo03"),
@@ -850,10 +850,11 @@ def rerank_replies(spark: SparkSession, d: str, cands: DataFrame) -> DataFrame:
 def q_rerank_final(spark: SparkSession, d: str) -> DataFrame:
     """PIPE4: candidates -> replies -> parsed picks -> picks joined back to candidates, with the
     similarity fallback (top 5) for queries whose reply names nothing (SRT4)."""
-    # the candidate table is bounded (queries x k rows) and read three times (replies, join-back,
-    # fallback): it is checkpointed once into the shared checkpoint folder instead of re-running
-    # the free-text join and the top-k kernel for every use
-    cands = candidates(spark, d).checkpoint()
+    # the candidate table is read three times (replies, join-back, fallback): it is written once under
+    # the shared folder instead of re-running the free-text join and the top-k for every use
+    from pawgrid.session import run_path
+    from pawgrid.sources.sinks import materialise
+    cands = materialise(spark, run_path(spark, "candidates"), lambda: candidates(spark, d))
     picks = R.parse_replies(rerank_replies(spark, d, cands))
     return R.final_picks(picks, cands)
 
@@ -936,25 +937,18 @@ def q_incremental_mark(spark: SparkSession, d: str) -> DataFrame:
     return inc.agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("mark_us"), F.count(F.lit(1)).alias("n_new"))
 
 
-def _run_id(d: str) -> str:
-    import hashlib
-    import uuid
-    return hashlib.sha1(d.encode()).hexdigest()[:10] + "-" + uuid.uuid4().hex[:8]
-
-
 @register("incremental_stream", _INCR_SQL)
 def q_incremental_stream(spark: SparkSession, d: str) -> DataFrame:
     """STR1: the same increment through Structured Streaming (file source, availableNow trigger,
     checkpointed foreachBatch into a table under the shared checkpoint folder)."""
-    from pawgrid.session import shared_path
+    from pawgrid.session import run_path
     from pawgrid.streaming.incremental import drain_to_table, stream_files
     src = f"{d}/events.parquet"
     schema = spark.read.parquet(src).schema
     src = src[:-1] + "[t]"  # a file source watches a folder or a glob; the glob names exactly this file
-    run = _run_id(d)
-    out = shared_path(spark, f"tables/incremental-{run}")
+    out = run_path(spark, "incremental")
     stream = stream_files(spark, src, schema)
-    drain_to_table(stream, out, f"incremental-{run}",
+    drain_to_table(stream, out, run_path(spark, "incremental-checkpoint"),
                    transform=lambda b, _e: RD.read_incremental(b, "ts", MARK)
                    .select("event_id", "user_id", "event_type", "value"))
     return spark.read.parquet(out).drop("batch_id")
@@ -965,10 +959,9 @@ def q_incremental_stream(spark: SparkSession, d: str) -> DataFrame:
 def q_materialised_prepared(spark: SparkSession, d: str) -> DataFrame:
     """SNK7 + SRC5: the prepared stage written once under the shared checkpoint folder and read
     back (the write also cuts lineage for later stages)."""
-    from pawgrid.session import shared_path
+    from pawgrid.session import run_path
     from pawgrid.sources.sinks import materialise
-    path = shared_path(spark, f"stages/prepared-{_run_id(d)}")
-    t = materialise(spark, path, lambda: prepared(spark, d))
+    t = materialise(spark, run_path(spark, "prepared"), lambda: prepared(spark, d))
     return t.select("uid", "state", "kind", "addinfo01", "addinfo03", "addinfo05", "addinfo07")
 
 

@@ -6,8 +6,8 @@ exists for tests, the bench and the smoke entry point.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,11 +42,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the platform and is only read here.  When it is
-    unset (tests, local runs) a fresh scratch folder is created and registered.
+    On a cluster the folder is set by the platform and is only read here; without one a cluster
+    session is refused, as a folder of the driver's machine is not seen by the executors.  In local
+    mode (tests, local runs) a fresh scratch folder is created and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="pawgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -55,4 +58,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path for a materialised intermediate table under the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+def run_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this call, in a folder of this application (see ``drop_runs``)."""
+    return shared_path(spark, f"pawgrid-runs/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_runs(spark: SparkSession) -> None:
+    """Delete the per-call tables of this application; call it once their results were consumed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        shared_path(spark, f"pawgrid-runs/{spark.sparkContext.applicationId}"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

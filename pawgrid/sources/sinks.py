@@ -49,14 +49,9 @@ def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame],
 
     A table counts as present only when its write committed (the ``_SUCCESS`` marker of the
     job commit): a folder left by a write that died part-way is rebuilt, not reused."""
-    exists = False
-    if skip_existing:
-        try:
-            spark.read.format("text").load(path.rstrip("/") + "/_SUCCESS")   # resolves the path only, no job
-            exists = True
-        except Exception:  # noqa: BLE001 — no committed table at the path
-            exists = False
-    if not exists:
+    done = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    # a store that cannot be asked raises here; it is never taken for a missing table
+    if not (skip_existing and done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)):
         build().write.mode("overwrite").format(fmt).save(path)
     return spark.read.format(fmt).load(path)
 

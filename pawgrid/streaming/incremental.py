@@ -2,8 +2,8 @@
 
 The checkpoint replaces the hand-kept high-water mark: a file-source stream processes each
 new file once, and ``trigger(availableNow=True)`` drains what is there and stops, so the same
-job runs as a scheduled batch.  The checkpoint folder lives under the shared
-``spark.checkpoint.dir`` (never a machine-local path on a cluster).
+job runs as a scheduled batch.  The caller names the checkpoint folder, which has to be under a
+shared folder (``session.shared_path``, ``session.run_path``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pawgrid.session import shared_path
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet",
@@ -26,7 +25,7 @@ def stream_files(spark: SparkSession, path: str, schema: StructType | str, fmt:
     return r.load(path)
 
 
-def drain_to_table(stream: DataFrame, out_path: str, name: str,
+def drain_to_table(stream: DataFrame, out_path: str, checkpoint: str,
                    transform: Callable[[DataFrame, int], DataFrame] | None = None, fmt: str = "parquet") -> None:
     """STR1: process everything available once, adding each micro-batch to ``out_path``.
 
@@ -36,14 +35,11 @@ def drain_to_table(stream: DataFrame, out_path: str, name: str,
     own ``batch_id=<id>`` folder with overwrite: the replay replaces its output instead of
     appending it twice (exactly-once files).  Read ``out_path`` as a table; ``batch_id`` is its
     partition column."""
-    spark = stream.sparkSession
-    ckpt = shared_path(spark, f"streams/{name}")
-
     def write(batch: DataFrame, epoch: int) -> None:
         out = transform(batch, epoch) if transform else batch
         out.write.mode("overwrite").format(fmt).save(f"{out_path.rstrip('/')}/batch_id={epoch}")
 
-    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -56,3 +52,18 @@ def windowed_counts(stream: DataFrame, ts_col: str, key: str, window: str = "1 d
     return (stream.withColumn("__ts", ts).withWatermark("__ts", watermark)
             .groupBy(F.window("__ts", window).alias("w"), key)
             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")))
+
+
+def windowed_table(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str, key: str,
+                   window: str = "1 day") -> DataFrame:
+    """STR2 drained once: the counts of all windows so far as a table, rewritten by each micro-batch
+    (a replayed batch replaces its output)."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out_path)
+
+    query = (windowed_counts(stream, ts_col, key, window).writeStream.outputMode("complete").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(out_path)

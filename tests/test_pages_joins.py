@@ -81,6 +81,15 @@ def _rows(df):
                   key=lambda t: tuple((x is None, x if x is not None else 0) for x in t))
 
 
+def test_equal_hot_rows_use_all_salts(spark):
+    right = spark.createDataFrame([(1, "same")] * 1000 + [(2, "x")], "uid long, w string").repartition(3)
+    hot = spark.createDataFrame([(1, True)], "uid long, __hot boolean")
+    got = {(r.uid, r["__salt"]) for r in J.salt_hot_rows(right, hot, "uid", 8).collect()}
+    assert got == {(1, i) for i in range(8)} | {(2, 0)}
+    left = spark.createDataFrame([(1, "a"), (3, "b")], "uid long, v string")
+    assert J.salted_left_join(left, right, "uid", salts=8, hot_fraction=0.1).count() == 1001
+
+
 def test_left_join_strategies_agree(spark):
     # key 1 is hot on the right (a third of the rows and more), key 3 has no match, null keys on both sides
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "uid long, v string")

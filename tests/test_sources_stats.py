@@ -38,11 +38,11 @@ def test_stream_drain_is_exactly_once(spark):
     spark.createDataFrame([(1,), (2,)], "id long").write.parquet(src)
     out = f"{d}/out"
     name = "t-" + os.path.basename(d)
-    drain_to_table(stream_files(spark, src, "id long"), out, name)
-    drain_to_table(stream_files(spark, src, "id long"), out, name)   # nothing new: no duplicates
+    drain_to_table(stream_files(spark, src, "id long"), out, shared_path(spark, f"streams/{name}"))
+    drain_to_table(stream_files(spark, src, "id long"), out, shared_path(spark, f"streams/{name}"))   # nothing new: no duplicates
     assert spark.read.parquet(out).count() == 2
     spark.createDataFrame([(3,)], "id long").write.mode("append").parquet(src)
-    drain_to_table(stream_files(spark, src, "id long"), out, name)
+    drain_to_table(stream_files(spark, src, "id long"), out, shared_path(spark, f"streams/{name}"))
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
@@ -105,14 +105,14 @@ def test_stream_replay_does_not_duplicate(spark):
     src, out = f"{d}/in", f"{d}/out"
     spark.createDataFrame([(1,), (2,)], "id long").write.parquet(src)
     name = "r-" + os.path.basename(d)
-    drain_to_table(stream_files(spark, src, "id long"), out, name)
+    drain_to_table(stream_files(spark, src, "id long"), out, shared_path(spark, f"streams/{name}"))
     # the driver "dies" after writing the last batch and before committing it: the batch is replayed
     commits = os.path.join(shared_path(spark, f"streams/{name}"), "commits")
     last = max(int(f) for f in os.listdir(commits) if f.isdigit())
     for f in (str(last), f".{last}.crc"):                   # the commit marker and its checksum file
         if os.path.exists(os.path.join(commits, f)):
             os.remove(os.path.join(commits, f))
-    drain_to_table(stream_files(spark, src, "id long"), out, name)
+    drain_to_table(stream_files(spark, src, "id long"), out, shared_path(spark, f"streams/{name}"))
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
 
 
