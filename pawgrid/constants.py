@@ -182,3 +182,23 @@ SLOT_WEIGHT_KEYS = {
     "personality_traits": "personality",
     "behavior_preferences": "behavior",
 }
+
+# --- interactive profile (fixed values) ----------------------------------------------------------
+PROFILE_SIZE_ACCEPTABLE = {"min": 0, "max": 50}
+PROFILE_WEIGHTS = {"age": 1.5, "size": 1.2, "personality": 1.8, "behavior": 1.3}
+
+# --- sentence labels of the text builders (fixed values): column -> label --------------------------
+DESCRIBE_LABELS = {
+    "addinfo10": "성격 상세: ",
+    "addinfo09": "구조 배경: ",
+    "addinfo19": "건강 상태: ",
+    "addinfo16": "특별 요구사항: ",
+    "addinfo20": "일상 관리: ",
+    "addinfo11": "추가 정보: ",
+}
+EMBED_LABELS = {
+    "addinfo10": "성격 설명: ",
+    "addinfo09": "구조 배경: ",
+    "addinfo16": "특별 요구사항: ",
+    "addinfo20": "일상 관리: ",
+}

@@ -75,17 +75,9 @@ def describe_listing(df: DataFrame, _staged: bool = False) -> Column:
     def cleaned(col_name: str) -> Column:
         return F.col(f"__clean_{col_name}") if _staged else clean_text(get_or(df, col_name, ""))
 
-    labelled = [
-        ("addinfo10", "성격 상세: "),
-        ("addinfo09", "구조 배경: "),
-        ("addinfo19", "건강 상태: "),
-        ("addinfo16", "특별 요구사항: "),
-        ("addinfo20", "일상 관리: "),
-        ("addinfo11", "추가 정보: "),
-    ]
     tags = cleaned("addinfo08")
     parts = [intro, status, _part(tags != "", tags)]
-    for col_name, label in labelled:
+    for col_name, label in K.DESCRIBE_LABELS.items():
         t = cleaned(col_name)
         parts.append(_part(t != "", F.concat(F.lit(label), t)))
     return F.array_join(F.array_compact(F.array(*parts)), " ")
@@ -125,10 +117,7 @@ def embedding_text(df: DataFrame, max_length: int | None = None, tag_mode: str =
 
     parts = [
         basic, status, tags,
-        labelled("addinfo10", "성격 설명: "),
-        labelled("addinfo09", "구조 배경: "),
-        labelled("addinfo16", "특별 요구사항: "),
-        labelled("addinfo20", "일상 관리: "),
+        *[labelled(c, label) for c, label in K.EMBED_LABELS.items()],
     ]
     arr = F.array_compact(F.array(*parts))
     full = F.array_join(arr, " ")

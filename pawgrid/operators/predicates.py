@@ -55,10 +55,16 @@ def value_in(column: str, values) -> Column:
 
 
 def in_range(column: str, rng: dict, lo_default: float = 0, hi_default: float = 100) -> Column:
-    """FLT6 / FLT7: inclusive, null excluded."""
+    """FLT6 / FLT7: inclusive, null excluded.  A bound left out is 0 or 100, as the source has it (the
+    ``*_default`` arguments); a bound given as None is no bound."""
     c = F.col(column)
-    return _false_if_null(c.between(F.lit(rng.get("min", lo_default)), F.lit(rng.get("max", hi_default)))
-                          & ~F.isnan(c))
+    lo, hi = rng.get("min", lo_default), rng.get("max", hi_default)
+    inside = c.isNotNull() & ~F.isnan(c)
+    if lo is not None:
+        inside = inside & (c >= F.lit(lo))
+    if hi is not None:
+        inside = inside & (c <= F.lit(hi))
+    return _false_if_null(inside)
 
 
 def equals(column: str, value) -> Column:

@@ -23,14 +23,23 @@ def region_score(regions: list, location: str = "rescue_location", care: str = "
 
 
 def band_score(column: str, pref: dict) -> Column:
-    """SCR4 / SCR5: null .5; preferred band 1; acceptable band .7; else 0 (bands inclusive, 0..100)."""
+    """SCR4 / SCR5: null .5; preferred band 1; acceptable band .7; else 0 (bands inclusive).  A bound
+    left out is 0 or 100, as the source has it; a bound given as None is no bound."""
     v = F.col(column)
+
+    def inside(band: dict) -> Column:
+        lo, hi = band.get("min", 0), band.get("max", 100)
+        out = F.lit(True)
+        if lo is not None:
+            out = out & (v >= F.lit(lo))
+        return out if hi is None else out & (v <= F.lit(hi))
+
     p = pref.get("preferred", {})
     a = pref.get("acceptable", {})
     return (
         F.when(v.isNull() | F.isnan(v), F.lit(0.5))
-        .when(v.between(F.lit(p.get("min", 0)), F.lit(p.get("max", 100))), F.lit(1.0))
-        .when(v.between(F.lit(a.get("min", 0)), F.lit(a.get("max", 100))), F.lit(0.7))
+        .when(inside(p), F.lit(1.0))
+        .when(inside(a), F.lit(0.7))
         .otherwise(F.lit(0.0))
     )
 
@@ -122,12 +131,12 @@ def default_profile(pref_age=(2, 5), accept_age=(1, 8), pref_weight=(3.0, 10.0),
         "age_preference": {"preferred": {"min": pref_age[0], "max": pref_age[1]},
                            "acceptable": {"min": accept_age[0], "max": accept_age[1]}},
         "size_preference": {"preferred": {"min": pref_weight[0], "max": pref_weight[1]},
-                            "acceptable": {"min": 0, "max": 50}},
+                            "acceptable": dict(K.PROFILE_SIZE_ACCEPTABLE)},
         "personality_traits": list(traits),
         "behavior_preferences": {
             "affection": {"ideal": affection, "acceptable": acc(affection)},
             "human_friendly": {"ideal": friendly, "acceptable": acc(friendly)},
             "barking": {"ideal": barking, "acceptable": acc(barking)},
         },
-        "weights": {"age": 1.5, "size": 1.2, "personality": 1.8, "behavior": 1.3},
+        "weights": dict(K.PROFILE_WEIGHTS),
     }

@@ -106,11 +106,11 @@ FROM part
 
 
 # ----------------------------------------------------------------------------------------------
-# raw listing (addinfo columns: text builders, hard filters, recommendation)
+# raw listing (addinfo columns: text builders, hard filters, vector matching)
 # ----------------------------------------------------------------------------------------------
 def raw_listings(spark: SparkSession, sf_dir: str, long_text: bool = True) -> DataFrame:
     """``long_text=False`` leaves ``addinfo10`` null and skips the documents join (for plans that
-    never read the free text, e.g. the vector side of a recommendation)."""
+    never read the free text, e.g. the vector side of a match)."""
     k = "p_partkey"
     p = table(spark, sf_dir, "part")
     if long_text:

@@ -206,7 +206,7 @@ def q_export_flat(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ================================================================================================
-# Vector recommendation (EMB4–EMB5, JN3–JN5, WIN1, SRT3, PRJ11, FLT16–FLT19)
+# Vector matching (EMB4–EMB5, JN3–JN5, WIN1, SRT3, PRJ11, FLT16–FLT19)
 # ================================================================================================
 def _items(spark: SparkSession, d: str, with_mask: bool = False) -> DataFrame:
     """Open listings with their vectors on uid (JN3); a listing without a vector stays (similarity 0)."""
@@ -450,8 +450,7 @@ def _describe_sql() -> str:
     status = (f"CASE WHEN state <> '{dft['state']}' OR kind <> '{dft['kind']}' THEN "
               "'현재 ' || state || ' 상태이며 ' || kind || '로 분류됩니다.' END")
     parts = [intro, status, f"CASE WHEN {X.clean_text('addinfo08')} <> '' THEN {X.clean_text('addinfo08')} END"]
-    for col, label in [("addinfo10", "성격 상세: "), ("addinfo09", "구조 배경: "), ("addinfo19", "건강 상태: "),
-                       ("addinfo16", "특별 요구사항: "), ("addinfo20", "일상 관리: "), ("addinfo11", "추가 정보: ")]:
+    for col, label in K.DESCRIBE_LABELS.items():
         c = X.clean_text(col)
         parts.append(f"CASE WHEN {c} <> '' THEN '{label}' || {c} END")
     return "concat_ws(' ', " + ", ".join(parts) + ")"
@@ -496,8 +495,7 @@ def _embedding_text_sql() -> str:
     tt = X.tag_text("addinfo08")
     tags = f"CASE WHEN ({tt}) <> '' THEN '성격 특징은 ' || ({tt}) || ' 입니다.' END"
     parts = [basic, status, tags]
-    for col, label in [("addinfo10", "성격 설명: "), ("addinfo09", "구조 배경: "), ("addinfo16", "특별 요구사항: "),
-                       ("addinfo20", "일상 관리: ")]:
+    for col, label in K.EMBED_LABELS.items():
         parts.append(f"CASE WHEN NOT {X.is_blank(col)} THEN '{label}' || {X.strip(col)} END")
     arr = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
     return f"array_to_string({arr}, ' ')"
@@ -966,7 +964,7 @@ def q_materialised_prepared(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ================================================================================================
-# Embedding job and the text-to-listing recommendation (EMB1–EMB3, EMB5, WIN5, AGG13, PIPE4/5)
+# Embedding job and text-to-listing matching (EMB1–EMB3, EMB5, WIN5, AGG13, PIPE4/5)
 # ================================================================================================
 DIM = 64
 LISTING_FAIL, QUERY_FAIL = "password", " wh "  # texts that the stand-in embedder refuses

@@ -1,4 +1,4 @@
-"""The end-to-end recommendation run as stages (PIPE1, PIPE3, PIPE4, PIPE5, E1).
+"""The end-to-end matching run as stages (PIPE1, PIPE3, PIPE4, PIPE5, E1).
 
 Each stage is a DataFrame function; ``run`` chains them and materialises the two expensive
 stages (prepared listings, listing vectors) under the shared checkpoint folder, rebuilding a

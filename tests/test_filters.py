@@ -86,3 +86,12 @@ def test_funnel_counts(sample):
 def test_satisfaction(spark):
     df = spark.createDataFrame([(x,) for x in ["3", " 5 ", "0", "6", "a", "", "03", None]], "t string")
     assert [r[0] for r in df.select(P.satisfaction_valid("t")).collect()] == [3, 5, None, None, None, None, 3, None]
+
+
+def test_a_bound_of_none_is_no_bound(spark):
+    from pyspark.sql import functions as F
+
+    from pawgrid.operators import predicates as P
+    df = spark.createDataFrame([(5.0,), (150.0,), (None,)], "age double")
+    count = lambda rng: df.where(P.in_range("age", rng)).agg(F.count(F.lit(1))).first()[0]
+    assert (count({"min": 1}), count({"min": 1, "max": None}), count({"min": None, "max": None})) == (1, 2, 2)
