@@ -29,6 +29,11 @@ COUNTED_UNITS = 200_000  # distinct units a task counts at a time; rarer ones ar
 SPACES = re.compile(r" \s|\s |^\s|\s$")  # white space that is not one space between two units
 
 
+def any_word(word: str) -> bool:
+    """The vocabulary has no normaliser."""
+    return True
+
+
 def plain_units(text: str) -> list[str] | None:
     """The units of a text whose spaces all stand alone; None for others (and for special strings)."""
     if "<|" in text or SPACES.search(text) or SEPARATORS.search(text):
@@ -61,14 +66,14 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZE
     """doc_id, n_bytes, n_tokens, over_limit per row.  Null and empty texts have 0 tokens; repeated
     rows and null doc_ids keep a row each."""
     text = tokenizer_json(tokenizer)
-    lengths = UnitCache(make_tokenizer(text), len)
+    lengths = UnitCache(make_tokenizer(text), len, any_word)
     units = [f" {u}" for u in frequent_units(docs, per_task, table_units)]
     table = spark.sparkContext.broadcast({u[1:]: n for u, n in zip(units, lengths.encode(units))})
     source = spark.sparkContext.broadcast(text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = worker_state(f"counts_{tokenizer}", lambda: UnitCache(make_tokenizer(source.value), len))
-        known, frequent = cache.known, table.value
+        cache = worker_state(f"counts_{tokenizer}", lambda: UnitCache(make_tokenizer(source.value), len, any_word))
+        frequent = table.value
         for pdf in batches:
             sizes, n_tokens = [], []
             for text in pdf["text"]:
@@ -89,7 +94,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZE
                     rare.append(units[0])
                 cache.trim()
                 cache.learn(set(rare))
-                n_tokens.append(total + sum(map(known.__getitem__, rare)))
+                n_tokens.append(total + sum(map(cache.known.__getitem__, rare)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": sizes, "n_tokens": n_tokens})
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")

@@ -14,6 +14,7 @@ the counts of the buckets before, so a length that a third of all pieces share i
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -94,6 +95,11 @@ def plan_moves(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(moves, dtype=np.int64).reshape(-1, 6)
 
 
+def lower_latin(word: str) -> bool:
+    """Letters that the vocabulary's normaliser (NFC, lower case) leaves as they are."""
+    return word.isascii() and word.islower() or max(word) <= "ÿ" and word == word.lower()
+
+
 def tokenised_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
                      end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids of the whole text, then ``end_id``, cut at ``capacity``."""
@@ -102,8 +108,7 @@ def tokenised_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = worker_state(f"packing_{tokenizer}", lambda: UnitCache(
-            make_tokenizer(source.value), lambda ids: np.array(ids, dtype="<u4").tobytes()))
-        known = cache.known
+            make_tokenizer(source.value), lambda ids: struct.pack(f"<{len(ids)}I", *ids), lower_latin))
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
@@ -120,7 +125,7 @@ def tokenised_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKE
                     units = text.split()
                     cache.trim()
                     cache.learn(set(units))
-                    blob = b"".join(map(known.__getitem__, units)) + end
+                    blob = b"".join(map(cache.known.__getitem__, units)) + end
                 for piece, at in enumerate(range(0, len(blob), 4 * capacity)):
                     part = blob[at:at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
