@@ -199,7 +199,9 @@ def test_units_encode_as_the_library(spark):
         zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()) for t in HARD]
 
 
-def test_secret_scan(spark, sf, texts):
+def test_secret_scan(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     pattern = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     found = 0
     for r in run(spark, sf, "op7_"):
@@ -273,7 +275,7 @@ def test_plan_is_best_fit_decreasing():
         assert sorted(cap - v for v in fill.values()) == sorted(rooms)
 
 
-def test_language_id(spark, documents):
+def test_language_id(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = run(spark, sf, "op9_")
