@@ -198,7 +198,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.1, l2: f
         return w, b
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for i in range(1, steps + 1):
-        gap = (1 / (1 + np.exp(-(x @ w.astype(x.dtype) + b))) - y) * np.where(y > 0, 2.0, 1.0)
+        gap = (1 / (1 + np.exp(-(x @ w.astype(x.dtype) + b))) - y) * np.where(y > 0, 3.0, 1.0)
         g = np.append(gap.astype(x.dtype) @ x / len(y) + l2 * w, gap.mean())  # in x's precision: no copy of x
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9 ** i)) / (np.sqrt(v / (1 - 0.99 ** i)) + 1e-8)
