@@ -23,8 +23,19 @@ cloudpickle.register_pickle_by_value(pawgrid)
 WORD = r"[^\x20\x09-\x0D]+"  # the word pattern of every contract
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches (16 MB of texts and sets, not 64) between Spark and the Python workers, unless
+    the session chose a size of its own; results do not depend on it."""
+    if spark.conf.get(ARROW_BYTES) in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(ARROW_BYTES, str(16 << 20))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of ``sf_dir``, read by Spark (any store that Spark can read)."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -39,6 +50,7 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     table used twice from being computed twice.  The tables live in a folder of the application;
     :func:`drop_stages` deletes it when its results have been consumed.
     """
+    bounded_batches(spark)
     path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
