@@ -131,18 +131,15 @@ def fingerprint_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Data
                        -1 - F.pmod(F.xxhash64("text"), F.lit(4096)))
     rows = rows.withColumn("block", block).withColumn("key", F.xxhash64("text"))
 
-    heads = rows.groupBy("block").agg(F.min("doc_id").alias("head_id"))
-    after = _successors(heads.select(F.col("block").alias("b")), 2)
-    head_rows = (rows.join(heads.withColumnRenamed("block", "hb"), (F.col("block") == F.col("hb"))
-                           & F.col("doc_id").eqNullSafe(F.col("head_id")))
-                 .groupBy("block").agg(F.min(F.struct("key", "text")).alias("head"))
-                 .select(F.col("block").alias("hb"), F.col("head.text").alias("head_text")))
-    head_rows = with_fingerprint(head_rows, "head_text", "head_fp")
-    jump = after.join(head_rows, F.col("next") == F.col("hb")).select(F.col("b").alias("block"), "head_text", "head_fp")
-
-    rows = with_fingerprint(rows, "text", "fp")
+    after = _successors(rows.select(F.col("block").alias("b")).distinct(), 2)
     order = W.partitionBy("block").orderBy("doc_id", "key", "text")
-    rows = rows.withColumn("after", F.lead(F.struct("text", "fp")).over(order)).drop("key")
+    # all but each task's first row of a block are left out before the heads are shuffled
+    heads = (rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") == 1)
+             .select(F.col("block").alias("hb"), F.col("text").alias("head_text")))
+    heads = with_fingerprint(heads, "head_text", "head_fp")
+    jump = after.join(heads, F.col("next") == F.col("hb")).select(F.col("b").alias("block"), "head_text", "head_fp")
+    rows = with_fingerprint(rows, "text", "fp")
+    rows = rows.withColumn("after", F.lead(F.struct("text", "fp")).over(order))
     rows = rows.join(jump, "block", "left")
     last = F.col("after").isNull()
     rows = rows.select("doc_id", "text", "fp", F.length("text").cast("long").alias("n_chars"),
