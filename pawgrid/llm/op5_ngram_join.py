@@ -11,7 +11,11 @@ Exact: documents link when 100 * |intersection| >= 75 * |union| of their distinc
 3. The matrix is dealt out in blocks of columns.  Columns with one entry are dropped.  In a column,
    a pair can reach the needed overlap ceil(3/7 (x + y)) only if the sizes are within 3/4 of each other
    and enough n-grams follow the shared one in both orders; other pairs are discarded unseen.
-4. First product: every entry against the column's hub (its smallest class in reach).  The
+   A set's common n-grams (counter well above the mean) close its order.  Two sets that share no
+   rarer one overlap in common ones alone, so in a common column a pair also needs the overlap
+   within the smaller number of common n-grams; pairs with a rarer one meet in its column.
+4. First product: every entry against the hub of its column: the class in reach whose order has
+   the fewest n-grams before the shared one, the most typical of a group of near copies.  The
    overlaps of the surviving pairs are counted on the whole sets; linked classes form components.
    A large group of near copies is joined here by as many pairs as it has members.
 5. Second product: in columns whose classes are still in more than one component, all pairs across
@@ -77,8 +81,12 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
 
 
 def incidence(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, row_key, n, cls, head): per document its set's size and class, and the first n-grams in order."""
-    counts = spark.sparkContext.broadcast(gram_counts(docs))
+    """(doc_id, row_key, n, common, cls, head): per document its set's size, number of common n-grams
+    and class, and the first n-grams in order."""
+    table = gram_counts(docs)
+    counts = spark.sparkContext.broadcast(table)
+    mean = float(table.mean())
+    usual = mean + 8 * mean ** 0.5 + 16  # any value gives the same links
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -89,14 +97,14 @@ def incidence(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
                     keep = n - -(-percent * n // 100) + 1 if n else 0
                     common = counts.value[(h >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
                     head = h[np.lexsort((h, common))[:keep]]
-                    out.append((n, class_key(h) if n else None, head.view(np.int64)))
-            frame = pd.DataFrame(out, columns=["n", "cls", "head"])
+                    out.append((n, int((common > usual).sum()), class_key(h) if n else None, head.view(np.int64)))
+            frame = pd.DataFrame(out, columns=["n", "common", "cls", "head"])
             frame["cls"] = frame["cls"].astype("Int64")
             frame["doc_id"], frame["row_key"] = pdf["doc_id"].astype("Int64"), pdf["row_key"]
             yield frame
 
     return docs.select("doc_id", "row_key", "text").mapInPandas(
-        run, "doc_id long, row_key long, n int, cls long, head array<long>")
+        run, "doc_id long, row_key long, n int, common int, cls long, head array<long>")
 
 
 def _columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,6 +121,24 @@ def _columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
+def allowed(n, pos, common, i, j, percent: int):
+    """Can entries i and j of a column (sizes n[i] <= n[j]) reach the overlap that links them?"""
+    need = reach(n[i], n[j], percent)
+    rare = pos[i] < n[i] - common[i]
+    return ((100 * n[i] >= percent * n[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+            & (rare | (np.minimum(common[i], common[j]) >= need)))
+
+
+def reach_groups(gram, n, percent: int) -> Iterator[tuple[int, int]]:
+    """Runs of a column's entries (sizes rising) whose sizes are within reach of the run's first."""
+    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, int)
+    for lo, end in zip(first, np.append(first[1:], len(gram))):
+        while lo < end:
+            hi = lo + int(np.searchsorted(n[lo:end], 100 * n[lo] // percent, side="right"))
+            yield lo, hi
+            lo = hi
+
+
 def hub_pairs(percent: int):
     """Kernel of the first product: columns of at least two entries, each entry with its hub (or none)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,13 +147,12 @@ def hub_pairs(percent: int):
             again = np.concatenate(([False], gram[1:] == gram[:-1]))
             keep = again | np.concatenate((again[1:], [False]))
             pdf, gram, cls = pdf[keep].reset_index(drop=True), gram[keep], cls[keep]
-            n, pos = pdf["n"].to_numpy(np.int64), pdf["pos"].to_numpy(np.int64)
-            hub, at = np.full(len(gram), -1, dtype=np.int64), -1
-            for i in range(len(gram)):
-                if at < 0 or gram[i] != gram[at] or 100 * n[at] < percent * n[i]:
-                    at = i
-                elif min(n[at] - pos[at], n[i] - pos[i]) >= reach(n[at], n[i], percent):
-                    hub[i] = at
+            n, pos, common = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "common"))
+            hub = np.full(len(gram), -1, dtype=np.int64)
+            for lo, hi in reach_groups(gram, n, percent):
+                hub[lo:hi] = lo + int(np.argmin(pos[lo:hi]))
+            i = np.arange(len(gram))
+            hub[(hub == i) | ~allowed(n, pos, common, np.minimum(hub, i), np.maximum(hub, i), percent)] = -1
             pdf["hub"] = pd.Series(cls[np.maximum(hub, 0)]).astype("Int64").where(hub >= 0)
             if len(pdf):
                 yield pdf
@@ -140,11 +165,10 @@ def cross_pairs(percent: int):
         for pdf in _columns(batches):
             gram = pdf["gram"].to_numpy()
             cls, label = pdf["cls"].to_numpy(), pdf["label"].to_numpy()
-            n, pos = pdf["n"].to_numpy(np.int64), pdf["pos"].to_numpy(np.int64)
+            n, pos, common = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "common"))
 
             def fits(i, j):
-                return ((label[j] != label[i]) & (100 * n[i] >= percent * n[j])
-                        & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= reach(n[i], n[j], percent)))
+                return (label[j] != label[i]) & allowed(n, pos, common, i, j, percent)
 
             first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
             size = np.diff(np.append(first, len(gram)))
@@ -235,13 +259,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     docs = docs.withColumn("row_key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
     rows = stage(spark, incidence(spark, docs, percent), "incidence")
     filled = rows.filter(F.col("n") > 0)
-    classes = filled.groupBy("cls").agg(F.first("n").alias("n"), F.first("head").alias("head"))
+    classes = filled.groupBy("cls").agg(F.first("n").alias("n"), F.first("common").alias("common"),
+                                        F.first("head").alias("head"))
     keys = stage(spark, filled.groupBy("cls").agg(F.min("row_key").alias("row_key")), "class-keys")
 
-    entries = classes.select(F.posexplode("head").alias("pos", "gram"), "cls", "n")
+    entries = classes.select(F.posexplode("head").alias("pos", "gram"), "cls", "n", "common")
     entries = entries.repartition("gram").sortWithinPartitions("gram", "n", "cls")
-    entry = "gram long, cls long, n int, pos int"
-    shared = stage(spark, entries.select("gram", "cls", "n", "pos").mapInPandas(hub_pairs(percent), f"{entry}, hub long"),
+    entry = "gram long, cls long, n int, pos int, common int"
+    shared = stage(spark, entries.select("gram", "cls", "n", "pos", "common").mapInPandas(hub_pairs(percent), f"{entry}, hub long"),
                    "columns")
     first = (shared.filter(F.col("hub").isNotNull())
              .select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
@@ -251,7 +276,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     label = connected_components(spark, edges)
 
     named = shared.join(label, F.col("cls") == F.col("node"), "left").select(
-        "gram", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
+        "gram", "cls", "n", "pos", "common", F.coalesce("label", "cls").alias("label"))
     mixed = (named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .filter(F.col("lo") != F.col("hi")).select("gram"))
     open_columns = named.join(mixed, "gram", "left_semi").repartition("gram").sortWithinPartitions("gram", "n", "cls")
@@ -260,7 +285,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     more = linked_pairs(spark, docs, keys, stage(spark, second, "pairs"), percent)
     label = connected_components(spark, edges.union(more))
 
-    placed = (rows.drop("head")
+    placed = (rows.drop("head", "common")
               .join(label, F.col("cls") == F.col("node"), "left")
               .select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"),
                       F.coalesce("label", "cls").alias("component")))
