@@ -22,7 +22,8 @@ Exact: documents link when 100 * |intersection| >= 75 * |union| of their distinc
    components that the bounds allow, and their exact overlaps.  No link between components is lost,
    and pairs inside a component, which cannot change it, are never formed.
 
-A pair that repeats in many columns is checked once.  Whole sets are made again from the texts, for the classes
+A pair that repeats in many columns is checked once, by the sets' bitmaps (an upper bound of the
+overlap) and, if it passes, by the whole sets.  Whole sets are made again from the texts, for the classes
 in some pair only (a fixed-size Bloom filter picks their rows on the map side).
 """
 
@@ -46,6 +47,7 @@ SHINGLE = 5
 COUNTERS_LOG2 = 20
 BLOOM_LOG2 = 24  # bits
 BLOCKS = 64
+BITMAP = 2048
 
 
 def hasher() -> Hasher:
@@ -57,6 +59,13 @@ def reach(x, y, percent: int):
     return -(-(percent * (x + y)) // (100 + percent))
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITMAP bits of a set, as longs."""
+    bits = np.zeros(BITMAP, dtype=bool)
+    bits[(hashes % np.uint64(BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def class_key(hashes: np.ndarray) -> int:
     """64-bit key of a set."""
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -227,10 +236,21 @@ def linked_pairs(spark: SparkSession, docs: DataFrame, keys: DataFrame, pairs: D
             for part in chunks(pdf["text"][hit]):
                 made = [h for h in hasher().shingles(part, SHINGLE) if len(h)]
                 if made:
-                    yield pd.DataFrame({"cls": [class_key(h) for h in made], "grams": [h.tobytes() for h in made]})
-
-    whole = stage(spark, docs.select("row_key", "text").mapInPandas(sets, "cls long, grams binary")
-                  .dropDuplicates(["cls"]), "sets")
+                    yield pd.DataFrame({"cls": [class_key(h) for h in made], "n": [len(h) for h in made],
+                                        "grams": [h.tobytes() for h in made], "bits": [bitmap(h) for h in made]})
+
+    whole = stage(spark, docs.select("row_key", "text").mapInPandas(sets, "cls long, n int, grams binary, bits array<long>"),
+                  "sets")
+    if not whole.groupBy("cls").count().filter("count > 1").isEmpty():  # repeated rows
+        whole = whole.dropDuplicates(["cls"])
+    # bitmaps first: each bit in which two sets differ stands for a gram that they do not share, so the
+    # overlap is at most (x + y - differing bits) / 2; pairs that cannot reach the bound end here
+    x, y = (whole.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0),
+                         lambda t, n: t + n)
+    most = (F.col("na") + F.col("nb") - differ) / 2
+    pairs = (pairs.join(x, "a").join(y, "b").filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+             .select("a", "b"))
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
