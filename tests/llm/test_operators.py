@@ -234,6 +234,29 @@ def test_secret_battery_finds_keys_and_spares_words(spark):
     assert out["text"] == "key = [SECRET] and [SECRET] ok" and out["n_chars"] == len(out["text"])
 
 
+def test_secret_battery_among_short_words(spark):
+    from pawgrid.llm.op7_secret_scan import batteries, battery, secret_scan
+    rng = np.random.default_rng(4)
+    base62 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    words = "the cat sat on a mat and then it saw two dogs run over some green hill near our old house by sea".split()
+    rows, keys, ids = [], {}, {}
+    for i in range(300):
+        text = " ".join(rng.choice(words, 60))
+        if i % 10 == 0:
+            keys[i] = "".join(rng.choice(base62, (32, 40, 64)[i // 10 % 3] - 1)) + "7"
+            text += f" see {keys[i]} here"
+        elif i % 10 == 5:
+            ids[i] = "".join(rng.choice(words, 12)) + "2"
+            text += f" see {ids[i]} here"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan(docs).collect() if r["n_random"]}
+    right = [i for i in keys if found.get(i) == f"random:{rows[i][1].index(keys[i])}:{rows[i][1].index(keys[i]) + len(keys[i])}"]
+    assert len(right) >= 27 and len(found.keys() - keys.keys()) <= 2
+    sample = rng.integers(0, 62, (20, 33))
+    assert batteries(sample, 62) == pytest.approx([battery(v.tolist(), 62) for v in sample])
+
+
 def test_packing(spark, sf, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = run(spark, sf, "op8_")
