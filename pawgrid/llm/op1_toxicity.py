@@ -2,10 +2,13 @@
 
 1. A character trigram model over the letters of all documents (counted per task with numpy, added
    up in a tree).
-2. Every distinct token is restored.  A token of plain letters stands for itself.  Any other is a
-   lattice: leet characters may be letters, runs may be one or two letters, marks may vanish or part
-   words; letters typed one by one (``i d i o t``) are one lattice over the whole run.  Viterbi finds
-   the reading of highest channel plus trigram log-probability.
+2. Every distinct token is restored.  A token of plain letters without a double one stands for itself.
+   Any other is a lattice: leet characters may be letters, runs may be one or two letters, marks may
+   vanish or part words.  A token with leet marks at its edges (``a$$``) is read without and with them
+   as letters, a token without a letter (``455``) as letters.  Letters typed one by one (``i d i o t``,
+   any white space between) are one lattice over the whole run.  Viterbi finds the reading of highest
+   channel plus trigram log-probability.  Fragments (``st upid``) are also read as one word where the
+   trigrams across a gap say more for a join than for two words, up to ``LONGEST`` letters.
 3. A logistic model over whole restored words and their first 3 to 8 letters scores the document.
    It is fitted on a bounded sample of the labelled training rows (``SAMPLE`` rows with the smallest
    hash of doc_id): features are the ``FEATURES`` most telling of the sample, their values the log of
@@ -35,15 +38,19 @@ FEATURES = 2048
 MIN_DOCS = 3  # toxic sample rows that a feature needs
 PREFIXES = range(3, 9)
 CACHE_TOKENS = 200_000
+LONGEST = 32  # letters of a word joined from fragments
 SYMBOLS = 62  # 0 word edge, 1-26 a-z, 27-59 Latin-1 letters, 61 any other letter
 #: what a character may stand for
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-        "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
+        "@": "a", "#": "h", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 #: channel log-probabilities
-SAME, DOUBLED, LONG_RUN, LEET_COST, VANISH, PART, DIGIT_LOST = 0.0, -2.0, -1.0, -1.5, -1.5, -2.0, -6.0
+SAME, DOUBLED, LONG_RUN, LEET_COST, VANISH, PART, LEET_LOST, DIGIT_LOST = 0.0, -2.0, -1.0, -1.5, -1.5, -2.0, -3.0, -6.0
+_LEET_CLASS = re.escape("".join(c for c in LEET if not c.isalnum()))
 EDGE_MARKS = re.compile(r"^[\W_]+|[\W_]+$")
-LONG = re.compile(r"(.)\1\1")
-SPELLED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+_LEET_MARKS = re.escape("".join(c for c in LEET if not c.isalnum()))
+EDGE_OTHER = re.compile(rf"^(?:(?![{_LEET_MARKS}])[\W_])+|(?:(?![{_LEET_MARKS}])[\W_])+$")  # leet marks stay
+DOUBLE = re.compile(r"(.)\1")
+SPELLED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 
 
 def _symbol_table() -> np.ndarray:
@@ -62,6 +69,10 @@ def symbol(ch: str) -> int:
 
 
 _TABLE = _symbol_table()
+_READ_AS = _TABLE.copy()  # leet characters as the first letter they may stand for
+for _ch, _letters in LEET.items():
+    if ord(_ch) < 256:
+        _READ_AS[ord(_ch)] = _TABLE[ord(_letters[0])]
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
@@ -96,8 +107,10 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log((c3 + 5 * p2) / (c3.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
 
 
-def lattice(text: str) -> list[list[tuple[str, float]]]:
-    """Per run of equal characters the readings (letters, channel log-probability); a space reads as a word edge."""
+def lattice(text: str, letters_only: bool = False) -> list[list[tuple[str, float]]]:
+    """Per run of equal characters the readings (letters, channel log-probability); a space reads as a word edge.
+
+    ``letters_only``: leet characters have to be letters, one or two as typed, one or two for a longer run."""
     out, i = [], 0
     while i < len(text):
         ch, j = text[i], i
@@ -109,7 +122,12 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
                        else [(ch, LONG_RUN), (ch * 2, LONG_RUN - 0.5)])
         elif ch in LEET:
             reads = [(letter * k, LEET_COST - (k == 2) * 0.5) for letter in LEET[ch] for k in ((1,) if n == 1 else (1, 2))]
-            out.append([*reads, (" ", DIGIT_LOST if ch.isdigit() else PART)])
+            if letters_only:
+                out.append([(letter * k, LEET_COST) for letter in LEET[ch] for k in ((n,) if n < 3 else (1, 2))])
+            elif ch.isdigit():
+                out.append([*reads, (" ", DIGIT_LOST)])
+            else:
+                out.append([*reads, ("", LEET_LOST), (" ", PART)])
         elif ch.isdigit():
             out.append([(" ", SAME)])
         else:
@@ -144,15 +162,15 @@ def viterbi(stages: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
 def restore(token: str, lm: np.ndarray) -> list[str]:
     """The words that a token (no white space) stands for."""
     t = token.lower()
-    if t.isalpha() and not LONG.search(t):
-        return [t]
-    core = EDGE_MARKS.sub("", t)
-    if core.isalpha() and not LONG.search(core) and not any(c in LEET for c in t[:1]):
-        return [core]
-    if not any(c.isalpha() for c in t):
-        return []
-    head = t[:1] if t[:1] in LEET and not core.startswith(t[:1]) else ""  # ``$tupid``, ``@ss``
-    return viterbi(lattice(head + core), lm).split()
+    core, whole = (t, t) if t.isalpha() else (EDGE_MARKS.sub("", t), EDGE_OTHER.sub("", t))
+    out = []
+    if core.isalpha() and not DOUBLE.search(core):
+        out = [core]
+    elif any(c.isalpha() for c in core):
+        out = viterbi(lattice(core), lm).split()
+    if whole != core or not out:
+        out += [w for w in viterbi(lattice(whole, True), lm).split() if w not in out]
+    return out
 
 
 def spelled_out(text: str, lm: np.ndarray) -> list[str]:
@@ -160,7 +178,7 @@ def spelled_out(text: str, lm: np.ndarray) -> list[str]:
     out = []
     for m in SPELLED.finditer(text):
         stages: list = []
-        for i, ch in enumerate(m.group().lower()[::2]):
+        for i, ch in enumerate(m.group().lower().split()):
             if i:
                 stages.append([("", SAME), (" ", PART)])
             stages += lattice(ch)
@@ -168,6 +186,44 @@ def spelled_out(text: str, lm: np.ndarray) -> list[str]:
     return out
 
 
+def open_gaps(tokens: list[str], lm: np.ndarray) -> np.ndarray:
+    """Numbers of the tokens whose gap to the next is more likely inside a word than between two."""
+    cp = np.frombuffer((" " + " ".join(tokens) + "  ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    s = np.where(cp < 256, _READ_AS[np.minimum(cp, 255)], np.where(cp < 0x2000, 61, 0))
+    gap = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)[:-1]
+    x, y, a, b = s[gap - 2], s[gap - 1], s[gap + 1], s[gap + 2]
+    joined = lm[x, y, a] + lm[y, a, b]
+    parted = lm[x, y, 0] + lm[0, 0, a] + lm[0, a, b]
+    return np.flatnonzero((y > 0) & (a > 0) & (joined > parted))
+
+
+def fragments(text: str, lm: np.ndarray) -> list[tuple[str, ...]]:
+    """Distinct runs of tokens with open gaps between them."""
+    tokens = text.lower().split()
+    if len(tokens) < 2:
+        return []
+    gaps = open_gaps(tokens, lm)
+    if not len(gaps):
+        return []
+    cut = np.flatnonzero(np.diff(gaps) > 1) + 1
+    first, last = gaps[np.append(0, cut)], gaps[np.append(cut - 1, len(gaps) - 1)]
+    return list({tuple(tokens[i:j + 2]) for i, j in zip(first.tolist(), last.tolist())})
+
+
+def joined_words(parts: list[str]) -> set[str]:
+    """The words that neighbouring parts make together; a letter typed on both sides of a gap counts once or twice."""
+    out = set()
+    for i in range(len(parts) - 1):
+        words = {parts[i]}
+        for p in parts[i + 1:]:
+            words = {w + q for w in words for q in ((p, p[1:]) if w[-1] == p[0] and len(p) > 1 else (p,))
+                     if len(w) + len(q) <= LONGEST}
+            if not words:
+                break
+            out.update(words)
+    return out
+
+
 def word_features(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in PREFIXES if k <= len(word)]]
 
@@ -176,18 +232,30 @@ class Reader:
     """Distinct tokens of a text as restored words, through ``value`` (words -> what to keep)."""
 
     def __init__(self, lm: np.ndarray, value) -> None:
-        self.lm, self.value, self.known = lm, value, {}
+        self.lm, self.value, self.known, self.words = lm, value, {}, {}
+
+    def restored(self, token: str) -> list[str]:
+        """The words of a lower-case token."""
+        if token not in self.words:
+            self.words[token] = restore(token, self.lm)
+        return self.words[token]
 
     def read(self, text: str) -> list:
-        if len(self.known) > CACHE_TOKENS:
-            self.known.clear()
+        for held in (self.known, self.words):
+            if len(held) > CACHE_TOKENS:
+                held.clear()
         known, distinct = self.known, set(text.split())
         for t in distinct.difference(known):
-            known[t] = self.value(restore(t, self.lm))
+            known[t] = self.value(self.restored(t.lower()))
         out = [v for v in map(known.__getitem__, distinct) if v]
+        joined: set[str] = set()
         if sum(len(t) == 1 for t in distinct) > 1:
-            out += [v for w in set(spelled_out(text, self.lm)) if (v := self.value([w]))]
-        return out
+            joined.update(spelled_out(text, self.lm))
+        for run in fragments(text, self.lm):
+            parts = [self.restored(t) for t in run]
+            for k in range(max(map(len, parts))):  # a fragment with edge marks has two readings
+                joined |= joined_words([p[min(k, len(p) - 1)] for p in parts if p])
+        return out + [v for w in joined if (v := self.value([w]))]
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.1, l2: float = 2e-5) -> tuple[np.ndarray, float]:

@@ -383,6 +383,18 @@ def test_toxicity_restores_disguised_words(spark):
     assert not any(out[i] for i, _, t in hidden if not t)
 
 
+def test_toxicity_readings_of_common_disguises():
+    from pawgrid.llm.op1_toxicity import SYMBOLS, Reader, trigram_counts
+    said = ["you are a stupid idiot and an ass with shit on the boot as it was said by them all"] * 50
+    c3 = trigram_counts(said).reshape(SYMBOLS, SYMBOLS, SYMBOLS) + 0.01
+    lm = np.log(c3 / c3.sum(axis=2, keepdims=True)).astype(np.float32)
+    for text, word in [("a$$", "ass"), ("as$", "ass"), ("shi+", "shit"), ("455", "ass"), ("@$$", "ass"), ("5#!7", "shit"),
+                       ("iddiot", "idiot"), ("stuupid", "stupid"), ("idiot!", "idiot"), ("i d\ti\no  t", "idiot"),
+                       ("an id iot was", "idiot"), ("a st upid boot", "stupid")]:
+        assert word in [w for ws in Reader(lm, lambda ws: ws).read(text) for w in ws], text
+    assert len(Reader(lm, lambda ws: ws).read("st " * 3000 + "s " * 3000)) < 200
+
+
 def test_toxicity_query(spark, sf):
     rows = run(spark, sf, "op1_")
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
