@@ -289,8 +289,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, lm, folds: in
             yield pd.DataFrame({"toxic": pdf["toxic"], "words": [
                 [w for ws in reader.read(t if isinstance(t, str) else "") for w in ws] for t in pdf["text"]]})
 
-    rows = stage(spark, docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("l_id"))
-                 .select("toxic", "text").mapInPandas(words, "toxic int, words array<string>"), "toxic-sample")
+    # one row per doc_id, so that its rows are at most ``sample`` too
+    texts = (docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("l_id"))
+             .groupBy("l_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("least")))
+    rows = stage(spark, texts.select("toxic", F.col("least.text").alias("text")).mapInPandas(words, "toxic int, words array<string>"), "toxic-sample")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -331,7 +333,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, fol
 
     Only text is an input of the score; null and empty texts get the score of a text without words.
     Labels of a doc_id that occur twice count by their largest; null labels and null doc_ids do not
-    train.  Repeated rows keep a row each.  Without labels every score is 0.5 or the base rate.
+    train.  Of the rows of one doc_id the one with the smallest hash of its text trains.
+    Repeated rows keep a row each.  Without labels every score is 0.5 or the base rate.
     """
     lm = spark.sparkContext.broadcast(language_model(docs))
     number, w, b = train(spark, docs, labels, lm, folds, sample, n_features)

@@ -395,6 +395,20 @@ def test_toxicity_readings_of_common_disguises():
     assert len(Reader(lm, lambda ws: ws).read("st " * 3000 + "s " * 3000)) < 200
 
 
+def test_toxicity_sample_holds_one_row_of_a_repeated_id(spark):
+    from pawgrid.llm import op1_toxicity as op1
+    rows = [(i, f"text number {i}") for i in range(20)] + [(7, f"copy {k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    fitted, fit = [], op1.fit
+    op1.fit = lambda x, y: fitted.append(len(y)) or fit(x, y)
+    try:
+        op1.score_documents(spark, docs, labels, folds=1000)
+    finally:
+        op1.fit = fit
+    assert 0 < fitted[0] <= 20
+
+
 def test_toxicity_query(spark, sf):
     rows = run(spark, sf, "op1_")
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
