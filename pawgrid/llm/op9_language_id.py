@@ -3,8 +3,9 @@
 Training counts hashed byte trigrams of letter words per language over all training documents.  A
 word's likelihood under a language is the product of its trigrams' smoothed probabilities.  A
 document is a mixture: expectation-maximisation estimates its language proportions from the words'
-likelihoods.  The language set is chosen by penalised likelihood: sets of the 1, 2, ... leading
-languages are refitted, and each language costs half the log of the number of words.  The
+likelihoods, until the likelihood stops rising.  The language set is chosen by penalised likelihood:
+sets of the 1, 2, ... leading languages, up to all that were learned, are refitted as long as they can
+still improve it, and each language costs half the log of the number of words.  The
 prediction is the leading language of the chosen set, the score its proportion.
 """
 
@@ -24,8 +25,7 @@ from pawgrid.llm.kernels import chunks
 FOLDS = 3
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
-STEPS, REFITS = 6, 3
-MAX_SET = 3  # languages of one document's mixture
+TOLERANCE = 1e-3  # of a document's log-likelihood; a language costs half the log of the number of words
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -75,12 +75,24 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarra
     return langs, np.ascontiguousarray(np.log(p).T.astype(np.float32))
 
 
-def _fit(like: np.ndarray, first: np.ndarray, n: np.ndarray, doc: np.ndarray, pi: np.ndarray, steps: int) -> np.ndarray:
-    for _ in range(steps):
-        share = pi[doc] * like
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-        pi = np.add.reduceat(share, first, axis=0) / n[:, None]
-    return pi
+def _fit(like: np.ndarray, n: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log-likelihood) per document; ``like`` holds the words document by document, ``n`` of each.
+
+    A document takes steps until one raises its log-likelihood by TOLERANCE or less."""
+    pi, value = pi.copy(), np.full(len(n), -np.inf)
+    live = np.arange(len(n))
+    while len(live):
+        first, doc = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        share = pi[live][doc] * like
+        total = np.maximum(share.sum(axis=1), 1e-300)
+        fit = np.add.reduceat(np.log(total), first)
+        rises = fit - value[live] > TOLERANCE
+        value[live] = np.maximum(fit, value[live])
+        step = np.add.reduceat(share / total[:, None], first, axis=0) / n[:, None]
+        pi[live[rises]] = step[rises]
+        if not rises.all():
+            like, n, live = like[rises[doc]], n[rises], live[rises]
+    return pi, value
 
 
 def mixtures(texts: list[str], table: np.ndarray) -> np.ndarray:
@@ -98,19 +110,22 @@ def mixtures(texts: list[str], table: np.ndarray) -> np.ndarray:
     like = np.exp(log_like - top)
     ids, first = np.unique(doc, return_index=True)
     n = np.diff(np.append(first, len(doc)))
-    doc = np.repeat(np.arange(len(ids)), n)
-    pi = _fit(like, first, n, doc, np.full((len(ids), k), 1 / k), STEPS)
+    pi, most = _fit(like, n, np.full((len(ids), k), 1 / k))
     order = np.argsort(-pi, axis=1, kind="stable")
     best, score = np.zeros_like(pi), np.full(len(ids), -np.inf)
-    for size in range(1, min(k, MAX_SET) + 1):
-        mask = np.zeros_like(pi)
-        np.put_along_axis(mask, order[:, :size], 1.0, axis=1)
-        own = np.maximum(pi, 1e-6) * mask
-        own = _fit(like, first, n, doc, own / own.sum(axis=1, keepdims=True), REFITS if size > 1 else 0)
-        fit = np.add.reduceat(np.log(np.maximum((own[doc] * like).sum(axis=1), 1e-300)), first)
-        value = fit - 0.5 * size * np.log(n + 1)
-        better = value > score
-        best[better], score[better] = own[better], value[better]
+    for size in range(1, k + 1):
+        # no set fits better than all languages together: documents that cannot gain any more are done
+        some = np.flatnonzero(most + TOLERANCE * 10 - 0.5 * size * np.log(n + 1) > score) if size > 1 else np.arange(len(ids))
+        if not len(some):
+            break
+        mask = np.zeros((len(some), k))
+        np.put_along_axis(mask, order[some, :size], 1.0, axis=1)
+        own = np.maximum(pi[some], 1e-6) * mask
+        of_some = np.repeat(np.isin(np.arange(len(ids)), some), n)
+        own, fit = _fit(like[of_some], n[some], own / own.sum(axis=1, keepdims=True))
+        value = fit - 0.5 * size * np.log(n[some] + 1)
+        better = value > score[some]
+        best[some[better]], score[some[better]] = own[better], value[better]
     out[ids] = best
     return out
 

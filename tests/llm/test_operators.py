@@ -320,6 +320,21 @@ def test_language_mixture(spark):
         assert (r["lang_pred"], r["n_languages"]) == ("aa", 2) and abs(r["score"] - 2 / 3) < 0.05
 
 
+def test_language_mixture_of_all_languages(spark):
+    from pawgrid.llm.op9_language_id import language_id
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    by_lang = defaultdict(list)
+    for r in docs.collect():
+        by_lang[r["lang"]].append(r["text"] or "")
+    names = [x for x in sorted(x for x in by_lang if x) if sum(map(len, by_lang[x])) > 5000]
+    assert len(names) >= 4
+    words = [(" ".join(by_lang[x])).split()[:400] for x in names]
+    text = " ".join(" ".join(w) for w in words)
+    extra = spark.createDataFrame([(10 ** 9, text, None)], "doc_id long, text string, lang string")
+    row = language_id(spark, docs.union(extra)).filter("doc_id = 1000000000").first()
+    assert row["n_languages"] == len(names) and row["score"] < 1.3 / len(names)
+
+
 def test_lm_scoring(spark, sf, texts):
     rows = {r["doc_id"]: r for r in run(spark, sf, "op10_")}
     tokens = {i: [*WORD.findall((t or "").translate(AZ)), None] for i, t in texts.items()}
