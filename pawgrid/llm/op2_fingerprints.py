@@ -14,8 +14,8 @@ Stored are the low 4 bits of each bin, 16 to a long, written as 256 hex digits.
 agree with probability 1/16, which the likeness corrects: (agreeing / 256 - 1/16) / (1 - 1/16).
 A text without words has the empty fingerprint, alike (1.0) only to another empty one.
 
-The successor of a document needs no global sort: ids fall into blocks of about 256 by value, the
-successor is looked up inside the block, and a block's last row takes the head of the next block,
+The successor of a document needs no global sort: quantiles cut the ids into up to ``SLICES`` slices of
+about as many rows each, equal widths cut a slice into blocks of about 256, the successor is looked up inside the block, and a block's last row takes the head of the next block,
 found in the same way one level up (blocks of blocks).
 """
 
@@ -36,6 +36,7 @@ BITS = 4  # kept of each bin
 PER_LONG = 16
 PROBES = 24
 BLOCK_ROWS = 256
+SLICES = 256
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -115,6 +116,24 @@ def _successors(keys: DataFrame, levels: int) -> DataFrame:
     return inside.join(jump, "u").select("b", F.coalesce("next", "head").alias("next"))
 
 
+def id_blocks(docs: DataFrame, block_rows: int) -> Column:
+    """Block number of the long ``doc_id``, rising with it; null for null.  The driver sees at most SLICES ids."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("i")).filter(F.col("i").isNotNull())
+    low, high, n = ids.agg(F.min("i"), F.max("i"), F.count(F.lit(1))).first()
+    if not n:
+        return F.lit(None).cast("long")
+    slices = max(1, min(SLICES, math.ceil(n / block_rows)))
+    cuts = ids.agg(F.percentile_approx("i", [k / slices for k in range(1, slices)], 10_000)).first()[0] if slices > 1 else []
+    lows = sorted({low, *cuts})
+    inside = max(1, math.ceil(n / slices / block_rows))
+    widths = [max(1.0, (float(b) - float(a)) / inside) for a, b in zip(lows, [*lows[1:], high + 1])]
+    at = F.size(F.filter(F.array(*map(F.lit, lows)), lambda x: x <= F.col("doc_id")))
+    pick = F.get(F.array(*[F.struct(F.lit(k * inside).cast("long").alias("base"), F.lit(float(a)).alias("low"), F.lit(w).alias("width"))
+                           for k, (a, w) in enumerate(zip(lows, widths))]), at - 1)
+    return F.when(F.col("doc_id").isNotNull(), pick["base"] + F.least(
+        F.floor((F.col("doc_id").cast("double") - pick["low"]) / pick["width"]).cast("long"), F.lit(inside - 1).cast("long")))
+
+
 def fingerprint_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row.
 
@@ -123,12 +142,7 @@ def fingerprint_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Data
     table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # one row of scalars, from the id column alone
-    ends = docs.select(F.col("doc_id").cast("long").alias("i")).agg(F.min("i"), F.max("i"), F.count(F.lit(1))).first()
-    low, high, n = ends[0] or 0, ends[1] or 0, ends[2]
-    width = max(1, math.ceil((high - low + 1) / max(1, math.ceil(n / block_rows))))
-    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low)) / float(width)).cast("long"),
-                       -1 - F.pmod(F.xxhash64("text"), F.lit(4096)))
+    block = F.coalesce(id_blocks(docs, block_rows), -1 - F.pmod(F.xxhash64("text"), F.lit(4096)))
     rows = rows.withColumn("block", block).withColumn("key", F.xxhash64("text"))
 
     after = _successors(rows.select(F.col("block").alias("b")).distinct(), 2)

@@ -86,6 +86,15 @@ def test_successor_across_blocks_and_gaps(spark):
             assert r["edited_sha256"] == hashlib.sha256((x[:len(x) - half] + y[:half]).encode()).hexdigest()
 
 
+def test_blocks_of_far_off_and_clustered_ids(spark):
+    from pawgrid.llm.op2_fingerprints import id_blocks
+    ids = [*range(3000), *range(10 ** 15, 10 ** 15 + 2000), 10 ** 18, -10 ** 17]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    rows = docs.select("doc_id", id_blocks(docs, 64).alias("block")).orderBy("doc_id").collect()
+    blocks = [r["block"] for r in rows]
+    assert blocks == sorted(blocks) and max(Counter(blocks).values()) <= 4 * 64
+
+
 def water_fill(sizes, weights=(5, 2, 1), times=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     free = {s: weights[i % 3] for i, s in enumerate(names)}
