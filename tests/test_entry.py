@@ -57,3 +57,25 @@ def test_oracle_match(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert _digest(df.columns, srows) == _digest(dcols, drows)
+
+
+def test_imports_without_the_optional_subpackage(tmp_path):
+    """A copy of the tree without the llm folders (the pipeline's file left or not) still imports."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    skip = shutil.ignore_patterns("llm", "__pycache__", ".*")
+    for name in ("pawgrid", "tests"):
+        shutil.copytree(f"{root}/{name}", tmp_path / name, ignore=skip)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path / name)
+    code = ("import __spark_entry__ as E; q = E.queries(); assert 'recommend_topk' in q; "
+            "assert not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    collected = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"],
+                               cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert collected.returncode == 0, collected.stdout[-2000:]
