@@ -84,6 +84,11 @@ def _stack(vectors, dim: int | None = None) -> np.ndarray:
     return out
 
 
+def vector_size(*columns) -> int:
+    """Length of the first vector that any of the columns has; 0 without one."""
+    return next((len(v) for c in columns for v in c if v is not None), 0)
+
+
 def block_topk(qids: np.ndarray, qgroups: np.ndarray, qmat: np.ndarray,
                uids: np.ndarray, masks: np.ndarray, imat: np.ndarray, k: int) -> pd.DataFrame:
     """Top-k items per query of one block by (similarity desc, uid asc), eligible items only.
@@ -152,7 +157,8 @@ def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, *,
 
     ``q_group`` / ``i_mask`` name the slot group / eligibility bit-set columns (see
     ``pawgrid.operators.preferences``); without them every item is eligible.  ``sizes`` names frames
-    with as many rows as queries and items where counting those would repeat an embedding job.
+    with as many rows as queries and items where counting those would repeat an embedding job or a join.
+    Without queries, or without items, there are no rows; a query without a vector has similarity 0.
     """
     q = _prep_queries(queries, qid, q_vec, q_group)
     it = _prep_items(items, uid, i_vec, i_mask)
@@ -168,10 +174,10 @@ def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, *,
           .withColumn("ib", F.pmod(F.xxhash64("uid"), F.col("in"))).withColumn("qb", every("qn")).drop("qn", "in"))
 
     def cell(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        qmat = _stack(qpdf["qvec"])
-        return block_topk(qpdf["qid"].to_numpy(), qpdf["slot_group"].to_numpy(np.int64), _unit_rows(qmat),
+        dim = vector_size(qpdf["qvec"], ipdf["ivec"])
+        return block_topk(qpdf["qid"].to_numpy(), qpdf["slot_group"].to_numpy(np.int64), _unit_rows(_stack(qpdf["qvec"], dim)),
                           ipdf["uid"].to_numpy(np.int64), ipdf["slot_mask"].to_numpy(np.int64),
-                          _unit_rows(_stack(ipdf["ivec"], qmat.shape[1])), k)
+                          _unit_rows(_stack(ipdf["ivec"], dim)), k)
 
     schema = f"qid {q.schema['qid'].dataType.simpleString()}, uid long, similarity double"
     partial = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(cell, schema)

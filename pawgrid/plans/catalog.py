@@ -223,8 +223,10 @@ def recommend(spark: SparkSession, d: str, k: int = 10, filtered: bool = False,
     if filtered:
         queries = queries.withColumn("slot_group", PR.slot_group())
     items = _items(spark, d, with_mask=filtered)
+    # uids are unique in both tables, so the open listings are as many as the joined items
+    sizes = (A.table(spark, d, "embeddings"), RD.open_listings(A.raw_listings(spark, d, long_text=False)))
     return V.top_k_similar(queries, items, k, q_group="slot_group" if filtered else None,
-                           i_mask="slot_mask" if filtered else None, **kw)
+                           i_mask="slot_mask" if filtered else None, sizes=sizes, **kw)
 
 
 _ITEMS_SQL = (", items AS (SELECT r.uid, CAST(e.embedding AS DOUBLE[]) AS v, r.addinfo03, r.addinfo05, "
