@@ -131,6 +131,19 @@ def detail_records(pages: DataFrame, key: str = "page_id", html: str = "html") -
         .drop("__keep")
 
 
+def detail_maps(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """PG11 + SRC8 without a list of labels: ``(page_id, labels map<string,string>)``, one row per page
+    with every label the page has (a label without a value maps to null).  No grouping: the record is
+    complete inside its page."""
+    return _per_page(pages, key, html, lambda root: [(page_record(root),)], "labels map<string,string>").drop("__keep")
+
+
+def label_inventory(maps: DataFrame, labels: str = "labels") -> DataFrame:
+    """Every label of the records in one pass: ``(key, n_pages, n_values)`` (pages with it; with a value)."""
+    return (maps.select(F.explode(labels).alias("key", "value")).groupBy("key")
+            .agg(F.count(F.lit(1)).alias("n_pages"), F.count("value").alias("n_values")))
+
+
 def list_items(pages: DataFrame, base: str | Column, container: str = "div.lst_wrap",
                key: str = "page_id", html: str = "html") -> DataFrame:
     """PG1: ``(page_id, pos, 상세링크, 이름, 공고번호)`` for each ``li`` with an anchor in the container.

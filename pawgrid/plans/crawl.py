@@ -37,6 +37,44 @@ def crawl_table(list_pages: DataFrame, detail_pages: DataFrame, base: str | Colu
         *[value[x].alias(x) for x in labels if x not in shared])
 
 
+def open_crawl_table(list_pages: DataFrame, detail_pages: DataFrame, base: str | Column, labels: list[str] = (),
+                     container: str = "div.lst_wrap", rest: str = "other_labels") -> DataFrame:
+    """PG12 with an open schema: the list item columns, one column per label of ``labels``, and ``rest``, a
+    map of every other label that the item's detail page has.  No label is lost and none has to be
+    known; as in :func:`crawl_table` a label of the page wins over the item's column, even with a null value.
+
+    The records stay whole in their rows (one map per page), so nothing is pivoted and no pass looks
+    for labels.  Of detail pages with the same link one is taken (the smallest record as text)."""
+    link = K.PAGE_ITEM_LINK
+    items = PG.list_items(list_pages, base, container=container)
+    records = PG.detail_maps(detail_pages.withColumnRenamed("page_id", link), key=link)
+    one = records.groupBy(F.col(link).alias("__link")).agg(F.min_by("labels", F.to_json("labels")).alias("__labels"))
+    joined = items.join(one, F.col(link) == F.col("__link"), "left")
+    shared = [c for c in items.columns if c in (K.PAGE_ITEM_NAME, K.PAGE_KEY_NOTICE)]
+    asked = [x for x in labels if x not in shared]
+    has = lambda x: F.coalesce(F.map_contains_key("__labels", F.lit(x)), F.lit(False))
+    value = lambda x: F.try_element_at("__labels", F.lit(x))
+    other = F.map_filter("__labels", lambda k, _: ~k.isin(*shared, *asked))
+    return joined.select(
+        *[F.when(has(c), value(c)).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in items.columns],
+        *[value(x).alias(x) for x in asked],
+        F.coalesce(other, F.create_map().cast("map<string,string>")).alias(rest))
+
+
+def widen(table: DataFrame, rest: str = "other_labels", max_labels: int = 2000) -> DataFrame:
+    """SRC8: the union of all labels as columns (sorted), in place of the map ``rest``.
+
+    One pass counts the labels; more than ``max_labels`` are refused, as columns are part of the plan
+    (the map itself has no such bound)."""
+    found = PG.label_inventory(table, rest).select("key").orderBy("key").limit(max_labels + 1).collect()
+    if len(found) > max_labels:
+        raise ValueError(f"more than {max_labels} labels: keep the map, or ask for labels by name")
+    clash = [r["key"] for r in found if r["key"] in table.columns]
+    if clash:
+        raise ValueError(f"labels named like columns: {clash}")
+    return table.select("*", *[F.try_element_at(rest, F.lit(r["key"])).alias(r["key"]) for r in found]).drop(rest)
+
+
 def crawl_log_rows(items: DataFrame, batch_col: str = "page_id", stamp: Column | None = None) -> DataFrame:
     """SNK2 rows: ``(timestamp, collected_count, animal_names)`` per crawl run (``batch_col``)."""
     ts = stamp if stamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

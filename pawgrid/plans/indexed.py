@@ -1,14 +1,18 @@
-"""Registered queries of the pivot index."""
+"""Registered queries of the pivot index, of records with open labels and of profile tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pawgrid import constants as K
+from pawgrid.operators import pages as PG
 from pawgrid.operators import pivots as PV
 from pawgrid.operators import preferences as PR
 from pawgrid.plans import adapters as A
-from pawgrid.plans.catalog import _items, _topk_sql, register
+from pawgrid.plans import sqltext as X
+from pawgrid.plans.catalog import _LABELS, SITE, _items, _topk_sql, composed_list_pages, register
+from pawgrid.plans.crawl import open_crawl_table
 
 
 def pivot_search(spark: SparkSession, d: str, k: int = 10, filtered: bool = False) -> PV.PivotSearch:
@@ -37,3 +41,56 @@ def q_recommend_topk_pivots_filtered(spark: SparkSession, d: str) -> DataFrame:
 def q_pivot_work(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of queries and items, and whether the index scored fewer of them."""
     return pivot_search(spark, d).work.select("all_pairs", (F.col("scored_pairs") < F.col("all_pairs")).alias("fewer"))
+
+
+# ================================================================================================
+# Records whose labels nobody listed (SRC8, PG12, PIPE9)
+# ================================================================================================
+_MORE = {**_LABELS,
+         "참고용정보_색상": ("p_partkey % 3 = 0", "p_brand"),
+         "참고용정보_비고1": ("p_partkey % 5 = 2 AND p_partkey % 2 = 1", "p_type"),
+         "참고용정보_비고0": ("p_partkey % 5 = 2 AND p_partkey % 2 = 0", "p_type")}
+_ASKED = ["종류", "크기"]
+
+
+def extended_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The composed detail pages with further labels on some: a colour, and a remark whose label varies."""
+    k = F.col("p_partkey")
+    item = lambda label, value: F.concat(
+        F.lit('<li><p class="t_bef">'), label, F.lit('</p><p class="a">'), value, F.lit("</p></li>"))
+    more = F.concat(F.when(k % 3 == 0, item(F.lit("색상"), F.col("p_brand"))).otherwise(F.lit("")),
+                    F.when(k % 5 == 2, item(F.concat(F.lit("비고"), (k % 2).cast("string")), F.col("p_type"))).otherwise(F.lit("")))
+    part = A.table(spark, d, "part").select(k.alias("page_id"), more.alias("more"))
+    pages = A.detail_pages(spark, d).join(part, "page_id")
+    return pages.select(F.concat(F.lit(f"{SITE}/d/"), F.col("page_id").cast("string")).alias("page_id"),
+                        F.replace("html", F.lit("</ul>"), F.concat("more", F.lit("</ul>"))).alias("html"))
+
+
+def _value_sql(label: str) -> str:
+    has, value = _MORE[label]
+    return f"CASE WHEN {has} THEN {value} END"
+
+
+_REST_SQL = ", ".join(f"CASE WHEN {has} THEN {X.q(label)} || '=' || coalesce({value}, '-') END" for label, (has, value) in _MORE.items()
+                      if label not in (*_ASKED, K.PAGE_ITEM_NAME, K.PAGE_KEY_NOTICE))
+
+
+@register("crawl_table_open",
+          "SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS page_id, "
+          "CAST(row_number() OVER (PARTITION BY floor(p_partkey / 10) ORDER BY p_partkey) - 1 AS BIGINT) AS pos, "
+          f"'{SITE}/d/' || CAST(p_partkey AS VARCHAR) AS \"{K.PAGE_ITEM_LINK}\", "
+          + ", ".join(f"{_value_sql(c)} AS \"{c}\"" for c in (K.PAGE_ITEM_NAME, K.PAGE_KEY_NOTICE, *_ASKED))
+          + f", array_to_string(list_sort(list_filter([{_REST_SQL}], lambda x: x IS NOT NULL)), '; ') AS others FROM part")
+def q_crawl_table_open(spark: SparkSession, d: str) -> DataFrame:
+    """PG12 + SRC8: two labels asked for, all others (three of them listed nowhere) kept in the map."""
+    out = open_crawl_table(composed_list_pages(spark, d), extended_pages(spark, d), SITE, _ASKED)
+    text = F.transform(F.map_entries("other_labels"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-"))))
+    return out.withColumn("others", F.array_join(F.array_sort(text), "; ")).drop("other_labels")
+
+
+@register("label_inventory", " UNION ALL ".join(
+    f"SELECT {X.q(label)} AS key, count(*) AS n_pages, count({value}) AS n_values FROM part WHERE {has}"
+    for label, (has, value) in _MORE.items()))
+def q_label_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """SRC8: which labels the pages have, counted in one pass."""
+    return PG.label_inventory(PG.detail_maps(extended_pages(spark, d)))
