@@ -94,3 +94,67 @@ def q_crawl_table_open(spark: SparkSession, d: str) -> DataFrame:
 def q_label_inventory(spark: SparkSession, d: str) -> DataFrame:
     """SRC8: which labels the pages have, counted in one pass."""
     return PG.label_inventory(PG.detail_maps(extended_pages(spark, d)))
+
+
+# ================================================================================================
+# A table of profiles (SCR1, SCR2, SRT2)
+# ================================================================================================
+def supplier_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """One preference profile per supplier; some leave the region or the size open, some want no trait."""
+    k = F.col("s_suppkey")
+    num = lambda c: c.cast("double")
+    brand = lambda c: F.concat(F.lit("Brand#"), (c % 25 + 1).cast("string"))
+    band = lambda a, b, c, e: F.struct(
+        F.struct(num(a).alias("min"), num(b).alias("max")).alias("preferred"), F.struct(num(c).alias("min"), num(e).alias("max")).alias("acceptable"))
+    words = F.array(F.element_at(F.array(*map(F.lit, ("red", "ring", "bolt", "blue"))), (k % 4 + 1).cast("int")),
+                    F.element_at(F.array(F.lit("gear"), F.lit("hot")), (k % 2 + 1).cast("int")))
+    wish = lambda ideal, *good: F.struct(num(ideal).alias("ideal"), F.array(*map(num, good)).alias("acceptable"))
+    return A.table(spark, d, "supplier").select(
+        k.alias("profile_id"),
+        F.when(k % 11 != 0, F.array(brand(k), brand(k * 7))).alias("region"),
+        band(k % 5, k % 5 + 3, F.greatest(k % 5 - 1, F.lit(0)), k % 5 + 6).alias("age_preference"),
+        F.when(k % 13 != 0, band(F.lit(3), k % 7 + 10, F.lit(0), F.lit(50))).alias("size_preference"),
+        F.when(k % 9 == 0, F.array().cast("array<string>")).otherwise(words).alias("personality_traits"),
+        F.create_map(F.lit("affection"), wish(k % 5 + 1, k % 5, k % 5 + 1, k % 5 + 2),
+                     F.lit("barking"), wish(k % 3 + 1, k % 3 + 1)).alias("behavior_preferences"),
+        F.create_map(F.lit("region"), F.lit(1.0), F.lit("age"), F.lit(1.5), F.lit("size"), F.lit(1.2),
+                     F.lit("personality"), num(k % 3) + 1.0, F.lit("behavior"), F.lit(1.3)).alias("weights"))
+
+
+def _wish_sql(v: str, ideal: str, good: str) -> str:
+    return (f"CASE WHEN {v} = {ideal} THEN 1.0 WHEN {v} IN ({good}) THEN 0.7 "
+            f"ELSE greatest(0.0, 1.0 - abs({v} - {ideal}) / 4.0) END")
+
+
+_HAS = "len(list_filter(hashtags, lambda h: contains({w}, h) OR contains(h, {w}))) > 0"
+_MANY_SQL = (
+    ", wishes AS (SELECT s_suppkey AS k, ['red', 'ring', 'bolt', 'blue'][s_suppkey % 4 + 1] AS w1, "
+    "['gear', 'hot'][s_suppkey % 2 + 1] AS w2 FROM supplier), parts AS (SELECT k, uid, "
+    "CASE WHEN (NOT care_null AND care_region = '전국') OR rescue_location IN ('Brand#' || CAST(k % 25 + 1 AS VARCHAR), "
+    "'Brand#' || CAST(k * 7 % 25 + 1 AS VARCHAR)) THEN 1.0 ELSE 0.0 END AS s1, "
+    "CASE WHEN age IS NULL THEN 0.5 WHEN age BETWEEN k % 5 AND k % 5 + 3 THEN 1.0 "
+    "WHEN age BETWEEN greatest(k % 5 - 1, 0) AND k % 5 + 6 THEN 0.7 ELSE 0.0 END AS s2, "
+    "CASE WHEN weight IS NULL THEN 0.5 WHEN weight BETWEEN 3 AND k % 7 + 10 THEN 1.0 WHEN weight BETWEEN 0 AND 50 THEN 0.7 "
+    "ELSE 0.0 END AS s3, "
+    "CASE WHEN k % 9 = 0 OR hashtags IS NULL OR len(hashtags) = 0 THEN 0.5 ELSE (CASE WHEN " + _HAS.format(w="w1")
+    + " THEN 1 ELSE 0 END + CASE WHEN " + _HAS.format(w="w2") + " THEN 1 ELSE 0 END) / 2.0 END AS s4, "
+    "CASE WHEN traits_null THEN 0.5 ELSE (" + _wish_sql("affection", "(k % 5 + 1)", "k % 5, k % 5 + 1, k % 5 + 2")
+    + " + CASE WHEN barking IS NULL THEN 0.0 ELSE " + _wish_sql("barking", "(k % 3 + 1)", "k % 3 + 1")
+    + " END) / (1 + CASE WHEN barking IS NULL THEN 0 ELSE 1 END) END AS s5 "
+    "FROM wishes, listings WHERE status = '임보가능'), scored AS (SELECT k, uid, "
+    "(CASE WHEN k % 11 <> 0 THEN CAST(s1 AS DOUBLE) ELSE 0 END + CAST(s2 AS DOUBLE) * CAST(1.5 AS DOUBLE) "
+    "+ CASE WHEN k % 13 <> 0 THEN CAST(s3 AS DOUBLE) * CAST(1.2 AS DOUBLE) ELSE 0 END + CAST(s4 AS DOUBLE) * (k % 3 + 1) "
+    "+ CAST(s5 AS DOUBLE) * CAST(1.3 AS DOUBLE)) / CAST(CASE WHEN k % 11 <> 0 THEN 1.0 ELSE 0 END + 1.5 "
+    "+ CASE WHEN k % 13 <> 0 THEN 1.2 ELSE 0 END + (k % 3 + 1) + 1.3 AS DOUBLE) AS s FROM parts) "
+    "SELECT profile_id, rank, uid, round(s + 1e-9, 6) AS match_score FROM (SELECT k AS profile_id, uid, s, row_number() OVER "
+    "(PARTITION BY k ORDER BY round(s, 9) DESC, uid) AS rank FROM scored WHERE s >= 0.3) t WHERE rank <= 10")
+
+
+@register("soft_filter_many", f"WITH listings AS ({A.LISTINGS_SQL})" + _MANY_SQL)
+def q_soft_filter_many(spark: SparkSession, d: str) -> DataFrame:
+    """SCR1 + SCR2 + SRT2 for every supplier's profile: its ten best open listings.
+
+    Scores have few decimals, some end in a 5 at the seventh: a billionth settles those on both sides."""
+    from pawgrid.operators.profiles import soft_filter_many
+    out = soft_filter_many(A.structured_listings(spark, d), supplier_profiles(spark, d), 10)
+    return out.withColumn("match_score", F.round(F.col("match_score") + 1e-9, 6))
