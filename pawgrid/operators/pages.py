@@ -116,7 +116,8 @@ def _per_page(pages: DataFrame, key: str, html: str, rows: Callable[[Node], list
             out = [(k, b, *row) for k, b, h in zip(pdf["__key"], pdf["__keep"], pdf["__html"]) if isinstance(h, str)
                    for row in rows(parse(h))]
             if out:
-                yield pd.DataFrame(out, columns=names)
+                frame = pd.DataFrame(out, columns=names)
+                yield frame.astype({"pos": "Int64"}) if "pos" in names else frame
 
     schema = f"`{key}` {src.schema['__key'].dataType.simpleString()}, __keep string, {fields}"
     names = [key, "__keep", *[f.split()[0] for f in fields.split(", ")]]
@@ -145,13 +146,17 @@ def label_inventory(maps: DataFrame, labels: str = "labels") -> DataFrame:
 
 
 def list_items(pages: DataFrame, base: str | Column, container: str = "div.lst_wrap",
-               key: str = "page_id", html: str = "html") -> DataFrame:
+               key: str = "page_id", html: str = "html", mark_empty: bool = False) -> DataFrame:
     """PG1: ``(page_id, pos, 상세링크, 이름, 공고번호)`` for each ``li`` with an anchor in the container.
 
     Link = base + href; name = first word of the anchor's ``.top`` text (null without it);
-    number = text after '공고번호' in the ``.bottom`` block (null without it)."""
-    items = _per_page(pages, key, html, lambda root: page_items(root, container),
+    number = text after '공고번호' in the ``.bottom`` block (null without it).  With ``mark_empty`` a page
+    that lists nothing has one row of nulls."""
+    nothing = [(None, None, None, None)] if mark_empty else []
+    items = _per_page(pages, key, html, lambda root: page_items(root, container) or nothing,
                       "pos long, href string, name string, number string", F.lit(base) if isinstance(base, str) else base)
+    if mark_empty:
+        items = items.withColumn("pos", F.when(F.col("href").isNotNull(), F.col("pos")))
     return items.select(key, "pos", F.concat("__keep", "href").alias(K.PAGE_ITEM_LINK), F.col("name").alias(K.PAGE_ITEM_NAME),
                         F.col("number").alias(K.PAGE_KEY_NOTICE))
 

@@ -15,6 +15,7 @@ eligibility is one bit test inside the kernel.  An item without a vector ranks w
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -239,14 +240,39 @@ def hashing_embedder(dim: int = 64, fail_on: str | None = None) -> Callable[[lis
     return embed
 
 
+def embed_texts(texts: list[str], embedder: Callable[[list[str]], list[list[float]]], retries: int = 0, wait: float = 1.0,
+                sleep: Callable[[float], None] = time.sleep) -> list:
+    """The vectors of ``texts`` in one call where that works; None for a text that fails alone.
+
+    A call that raises, or returns another number of vectors, is tried ``retries`` more times after
+    ``wait``, 2 ``wait``, 4 ``wait``... seconds (a busy service), then its texts are halved: f bad texts
+    among n cost about 2 f log2(n) calls, where a call per text would cost n."""
+    if not texts:
+        return []
+    for attempt in range(retries + 1):
+        if attempt:
+            sleep(wait * 2 ** (attempt - 1))
+        try:
+            got = embedder(texts)
+            if len(got) != len(texts):
+                raise ValueError("embedder returned a different number of vectors")
+            return list(got)
+        except Exception:  # noqa: BLE001 — any failure of the injected function isolates the text at fault
+            pass
+    if len(texts) == 1:
+        return [None]
+    half = len(texts) // 2
+    return [v for part in (texts[:half], texts[half:]) for v in embed_texts(part, embedder, retries, wait, sleep)]
+
+
 def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[list[float]]], dim: int,
-          key: str = "uid", batch_size: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+          key: str = "uid", batch_size: int = 100, keep: tuple[str, ...] = (), retries: int = 0, wait: float = 1.0) -> DataFrame:
     """EMB1: ``(key, *keep, embedding ARRAY<FLOAT>, failed BOOLEAN)`` via ``mapInPandas``.
 
-    Texts go to ``embedder`` in batches of ``batch_size``; a failing batch is retried text by
-    text; a text that still fails gets a zero vector and ``failed = true`` (it then ranks with
-    similarity 0, as before).  ``keep`` columns ride along unchanged, so callers need no join
-    back to the input to recover them."""
+    Texts go to ``embedder`` in batches of ``batch_size`` that run on across the Arrow batches of a task
+    (only a task's last call is smaller); the texts at fault in a failing batch are found by halving
+    (:func:`embed_texts`) and get a zero vector and ``failed = true`` (they then rank with similarity 0,
+    as before).  ``keep`` columns ride along unchanged, so callers need no join back to the input."""
     schema = T.StructType([
         T.StructField(key, df.schema[key].dataType),
         *[T.StructField(c, df.schema[c].dataType) for c in keep],
@@ -255,30 +281,25 @@ def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[lis
     ])
     zero = [0.0] * dim
 
+    def embedded(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = pdf[text_col].fillna("").astype(str).tolist()
+        vecs: list = []
+        for s in range(0, len(texts), batch_size):
+            vecs.extend(embed_texts(texts[s:s + batch_size], embedder, retries, wait))
+        return pd.DataFrame({key: pdf[key].values, **{c: pdf[c].values for c in keep},
+                             "embedding": [np.asarray(zero if v is None else v, dtype=np.float32) for v in vecs],
+                             "failed": [v is None for v in vecs]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            vecs: list = []
-            failed: list = []
-            for s in range(0, len(texts), batch_size):
-                chunk = texts[s:s + batch_size]
-                try:
-                    got = embedder(chunk)
-                    if len(got) != len(chunk):
-                        raise ValueError("embedder returned a different number of vectors")
-                    vecs.extend(got)
-                    failed.extend([False] * len(chunk))
-                except Exception:  # noqa: BLE001 — per-text fallback, as the batch contract says
-                    for t in chunk:
-                        try:
-                            vecs.append(embedder([t])[0])
-                            failed.append(False)
-                        except Exception:  # noqa: BLE001
-                            vecs.append(zero)
-                            failed.append(True)
-            yield pd.DataFrame({key: pdf[key].values, **{c: pdf[c].values for c in keep},
-                                "embedding": [np.asarray(v, dtype=np.float32) for v in vecs],
-                                "failed": failed})
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            full = len(rest) - len(rest) % batch_size
+            if full:
+                yield embedded(rest.iloc[:full])
+                rest = rest.iloc[full:]
+        if rest is not None and len(rest):
+            yield embedded(rest)
 
     cols = [key, *keep] + ([] if text_col in keep else [text_col])
     return df.select(*cols).mapInPandas(run, schema)

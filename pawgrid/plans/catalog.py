@@ -1057,8 +1057,10 @@ _LAST_TURN_SQL = " AND q.qid = (SELECT max(qid) FROM qv WHERE v IS NOT NULL)"
 def q_single_query_chain(spark: SparkSession, d: str) -> DataFrame:
     """PIPE5: one user turn through the whole chain: text -> slots -> hard filter and top-k ->
     prompt -> reply (the stand-in model names the first three candidates) -> parsed picks."""
-    everyone = text_queries(spark, d)
-    turn = everyone.orderBy(F.desc("qid")).limit(1)
+    from pawgrid.session import run_path
+    from pawgrid.sources.sinks import materialise
+    # one row, used twice: the turns are embedded once
+    turn = materialise(spark, run_path(spark, "turn"), lambda: text_queries(spark, d).orderBy(F.desc("qid")).limit(1))
     top = recommend_by_text(spark, d, turn, A.user_queries(spark, d).limit(1))
     cands = R.with_candidate_text(R.candidate_rows(top, prepared(spark, d), LINK_PREFIX))
     asked = R.prompts(cands, turn.select("qid", "text"))

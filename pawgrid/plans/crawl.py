@@ -75,6 +75,34 @@ def widen(table: DataFrame, rest: str = "other_labels", max_labels: int = 2000)
     return table.select("*", *[F.try_element_at(rest, F.lit(r["key"])).alias(r["key"]) for r in found]).drop(rest)
 
 
+def scan_list_pages_in_ranges(list_pages: DataFrame, base: str | Column, path: str, page_col: str = "page_no",
+                              container: str = "div.lst_wrap", max_pages: int | None = None, first: int = 1024) -> DataFrame:
+    """SRC7 for a long list: the rows of :func:`scan_list_pages`, each page parsed once and none beyond the range
+    that holds the stop page.
+
+    Page numbers are taken in rising ranges (``first`` pages, then twice as many each time).  A range is
+    parsed and written to ``path``, with a mark for every page that lists no item; when it holds a mark
+    the scan ends there.  So a job per range runs on the cluster, and the driver sees one number of each."""
+    spark = list_pages.sparkSession
+    pages = list_pages.where(F.col("html").isNotNull() & F.col(page_col).isNotNull())
+    low, top = pages.agg(F.min(page_col), F.max(page_col)).first()
+    if max_pages is not None and low is not None:
+        low, top = max(low, 1), min(top, max_pages)
+    found = lambda: spark.read.parquet(path)
+    size, stop = first, None
+    while low is not None and low <= top and stop is None:
+        part = PG.list_items(pages.where(F.col(page_col).between(low, min(low + size - 1, top))), base, container=container,
+                             key=page_col, mark_empty=True)
+        home = f"{path.rstrip('/')}/from_page={low}"
+        part.write.mode("overwrite").parquet(home)
+        stop = spark.read.parquet(home).where(F.col("pos").isNull()).agg(F.min(page_col)).first()[0]
+        low, size = low + size, 2 * size
+    if size == first:  # no page to read
+        return PG.list_items(pages.where(F.lit(False)), base, container=container, key=page_col)
+    items = found().drop("from_page").where(F.col("pos").isNotNull())
+    return items if stop is None else items.where(F.col(page_col) < stop)
+
+
 def crawl_log_rows(items: DataFrame, batch_col: str = "page_id", stamp: Column | None = None) -> DataFrame:
     """SNK2 rows: ``(timestamp, collected_count, animal_names)`` per crawl run (``batch_col``)."""
     ts = stamp if stamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

@@ -11,8 +11,9 @@ from pawgrid.operators import pivots as PV
 from pawgrid.operators import preferences as PR
 from pawgrid.plans import adapters as A
 from pawgrid.plans import sqltext as X
-from pawgrid.plans.catalog import _LABELS, SITE, _items, _topk_sql, composed_list_pages, register
-from pawgrid.plans.crawl import open_crawl_table
+from pawgrid.plans.catalog import _LABELS, _SCAN_HTML, ORACLE, SITE, _items, _topk_sql, composed_list_pages, register
+from pawgrid.plans.crawl import open_crawl_table, scan_list_pages_in_ranges
+from pawgrid.session import run_path
 
 
 def pivot_search(spark: SparkSession, d: str, k: int = 10, filtered: bool = False) -> PV.PivotSearch:
@@ -158,3 +159,11 @@ def q_soft_filter_many(spark: SparkSession, d: str) -> DataFrame:
     from pawgrid.operators.profiles import soft_filter_many
     out = soft_filter_many(A.structured_listings(spark, d), supplier_profiles(spark, d), 10)
     return out.withColumn("match_score", F.round(F.col("match_score") + 1e-9, 6))
+
+
+@register("scan_list_pages_ranges", ORACLE["scan_list_pages"])
+def q_scan_list_pages_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """SRC7 in rising ranges of 50, 100, ... page numbers: the range of the 90th page is the last one parsed."""
+    pages = A.table(spark, d, "pages", wide=True, key="page_id")
+    numbered = pages.select((F.col("page_id") + 1).alias("page_no"), "url", F.expr(_SCAN_HTML).alias("html"))
+    return scan_list_pages_in_ranges(numbered, PG.site_root(F.col("url")), run_path(spark, "list-ranges"), container="nav", first=50)

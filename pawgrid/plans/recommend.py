@@ -66,10 +66,11 @@ def system_stats(prepared: DataFrame) -> DataFrame:
 def run(spark: SparkSession, raw: DataFrame, queries: DataFrame, embedder: Embedder, dim: int,
         link_prefix: str, name: str = "default", k: int = 10, skip_existing: bool = True) -> dict[str, DataFrame]:
     """PIPE3 + PIPE4: stages materialised under ``spark.checkpoint.dir``; returns the stage
-    frames (``prepared``, ``vectors``, ``stats``, ``candidates``, ``prompts``)."""
-    prepared = materialise(spark, shared_path(spark, f"stages/{name}/prepared"), lambda: prepare(raw), skip_existing)
+    frames (``prepared``, ``vectors``, ``stats``, ``candidates``, ``prompts``).  A stage is taken from an earlier
+    run only when its input's files and schema (and the dimension) are the same."""
+    prepared = materialise(spark, shared_path(spark, f"stages/{name}/prepared"), lambda: prepare(raw), skip_existing, inputs=[raw])
     vectors = materialise(spark, shared_path(spark, f"stages/{name}/vectors"),
-                          lambda: listing_vectors(prepared, embedder, dim), skip_existing)
+                          lambda: listing_vectors(prepared, embedder, dim), skip_existing, inputs=[prepared], params={"dim": dim})
     # read several times below: each is computed once and cut off from the jobs before it
     qv = materialise(spark, shared_path(spark, f"stages/{name}/query-vectors"),
                      lambda: query_vectors(queries, embedder, dim), skip_existing=False)
