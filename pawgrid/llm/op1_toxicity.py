@@ -2,19 +2,20 @@
 
 1. A character trigram model over the letters of all documents (counted per task with numpy, added
    up in a tree).
-2. Every distinct token is restored.  A token of plain letters without a double one stands for itself.
-   Any other is a lattice: leet characters may be letters, runs may be one or two letters, marks may
-   vanish or part words.  A token with leet marks at its edges (``a$$``) is read without and with them
-   as letters, a token without a letter (``455``) as letters.  Letters typed one by one (``i d i o t``,
-   any white space between) are one lattice over the whole run.  Viterbi finds the reading of highest
-   channel plus trigram log-probability.  Fragments (``st upid``) are also read as one word where the
-   trigrams across a gap say more for a join than for two words, up to ``LONGEST`` letters.
+2. Every distinct token is restored.  A token of plain letters stands for itself.  One with a double
+   letter, and any other token, is a lattice too: leet characters may be letters, runs may be one or two
+   letters, marks may vanish or part words.  A token with leet marks at its edges (``a$$``) is read without
+   and with them as letters, a token without a letter (``455``) as letters if each of its characters may be
+   one (``2024`` is a number).  Letters typed one by one (``i d i o t``, any white space between) are one lattice
+   over the whole run.  Viterbi finds the reading of highest channel plus trigram log-probability.  Fragments
+   (``st upid``) are also read as one word where the trigrams across a gap say clearly more for a join than
+   for two words (by ``JOIN_MARGIN``).
 3. A logistic model over whole restored words and their first 3 to 8 letters scores the document.
    It is fitted on a bounded sample of the labelled training rows (``SAMPLE`` rows with the smallest
    hash of doc_id): features are the ``FEATURES`` most telling of the sample, their values the log of
    one plus the number of distinct tokens that have them.
 
-Tokens are restored once while a worker's cache holds them.
+Tokens are restored once while a worker's cache holds them (``CACHE_BYTES``).
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ SAMPLE = 6000
 FEATURES = 2048
 MIN_DOCS = 3  # toxic sample rows that a feature needs
 PREFIXES = range(3, 9)
-CACHE_TOKENS = 200_000
-LONGEST = 32  # letters of a word joined from fragments
+CACHE_BYTES = 32 << 20  # of a worker
+JOIN_MARGIN = 2.0  # log-likelihood by which a join has to beat two words
+LONGEST = 32  # letters of a word that training joins from fragments; scoring joins up to its longest known word
 SYMBOLS = 62  # 0 word edge, 1-26 a-z, 27-59 Latin-1 letters, 61 any other letter
 #: what a character may stand for
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -50,6 +52,7 @@ EDGE_MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 _LEET_MARKS = re.escape("".join(c for c in LEET if not c.isalnum()))
 EDGE_OTHER = re.compile(rf"^(?:(?![{_LEET_MARKS}])[\W_])+|(?:(?![{_LEET_MARKS}])[\W_])+$")  # leet marks stay
 DOUBLE = re.compile(r"(.)\1")
+PLAIN_MARKS = ".,;:?\"'()"  # marks that stand for no letter
 SPELLED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 
 
@@ -159,16 +162,24 @@ def viterbi(stages: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def plain(token: str) -> bool:
+    """Letters that nothing disguises."""
+    return token.isalpha() and not DOUBLE.search(token)
+
+
 def restore(token: str, lm: np.ndarray) -> list[str]:
-    """The words that a token (no white space) stands for."""
-    t = token.lower()
-    core, whole = (t, t) if t.isalpha() else (EDGE_MARKS.sub("", t), EDGE_OTHER.sub("", t))
+    """The words that a lower-case token (no white space) may stand for, as typed first."""
+    core, whole = (token, token) if token.isalpha() else (EDGE_MARKS.sub("", token), EDGE_OTHER.sub("", token))
     out = []
-    if core.isalpha() and not DOUBLE.search(core):
+    if core.isalpha():
         out = [core]
-    elif any(c.isalpha() for c in core):
-        out = viterbi(lattice(core), lm).split()
-    if whole != core or not out:
+    if any(c.isalpha() for c in core):
+        if not plain(core):
+            out += [w for w in viterbi(lattice(core), lm).split() if w not in out]
+        readable = whole != core
+    else:
+        readable = all(c in LEET for c in whole)
+    if readable:
         out += [w for w in viterbi(lattice(whole, True), lm).split() if w not in out]
     return out
 
@@ -187,14 +198,14 @@ def spelled_out(text: str, lm: np.ndarray) -> list[str]:
 
 
 def open_gaps(tokens: list[str], lm: np.ndarray) -> np.ndarray:
-    """Numbers of the tokens whose gap to the next is more likely inside a word than between two."""
+    """Numbers of the tokens whose gap to the next is clearly more likely inside a word than between two."""
     cp = np.frombuffer((" " + " ".join(tokens) + "  ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     s = np.where(cp < 256, _READ_AS[np.minimum(cp, 255)], np.where(cp < 0x2000, 61, 0))
     gap = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)[:-1]
     x, y, a, b = s[gap - 2], s[gap - 1], s[gap + 1], s[gap + 2]
     joined = lm[x, y, a] + lm[y, a, b]
     parted = lm[x, y, 0] + lm[0, 0, a] + lm[0, a, b]
-    return np.flatnonzero((y > 0) & (a > 0) & (joined > parted))
+    return np.flatnonzero((y > 0) & (a > 0) & (joined > parted + JOIN_MARGIN))
 
 
 def fragments(text: str, lm: np.ndarray) -> list[tuple[str, ...]]:
@@ -210,14 +221,40 @@ def fragments(text: str, lm: np.ndarray) -> list[tuple[str, ...]]:
     return list({tuple(tokens[i:j + 2]) for i, j in zip(first.tolist(), last.tolist())})
 
 
-def joined_words(parts: list[str]) -> set[str]:
-    """The words that neighbouring parts make together; a letter typed on both sides of a gap counts once or twice."""
+def first_letters(token: str) -> set[str]:
+    """The three letters that any reading of a token of letters begins with (two of a double one, or one)."""
+    begin, i = {""}, 0
+    while i < len(token) and any(len(w) < 3 for w in begin):
+        j = i + 1
+        while j < len(token) and token[j] == token[i]:
+            j += 1
+        counts, i, ch = ((1,) if j - i == 1 else (1, 2, j - i)), j, token[i]
+        begin = {w + ch * k for w in begin for k in counts}
+    return {w[:3] for w in begin}
+
+
+def may_start(parts: list[str], i: int, starts: set[str]) -> bool:
+    """Can a word joined from part i on begin with one of ``starts`` (three letters each)?"""
+    begin = {parts[i]}
+    for q in parts[i + 1:]:
+        if all(len(w) >= 3 for w in begin):
+            break
+        begin = {w + r for w in begin for r in ((q, q[1:]) if w[-1] == q[0] and len(q) > 1 else (q,))}
+    return any(w[:3] in starts for w in begin)
+
+
+def joined_words(parts: list[str], longest: int = LONGEST, starts: set[str] | None = None) -> set[str]:
+    """The words that neighbouring parts make together; a letter typed on both sides of a gap counts once or twice.
+
+    With ``starts`` only words that begin with one of them are wanted."""
     out = set()
     for i in range(len(parts) - 1):
+        if starts is not None and not may_start(parts, i, starts):
+            continue
         words = {parts[i]}
         for p in parts[i + 1:]:
             words = {w + q for w in words for q in ((p, p[1:]) if w[-1] == p[0] and len(p) > 1 else (p,))
-                     if len(w) + len(q) <= LONGEST}
+                     if len(w) + len(q) <= longest}
             if not words:
                 break
             out.update(words)
@@ -229,32 +266,48 @@ def word_features(word: str) -> list[str]:
 
 
 class Reader:
-    """Distinct tokens of a text as restored words, through ``value`` (words -> what to keep)."""
+    """Distinct tokens of a text as restored words, through ``value`` (words -> what to keep).
 
-    def __init__(self, lm: np.ndarray, value) -> None:
-        self.lm, self.value, self.known, self.words = lm, value, {}, {}
+    ``starts`` (the first three letters of all words that have a value) and ``longest`` (letters of the longest)
+    bound the joins that are tried."""
+
+    def __init__(self, lm: np.ndarray, value, longest: int = LONGEST, starts: set[str] | None = None) -> None:
+        self.lm, self.value, self.longest, self.starts = lm, value, longest, starts
+        self.known, self.words, self.size = {}, {}, 0
 
     def restored(self, token: str) -> list[str]:
         """The words of a lower-case token."""
+        core = token.strip(PLAIN_MARKS)
+        if plain(core):
+            return [core]
         if token not in self.words:
-            self.words[token] = restore(token, self.lm)
+            self.words[token] = out = restore(token, self.lm)
+            self.size += 250 + 2 * len(token) + sum(60 + len(w) for w in out)
         return self.words[token]
 
+    def worth(self, token: str):
+        """The value of a lower-case token; a word of letters that can begin with none of ``starts`` has none."""
+        core = token.strip(PLAIN_MARKS)
+        if self.starts is not None and core.isalpha() and core[:3] not in self.starts \
+                and (plain(core) or not first_letters(core) & self.starts):
+            return ()
+        return self.value([core] if plain(core) else self.restored(token))
+
     def read(self, text: str) -> list:
-        for held in (self.known, self.words):
-            if len(held) > CACHE_TOKENS:
-                held.clear()
+        if self.size > CACHE_BYTES:
+            self.known, self.words, self.size = {}, {}, 0
         known, distinct = self.known, set(text.split())
         for t in distinct.difference(known):
-            known[t] = self.value(self.restored(t.lower()))
+            known[t] = v = self.worth(t.lower())
+            self.size += 160 + 2 * len(t) + 40 * len(v)
         out = [v for v in map(known.__getitem__, distinct) if v]
         joined: set[str] = set()
         if sum(len(t) == 1 for t in distinct) > 1:
             joined.update(spelled_out(text, self.lm))
         for run in fragments(text, self.lm):
             parts = [self.restored(t) for t in run]
-            for k in range(max(map(len, parts))):  # a fragment with edge marks has two readings
-                joined |= joined_words([p[min(k, len(p) - 1)] for p in parts if p])
+            for k in range(max(map(len, parts))):  # a disguised fragment has two readings
+                joined |= joined_words([p[min(k, len(p) - 1)] for p in parts if p], self.longest, self.starts)
         return out + [v for w in joined if (v := self.value([w]))]
 
 
@@ -338,11 +391,13 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, fol
     """
     lm = spark.sparkContext.broadcast(language_model(docs))
     number, w, b = train(spark, docs, labels, lm, folds, sample, n_features)
+    starts = {f.lstrip("=")[:3] for f in number}
+    longest = max(map(len, number), default=0) + 1  # a longer word has the features of its first letters
     model = spark.sparkContext.broadcast((number, w, b))
 
     def make_scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         number, w, b = model.value
-        reader = Reader(lm.value, lambda ws: [number[f] for v in ws for f in word_features(v) if f in number])
+        reader = Reader(lm.value, lambda ws: tuple(number[f] for v in ws for f in word_features(v) if f in number), longest, starts)
         for texts in batches:
             out = []
             for t in texts:
