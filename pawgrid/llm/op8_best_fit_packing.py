@@ -14,8 +14,9 @@ the counts of the buckets before, so a length that a third of all pieces share i
 
 from __future__ import annotations
 
-import struct
+import sys
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -95,6 +96,14 @@ def plan_moves(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(moves, dtype=np.int64).reshape(-1, 6)
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Unsigned 32-bit ids."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def lower_latin(word: str) -> bool:
     """Letters that the vocabulary's normaliser (NFC, lower case) leaves as they are."""
     return word.isascii() and word.islower() or max(word) <= "ÿ" and word == word.lower()
@@ -108,7 +117,7 @@ def tokenised_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = worker_state(f"packing_{tokenizer}", lambda: UnitCache(
-            make_tokenizer(source.value), lambda ids: struct.pack(f"<{len(ids)}I", *ids), lower_latin))
+            make_tokenizer(source.value), little_endian, lower_latin))
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):

@@ -63,7 +63,10 @@ class UnitCache:
 
     def word(self, unit: str):
         """The value of letters, or of a space and letters."""
-        symbols = unit.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+        if unit.isascii():  # letters stand for themselves
+            symbols = unit.replace(" ", BYTE_SYMBOLS[32])
+        else:
+            symbols = unit.encode().decode("latin-1").translate(BYTE_SYMBOLS)
         return self.value([t.id for t in self.model.tokenize(symbols)])
 
     def learn(self, units: set[str]) -> None:
