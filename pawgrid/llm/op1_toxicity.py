@@ -12,8 +12,8 @@
    for two words (by ``JOIN_MARGIN``).
 3. A logistic model over whole restored words and their first 3 to 8 letters scores the document.
    It is fitted on a bounded sample of the labelled training rows (``SAMPLE`` rows with the smallest
-   hash of doc_id): features are the ``FEATURES`` most telling of the sample, their values the log of
-   one plus the number of distinct tokens that have them.
+   hash of doc_id): features are the ``FEATURES`` most telling of the sample (beyond ``MIN_Z`` standard
+   deviations), their values the log of one plus the number of distinct tokens that have them.
 
 Tokens are restored once while a worker's cache holds them (``CACHE_BYTES``).
 """
@@ -37,6 +37,7 @@ THRESHOLD = 0.7
 SAMPLE = 6000
 FEATURES = 2048
 MIN_DOCS = 3  # toxic sample rows that a feature needs
+MIN_Z = 5.0  # standard deviations by which its share among them has to exceed its share among the others
 PREFIXES = range(3, 9)
 CACHE_BYTES = 32 << 20  # of a worker
 JOIN_MARGIN = 2.0  # log-likelihood by which a join has to beat two words
@@ -141,20 +142,21 @@ def lattice(text: str, letters_only: bool = False) -> list[list[tuple[str, float
 def viterbi(stages: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
     """The reading of highest channel plus trigram log-probability; states are the last two symbols."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    item = lm.item
     for options in stages:
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        read = [(read_as, cost, [symbol(ch) for ch in read_as]) for read_as, cost in options]
         for (x, y), (value, path) in states.items():
-            for read_as, cost in options:
+            for read_as, cost, symbols in read:
                 a, b, v = x, y, value + cost
-                for ch in read_as:
-                    s = symbol(ch)
+                for s in symbols:
                     if s or b:
-                        v += float(lm[a, b, s])
+                        v += item(a, b, s)
                     a, b = (b, s) if s else (0, 0)
                 if (a, b) not in new or v > new[a, b][0]:
                     new[a, b] = (v, (path, read_as))
         states = new
-    best = max(states.items(), key=lambda kv: (kv[1][0] + (float(lm[kv[0][0], kv[0][1], 0]) if kv[0][1] else 0.0), kv[0]))
+    best = max(states.items(), key=lambda kv: (kv[1][0] + (item(kv[0][0], kv[0][1], 0) if kv[0][1] else 0.0), kv[0]))
     out, path = [], best[1][1]
     while path:
         out.append(path[1])
@@ -265,6 +267,11 @@ def word_features(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in PREFIXES if k <= len(word)]]
 
 
+def known_features(words: list[str], number: dict[str, int], starts: set[str]) -> tuple[int, ...]:
+    """Numbers of the features that the words have; ``starts`` are the first three letters of all features."""
+    return tuple(number[f] for w in words if w[:3] in starts for f in word_features(w) if f in number)
+
+
 class Reader:
     """Distinct tokens of a text as restored words, through ``value`` (words -> what to keep).
 
@@ -288,9 +295,11 @@ class Reader:
     def worth(self, token: str):
         """The value of a lower-case token; a word of letters that can begin with none of ``starts`` has none."""
         core = token.strip(PLAIN_MARKS)
-        if self.starts is not None and core.isalpha() and core[:3] not in self.starts \
-                and (plain(core) or not first_letters(core) & self.starts):
-            return ()
+        begin = core[:3]
+        if self.starts is not None and begin not in self.starts and core.isalpha():
+            a, b, c = begin if len(begin) == 3 else "aaa"
+            if a != b != c or not first_letters(core) & self.starts:  # other readings begin otherwise only after a double
+                return ()
         return self.value([core] if plain(core) else self.restored(token))
 
     def read(self, text: str) -> list:
@@ -361,11 +370,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, lm, folds: in
     a, b = sizes.get(1, 0), sizes.get(0, 0)
     chosen: list[str] = []
     if a and b:
+        spread = (a * b / (a + b)) ** 0.5
         share = (F.col("n0") + F.col("n1")) / float(a + b)
         lift = F.col("n1") / float(a) - F.col("n0") / float(b)
+        telling = lift / F.sqrt(share * (1 - share) + 1e-9)
         chosen = [r["feature"] for r in rows.mapInPandas(tally, "feature string, n0 long, n1 long").groupBy("feature")
-                  .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter((F.col("n1") >= MIN_DOCS) & (lift > 0))
-                  .orderBy(F.desc(lift / F.sqrt(share * (1 - share) + 1e-9)), "feature").limit(n_features).collect()]
+                  .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter((F.col("n1") >= MIN_DOCS) & (telling * spread >= MIN_Z)).orderBy(F.desc(telling), "feature").limit(n_features).collect()]
     number = {f: i for i, f in enumerate(chosen)}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -397,7 +407,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, fol
 
     def make_scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         number, w, b = model.value
-        reader = Reader(lm.value, lambda ws: tuple(number[f] for v in ws for f in word_features(v) if f in number), longest, starts)
+        reader = Reader(lm.value, lambda ws: known_features(ws, number, starts), longest, starts)
         for texts in batches:
             out = []
             for t in texts:
