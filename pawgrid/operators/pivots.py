@@ -221,7 +221,7 @@ def pivot_top_k(queries: DataFrame, index: PivotIndex, k: int = 10, *, qid: str
     rest = stored(plan.join(kth, "qid", "left").mapInPandas(second, planned).where(F.size("cells") > 0), "pivot-rest")
     two = _score(rest, items, cells, k, n_q, block_rows)
     pairs = (plan.unionByName(rest).select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("times"))
-             .join(F.broadcast(cells), "cell").agg(F.coalesce(F.sum(F.col("times") * F.col("n")), F.lit(0)).alias("scored_pairs")))
+             .join(F.broadcast(items.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))), "cell").agg(F.coalesce(F.sum(F.col("times") * F.col("n")), F.lit(0)).alias("scored_pairs")))
     total = plan.agg((F.count(F.lit(1)) * index.n_items).alias("all_pairs")).scalar()
     work = pairs.withColumn("all_pairs", total).withColumn(
         "share", F.when(F.col("all_pairs") > 0, F.col("scored_pairs") / F.col("all_pairs")).otherwise(F.lit(0.0)))
