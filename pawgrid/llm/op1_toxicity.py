@@ -139,24 +139,24 @@ def lattice(text: str, letters_only: bool = False) -> list[list[tuple[str, float
     return out
 
 
-def viterbi(stages: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
-    """The reading of highest channel plus trigram log-probability; states are the last two symbols."""
+def viterbi(stages: list[list[tuple[str, float]]], lm) -> str:
+    """The reading of highest channel plus trigram log-probability; states are the last two symbols.  ``lm`` is
+    the model as an array or, quicker here, as nested lists."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    item = lm.item
     for options in stages:
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        read = [(read_as, cost, [symbol(ch) for ch in read_as]) for read_as, cost in options]
         for (x, y), (value, path) in states.items():
-            for read_as, cost, symbols in read:
+            for read_as, cost in options:
                 a, b, v = x, y, value + cost
-                for s in symbols:
+                for ch in read_as:
+                    s = symbol(ch)
                     if s or b:
-                        v += item(a, b, s)
+                        v += float(lm[a][b][s])
                     a, b = (b, s) if s else (0, 0)
                 if (a, b) not in new or v > new[a, b][0]:
                     new[a, b] = (v, (path, read_as))
         states = new
-    best = max(states.items(), key=lambda kv: (kv[1][0] + (item(kv[0][0], kv[0][1], 0) if kv[0][1] else 0.0), kv[0]))
+    best = max(states.items(), key=lambda kv: (kv[1][0] + (float(lm[kv[0][0]][kv[0][1]][0]) if kv[0][1] else 0.0), kv[0]))
     out, path = [], best[1][1]
     while path:
         out.append(path[1])
@@ -280,6 +280,7 @@ class Reader:
 
     def __init__(self, lm: np.ndarray, value, longest: int = LONGEST, starts: set[str] | None = None) -> None:
         self.lm, self.value, self.longest, self.starts = lm, value, longest, starts
+        self.table = lm.tolist()  # of fixed size
         self.known, self.words, self.size = {}, {}, 0
 
     def restored(self, token: str) -> list[str]:
@@ -288,7 +289,7 @@ class Reader:
         if plain(core):
             return [core]
         if token not in self.words:
-            self.words[token] = out = restore(token, self.lm)
+            self.words[token] = out = restore(token, self.table)
             self.size += 250 + 2 * len(token) + sum(60 + len(w) for w in out)
         return self.words[token]
 
@@ -312,7 +313,7 @@ class Reader:
         out = [v for v in map(known.__getitem__, distinct) if v]
         joined: set[str] = set()
         if sum(len(t) == 1 for t in distinct) > 1:
-            joined.update(spelled_out(text, self.lm))
+            joined.update(spelled_out(text, self.table))
         for run in fragments(text, self.lm):
             parts = [self.restored(t) for t in run]
             for k in range(max(map(len, parts))):  # a disguised fragment has two readings
