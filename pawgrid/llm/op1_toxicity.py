@@ -41,6 +41,7 @@ MIN_Z = 5.0  # standard deviations by which its share among them has to exceed i
 PREFIXES = range(3, 9)
 CACHE_BYTES = 32 << 20  # of a worker
 JOIN_MARGIN = 2.0  # log-likelihood by which a join has to beat two words
+HEAD = 6  # letters of a word's beginning that decide whether it is looked at
 LONGEST = 32  # letters of a word that training joins from fragments; scoring joins up to its longest known word
 SYMBOLS = 62  # 0 word edge, 1-26 a-z, 27-59 Latin-1 letters, 61 any other letter
 #: what a character may stand for
@@ -224,31 +225,42 @@ def fragments(text: str, lm: np.ndarray) -> list[tuple[str, ...]]:
 
 
 def first_letters(token: str) -> set[str]:
-    """The three letters that any reading of a token of letters begins with (two of a double one, or one)."""
-    begin, i = {""}, 0
-    while i < len(token) and any(len(w) < 3 for w in begin):
+    """The ``HEAD`` letters that any reading of a token of letters begins with (a run may be read as a shorter one)."""
+    begin, short, i = {""}, HEAD, 0
+    while i < len(token) and short > 0:
         j = i + 1
         while j < len(token) and token[j] == token[i]:
             j += 1
-        counts, i, ch = ((1,) if j - i == 1 else (1, 2, j - i)), j, token[i]
-        begin = {w + ch * k for w in begin for k in counts}
-    return {w[:3] for w in begin}
+        if j == i + 1:
+            begin = {w + token[i] for w in begin}
+        else:
+            begin = {w + token[i] * k for w in begin for k in range(1, min(j - i, HEAD) + 1)}
+        i, short = j, short - 1  # letters that the shortest beginning lacks
+    return {w[:HEAD] for w in begin}
+
+
+def begins(word: str, starts: set[str]) -> bool:
+    """Does the word begin with one of ``starts`` (up to ``HEAD`` letters each)?"""
+    for k in range(HEAD, 0, -1):
+        if word[:k] in starts:
+            return True
+    return False
 
 
 def may_start(parts: list[str], i: int, starts: set[str]) -> bool:
-    """Can a word joined from part i on begin with one of ``starts`` (three letters each)?"""
+    """Can a word joined from part i on begin with one of ``starts``?"""
     begin = {parts[i]}
     for q in parts[i + 1:]:
-        if all(len(w) >= 3 for w in begin):
+        if all(len(w) >= HEAD for w in begin):
             break
         begin = {w + r for w in begin for r in ((q, q[1:]) if w[-1] == q[0] and len(q) > 1 else (q,))}
-    return any(w[:3] in starts for w in begin)
+    return any(begins(w, starts) for w in begin)
 
 
 def joined_words(parts: list[str], longest: int = LONGEST, starts: set[str] | None = None) -> set[str]:
     """The words that neighbouring parts make together; a letter typed on both sides of a gap counts once or twice.
 
-    With ``starts`` only words that begin with one of them are wanted."""
+    With ``starts`` only words that begin with one of them (up to ``HEAD`` letters) are wanted."""
     out = set()
     for i in range(len(parts) - 1):
         if starts is not None and not may_start(parts, i, starts):
@@ -267,21 +279,57 @@ def word_features(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in PREFIXES if k <= len(word)]]
 
 
-def known_features(words: list[str], number: dict[str, int], starts: set[str]) -> tuple[int, ...]:
-    """Numbers of the features that the words have; ``starts`` are the first three letters of all features."""
-    return tuple(number[f] for w in words if w[:3] in starts for f in word_features(w) if f in number)
+class Features:
+    """The features of words by number; calling it gives the numbers of the known features that words have."""
+
+    def __init__(self, number: dict[str, int]) -> None:
+        self.whole = {f[1:]: n for f, n in number.items() if f[0] == "="}
+        self.prefix = {f: n for f, n in number.items() if f[0] != "="}
+        self.alive = {f[:k] for f in self.prefix for k in PREFIXES}  # a longer prefix can follow only these
+
+    def __call__(self, words: list[str]) -> tuple[int, ...]:
+        out = []
+        for w in words:
+            if w in self.whole:
+                out.append(self.whole[w])
+            for k in PREFIXES:
+                p = w[:k]
+                if len(p) < k or p not in self.alive:
+                    break
+                if p in self.prefix:
+                    out.append(self.prefix[p])
+        return tuple(out)
 
 
 class Reader:
     """Distinct tokens of a text as restored words, through ``value`` (words -> what to keep).
 
-    ``starts`` (the first three letters of all words that have a value) and ``longest`` (letters of the longest)
+    ``starts`` (with one of which, up to ``HEAD`` letters, every word that has a value begins) and ``longest`` (letters of the longest)
     bound the joins that are tried."""
 
     def __init__(self, lm: np.ndarray, value, longest: int = LONGEST, starts: set[str] | None = None) -> None:
         self.lm, self.value, self.longest, self.starts = lm, value, longest, starts
         self.table = lm.tolist()  # of fixed size
         self.known, self.words, self.size = {}, {}, 0
+        if starts is not None:
+            self.threes, self.partial = {s[:3] for s in starts}, {s[:k] for s in starts for k in range(HEAD)}
+
+    def may_begin(self, word: str, open_end: bool = False) -> bool:
+        """Can a reading of a word of letters (``open_end``: and of more letters after it) begin with one of ``starts``?"""
+        if self.starts is None:
+            return True
+        head = word[:HEAD]
+        for w in first_letters(word) if DOUBLE.search(head) else (head,):
+            if w[:3] in self.threes and begins(w, self.starts) or open_end and len(w) < HEAD and w in self.partial:
+                return True
+        return False
+
+    def may_join(self, run: tuple[str, ...]) -> bool:
+        """Can a word joined from neighbouring tokens of the run begin with one of ``starts``?"""
+        cores = [t.strip(PLAIN_MARKS) for t in run]
+        if self.starts is None or not "".join(cores).isalpha():
+            return True
+        return any(self.may_begin("".join(cores[i:])) for i in range(len(cores) - 1))
 
     def restored(self, token: str) -> list[str]:
         """The words of a lower-case token."""
@@ -294,14 +342,17 @@ class Reader:
         return self.words[token]
 
     def worth(self, token: str):
-        """The value of a lower-case token; a word of letters that can begin with none of ``starts`` has none."""
+        """The value of a lower-case token; one whose readings can begin with none of ``starts`` has none."""
         core = token.strip(PLAIN_MARKS)
-        begin = core[:3]
-        if self.starts is not None and begin not in self.starts and core.isalpha():
-            a, b, c = begin if len(begin) == 3 else "aaa"
-            if a != b != c or not first_letters(core) & self.starts:  # other readings begin otherwise only after a double
+        if core.isalpha():
+            if not self.may_begin(core):
                 return ()
-        return self.value([core] if plain(core) else self.restored(token))
+            return self.value(self.restored(token) if DOUBLE.search(core) else [core])
+        core, whole = EDGE_MARKS.sub("", token), EDGE_OTHER.sub("", token)
+        # letters, or letters with leet marks behind: every reading is one word that begins as the letters do
+        if core.isalpha() and whole.startswith(core) and not self.may_begin(core, whole != core):
+            return ()
+        return self.value(self.restored(token))
 
     def read(self, text: str) -> list:
         if self.size > CACHE_BYTES:
@@ -312,9 +363,9 @@ class Reader:
             self.size += 160 + 2 * len(t) + 40 * len(v)
         out = [v for v in map(known.__getitem__, distinct) if v]
         joined: set[str] = set()
-        if sum(len(t) == 1 for t in distinct) > 1:
+        if list(map(len, distinct)).count(1) > 1:
             joined.update(spelled_out(text, self.table))
-        for run in fragments(text, self.lm):
+        for run in filter(self.may_join, fragments(text, self.lm)):
             parts = [self.restored(t) for t in run]
             for k in range(max(map(len, parts))):  # a disguised fragment has two readings
                 joined |= joined_words([p[min(k, len(p) - 1)] for p in parts if p], self.longest, self.starts)
@@ -402,13 +453,13 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, fol
     """
     lm = spark.sparkContext.broadcast(language_model(docs))
     number, w, b = train(spark, docs, labels, lm, folds, sample, n_features)
-    starts = {f.lstrip("=")[:3] for f in number}
+    starts = {f.lstrip("=")[:HEAD] for f in number}
     longest = max(map(len, number), default=0) + 1  # a longer word has the features of its first letters
     model = spark.sparkContext.broadcast((number, w, b))
 
     def make_scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         number, w, b = model.value
-        reader = Reader(lm.value, lambda ws: known_features(ws, number, starts), longest, starts)
+        reader = Reader(lm.value, Features(number), longest, starts)
         for texts in batches:
             out = []
             for t in texts:
