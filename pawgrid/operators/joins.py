@@ -53,24 +53,38 @@ def salt_hot_rows(right: DataFrame, hot: DataFrame, key: str, salts: int) -> Dat
             .drop("__hot", "__place"))
 
 
+def heavy_keys(df: DataFrame, key: str, fraction: float = 1e-4, groups: int = 256) -> DataFrame:
+    """``(key, n)``: the keys that hold more than about ``fraction`` of the rows, with their counts.
+
+    Counted with mergeable frequent-item sketches in one pass and without a shuffle of the keys: a task sends one
+    sketch, ``groups`` tasks merge them, one merges the rest.  A sketch tracks ``8 / fraction`` keys (a million at
+    most, the function's limit) and errs by less than half of ``fraction``, so a key of half as many rows may be listed
+    and one of more than ``1.5 * fraction`` is.  At most ``1 / fraction`` keys are returned.  Null keys
+    are left out; an empty table gives no rows."""
+    tracked, most = min(int(8 / fraction) + 1, 1_000_000), min(max(1, int(1 / fraction)), 100_000)
+    seen = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
+    parts = (seen.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g"))
+             .agg(F.call_function("approx_top_k_accumulate", F.col("k"), F.lit(tracked)).alias("s"), F.count(F.lit(1)).alias("n")))
+    whole = (parts.groupBy(F.lit(0).alias("g")).agg(F.call_function("approx_top_k_combine", F.col("s"), F.lit(tracked)).alias("s"),
+                                                    F.sum("n").alias("rows")))
+    top = whole.select("rows", F.explode(F.call_function("approx_top_k_estimate", F.col("s"), F.lit(most))).alias("t"))
+    often = F.col("t.count") > F.greatest(F.lit(1).cast("long"), F.floor(F.col("rows") * fraction))
+    return top.where(often).select(F.col("t.item").alias(key), F.col("t.count").alias("n"))
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16,
                      hot_fraction: float = 1e-4) -> DataFrame:
     """Left join that stays balanced when one key holds a large share of the right side.
 
     AQE can split a skewed partition only on the preserved (left) side of a left join, so a
     hot key on the right would land in one task.  Keys holding more than ``hot_fraction`` of
-    the right rows are found first (at most ``1 / hot_fraction`` of them, so broadcasting that
-    list has a proven bound; their number is compared with a scalar subquery, no action runs
-    here); their right rows are spread over ``salts`` buckets and their left rows are replicated
-    once per bucket.  The salted inner join plus the left rows without any match (anti join against
-    the distinct right keys, which partial aggregation shrinks before the shuffle) equals the
-    plain left join.
+    the right rows are found first by :func:`heavy_keys` (at most ``1 / hot_fraction`` of them, so
+    broadcasting that list has a proven bound; no action runs here); their right rows are spread over
+    ``salts`` buckets and their left rows are replicated once per bucket.  The salted inner join plus
+    the left rows without any match (anti join against the distinct right keys, which partial aggregation
+    shrinks before the shuffle) equals the plain left join, whatever keys the sketch lists.
     """
-    total = right.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hot = (right.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-           .where(F.col("__n") > F.greatest(F.lit(1).cast("long"), F.floor(total * hot_fraction)))
-           .select(key, F.lit(True).alias("__hot")))
-    hot = F.broadcast(hot)
+    hot = F.broadcast(heavy_keys(right, key, hot_fraction).select(key, F.lit(True).alias("__hot")))
     r = salt_hot_rows(right, hot, key, salts)
     l = (left.join(hot, key, "left")
          .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pawgrid.operators import joins as J
 from pawgrid.operators import rerank as R
 from pawgrid.plans import adapters as A
 from pawgrid.plans.catalog import composed_replies, prepared, register
@@ -178,3 +179,26 @@ def q_flat_written(spark: SparkSession, d: str) -> DataFrame:
     wrote = SK.write_flat(listings, full), SK.write_flat(listings.where(F.col("uid") < 0), empty)
     n = RD.read_csv(spark, full, "id long, name string").agg(F.count(F.lit(1)).alias("n"))
     return n.select(F.lit(wrote[0]).alias("full_written"), F.lit(wrote[1] or SK.path_exists(spark, empty)).alias("empty_written"), "n")
+
+
+def bucketed_pair(spark: SparkSession, d: str, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The open listings and the stored vectors as tables bucketed by uid."""
+    listings = RD.open_listings(A.raw_listings(spark, d, long_text=False)).select("uid", "kind", "addinfo07")
+    vectors = A.vectors(spark, d).select("uid", "embedding")
+    return (SK.save_bucketed(listings, run_path(spark, "bucketed-listings"), "uid", buckets),
+            SK.save_bucketed(vectors, run_path(spark, "bucketed-vectors"), "uid", buckets))
+
+
+@register("bucketed_vectors", "SELECT p_partkey AS uid, v.embedding FROM part LEFT JOIN embeddings v ON v.vec_id = p_partkey "
+          "WHERE p_partkey % 4 <> 3")
+def q_bucketed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """JN3 on stored tables: listings and their vectors meet bucket by bucket, nothing is shuffled for the join."""
+    listings, vectors = bucketed_pair(spark, d)
+    return listings.join(vectors.hint("merge"), "uid", "left").select("uid", "embedding")
+
+
+@register("heavy_keys", "SELECT event_type AS event_key, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type "
+          "HAVING count(*) > (SELECT count(event_type) FROM events) * 0.01")
+def q_heavy_keys(spark: SparkSession, d: str) -> DataFrame:
+    """JN1: keys that hold more than a hundredth of the rows; a sketch that is not full counts exactly."""
+    return J.heavy_keys(A.table(spark, d, "events").withColumnRenamed("event_type", "event_key"), "event_key", 0.01)

@@ -105,6 +105,20 @@ def save_vectors(df: DataFrame, path: str, model: str, dim: int) -> None:
     df.withColumns({"model": F.lit(model), "dim": F.lit(dim)}).write.mode("overwrite").parquet(path)
 
 
+def save_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """JN3: the rows as a table bucketed and sorted by ``key`` in ``path``, read back as such.
+
+    Rows are dealt by the hash that buckets use, so every bucket is one file.  Tables of equal ``buckets`` and key
+    type join on ``key`` (and group by it) without a further exchange; choose about the table's size / 256 MB, the
+    same for tables that are joined.  The table is known to this session's catalog under a name made from the
+    path; a second call for the same path replaces it."""
+    spark = df.sparkSession
+    name = "pawgrid_bucketed_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet")
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 def save_processed(df: DataFrame, path: str, kind: str = "description") -> DataFrame:
     """SNK3: the processed table plus a one-row metadata frame (records, type, columns)."""
     df.write.mode("overwrite").parquet(path)

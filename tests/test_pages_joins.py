@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pawgrid.operators import joins as J
 from pawgrid.operators import pages as PG
 from pawgrid.operators import shaping as SH
+from pawgrid.sources import sinks as SK
 
 DETAIL = ('<p class="num">공고 번호 : 77</p><div class="info_box"><dl><dt>이름:</dt><dd> 콩 </dd></dl></div>'
           '<div class="tag_wrap"><p>#a</p><p> </p></div>'
@@ -99,3 +100,44 @@ def test_left_join_strategies_agree(spark):
     assert _rows(J.split_left_join(base, sub, "uid")) == _rows(plain)
     assert _rows(J.salted_left_join(base, sub, "uid", salts=4, hot_fraction=0.1)) == _rows(plain)
     assert len(_rows(plain)) == 33
+
+
+def test_heavy_keys_are_found_by_sketches(spark):
+    n = 60_000
+    k = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 50 == 1, F.lit(-2)).when(F.col("id") % 7 == 2, None).otherwise(F.col("id"))
+    df = spark.range(n).select(k.alias("uid"), F.lit("x").alias("w")).repartition(6)
+    got = {r.uid: r.n for r in J.heavy_keys(df, "uid", 0.005, groups=2).collect()}
+    real = {r.uid: r.n for r in df.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("uid < 0").collect()}
+    rows = df.where("uid IS NOT NULL").count()
+    assert set(got) == {-1, -2}  # fifty thousand other keys overflow the sketches
+    assert all(abs(got[u] - real[u]) <= 0.0025 * rows for u in real)
+    assert J.heavy_keys(df.where("uid IS NULL"), "uid", 0.1).collect() == []
+    assert J.heavy_keys(df.select(F.col("uid").cast("string").alias("uid")), "uid", 0.1).first()["uid"] == "-1"
+    assert sorted(r.uid for r in J.heavy_keys(spark.createDataFrame([(i,) for i in range(5)], "uid long"), "uid").collect()) == []
+
+
+def test_salted_join_with_an_empty_or_null_right_side(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b")], "uid long, v string")
+    right = spark.createDataFrame([(1, "r"), (None, "n")], "uid long, w string")
+    for r in (right, right.where("uid > 5"), right.where("uid IS NULL")):
+        assert _rows(J.salted_left_join(left, r, "uid", salts=4, hot_fraction=0.1)) == _rows(left.join(r, "uid", "left"))
+
+
+def test_salted_join_sketches_in_one_scan_without_a_shuffle_of_keys(spark, tmp_path):
+    path = str(tmp_path / "right")
+    spark.range(1000).select(F.col("id").alias("uid"), F.lit("x").alias("w")).write.parquet(path)
+    plan = J.heavy_keys(spark.read.parquet(path), "uid")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "partial_approx_top_k_accumulate" in plan and "hashpartitioning(uid" not in plan
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    a = spark.range(300).select(F.col("id").alias("uid"), (F.col("id") * 2).alias("v"))
+    b = spark.range(0, 400, 3).select(F.col("id").alias("uid"), F.lit("w").alias("w"))
+    ta = SK.save_bucketed(a, str(tmp_path / "a"), "uid", 6)
+    tb = SK.save_bucketed(b, str(tmp_path / "b"), "uid", 6)
+    joined = ta.join(tb.hint("merge"), "uid", "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert _rows(joined) == _rows(a.join(b, "uid", "left"))
+    assert len(list((tmp_path / "a").glob("*.parquet"))) == 6  # one file a bucket
+    assert _rows(SK.save_bucketed(a.limit(0), str(tmp_path / "a"), "uid", 6)) == []  # replaced, and an empty table
