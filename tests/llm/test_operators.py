@@ -266,6 +266,34 @@ def test_secret_battery_among_short_words(spark):
     assert batteries(sample, 62) == pytest.approx([battery(v.tolist(), 62) for v in sample])
 
 
+def test_secret_battery_finds_keys_of_letters_or_digits_alone(spark):
+    from pawgrid.llm.op7_secret_scan import secret_scan
+    rng = np.random.default_rng(6)
+    alphabets = [list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), list("0123456789")]
+    words = ("the cat sat on a mat and then it saw two dogs run over some green hill near our old house by sea "
+             "1999 2001 1000 200 15000 42 1500 2010 100 7 12").split()
+    rows, keys, ids = [], {}, {}
+    for i in range(1200):
+        text = " ".join(rng.choice(words, 60))
+        if i % 20 == 0:
+            kind = i // 20 % 2  # 24 digits and more are a hex span already
+            keys[i] = "".join(rng.choice(alphabets[kind], (40, 23)[kind]))
+            text += f" see {keys[i]} here"
+        elif i % 20 == 5:
+            ids[i] = "".join(rng.choice(words[:22], 12))
+            text += f" see {ids[i]} here"
+        elif i % 20 == 10:
+            text += " " + "-_="[i // 20 % 3] * 60 + " " + "a" * 40 + " " + "1000" * 5
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan(docs).collect() if r["n_random"]}
+    for kind in range(2):
+        mine = [i for i in keys if i // 20 % 2 == kind]
+        right = [i for i in mine if f"random:{rows[i][1].index(keys[i])}:" in found.get(i, "")]
+        assert len(right) >= 0.85 * len(mine), (kind, len(right), len(mine))
+    assert len(found.keys() - keys.keys()) <= 0.05 * len(found) + 1
+
+
 def test_packing(spark, sf, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = run(spark, sf, "op8_")
