@@ -107,13 +107,16 @@ def incidence(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
                     common = counts.value[(h >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
                     head = h[np.lexsort((h, common))[:keep]]
                     out.append((n, int((common > usual).sum()), class_key(h) if n else None, head.view(np.int64)))
-            frame = pd.DataFrame(out, columns=["n", "common", "cls", "head"])
-            frame["cls"] = frame["cls"].astype("Int64")
-            frame["doc_id"], frame["row_key"] = pdf["doc_id"].astype("Int64"), pdf["row_key"]
+            n, common, cls, head = zip(*out) if out else ((), (), (), ())
+            # beside a text without words plain inference makes keys doubles, which lose their last digits
+            frame = pd.DataFrame({"n": n, "common": common, "cls": pd.Series(cls, dtype="Int64"), "head": head})
+            frame["doc_id"], frame["row_key"] = pdf["doc_id"], pdf["row_key"]
             yield frame
 
-    return docs.select("doc_id", "row_key", "text").mapInPandas(
-        run, "doc_id long, row_key long, n int, common int, cls long, head array<long>")
+    # numbers as text: beside a null pandas makes them doubles too
+    made = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "row_key", "text").mapInPandas(
+        run, "doc_id string, row_key long, n int, common int, cls long, head array<long>")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -182,6 +182,25 @@ def test_ngram_join_groups_of_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == components([shingles(t) for t in texts])
 
 
+def test_ngram_join_beside_texts_without_words(spark):
+    """Near copies in the same and in other batches as null, empty and blank texts, and numbers beyond 2^53."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{i}" for i in range(2000)])
+    texts = []
+    for _ in range(40):
+        base = list(rng.choice(words, int(rng.integers(20, 60))))
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join(base)]
+    big = (1 << 53) + 1
+    rows = [(big + i, t) for i, t in enumerate(texts)]
+    none = [(5, None), (6, ""), (7, " \t "), (None, None)]
+    docs = spark.createDataFrame(rows[::2] + none, "doc_id long, text string").coalesce(1).union(
+        spark.createDataFrame(rows[1::2], "doc_id long, text string").coalesce(1))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark, docs).collect()}
+    sets = [shingles(t) for t in texts]
+    want = {big + i: (len(s), big + c) for i, (s, c) in enumerate(zip(sets, components(sets)))}
+    assert got == {**want, **{i: (0, i) for i, _ in none}}
+
+
 def test_token_counts(spark, sf, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in run(spark, sf, "op6_"):
