@@ -1,12 +1,16 @@
 """Dense vectors: normalisation, cosine, exact top-k for many queries, batch embedding.
 
 Exact cosine top-k (EMB4, EMB5, JN3–JN5, WIN1) is brute force by definition: every query meets
-every eligible item.  One plan serves every size: queries and items are hashed into blocks of
-``block_rows`` rows (the same bound on both sides keeps the copied rows, items x query blocks +
-queries x item blocks, least for a given task memory); each (query block, item block) cell is one
-block product inside ``cogroup().applyInPandas`` that emits its top-k per query, and a window over
-those rows (with Spark's partial limit before the exchange) merges them.  Block counts are scalar
-subqueries of the plan: nothing runs while the plan is built and no row passes through the driver.
+every eligible item.  One plan serves every size: queries and items are hashed into tiles of
+``tile_rows`` rows (the same bound on both sides keeps the copied rows, items x query tiles +
+queries x item tiles, least for a given task memory); in each (query tile, item tile) cell blocks of
+``block_rows`` rows are multiplied inside ``cogroup().applyInPandas``, the cell emits its top-k per query, and a
+window over those rows (with Spark's partial limit before the exchange) merges them.  Small blocks
+bound a product, not a tile: they copy no more rows.  Tile counts are scalar subqueries of the plan:
+nothing runs while the plan is built and no row passes through the driver.
+
+Items without a direction (no vector, or zeros) have similarity 0 with every query and differ by uid
+only: of each slot bit set its k smallest uids meet the queries (:func:`needed_items`).
 
 Hard constraints (the size/age/sex slots) ride along as a small integer: each query carries a
 ``slot_group`` (0..35) and each item a ``slot_mask`` bit set of the groups it satisfies, so
@@ -27,7 +31,10 @@ from pyspark.sql import types as T
 QUERY_BLOCK = 256           # queries per kernel matmul chunk
 BLOCK_ROWS = 16384          # rows of a query or an item block
 TIE_DIGITS = 9              # similarities equal to so many decimals tie, and the smaller uid comes first
-LEAST_ITEMS = 128           # items are not cut into smaller blocks than this to occupy more tasks
+TILE_ROWS = 16384           # rows of a side that meet in one task, in blocks
+ITEM_BLOCK = 4096           # items per kernel matmul chunk
+PAIR_BLOCK = 1 << 16        # pairs scored at once
+LEAST_ITEMS = 128           # items are not cut into smaller tiles than this to occupy more tasks
 
 
 # ----------------------------------------------------------------------------------------------
@@ -90,43 +97,77 @@ def vector_size(*columns) -> int:
     return next((len(v) for c in columns for v in c if v is not None), 0)
 
 
+def _first_k(r: np.ndarray, order: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k best by (similarity desc, ``order`` asc), row by row."""
+    by = np.lexsort((order, -np.round(sims, TIE_DIGITS), r))
+    rows = r[by]
+    start = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    rank = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
+    return by[rank < k]
+
+
+def _best(q: np.ndarray, items: np.ndarray, rough: np.ndarray, k: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, similarity) of each query's k best items; of equal ones those that come first.
+
+    Products in single precision (``rough``) find the pairs that can be among them: each query's k-th value so
+    far, and in the first block the k-th largest of the maxima of column groups, are no more than its
+    k-th value, and ``margin`` covers the rounding.  Only those pairs are scored in double precision and ranked."""
+    margin = 1e-6 + items.shape[1] * 4e-7
+    q32 = q.astype(np.float32)
+    r, c, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(q), -np.inf)
+    for i in range(0, len(items), block_rows):
+        near = q32 @ rough[i:i + block_rows].T
+        limit, n = floor, near.shape[1]
+        if n > k and np.isinf(floor).any():
+            groups = min(n, max(64, 4 * k))
+            tops = near[:, :n // groups * groups].reshape(len(q), groups, -1).max(axis=2)
+            limit = np.maximum(floor, np.partition(tops, groups - k, axis=1)[:, groups - k])
+        new_r, new_c = np.nonzero(near >= (limit - margin)[:, None])
+        if not len(new_r):
+            continue
+        new_c += i
+        new = np.empty(len(new_r))
+        for j in range(0, len(new), PAIR_BLOCK):
+            some = slice(j, j + PAIR_BLOCK)
+            new[some] = np.einsum("ij,ij->i", q[new_r[some]], items[new_c[some]])
+        r, c, sims = np.append(r, new_r), np.append(c, new_c), np.append(sims, new)
+        best = _first_k(r, c, sims, k)
+        r, c, sims = r[best], c[best], sims[best]
+        last = np.flatnonzero(np.append(r[1:] != r[:-1], True))
+        full = np.diff(np.append(-1, last)) == k
+        floor[r[last[full]]] = sims[last[full]]
+    return r, c, sims
+
+
 def block_topk(qids: np.ndarray, qgroups: np.ndarray, qmat: np.ndarray,
-               uids: np.ndarray, masks: np.ndarray, imat: np.ndarray, k: int) -> pd.DataFrame:
-    """Top-k items per query of one block by (similarity desc, uid asc), eligible items only.
+               uids: np.ndarray, masks: np.ndarray, imat: np.ndarray, k: int, block_rows: int = BLOCK_ROWS) -> pd.DataFrame:
+    """Top-k items per query by (similarity desc, uid asc), eligible items only, in products of at most
+    ``block_rows`` queries and items.
 
     ``qmat`` and ``imat`` must be unit rows.  Ties at the k-th value are resolved exactly.
     """
-    out = []
-    n = imat.shape[0]
-    if n == 0 or len(qids) == 0:
-        return pd.DataFrame({"qid": qids[:0], "uid": np.array([], np.int64),
-                             "similarity": np.array([], np.float64)})
-    for s in range(0, len(qids), QUERY_BLOCK):
-        q = qmat[s:s + QUERY_BLOCK]
-        g = qgroups[s:s + QUERY_BLOCK]
-        sims = q @ imat.T
-        eligible = ((masks[None, :] >> g[:, None]) & 1).astype(bool)
-        sims = np.where(eligible, sims, -np.inf)
-        order_by = np.round(sims, TIE_DIGITS)
-        kk = min(k, n)
-        if kk < n:
-            part = np.argpartition(-order_by, kk - 1, axis=1)[:, :kk]
-            kth = np.take_along_axis(order_by, part, axis=1).min(axis=1)
-            keep = order_by >= kth[:, None]
-        else:
-            keep = np.ones_like(sims, dtype=bool)
-        keep &= np.isfinite(sims)
-        r, c = np.nonzero(keep)
-        vals = sims[r, c]
-        order = np.lexsort((uids[c], -order_by[r, c], r))
-        r, c, vals = r[order], c[order], vals[order]
-        starts = np.searchsorted(r, np.arange(len(q)))
-        rank = np.arange(len(r)) - starts[r]
-        sel = rank < k
-        out.append(pd.DataFrame({"qid": qids[s:s + QUERY_BLOCK][r[sel]],
-                                 "uid": uids[c[sel]].astype(np.int64),
-                                 "similarity": vals[sel].astype(np.float64)}))
-    return pd.concat(out, ignore_index=True)
+    by_uid = np.argsort(uids, kind="stable")
+    by_uid = by_uid[np.isfinite(imat[by_uid]).all(axis=1)]
+    uids, masks, imat = uids[by_uid].astype(np.int64), masks[by_uid], imat[by_uid]
+    sound, solid = np.isfinite(qmat).all(axis=1), qmat.any(axis=1)
+    found = [(qids[:0], uids[:0], np.zeros(0))]
+    for g in np.unique(qgroups) if k > 0 else ():
+        can = ((masks >> g) & 1).astype(bool)
+        items, mine = imat[can], uids[can]
+        rough, mine_q = items.astype(np.float32), sound & (qgroups == g)
+        if not len(items):
+            continue
+        flat = np.flatnonzero(mine_q & ~solid)  # similarity 0 with every item: the smallest uids
+        n = min(k, len(mine))
+        found.append((np.repeat(qids[flat], n), np.tile(mine[:n], len(flat)), np.zeros(len(flat) * n)))
+        rows = np.flatnonzero(mine_q & solid)
+        step = min(QUERY_BLOCK, block_rows)
+        for s in range(0, len(rows), step):
+            at = rows[s:s + step]
+            r, c, sims = _best(qmat[at], items, rough, k, min(ITEM_BLOCK, block_rows))
+            found.append((qids[at[r]], mine[c], sims))
+    return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("qid", "uid", "similarity"), zip(*found))})
 
 
 # ----------------------------------------------------------------------------------------------
@@ -150,35 +191,51 @@ def _final_topk(partial: DataFrame, k: int) -> DataFrame:
             .select("qid", F.col("rank").cast("long").alias("rank"), "uid", "similarity"))
 
 
+def needed_items(items: DataFrame, k: int) -> DataFrame:
+    """The rows of ``items`` (uid, slot_mask, ivec) that any query's k best can hold: all with a direction and,
+    of the others, those of the k smallest uids of each slot bit set (with a null vector)."""
+    flat = F.coalesce(F.forall("ivec", lambda x: x == 0), F.col("ivec").isNull())
+    w = Window.partitionBy("slot_mask").orderBy("uid")
+    rest = (items.where(flat).select("uid", "slot_mask").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+            .select("uid", "slot_mask", F.lit(None).cast(items.schema["ivec"].dataType).alias("ivec")))
+    return items.where(~flat).unionByName(rest)
+
+
 def top_k_similar(queries: DataFrame, items: DataFrame, k: int = 10, *,
                   qid: str = "qid", q_vec: str = "embedding", q_group: str | None = None,
                   uid: str = "uid", i_vec: str = "embedding", i_mask: str | None = None,
-                  block_rows: int = BLOCK_ROWS, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                  block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS, sizes: tuple[DataFrame, DataFrame] | None = None,
+                  read_twice: bool = True) -> DataFrame:
     """Exact cosine top-k per query: ``(qid, rank, uid, similarity)``; rank 1..min(k, eligible).
 
     ``q_group`` / ``i_mask`` name the slot group / eligibility bit-set columns (see
     ``pawgrid.operators.preferences``); without them every item is eligible.  ``sizes`` names frames
-    with as many rows as queries and items where counting those would repeat an embedding job or a join.
+    with as many rows as queries and items with a vector where counting those would repeat an embedding job or a join.
+    The items are read twice, to set those without a direction apart; with ``read_twice`` off (an embedding
+    job) all meet the queries.
     Without queries, or without items, there are no rows; a query without a vector has similarity 0.
     """
     q = _prep_queries(queries, qid, q_vec, q_group)
     it = _prep_items(items, uid, i_vec, i_mask)
+    if read_twice:
+        it = needed_items(it, k)
     parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = F.lit(1).cast("long")
     n_q, n_i = (f.agg(F.count(F.lit(1)).alias("n")).scalar() for f in sizes or (q, it))
-    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(n_q / block_rows))
-    cells = F.greatest(F.lit(1).cast("long"), F.ceil(n_i / block_rows),
-                       F.least(F.lit(parts).cast("long"), F.ceil(n_i / LEAST_ITEMS)))
+    tiles = F.greatest(one, F.ceil(n_q / tile_rows))
+    # as many cells as tasks, if that does not make tiles tiny
+    cells = F.greatest(one, F.ceil(n_i / tile_rows), F.least(F.ceil(F.lit(parts) / tiles), F.ceil(n_i / LEAST_ITEMS)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    q = (q.withColumn("qn", blocks).withColumn("in", cells)
+    q = (q.withColumn("qn", tiles).withColumn("in", cells)
          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("qn"))).withColumn("ib", every("in")).drop("qn", "in"))
-    it = (it.withColumn("qn", blocks).withColumn("in", cells)
+    it = (it.withColumn("qn", tiles).withColumn("in", cells)
           .withColumn("ib", F.pmod(F.xxhash64("uid"), F.col("in"))).withColumn("qb", every("qn")).drop("qn", "in"))
 
     def cell(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         dim = vector_size(qpdf["qvec"], ipdf["ivec"])
         return block_topk(qpdf["qid"].to_numpy(), qpdf["slot_group"].to_numpy(np.int64), _unit_rows(_stack(qpdf["qvec"], dim)),
                           ipdf["uid"].to_numpy(np.int64), ipdf["slot_mask"].to_numpy(np.int64),
-                          _unit_rows(_stack(ipdf["ivec"], dim)), k)
+                          _unit_rows(_stack(ipdf["ivec"], dim)), k, block_rows)
 
     schema = f"qid {q.schema['qid'].dataType.simpleString()}, uid long, similarity double"
     partial = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(cell, schema)

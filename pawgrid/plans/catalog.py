@@ -223,10 +223,9 @@ def recommend(spark: SparkSession, d: str, k: int = 10, filtered: bool = False,
     if filtered:
         queries = queries.withColumn("slot_group", PR.slot_group())
     items = _items(spark, d, with_mask=filtered)
-    # uids are unique in both tables, so the open listings are as many as the joined items
-    sizes = (A.table(spark, d, "embeddings"), RD.open_listings(A.raw_listings(spark, d, long_text=False)))
+    # uids are unique in both tables, so no more items than stored vectors have one
     return V.top_k_similar(queries, items, k, q_group="slot_group" if filtered else None,
-                           i_mask="slot_mask" if filtered else None, sizes=sizes, **kw)
+                           i_mask="slot_mask" if filtered else None, sizes=(A.table(spark, d, "embeddings"),) * 2, **kw)
 
 
 _ITEMS_SQL = (", items AS (SELECT r.uid, CAST(e.embedding AS DOUBLE[]) AS v, r.addinfo03, r.addinfo05, "
@@ -257,7 +256,7 @@ def q_recommend_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @register("recommend_topk_grid", _topk_sql(False))
 def q_recommend_topk_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Same answer with small blocks (several query and item blocks at any size)."""
+    """Same answer with small blocks (several query and item blocks at any size, met inside a task's tiles)."""
     return recommend(spark, d, block_rows=128).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -284,7 +283,8 @@ def q_recommend_zero_vector(spark: SparkSession, d: str) -> DataFrame:
     queries = A.vector_queries(spark, d).withColumn("embedding", zero_if(F.col("label") == 8))
     vec = A.vectors(spark, d).withColumn("embedding", zero_if(F.col("label") == 9))
     items = RD.open_listings(A.raw_listings(spark, d, long_text=False)).join(vec.select("uid", "embedding"), "uid", "left")
-    return V.top_k_similar(queries, items, 10).withColumn("similarity", F.round("similarity", 6))
+    top = V.top_k_similar(queries, items, 10, sizes=(A.table(spark, d, "embeddings"),) * 2)
+    return top.withColumn("similarity", F.round("similarity", 6))
 
 
 PREPARED_CTE = (
@@ -1020,7 +1020,7 @@ def recommend_by_text(spark: SparkSession, d: str, queries: DataFrame, sizes: Da
     listings = RD.open_listings(A.raw_listings(spark, d))
     texts = D.with_embedding_text(listings, "etext").select("uid", "etext", PR.slot_mask().alias("slot_mask"))
     items = V.embed(texts, "etext", V.hashing_embedder(DIM, LISTING_FAIL), DIM, key="uid", keep=("slot_mask",))
-    return V.top_k_similar(queries, items, k, q_group="slot_group", i_mask="slot_mask",
+    return V.top_k_similar(queries, items, k, q_group="slot_group", i_mask="slot_mask", read_twice=False,
                            sizes=(sizes, RD.open_listings(A.raw_listings(spark, d, long_text=False))))
 
 

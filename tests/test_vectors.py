@@ -47,6 +47,45 @@ def test_topk_matches_brute_force(data, block_rows):
     assert res == brute(items, queries, 5)
 
 
+@pytest.mark.parametrize("block_rows, tile_rows", [(7, 13), (5, 1000), (1000, 9)])
+def test_topk_in_tiles_of_blocks(data, block_rows, tile_rows):
+    it, qs, items, queries = data
+    res = {}
+    for r in V.top_k_similar(qs, it, 5, block_rows=block_rows, tile_rows=tile_rows).orderBy("qid", "rank").collect():
+        res.setdefault(r.qid, []).append(r.uid)
+    assert res == brute(items, queries, 5)
+
+
+def test_small_blocks_copy_no_more_rows(spark):
+    """Cells of the grid hold whole tiles, and items without a direction meet the queries by their smallest uids only."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = V.block_topk
+
+    def counted(qids, qgroups, qmat, uids, *rest):
+        seen.add(len(qids) + len(uids))
+        return plain(qids, qgroups, qmat, uids, *rest)
+
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(600, 4))
+    it = spark.createDataFrame([(i, v.tolist() if i % 3 else ([0.0] * 4 if i % 2 else None), 1 + i % 2) for i, v in enumerate(vecs)],
+                               "uid long, embedding array<double>, m int")
+    qs = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(rng.normal(size=(500, 4)))] + [(999, None, 0)],
+                               "qid long, embedding array<double>, g int")
+    V.block_topk = counted
+    try:
+        got = V.top_k_similar(qs, it, 5, block_rows=16, q_group="g", i_mask="m").collect()
+    finally:
+        V.block_topk = plain
+    assert seen.value <= 4 * 501 + 400 + 2 * 5  # at most 4 item tiles (a task each), one query tile
+    rows = {}
+    for r in sorted(got, key=lambda r: (r["qid"], r["rank"])):
+        rows.setdefault(r["qid"], []).append(r["uid"])
+    all_items = it.collect()
+    for q in qs.collect():
+        mine = [(r["uid"], r["embedding"] or [0.0] * 4) for r in all_items if r["m"] >> q["g"] & 1]
+        assert rows.get(q["qid"], []) == (brute(mine, [(0, q["embedding"] or [0.0] * 4)], 5)[0] if mine else [])
+
+
 def test_tie_lower_uid_first_and_zero_vector(data):
     it, qs, _, _ = data
     got = {(r.qid, r.rank): (r.uid, r.similarity) for r in V.top_k_similar(qs, it, 3).collect()}
