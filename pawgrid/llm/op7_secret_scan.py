@@ -13,8 +13,8 @@ lag-one serial correlation; Fisher's rule combines their p-values.
 Runs of consecutive words of the documents (of letters alone or digits alone), joined to the length
 of a class, ended by a digit where the encoding has both (its candidates have one) and read in the encoding of the
 candidates, serve as decoys: they show, for each length class and encoding, how often written text passes for
-random.  A run begins at every ``run_step``-th word of every document, so a text counts by its length, for
-each class that has candidates.  A class with less
+random.  A run begins at every word of every document, so a text counts by its length, for
+each class that has candidates; running sums over a chunk of texts give the statistics of all its runs.  A class with less
 than 1 / ``fdr`` decoys takes those of the next shorter ones as well: the shorter a text, the more
 random it looks, so they can only raise the rate.  Over all documents, histograms of the combined
 p-value of candidates and decoys give per class the widest acceptance region whose estimated
@@ -54,9 +54,9 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
 #: a word of letters alone or digits alone that is not a part of a longer token
 WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]+|[0-9]+)(?![A-Za-z0-9+/_=-])")
-RUN_STEP = 16  # words from the start of a decoy to the next
 LEVEL = 30  # bins of the p-values above 0.001
-RUN_CELLS = 1 << 20  # characters of decoys looked at at once
+ENOUGH = 12.0  # half of Fisher's statistic at which p is below 0.001, in bins that are not told apart
+TABLE = 1 << 22  # keys looked up in a table; more are sorted
 BINS = 200  # of the combined p-value: ten a decade, 0 the most random
 FDR = 0.05
 MARK = "[SECRET]"
@@ -138,32 +138,92 @@ def _tails(z: np.ndarray) -> np.ndarray:
     return 0.5 * np.array([*map(math.erfc, (z / math.sqrt(2)).tolist())])
 
 
+def _each(keys: np.ndarray, top: int, value) -> np.ndarray:
+    """``value`` (of an array) of every key from 0 to ``top``, worked out once for each that occurs."""
+    if top >= TABLE:
+        some, place = np.unique(keys, return_inverse=True)
+        return value(some)[place]
+    occurs = np.zeros(top + 1, dtype=bool)
+    occurs[keys] = True
+    some = np.flatnonzero(occurs)
+    table = np.empty(top + 1)
+    table[some] = value(some)
+    return table[keys]
+
+
+def running(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... values.  They may wrap: a difference is right as long as it fits itself."""
+    out = np.zeros(len(x) + 1, dtype=np.int32)
+    np.cumsum(x, dtype=np.int32, out=out[1:])
+    return out
+
+
+class Sums:
+    """Running sums over the numbers of an encoding that the runs of every length share."""
+
+    def __init__(self, values: np.ndarray, size: int) -> None:
+        self.values, self.size = values, size
+        v = values.astype(np.int32)
+        self.high = 2 * v >= size
+        self.first, self.squares, self.highs = running(v), running(v * v), running(self.high)
+        self.products, self.turns = running(v[:-1] * v[1:]), running(self.high[:-1] != self.high[1:])
+
+
+def run_batteries(sums: Sums, first: np.ndarray, n: int, last: np.ndarray | None, enough: float = math.inf) -> np.ndarray:
+    """:func:`battery` of the runs of n values from ``first`` on, whose last one is replaced by ``last`` if given.
+
+    A run whose first two tests have a log sum of ``-enough`` or less is left at their p-value.  Every statistic is a difference of running sums, so a run costs the same whatever its length."""
+    values, size = sums.values, sums.size
+    end = first + (n if last is None else n - 1)  # of the values of the run as they stand
+
+    def total(run: np.ndarray, cut: int = 0) -> np.ndarray:
+        return (run[end - cut] - run[first]).astype(np.int64)
+
+    s1, s2, n1 = total(sums.first), total(sums.squares), total(sums.highs)
+    product, turns = total(sums.products, 1), total(sums.turns, 1)  # of neighbours: one less than the values
+    head, tail = values[first].astype(np.int64), values[end - 1].astype(np.int64)
+    if last is not None:
+        z = last.astype(np.int64)
+        top = 2 * z >= size
+        s1, s2, n1, product, turns, tail = (s1 + z, s2 + z * z, n1 + top, product + tail * z, turns + (top != sums.high[end - 1]), z)
+    slices, _ = _slices(n, size)
+    edges = [-(-k * size // slices) for k in range(slices + 1)]
+    # a slice is ``thin`` or thin + 1 symbols wide; the sum of squares over widths, as a whole number
+    thin = size // slices
+    key = np.zeros(len(first), dtype=np.int64)
+    for lo, hi in zip(edges, edges[1:]):
+        seen = total(running((values >= lo) & (values < hi)))
+        if last is not None:
+            seen += (z >= lo) & (z < hi)
+        key += seen * seen * (thin + 1 if hi - lo == thin else thin)
+
+    def chi_log(keys: np.ndarray) -> np.ndarray:
+        chi = keys * (size / (n * thin * (thin + 1))) - n
+        w = 2 / (9 * (slices - 1))
+        p = _tails((np.cbrt(np.maximum(chi, 0.0) / (slices - 1)) - (1 - w)) / math.sqrt(w))
+        return np.log(np.maximum(np.where(chi <= 1e-9, 1.0, p), 1e-300))
+
+    def runs_log(keys: np.ndarray) -> np.ndarray:
+        ones, runs = np.divmod(keys, n + 1)
+        mean = 1 + 2 * ones * (n - ones) / n
+        var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+        p = np.where((ones > 0) & (ones < n), 2 * _tails(np.abs(runs - mean) / np.sqrt(var)), 2.0 ** (1 - n))
+        return np.log(np.maximum(p, 1e-300))
+
+    spread = n * s2 - s1 * s1  # n times
+    lag = n * n * product - n * s1 * (2 * s1 - head - tail) + (n - 1) * s1 * s1  # n * n times
+    r = lag / (n * np.maximum(spread, 1))
+    x = -(_each(key, n * n * (thin + 1), chi_log) + _each(n1 * (n + 1) + turns + 1, (n + 1) ** 2, runs_log))
+    open_ = np.flatnonzero(x < enough)  # the third test can only lower the others' combined p-value
+    p3 = np.where(spread[open_] > 0, 2 * _tails(np.abs(r[open_] + 1 / n) * math.sqrt(n)), 2.0 ** (1 - n))
+    x[open_] -= np.log(np.maximum(p3, 1e-300))
+    return np.exp(-x) * (1 + x + x * x / 2)
+
+
 def batteries(rows: np.ndarray, size: int) -> np.ndarray:
     """:func:`battery` of every row of an array."""
     m, n = rows.shape
-    slices, expected = _slices(n, size)
-    place = (np.arange(size) * slices // size)[rows] + np.arange(m)[:, None] * slices
-    seen = np.bincount(place.reshape(-1), minlength=m * slices).reshape(m, slices)
-    chi = ((seen - expected) ** 2 / expected).sum(axis=1)
-    high = 2 * np.arange(size)[rows] >= size
-    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
-    away = rows - rows.mean(axis=1, keepdims=True)
-    spread = np.einsum("ij,ij->i", away, away)
-    lag = np.einsum("ij,ij->i", away[:, 1:], away[:, :-1])
-
-    least = 2.0 ** (1 - n)
-    v = 2 / (9 * (slices - 1))
-    p1 = _tails((np.cbrt(chi / (slices - 1)) - (1 - v)) / math.sqrt(v))
-    p1[chi <= 0] = 1.0
-    n1 = high.sum(axis=1)
-    both = (n1 > 0) & (n1 < n)
-    mean = 1 + 2 * n1 * (n - n1) / n
-    var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-    p2 = np.where(both, 2 * _tails(np.abs(runs - mean) / np.sqrt(var)), least)
-    r = lag / np.where(spread > 0, spread, 1.0)
-    p3 = np.where(spread > 0, 2 * _tails(np.abs(r + 1 / n) * math.sqrt(n)), least)
-    x = -sum(np.log(np.maximum(p, 1e-300)) for p in (p1, p2, p3))
-    return np.exp(-x) * (1 + x + x * x / 2)
+    return run_batteries(Sums(rows.reshape(-1), size), np.arange(m) * n, n, None)
 
 
 def p_bin(p: float) -> int:
@@ -211,16 +271,21 @@ def tokens(text: str) -> Iterator[tuple[int, int, tuple[int, int], int]]:
             yield m.start(), m.end(), (length_class(len(coded[0])), coded[1]), p_bin(battery(*coded))
 
 
-def decoys(texts: list[str], classes: dict[int, list[int]],
-           run_step: int = RUN_STEP) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-    """((length class, alphabet size), bins) of the runs of words of some texts; no run leaves its text.
+def decoys(texts: list[str], classes: dict[int, list[int]]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """((length class, alphabet size), bins) of the runs from every word of some texts on; no run leaves its text.
+    Bins from ``LEVEL`` on are not told apart.
     ``classes``: alphabet size -> length classes."""
-    words = [WORD.findall(t) for t in texts]
-    joined = np.frombuffer("".join(w for some in words for w in some).encode(), dtype=np.uint8)
+    words, counts = [], []
+    for t in texts:
+        some = WORD.findall(t)
+        words += some
+        counts.append(len(some))
+    joined = np.frombuffer("".join(words).encode(), dtype=np.uint8)
     if not len(joined):
         return
-    lengths = np.array([len(w) for some in words for w in some])
-    owner = np.repeat(np.arange(len(texts)), [len(some) for some in words])
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    owner, bounds = np.repeat(np.arange(len(texts)), counts), np.append(0, np.cumsum(counts))
+    head, final = bounds[owner], bounds[owner + 1] - 1  # first and last word of a word's text
     start = np.cumsum(lengths) - lengths
     for size, wanted in classes.items():
         code = CODES[size][joined]
@@ -230,24 +295,17 @@ def decoys(texts: list[str], classes: dict[int, list[int]],
         at, end = before[start], before[start + lengths]
         # one start for the words that begin at the same value: those before it have none in the encoding
         new = np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])))
-        head = np.searchsorted(owner, owner)  # a text's first word
-        tail = end[np.searchsorted(owner, owner, side="right") - 1]
-        rank = np.cumsum(new) - np.cumsum(new)[head]
-        drawn = new & (rank % run_step == 0)
-        begin, inside, tail = at[drawn], (at - at[head])[drawn], tail[drawn]
+        tail = end[final]
+        begin, inside, tail = at[new], (at - at[head])[new], tail[new]
+        digits = size > 10 and CODES[size][50] >= 0
+        sums = Sums(values, size)
         for c in wanted:
             n = least_length(c)
             fits = begin + n <= tail
-            first, place = begin[fits], inside[fits]
-            if not len(first):
-                continue
-            runs = np.lib.stride_tricks.sliding_window_view(values, n)
-            step = max(1, RUN_CELLS // n)
-            for i in range(0, len(first), step):
-                some = runs[first[i:i + step]]  # a copy
-                if size > 10 and CODES[size][50] >= 0:
-                    some[:, -1] = CODES[size][50 + place[i:i + step] % 6]  # 2 to 7: digits of every encoding that has some
-                yield (c, size), p_bins(batteries(some, size))
+            if fits.any():
+                # 2 to 7: digits of every encoding that has some
+                last = CODES[size][50 + inside[fits] % 6] if digits else None
+                yield (c, size), p_bins(run_batteries(sums, begin[fits], n, last, ENOUGH))
 
 
 def histograms(docs: DataFrame, look) -> dict[tuple[int, int], np.ndarray]:
@@ -270,14 +328,14 @@ def histograms(docs: DataFrame, look) -> dict[tuple[int, int], np.ndarray]:
     return out
 
 
-def thresholds(docs: DataFrame, fdr: float = FDR, run_step: int = RUN_STEP) -> dict[tuple[int, int], int]:
+def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
     """(length class, alphabet size) -> largest accepted bin, from histograms over all documents (a few thousand rows)."""
     seen = histograms(docs, lambda texts: ((kind, [b]) for text in texts for _, _, kind, b in tokens(text)))
     if not seen:
         return {}
     def written_in(kinds: set) -> dict[tuple[int, int], np.ndarray]:
         classes = {size: sorted(c for c, s in kinds if s == size) for size in {s for _, s in kinds}}
-        return histograms(docs, lambda texts: decoys(texts, classes, run_step))
+        return histograms(docs, lambda texts: decoys(texts, classes))
 
     shortest = length_class(MIN_TOKEN)
     written = written_in(set(seen))
@@ -311,13 +369,13 @@ def as_text(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def secret_scan(docs: DataFrame, fdr: float = FDR, run_step: int = RUN_STEP) -> DataFrame:
+def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random per row.
 
     Null and empty texts have no spans (base_sha256 of the empty string); repeated rows and null
     doc_ids keep a row each; an empty table gives no rows.
     """
-    accept = thresholds(docs, fdr, run_step)
+    accept = thresholds(docs, fdr)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -344,10 +402,10 @@ def redact(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, fdr: float = FDR, run_step: int = RUN_STEP) -> DataFrame:
+def redact_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """The rows and columns of ``docs`` with the secrets of ``text`` replaced and n_chars (where it
     is a column) set to the new length.  No row is dropped; null texts stay null."""
-    accept = thresholds(docs, fdr, run_step)
+    accept = thresholds(docs, fdr)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -313,6 +313,29 @@ def test_secret_battery_finds_keys_of_letters_or_digits_alone(spark):
     assert len(found.keys() - keys.keys()) <= 0.05 * len(found) + 1
 
 
+def test_secret_decoys_start_at_every_word():
+    """The null of a class holds the run from every word that its text is long enough for, each as the battery sees it."""
+    from pawgrid.llm.op7_secret_scan import ALPHABETS, LEVEL, battery, decoys, least_length, length_class, p_bin
+    texts = ["It was the Best of times and 2024 the worst of times, it was the age of wisdom " * 3, "", "short one",
+             "x1 the season of Light 42 and the season of Darkness in the spring of hope no-word end", "a " * 40]
+    c, n = length_class(20), least_length(length_class(20))
+    for size, alphabet in ((26, ALPHABETS[1]), (62, ALPHABETS[7]), (32, ALPHABETS[6])):
+        want = []
+        for text in texts:
+            words = re.findall(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]+|[0-9]+)(?![A-Za-z0-9+/_=-])", text)
+            kept = [[alphabet.index(x) for x in (w if size > 32 else w.upper() if size == 32 else w.lower()) if x in alphabet]
+                    for w in words]
+            flat, starts = [v for w in kept for v in w], np.cumsum([0, *map(len, kept)])
+            for s in sorted({int(s) for s, w in zip(starts, kept) if w}):
+                run = flat[s:s + n]
+                if len(run) == n:
+                    if size > 26:
+                        run[-1] = alphabet.index(str(2 + s % 6))
+                    want.append(min(LEVEL, p_bin(battery(run, size))))
+        got = [b for kind, bins in decoys(texts, {size: [c]}) if kind == (c, size) for b in np.minimum(bins, LEVEL).tolist()]
+        assert sorted(got) == sorted(want) and len(want) > 40
+
+
 def test_packing(spark, sf, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = run(spark, sf, "op8_")
