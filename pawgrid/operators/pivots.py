@@ -14,8 +14,9 @@ The cells left out hold no item of the answer, so the result equals the one of s
 Items without a direction (no vector, or zeros) have similarity 0 with every query and differ by uid only:
 of each slot bit set its k smallest uids can matter.  A query without a direction needs k uids of each bit set.
 
-Hot cells: items of a cell are dealt over blocks of ``block_rows`` rows and queries over query blocks;
-an item is copied only to the query blocks that need its cell.
+Small cells that follow each other share a bin of ``tile_rows`` items: a query is copied once to a bin and its best
+of the bin leave the task, not those of each cell.  Hot cells: items of a larger cell are dealt over blocks
+of ``tile_rows`` rows and queries over query blocks; an item is copied only to the query blocks that need its bin.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ RINGS = 8            # per pivot
 SAMPLE = 4096        # items (of smallest uid hash) that the pivots are fitted on
 PER_PIVOT = 64
 ROUNDS = 5           # of moving the pivots to the middle of their sample items
-BLOCK_ROWS = 4096    # items of a cell, and queries, that meet in one task
+BLOCK_ROWS = 4096    # items of a cell, and queries, that are multiplied at once
 SLACK = 1e-7         # of an angle: covers the rounding of arccos near 0
 NO_VECTOR, ANY_ITEM = -1, -2  # cells of items without a direction, and for queries without one
 
@@ -139,29 +140,61 @@ def _smallest(placed: DataFrame, k: int, cell: int) -> DataFrame:
             .select("uid", "slot_mask", "ivec", F.lit(cell).alias("cell")))
 
 
-def _score(plan: DataFrame, items: DataFrame, cells: DataFrame, k: int, query_blocks, block_rows: int) -> DataFrame:
-    """Top-k per (query, block) of the cells each query of ``plan`` names: (qid, uid, similarity)."""
-    q = (plan.withColumn("cell", F.explode("cells")).withColumn("qb", F.pmod(F.xxhash64("qid"), query_blocks))
-         .drop("cells"))
-    blocks = F.broadcast(cells.select("cell", F.ceil(F.col("n") / block_rows).alias("blocks")))  # a row per cell
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    q = q.join(blocks, "cell").withColumn("ib", every).drop("blocks")
-    wanted = q.select("cell", "ib", F.col("qb").alias("to")).distinct()
-    it = (items.join(blocks, "cell").withColumn("ib", F.pmod(F.xxhash64("uid"), F.col("blocks"))).drop("blocks")
-          .join(wanted, ["cell", "ib"]).withColumn("qb", F.col("to") + 0).drop("to"))
+def cell_bins(sizes: list[tuple[int, int]], tile_rows: int) -> list[tuple[int, int, int]]:
+    """(cell, bin, blocks) of every (cell, items): neighbouring cells share a bin of at most ``tile_rows`` items;
+    a larger cell has a bin of its own, in several blocks."""
+    out, number, held = [], -1, tile_rows
+    for cell, n in sorted(sizes):
+        if held + n > tile_rows:
+            number, held = number + 1, 0
+        held += n
+        out.append((cell, number, max(1, -(-n // tile_rows))))
+    return out
+
+
+def _score(plan: DataFrame, items: DataFrame, bins: list[tuple[int, int, int]], k: int, query_blocks, block_rows: int) -> DataFrame:
+    """Top-k per query and bin block of the cells each query of ``plan`` names: (qid, uid, similarity).
+
+    A query is sent once to a bin, with the cells it names there, not once to each cell."""
+    cells = F.broadcast(plan.sparkSession.createDataFrame(bins, "cell int, bin int, blocks int"))  # a row per cell
+    low = min(c for c, _, _ in bins)
+    places = dict((c, b) for c, b, _ in bins)
+    bin_of = F.array(*[F.lit(places.get(c, -1)) for c in range(low, max(places) + 1)])
+    blocks_of = F.array(*[F.lit(n) for _, n in sorted({(b, n) for _, b, n in bins})])
+    place = lambda c: F.get(F.col("bin_of"), c - low)
+    q = (plan.withColumn("bin_of", bin_of).withColumn("bin", F.explode(F.array_distinct(F.transform("cells", place))))
+         .withColumn("cells", F.filter("cells", lambda c: place(c) == F.col("bin"))).drop("bin_of")
+         .withColumn("qb", F.pmod(F.xxhash64("qid"), query_blocks)))
+    q = q.withColumn("ib", F.explode(F.sequence(F.lit(0), F.get(blocks_of, F.col("bin")) - 1)))
+    wanted = q.select("bin", "ib", F.col("qb").alias("to")).distinct()
+    it = (items.join(cells, "cell").withColumn("ib", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).drop("blocks")
+          .join(wanted, ["bin", "ib"]).withColumn("qb", F.col("to") + 0).drop("to"))
 
     def meet(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         dim = V.vector_size(qpdf["qvec"], ipdf["ivec"])
-        return V.block_topk(qpdf["qid"].to_numpy(), qpdf["slot_group"].to_numpy(np.int64), V._unit_rows(V._stack(qpdf["qvec"], dim)),
-                            ipdf["uid"].to_numpy(np.int64), ipdf["slot_mask"].to_numpy(np.int64),
-                            V._unit_rows(V._stack(ipdf["ivec"], dim)), k)
+        qids, groups, qmat = qpdf["qid"].to_numpy(), qpdf["slot_group"].to_numpy(np.int64), V._unit_rows(V._stack(qpdf["qvec"], dim))
+        uids, masks, imat = (ipdf["uid"].to_numpy(np.int64), ipdf["slot_mask"].to_numpy(np.int64),
+                             V._unit_rows(V._stack(ipdf["ivec"], dim)))
+        number, owner = ipdf["cell"].to_numpy(), np.repeat(np.arange(len(qpdf)), qpdf["cells"].map(len))
+        named = np.concatenate([np.zeros(0, np.int32), *qpdf["cells"]])
+        found = []
+        for c in np.unique(number):
+            rows, mine = owner[named == c], number == c
+            found.append(V.block_topk(rows, groups[rows], qmat[rows], uids[mine], masks[mine], imat[mine], k, block_rows))
+        if not found:
+            return pd.DataFrame({"qid": qids[:0], "uid": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+        all_ = pd.concat(found, ignore_index=True)
+        best = all_.iloc[V._first_k(all_["qid"].to_numpy(), all_["uid"].to_numpy(), all_["similarity"].to_numpy(), k)]
+        return pd.DataFrame({"qid": qids[best["qid"].to_numpy()], "uid": best["uid"].to_numpy(),
+                             "similarity": best["similarity"].to_numpy()})
 
     schema = f"qid {plan.schema['qid'].dataType.simpleString()}, uid long, similarity double"
-    return q.groupBy("cell", "ib", "qb").cogroup(it.groupBy("cell", "ib", "qb")).applyInPandas(meet, schema)
+    return q.groupBy("bin", "ib", "qb").cogroup(it.groupBy("bin", "ib", "qb")).applyInPandas(meet, schema)
 
 
 def pivot_top_k(queries: DataFrame, index: PivotIndex, k: int = 10, *, qid: str = "qid", q_vec: str = "embedding",
-                q_group: str | None = None, rings: int = RINGS, block_rows: int = BLOCK_ROWS) -> PivotSearch:
+                q_group: str | None = None, rings: int = RINGS, block_rows: int = BLOCK_ROWS,
+                tile_rows: int = V.TILE_ROWS) -> PivotSearch:
     """The rows of ``vectors.top_k_similar`` through the index, and how many pairs were scored for them.
 
     ``rings`` is the number the index was built with.  No query: no row; fewer eligible items than k: all."""
@@ -207,19 +240,19 @@ def pivot_top_k(queries: DataFrame, index: PivotIndex, k: int = 10, *, qid: str
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    n_q = F.greatest(F.lit(1).cast("long"), F.ceil(base.agg(F.count(F.lit(1)).alias("n")).scalar() / block_rows))
+    n_q = F.greatest(F.lit(1).cast("long"), F.ceil(base.agg(F.count(F.lit(1)).alias("n")).scalar() / tile_rows))
     extra = [(NO_VECTOR, 1), (ANY_ITEM, 1)]  # a few rows per slot bit set
     sizes = [(int(c), int(n)) for c, n in zip(index.cells["cell"], index.cells["n"]) if c >= 0] + extra
-    cells = spark.createDataFrame(sizes, "cell int, n long")
+    bins = cell_bins(sizes, tile_rows)
     items = (index.items.where(F.col("cell") >= 0).select("uid", "slot_mask", "ivec", "cell")
              .unionByName(_smallest(index.items.where(F.col("cell") == NO_VECTOR), k, NO_VECTOR))
              .unionByName(_smallest(index.items, k, ANY_ITEM)))
     plan = stored(base.mapInPandas(first, planned), "pivot-plan")
-    one = stored(_score(plan, items, cells, k, n_q, block_rows), "pivot-first")
+    one = stored(_score(plan, items, bins, k, n_q, block_rows), "pivot-first")
     kth = (V._final_topk(one, k).groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.min("similarity").alias("least"))
            .select("qid", F.when(F.col("found") >= k, F.col("least")).alias("floor")))
     rest = stored(plan.join(kth, "qid", "left").mapInPandas(second, planned).where(F.size("cells") > 0), "pivot-rest")
-    two = _score(rest, items, cells, k, n_q, block_rows)
+    two = _score(rest, items, bins, k, n_q, block_rows)
     pairs = (plan.unionByName(rest).select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("times"))
              .join(F.broadcast(items.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))), "cell").agg(F.coalesce(F.sum(F.col("times") * F.col("n")), F.lit(0)).alias("scored_pairs")))
     total = plan.agg((F.count(F.lit(1)) * index.n_items).alias("all_pairs")).scalar()

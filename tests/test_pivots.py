@@ -82,3 +82,21 @@ def test_sides_without_any_vector(spark, tables):
 def test_pivots_of_repeated_rows():
     assert len(PV.fit_pivots(np.ones((9, 3)), 5)) == 1
     assert len(PV.fit_pivots(np.zeros((4, 3)), 5)) == 0
+
+
+@pytest.mark.parametrize("tile_rows", [5, 40, 16384])
+def test_bins_of_cells_give_the_same_rows(spark, tile_rows):
+    """Cells that share a bin, cells of several blocks, queries without a direction and slot groups."""
+    rng = np.random.default_rng(12)
+    items = spark.createDataFrame([(i, v.tolist() if i % 9 else None, 1 + i % 3) for i, v in enumerate(rng.normal(size=(300, 5)))],
+                                  "uid long, embedding array<float>, m int")
+    queries = spark.createDataFrame([(i, v.tolist() if i % 7 else None, i % 2) for i, v in enumerate(rng.normal(size=(40, 5)))],
+                                    "qid long, embedding array<float>, g int")
+    found = PV.pivot_top_k(queries, PV.build_index(items, i_mask="m"), 6, q_group="g", tile_rows=tile_rows, block_rows=16).result
+    want = V.top_k_similar(queries, items, 6, q_group="g", i_mask="m")
+    key = lambda df: sorted((r["qid"], r["rank"], r["uid"], round(r["similarity"], 6) + 0.0) for r in df.collect())
+    assert key(found) == key(want)
+
+
+def test_neighbouring_cells_share_a_bin():
+    assert PV.cell_bins([(3, 10), (1, 5), (-1, 1), (2, 100), (7, 30)], 40) == [(-1, 0, 1), (1, 0, 1), (2, 1, 3), (3, 2, 1), (7, 2, 1)]
