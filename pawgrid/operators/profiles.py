@@ -1,18 +1,22 @@
 """Soft scoring for a table of profiles (SCR1, SCR2, SRT2): the best listings of every profile.
 
 Profiles and listings are dealt into blocks that meet in a grid (``cogroup().applyInPandas``): a cell
-scores its profiles against its listings as matrices, a chunk of profiles at a time, and keeps of each
-profile the ``n`` best at or above the threshold.  A window over those rows (with Spark's partial limit
-before the exchange) gives the answer.  Listings are copied once per profile block and profiles once
-per listing block; a cell's memory is bounded by ``block_rows`` and ``CHUNK``.
-
-The scores are those of ``scoring.match_score``, slot by slot in the same order.  Word containment is worked
-out once per pair of a distinct wanted trait and a distinct tag of a cell.
+sorts its listings by their attributes, cuts them into runs of ``RUN`` rows and keeps of each run what its values
+are.  For a profile the best score that a run can hold follows from those; runs are opened from the best
+bound down, until no closed one can hold any of the ``n`` best at or above the threshold.  Bounds add up rounded as
+scores do, so none is below a score of its run and the rows are those of scoring every pair.  A window over the cells'
+rows (with Spark's partial limit before the exchange) gives the answer.  Listings are copied once per profile block and
+profiles once per listing block; a cell's memory is bounded by the rows of its blocks.
+
+The scores are those of ``scoring.match_score``, slot by slot in the same order.  Tags and traits are read
+once per distinct value of a cell.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,9 +26,12 @@ from pyspark.sql import functions as F
 from pawgrid import constants as K
 from pawgrid.operators.predicates import open_state
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16384    # profiles of a block
+LISTING_BLOCKS = 16   # a block of listings has so many times more rows: the search in it grows slower than its rows
 LEAST_LISTINGS = 256  # listings are not cut into smaller blocks than this to occupy more tasks
-CHUNK = 64            # profiles scored at a time
+RUN = 64              # listings bounded together
+FIRST_RUNS = 32       # runs opened at first; each further round opens four times as many
+WORD_BYTES = 1 << 25  # kept matches of wanted words with tag lists
 TIE_DIGITS = 9        # scores equal to so many decimals tie, and the smaller uid comes first
 
 BAND = "struct<preferred:struct<min:double,max:double>,acceptable:struct<min:double,max:double>>"
@@ -77,67 +84,145 @@ def _missing(x) -> bool:
     return x is None or (isinstance(x, float) and math.isnan(x))
 
 
+def _number(x) -> float:
+    return math.nan if x is None else float(x)
+
+
+def _edges(pref, kind: int, name: str) -> tuple[float, float]:
+    """The bounds of one band of a preference; a bound that is missing is infinite."""
+    lo, hi = (_field(_field(pref, name, kind), b, i) for i, b in enumerate(("min", "max")))
+    return -np.inf if _missing(lo) else lo, np.inf if _missing(hi) else hi
+
+
+class Category:
+    """A column of few distinct values: a code per listing, and the codes that occur in each run."""
+
+    def __init__(self, codes: np.ndarray, n_values: int) -> None:
+        self.codes, self.n_values = codes, n_values
+
+    def cut(self, order: np.ndarray, run: np.ndarray) -> None:
+        self.codes = self.codes[order]
+        pairs = np.unique(run * np.int64(max(self.n_values, 1)) + self.codes)
+        self.held, at = pairs % max(self.n_values, 1), pairs // max(self.n_values, 1)
+        self.first = np.searchsorted(at, np.arange(run[-1] + 1)) if len(run) else np.zeros(0, np.int64)
+        self.mixed = len(self.held) > 8 * len(self.first)  # runs hold about everything: one bound for all
+
+    def tops(self, table: np.ndarray):
+        """The largest value of ``table`` (by code) in each run, or in all of them."""
+        return table.max() if self.mixed else np.maximum.reduceat(table[self.held], self.first)
+
+
+class Amount:
+    """A column of numbers, with the range of each run."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+
+    def cut(self, order: np.ndarray, starts: np.ndarray) -> None:
+        self.values = self.values[order]
+        none = np.isnan(self.values)
+        self.low = np.minimum.reduceat(np.where(none, np.inf, self.values), starts)
+        self.high = np.maximum.reduceat(np.where(none, -np.inf, self.values), starts)
+        self.gaps = np.maximum.reduceat(none, starts)
+
+    def band(self, pref, rows: np.ndarray) -> np.ndarray:
+        v = self.values[rows]
+        out = np.zeros(len(v))
+        for value, kind, name in ((0.7, 1, "acceptable"), (1.0, 0, "preferred")):
+            lo, hi = _edges(pref, kind, name)
+            out[(v >= lo) & (v <= hi)] = value
+        out[np.isnan(v)] = 0.5
+        return out
+
+    def tops(self, pref) -> np.ndarray:
+        out = np.where(self.gaps, 0.5, 0.0)
+        for value, kind, name in ((0.7, 1, "acceptable"), (1.0, 0, "preferred")):
+            lo, hi = _edges(pref, kind, name)
+            out[(self.high >= lo) & (self.low <= hi)] = value
+        return out
+
+
 class Listings:
-    """The listings of a cell as arrays."""
+    """The listings of a cell as arrays, sorted by their attributes and cut into runs."""
 
     def __init__(self, pdf: pd.DataFrame) -> None:
-        self.uid = pdf["uid"].to_numpy(np.int64)
-        self.age, self.weight = (pdf[c].to_numpy(np.float64) for c in ("age", "weight"))
-        self.nationwide = (pdf["care_region"] == K.NATIONWIDE).fillna(False).to_numpy(bool)
-        self.place, self.places = pd.factorize(pdf["rescue_location"])  # null: -1
-        tags = [[t for t in _list(x) if t is not None] for x in pdf["hashtags"]]
-        self.no_tags = np.array([len(_list(x)) == 0 for x in pdf["hashtags"]], dtype=bool)
-        self.owner = np.repeat(np.arange(len(tags)), [len(t) for t in tags])
+        uid = pdf["uid"].to_numpy(np.int64)
+        n = len(uid)
+        self.age, self.weight = (Amount(pdf[c].to_numpy(np.float64)) for c in ("age", "weight"))
+        nationwide = (pdf["care_region"] == K.NATIONWIDE).fillna(False).to_numpy(bool)
+        place, places = pd.factorize(pdf["rescue_location"])  # null: -1
+        self.place_of = {x: i for i, x in enumerate(places)}
+        spot, spots = pd.factorize(nationwide * np.int64(len(places) + 1) + place + 1)
+        self.spot_nationwide, self.spot_place = spots > len(places), spots % (len(places) + 1) - 1
+        self.region_codes = Category(spot, len(spots))
+
+        code, lists = pd.factorize(pdf["hashtags"], use_na_sentinel=False)
+        tags = [[] if pd.isna(x) else json.loads(x) for x in lists]
+        self.no_tags = np.array([len(ts) == 0 for ts in tags], dtype=bool)
+        tags = [[t for t in ts if t is not None] for ts in tags]
+        self.owner = np.repeat(np.arange(len(tags)), [len(ts) for ts in tags])
         self.tag, self.tags = pd.factorize(np.array([t for ts in tags for t in ts], dtype=object))
-        traits = [dict(_pairs(x)) for x in pdf["behavior_traits"]]
-        names = {n for t in traits for n in t}
-        self.traits = {n: np.array([t.get(n) if t.get(n) is not None else np.nan for t in traits], dtype=np.float64) for n in names}
+        self.tag_codes = Category(code, len(lists))
         self.has: dict[str, np.ndarray] = {}
 
+        code, maps = pd.factorize(pdf["behavior_traits"], use_na_sentinel=False)
+        traits = [{} if pd.isna(x) else json.loads(x) for x in maps]
+        self.traits = {name: np.array([_number(t.get(name)) for t in traits], dtype=np.float64) for name in {x for t in traits for x in t}}
+        self.trait_codes = Category(code, len(maps))
+
+        keys = [pd.factorize(x.values, sort=True)[0] for x in (self.age, self.weight)]
+        keys += [x.codes for x in (self.region_codes, self.tag_codes, self.trait_codes)]
+        # the column of fewest values first, so that runs are of one kind in as many columns as they can
+        order = np.lexsort([uid, *sorted(keys, key=lambda x: -x.max(initial=0))])
+        run, starts = np.arange(n) // RUN, np.arange(0, n, RUN)
+        self.uid = uid[order]
+        for x in (self.region_codes, self.tag_codes, self.trait_codes):
+            x.cut(order, run)
+        for x in (self.age, self.weight):
+            x.cut(order, starts)
+        self.first_uid = np.minimum.reduceat(self.uid, starts)
+
     def __len__(self) -> int:
         return len(self.uid)
 
     def wanted(self, word: str) -> np.ndarray:
-        """Which listings have a tag that contains the word or is contained in it."""
+        """Which tag lists have a tag that contains the word or is contained in it."""
         if word not in self.has:
+            if (len(self.has) + 1) * len(self.no_tags) > WORD_BYTES:
+                self.has.clear()
             good = np.array([word in t or t in word for t in self.tags], dtype=bool)
-            hit = np.zeros(len(self), dtype=bool)
+            hit = np.zeros(len(self.no_tags), dtype=bool)
             if len(self.tag):
                 hit[self.owner[good[self.tag]]] = True
             self.has[word] = hit
         return self.has[word]
 
     def region(self, regions) -> np.ndarray:
-        listed = np.isin(self.place, np.flatnonzero(np.isin(self.places.astype(object), [r for r in _list(regions) if r is not None])))
-        return (self.nationwide | listed).astype(np.float64)
-
-    def band(self, values: np.ndarray, pref) -> np.ndarray:
-        def inside(kind: int, name: str) -> np.ndarray:
-            lo, hi = (_field(_field(pref, name, kind), b, i) for i, b in enumerate(("min", "max")))
-            good = np.ones(len(self), dtype=bool)
-            if not _missing(lo):
-                good &= values >= lo
-            return good if _missing(hi) else good & (values <= hi)
-
-        return np.select([np.isnan(values), inside(0, "preferred"), inside(1, "acceptable")], [0.5, 1.0, 0.7], 0.0)
+        places = [self.place_of[r] for r in _list(regions) if r is not None and r in self.place_of]
+        good = self.spot_nationwide.copy()
+        for x in places:
+            good |= self.spot_place == x
+        return good.astype(np.float64)
 
     def personality(self, words) -> np.ndarray:
         words = _list(words)
         if not words:
-            return np.full(len(self), 0.5)
-        hits = np.zeros(len(self))
+            return np.full(len(self.no_tags), 0.5)
+        hits = np.zeros(len(self.no_tags))
         for w in words:
             hits += self.wanted(w)
         return np.where(self.no_tags, 0.5, hits / float(len(words)))
 
     def behavior(self, prefs) -> np.ndarray:
-        total, known = np.zeros(len(self)), np.zeros(len(self))
+        n = self.trait_codes.n_values
+        total, known = np.zeros(n), np.zeros(n)
         for name, pref in _pairs(prefs):
             v = self.traits.get(name)
             if v is None:
                 continue
-            ideal, acceptable = _field(pref, "ideal", 0), _list(_field(pref, "acceptable", 1))
-            near = np.isin(v, acceptable)
+            ideal, near = _field(pref, "ideal", 0), np.zeros(n, dtype=bool)
+            for x in _list(_field(pref, "acceptable", 1)):
+                near |= v == x
             if _missing(ideal):
                 s = np.where(near, 0.7, 1.0)
             else:
@@ -147,36 +232,65 @@ class Listings:
             known += present
         return np.where(known == 0, 0.5, total / np.maximum(known, 1))
 
-    def score(self, p) -> np.ndarray:
-        """``scoring.match_score`` of one profile row for every listing."""
+    def slots(self, p) -> list[tuple[float, np.ndarray | float, Callable]]:
+        """(weight, bound of each run or of all, scores of given rows) of every slot that the profile has."""
         weights = dict(_pairs(p.weights))
-        parts = {"region": self.region, "age_preference": lambda x: self.band(self.age, x),
-                 "size_preference": lambda x: self.band(self.weight, x), "personality_traits": self.personality,
-                 "behavior_preferences": self.behavior}
-        num, den = np.zeros(len(self)), 0.0
+        out = []
         for slot in SLOTS:
             pref = getattr(p, slot)
             if pref is None:
                 continue
             w = float(weights.get(K.SLOT_WEIGHT_KEYS[slot], 1))
-            num = num + parts[slot](pref) * w
-            den += w
-        return num / den if den > 0 else num
-
-
-def best_rows(scores: np.ndarray, uids: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's n best at or above the threshold; ties go to the smaller uid."""
-    order = np.round(scores, TIE_DIGITS)
-    keep = scores >= threshold
-    if n < scores.shape[1]:
-        kth = -np.partition(-np.where(keep, order, -np.inf), n - 1, axis=1)[:, n - 1]
-        keep &= order >= kth[:, None]
-    r, c = np.nonzero(keep)
-    by = np.lexsort((uids[c], -order[r, c], r))
-    r, c = r[by], c[by]
-    first = np.searchsorted(r, np.arange(scores.shape[0]))
-    chosen = np.arange(len(r)) - first[r] < n
-    return r[chosen], c[chosen]
+            if slot in ("age_preference", "size_preference"):
+                column = self.age if slot == "age_preference" else self.weight
+                out.append((w, column.tops(pref), lambda rows, column=column, pref=pref: column.band(pref, rows)))
+                continue
+            column, read = {"region": (self.region_codes, self.region), "personality_traits": (self.tag_codes, self.personality),
+                            "behavior_preferences": (self.trait_codes, self.behavior)}[slot]
+            table = read(pref)
+            out.append((w, column.tops(table), lambda rows, column=column, table=table: table[column.codes[rows]]))
+        return out
+
+    def best(self, p, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(uid, ``scoring.match_score``) of a profile row's n best listings at or above the threshold; ties go to the smaller uid."""
+        slots = self.slots(p)
+        size = len(self.first_uid)
+
+        def mean(parts: list, length: int) -> np.ndarray:
+            num, den = np.zeros(length), 0.0
+            for (w, _, _), part in zip(slots, parts):
+                num = num + part * w
+                den += w
+            return num / den if den > 0 else num
+
+        bound = mean([top for _, top, _ in slots], size)
+        if not all(w >= 0 for w, _, _ in slots):  # a negative weight turns a bound round
+            bound = np.full(size, np.inf)
+        can = np.flatnonzero(bound >= threshold)
+        can = can[np.argsort(-bound[can], kind="stable")]
+        limit = np.round(bound, TIE_DIGITS)
+        uid, score, order = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        step, s = FIRST_RUNS, 0
+        while s < len(can) and n > 0:
+            some = can[s:s + step]
+            s, step = s + step, step * 4
+            if len(uid) >= n:  # a closed run counts if it can hold a better row, or an equal one of a smaller uid
+                some = some[(limit[some] > order[-1]) | ((limit[some] == order[-1]) & (self.first_uid[some] < uid[-1]))]
+                if not len(some):
+                    continue
+            rows = (some[:, None] * RUN + np.arange(RUN)).ravel()
+            rows = rows[rows < len(self)]
+            new = mean([part(rows) for _, _, part in slots], len(rows))
+            new_order = np.round(new, TIE_DIGITS)
+            keep = new >= threshold
+            if len(uid) >= n:
+                keep &= new_order >= order[-1]
+            elif keep.sum() > n:
+                keep &= new_order >= -np.partition(-np.where(keep, new_order, -np.inf), n - 1)[n - 1]
+            uid, score, order = (np.append(x, y) for x, y in ((uid, self.uid[rows[keep]]), (score, new[keep]), (order, new_order[keep])))
+            by = np.lexsort((uid, -order))[:n]
+            uid, score, order = uid[by], score[by], order[by]
+        return uid, score
 
 
 # ----------------------------------------------------------------------------------------------
@@ -188,14 +302,16 @@ def soft_filter_many(listings: DataFrame, profiles: DataFrame, n: int = 10, thre
     them for one.  ``profiles`` has the columns of ``PROFILE_SCHEMA``.  A profile without a slot scores 0 everywhere;
     an empty side gives no rows."""
     base = listings.where(open_state()) if available_only else listings
+    # lists and maps travel as texts: equal ones are read once in a cell
     items = base.select(F.col("uid").cast("long").alias("uid"), "age", "weight", F.col("care_conditions.region").alias("care_region"),
-                        "rescue_location", "hashtags", "behavior_traits")
+                        "rescue_location", F.to_json("hashtags").alias("hashtags"), F.to_json("behavior_traits").alias("behavior_traits"))
     people = profiles.select("profile_id", *SLOTS, "weights")
     parts = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = F.lit(1).cast("long")
     n_p, n_i = (df.agg(F.count(F.lit(1)).alias("n")).scalar() for df in (people, items))
-    rows, columns = F.greatest(one, F.ceil(n_p / block_rows)), F.greatest(
-        one, F.ceil(n_i / block_rows), F.least(F.lit(parts).cast("long"), F.ceil(n_i / LEAST_LISTINGS)))
+    rows = F.greatest(one, F.ceil(n_p / block_rows))
+    # as many cells as tasks, if that does not make blocks tiny
+    columns = F.greatest(one, F.ceil(n_i / (block_rows * LISTING_BLOCKS)), F.least(F.ceil(F.lit(parts) / rows), F.ceil(n_i / LEAST_LISTINGS)))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     people = (people.withColumn("pn", rows).withColumn("ln", columns)
               .withColumn("pb", F.pmod(F.xxhash64("profile_id"), F.col("pn"))).withColumn("lb", every("ln")).drop("pn", "ln"))
@@ -203,15 +319,13 @@ def soft_filter_many(listings: DataFrame, profiles: DataFrame, n: int = 10, thre
              .withColumn("lb", F.pmod(F.xxhash64("uid"), F.col("ln"))).withColumn("pb", every("pn")).drop("pn", "ln"))
 
     def cell(ppdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"profile_id": np.array([], np.int64), "uid": np.array([], np.int64), "match_score": np.array([], float)})]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(ppdf) and len(ipdf):
             block = Listings(ipdf)
-            ids, people = ppdf["profile_id"].to_numpy(np.int64), list(ppdf.itertuples(index=False))
-            for s in range(0, len(people), CHUNK):
-                scores = np.stack([block.score(p) for p in people[s:s + CHUNK]])
-                r, c = best_rows(scores, block.uid, n, threshold)
-                out.append(pd.DataFrame({"profile_id": ids[s:s + CHUNK][r], "uid": block.uid[c], "match_score": scores[r, c]}))
-        return pd.concat(out, ignore_index=True)
+            for pid, p in zip(ppdf["profile_id"].to_numpy(np.int64), ppdf.itertuples(index=False)):
+                uid, score = block.best(p, n, threshold)
+                found.append((np.full(len(uid), pid), uid, score))
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("profile_id", "uid", "match_score"), zip(*found))})
 
     best = people.groupBy("pb", "lb").cogroup(items.groupBy("pb", "lb")).applyInPandas(
         cell, "profile_id long, uid long, match_score double")

@@ -1,5 +1,9 @@
 """A table of profiles gives each profile the rows it has alone."""
 
+from collections import namedtuple
+
+import numpy as np
+import pandas as pd
 import pytest
 
 from pawgrid.operators import profiles as PF
@@ -47,3 +51,38 @@ def test_all_listings_are_reached(spark):
     out = PF.soft_filter_many(listings, PF.profile_table(spark, {9: {"age_preference": {"acceptable": {"min": None, "max": None}}}}),
                               10 ** 6, threshold=-1.0, available_only=False)
     assert out.count() == listings.count()
+
+
+def test_few_listings_are_scored_and_none_is_lost(monkeypatch):
+    """The search in a cell gives the rows of scoring every listing, and opens few of its runs."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    pick = lambda xs, size=n: rng.choice(np.array(xs, dtype=object), size)
+    pdf = pd.DataFrame({
+        "uid": rng.integers(0, 10 ** 9, n), "age": np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 17, n)),
+        "weight": np.where(rng.random(n) < 0.1, np.nan, rng.random(n) * 60), "care_region": pick([None, "A", PF.K.NATIONWIDE]),
+        "rescue_location": pick([None, *"ABCDEFGHIJKL"]),
+        "hashtags": pick([None, "[]", "[null]", *(f'["{a}","{b}"]' for a in ("red", "blue", "old") for b in ("ring", "bolt", "reddish"))]),
+        "behavior_traits": pick([None, "{}", '{"affection":null}', *(f'{{"affection":{i}.0,"barking":{j}.0}}' for i in range(1, 6) for j in range(1, 6))])})
+    block, scored = PF.Listings(pdf), []
+    band = PF.Amount.band
+    monkeypatch.setattr(PF.Amount, "band", lambda self, pref, rows: (scored.append(len(rows)), band(self, pref, rows))[1])
+    wish = lambda ideal: (float(ideal), [float(ideal), float(ideal + 1)])
+    row = namedtuple("row", ["profile_id", *PF.SLOTS, "weights"])
+    few = [0, 0]
+    for i in range(60):
+        a, b = float(i % 9), float(5 + i % 11)
+        age, size = ((a, a + 3), (None, a + 6)), ((3.0, b), (0.0, 50.0))
+        p = row(i, ["A", "ZZ", "CDE"[i % 3]] if i % 7 else None, age, size if i % 5 else None, ["red", "ring"] if i % 4 else [],
+                {"affection": wish(i % 5 + 1), "barking": wish(i % 3 + 1), "other": wish(1)}, {"age": 1.5, "region": -1.0 if i == 59 else 1.0})
+        scored.clear()
+        uid, score = block.best(p, 10, 0.3)
+        few[0], few[1] = few[0] + sum(scored), few[1] + n * (1 + (p.size_preference is not None))
+        num, den, every = np.zeros(n), 0.0, np.arange(n)
+        for w, _, part in block.slots(p):
+            num, den = num + part(every) * w, den + w
+        full = num / den
+        by = np.lexsort((block.uid, -np.round(full, PF.TIE_DIGITS)))
+        by = by[full[by] >= 0.3][:10]
+        assert uid.tolist() == block.uid[by].tolist() and score.tolist() == full[by].tolist(), i
+    assert few[0] < 0.35 * few[1], few
