@@ -35,6 +35,7 @@ TILE_ROWS = 16384           # rows of a side that meet in one task, in blocks
 ITEM_BLOCK = 4096           # items per kernel matmul chunk
 PAIR_BLOCK = 1 << 16        # pairs scored at once
 LEAST_ITEMS = 128           # items are not cut into smaller tiles than this to occupy more tasks
+EMBED_ROWS = 1000           # texts embedded before their vectors leave a task, in calls of a batch each
 
 
 # ----------------------------------------------------------------------------------------------
@@ -327,7 +328,7 @@ def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[lis
     """EMB1: ``(key, *keep, embedding ARRAY<FLOAT>, failed BOOLEAN)`` via ``mapInPandas``.
 
     Texts go to ``embedder`` in batches of ``batch_size`` that run on across the Arrow batches of a task
-    (only a task's last call is smaller); the texts at fault in a failing batch are found by halving
+    (only a task's last call is smaller), ``EMBED_ROWS`` texts at a time; the texts at fault in a failing batch are found by halving
     (:func:`embed_texts`) and get a zero vector and ``failed = true`` (they then rank with similarity 0,
     as before).  ``keep`` columns ride along unchanged, so callers need no join back to the input."""
     schema = T.StructType([
@@ -336,25 +337,27 @@ def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[lis
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("failed", T.BooleanType()),
     ])
-    zero = [0.0] * dim
+    zero = np.zeros(dim, dtype=np.float32)
+    piece = max(1, EMBED_ROWS // batch_size) * batch_size
 
     def embedded(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf[text_col].fillna("").astype(str).tolist()
         vecs: list = []
         for s in range(0, len(texts), batch_size):
-            vecs.extend(embed_texts(texts[s:s + batch_size], embedder, retries, wait))
+            vecs.extend(None if v is None else np.asarray(v, dtype=np.float32) for v in embed_texts(texts[s:s + batch_size], embedder, retries, wait))
         return pd.DataFrame({key: pdf[key].values, **{c: pdf[c].values for c in keep},
-                             "embedding": [np.asarray(zero if v is None else v, dtype=np.float32) for v in vecs],
+                             "embedding": [zero if v is None else v for v in vecs],
                              "failed": [v is None for v in vecs]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
-            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            full = len(rest) - len(rest) % batch_size
-            if full:
-                yield embedded(rest.iloc[:full])
-                rest = rest.iloc[full:]
+            for s in range(0, len(pdf), piece):
+                rest = pd.concat([rest, pdf.iloc[s:s + piece]], ignore_index=True)
+                full = len(rest) - len(rest) % batch_size
+                if full:
+                    yield embedded(rest.iloc[:full])
+                    rest = rest.iloc[full:]
         if rest is not None and len(rest):
             yield embedded(rest)
 

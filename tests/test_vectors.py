@@ -157,3 +157,26 @@ def test_cosine_column_matches_numpy(data):
         a, b = np.asarray(vecs[uid], float), np.asarray(qv[qid], float)
         d = np.linalg.norm(a) * np.linalg.norm(b)
         assert c == pytest.approx(a @ b / d if d else 0.0, abs=1e-9)
+
+
+def test_embedding_hands_on_its_rows_in_pieces(spark):
+    """A task holds the vectors of few texts, however many an Arrow batch has; calls still run on across batches."""
+    seen, jobs = [], []
+
+    class Table:
+        schema = spark.createDataFrame([], "uid long, text string").schema
+
+        def select(self, *cols):
+            return self
+
+        def mapInPandas(self, run, schema):
+            jobs.append(run)
+
+    V.embed(Table(), "text", lambda ts: seen.append(len(ts)) or [[float(len(t))] for t in ts], 1)
+    frames = [pd.DataFrame({"uid": range(a, b), "text": ["x" * (i % 7) for i in range(a, b)]}) for a, b in ((0, 9950), (9950, 10020))]
+    out = jobs[0](iter(frames))
+    first = next(out)
+    assert len(first) <= V.EMBED_ROWS and sum(seen) <= V.EMBED_ROWS
+    rows = pd.concat([first, *out], ignore_index=True)
+    assert rows["uid"].tolist() == list(range(10020)) and [v[0] for v in rows["embedding"]] == [float(i % 7) for i in range(10020)]
+    assert seen == [100] * 100 + [20]
