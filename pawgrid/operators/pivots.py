@@ -172,9 +172,9 @@ def _score(plan: DataFrame, items: DataFrame, bins: list[tuple[int, int, int]],
 
     def meet(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         dim = V.vector_size(qpdf["qvec"], ipdf["ivec"])
-        qids, groups, qmat = qpdf["qid"].to_numpy(), qpdf["slot_group"].to_numpy(np.int64), V._unit_rows(V._stack(qpdf["qvec"], dim))
+        qids, groups, qmat = qpdf["qid"].to_numpy(), qpdf["slot_group"].to_numpy(np.int64), V._stack(qpdf["qvec"], dim)
         uids, masks, imat = (ipdf["uid"].to_numpy(np.int64), ipdf["slot_mask"].to_numpy(np.int64),
-                             V._unit_rows(V._stack(ipdf["ivec"], dim)))
+                             V._stack(ipdf["ivec"], dim))
         number, owner = ipdf["cell"].to_numpy(), np.repeat(np.arange(len(qpdf)), qpdf["cells"].map(len))
         named = np.concatenate([np.zeros(0, np.int32), *qpdf["cells"]])
         found = []

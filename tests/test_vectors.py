@@ -86,6 +86,60 @@ def test_small_blocks_copy_no_more_rows(spark):
         assert rows.get(q["qid"], []) == (brute(mine, [(0, q["embedding"] or [0.0] * 4)], 5)[0] if mine else [])
 
 
+def test_a_query_meets_the_items_in_few_tiles(spark):
+    """Its first k items are found again in every item tile, so these hold many times ``tile_rows`` rows."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = V.block_topk
+
+    def counted(qids, qgroups, qmat, uids, *rest):
+        seen.add(len(qids) + len(uids))
+        return plain(qids, qgroups, qmat, uids, *rest)
+
+    rng = np.random.default_rng(4)
+    items = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(256, 5)))]
+    queries = [(f"q{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(64, 5)))]
+    it = spark.createDataFrame(items, "uid long, embedding array<double>").repartition(3)
+    qs = spark.createDataFrame(queries, "qid string, embedding array<double>").repartition(3)
+    V.block_topk = counted
+    try:
+        got = V.top_k_similar(qs, it, 5, tile_rows=8).collect()
+    finally:
+        V.block_topk = plain
+    assert seen.value <= 2 * (64 + 256)  # 4 x 8 queries and 16 x 8 items meet in a task
+    rows = {}
+    for r in sorted(got, key=lambda r: (r["qid"], r["rank"])):
+        rows.setdefault(r["qid"], []).append(r["uid"])
+    assert rows == brute(items, queries, 5)
+
+
+@pytest.mark.parametrize("rows", [3, 700])
+def test_kernel_over_many_blocks_keeps_ties_in_order(rows):
+    """Blocks that give some queries nothing, repeated items in other blocks, vectors of any length, none that are not finite."""
+    rng = np.random.default_rng(6)
+    imat = rng.integers(-2, 3, size=(900, 4)).astype(np.float32)
+    imat[5] = np.nan
+    qmat = rng.integers(-2, 3, size=(70, 4)).astype(np.float32) * 3
+    uids, masks, groups = rng.permutation(900), rng.integers(1, 4, 900), rng.integers(0, 2, 70)
+    best = V.block_topk(np.arange(70), groups, qmat, uids, masks, imat, 6, rows)
+    got = {q: [u for _, u in sorted(zip(-x["similarity"].round(9), x["uid"]))] for q, x in best.groupby("qid")}
+    unit = lambda m: m / np.maximum(np.linalg.norm(m.astype(float), axis=1), 1e-300)[:, None]
+    sims = np.round(unit(qmat) @ unit(imat).T, 9)
+    for q in range(70):
+        can = [i for i in range(900) if masks[i] >> groups[q] & 1 and i != 5]
+        assert got[q] == [u for _, u in sorted((-sims[q, i], uids[i]) for i in can)[:6]]
+
+
+def test_stand_in_embedder_by_its_definition():
+    import hashlib
+    texts = ["A  b b\nc a", "", "ÄÖ ß", None, " "] + [f"w{i} w{i % 7}" for i in range(50)]
+    for text, got in zip(texts, V.hashing_embedder(5)(texts)):
+        want = [0.0] * 5
+        for word in filter(None, (text or "").lower().split(" ")):
+            h = hashlib.md5(word.encode()).hexdigest()
+            want[int(h[:8], 16) % 5] += 1.0 if h[8] >= "8" else -1.0
+        assert got == want
+
+
 def test_tie_lower_uid_first_and_zero_vector(data):
     it, qs, _, _ = data
     got = {(r.qid, r.rank): (r.uid, r.similarity) for r in V.top_k_similar(qs, it, 3).collect()}
